@@ -253,10 +253,12 @@ def _decode(path: str):
     def run(batches):
         pieces = piece_table(path)
         for batch in batches:
-            ids = batch.column(1)
-            flat, ends = [pieces[i] for i in ids.flatten().to_pylist()], (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-            texts = [b"".join(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["key", "ids", "text"])
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                ids = part.column(1)
+                flat, ends = [pieces[i] for i in ids.flatten().to_pylist()], (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+                texts = [b"".join(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], names=["key", "ids", "text"])
 
     return run
 

@@ -4,23 +4,53 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillsieve.llm import bpe, simhash
+from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, sharding, simhash, warc
 from quillsieve.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op2_quality_fm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    machine = qualityfm.train(docs, table(spark, sf_dir, "labels"))
+    return qualityfm.digests(qualityfm.score(docs, machine))
+
+
 def op3_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER))
 
 
+def op4_histogram_shards(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"), n_shards=24)
+
+
+def op6_host_rules(spark, sf_dir):
+    return hostrules.digests(hostrules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def op7_edit_fingerprints(spark, sf_dir):
+    return editprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark, sf_dir):
+    return warc.digests(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.digests(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash)}
 
 
 def oracle_sql():
