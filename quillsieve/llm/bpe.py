@@ -23,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,58 +75,57 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class _Index(dict):
-    """Numbers its keys in order of first use."""
+def _plain(text: str) -> bool:
+    """No white space before a space or newline, so each of them begins a word."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    if text.isascii():
+        return not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return _AWKWARD.search(text) is None
 
-    def __init__(self, taken: list):
-        self.taken = taken
 
-    def __missing__(self, key):
-        self[key] = i = len(self.taken)
-        self.taken.append((self, key))
-        return i
+class _Words:
+    """Distinct words in order of first use. A key that follows a cut at a space stands for " " + key."""
 
+    def __init__(self):
+        self.words: list[str] = []
+        self.after_space: dict[str, int] = {}
+        self.literal: dict[str, int] = {}
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk_chars: int):
-    """Yields (doc ids, position arrays, words): words by falling count, positions into words."""
-    special = special_pattern(path)
-
-    def fresh():
-        taken: list = []
-        return taken, _Index(taken), _Index(taken)
+    def add(self, index: dict[str, int], keys: list[str]) -> None:
+        new = [k for k in dict.fromkeys(keys) if k not in index]
+        index.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.words += new if index is self.literal else [k if k[:1] == "\n" else " " + k for k in new]
 
-    taken, after_space, literal = fresh()
-    keys, texts_as, chars = [], [], 0
-
-    def done():
-        words = [("" if index is literal or key[:1] == "\n" else " ") + key for index, key in taken]
-        flat = np.concatenate(texts_as) if texts_as else np.zeros(0, np.int32)
-        count = np.bincount(flat, minlength=len(words))
-        order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
-        place = np.empty(len(words), np.int32)
-        place[order] = np.arange(len(words), dtype=np.int32)
-        return keys, [place[x] for x in texts_as], [words[i] for i in order]
 
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk_chars: int, positions: bool):
+    """Yields (doc ids, position arrays if asked for, words); positions into words."""
+    special = special_pattern(path)
+    found, keys, texts_as, chars = _Words(), [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = text or ""
-            if _AWKWARD.search(text) is None and not (special and special.search(text)):
-                first, *rest = text.replace("\n", " \n").split(" ")
-                at = [after_space[x] for x in rest]
-                if first:
-                    at.insert(0, literal[first])
-            else:
-                parts = special.split(text) if special else [text]
-                at = [literal[x] for k, part in enumerate(parts) if part for x in ([part] if k % 2 else _CUT.split(part)) if x]
-            keys.append(key)
-            texts_as.append(np.array(at, np.int32))
-            chars += len(text)
-            if chars >= chunk_chars:
-                yield done()
-                taken, after_space, literal = fresh()
-                keys, texts_as, chars = [], [], 0
+        for k in range(0, batch.num_rows, 200):
+            for key, text in zip(batch.column(0).slice(k, 200).to_pylist(), batch.column(1).slice(k, 200).to_pylist()):
+                text = text or ""
+                if not (special and special.search(text)) and _plain(text):
+                    first, *rest = text.replace("\n", " \n").split(" ")
+                    first = [first] if first else []
+                else:
+                    parts = special.split(text) if special else [text]
+                    first, rest = [x for n, part in enumerate(parts) if part for x in ([part] if n % 2 else _CUT.split(part)) if x], []
+                found.add(found.literal, first)
+                found.add(found.after_space, rest)
+                keys.append(key)
+                if positions:
+                    at = np.empty(len(first) + len(rest), np.int32)
+                    at[: len(first)] = [found.literal[x] for x in first]
+                    at[len(first) :] = np.fromiter(map(found.after_space.__getitem__, rest), np.int32, len(rest))
+                    texts_as.append(_pack(at))
+                chars += len(text)
+                if chars >= chunk_chars:
+                    yield keys, texts_as, found.words
+                    found, keys, texts_as, chars = _Words(), [], [], 0
     if keys:
-        yield done()
+        yield keys, texts_as, found.words
 
 
 def _name(words: list[str]) -> int:
@@ -132,30 +133,30 @@ def _name(words: list[str]) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+_zip = zstandard.ZstdCompressor(level=1)
+_unzip = zstandard.ZstdDecompressor()
+
+
 def _pack(numbers: np.ndarray) -> bytes:
-    """Four byte planes, so that the mostly empty high bytes compress away."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Byte planes, so that the mostly empty high bytes compress away."""
+    return _zip.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_unzip.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _words_of(path: str, chunk_chars: int, buckets: int):
-    import zlib
-
     def run(batches):
-        for _, _, words in _chunks(batches, path, chunk_chars):
+        for _, _, words in _chunks(batches, path, chunk_chars, False):
             chunk, raw = _name(words), [w.encode() for w in words]
-            bucket = np.fromiter((zlib.crc32(w) for w in raw), np.uint32, len(raw)) % buckets
+            bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
             order = np.argsort(bucket, kind="stable")
             out = []
             for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                mine = [raw[i] for i in at]
-                data = zstandard.ZstdCompressor(level=1).compress(b"".join(mine))
-                out.append((chunk, int(bucket[at[0]]), _pack(at), _pack(np.array([len(w) for w in mine])), data))
+                mine = [raw[i] for i in at.tolist()]
+                out.append((chunk, int(bucket[at[0]]), _pack(at), _pack(np.fromiter(map(len, mine), np.uint32, len(mine))), _zip.compress(b"".join(mine))))
             if not len(order):
                 out.append((chunk, 0, b"", b"", b""))
             yield pa.RecordBatch.from_arrays(
@@ -168,12 +169,12 @@ def _words_of(path: str, chunk_chars: int, buckets: int):
 
 def _positions_of(path: str, chunk_chars: int):
     def run(batches):
-        for keys, texts_as, words in _chunks(batches, path, chunk_chars):
+        for keys, texts_as, words in _chunks(batches, path, chunk_chars, True):
             chunk = _name(words)
             for k in range(0, len(keys), 2000):
                 part = keys[k : k + 2000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([_pack(x) for x in texts_as[k : k + 2000]], pa.binary())],
+                    [pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(texts_as[k : k + 2000], pa.binary())],
                     names=["chunk", "key", "positions"],
                 )
 
@@ -193,13 +194,13 @@ def _encode_words(path: str):
                 if row["places"] == b"":
                     out.append((row["chunk"], b"", b"", b""))
                     continue
-                data, ends = zstandard.ZstdDecompressor().decompress(row["words"]), np.cumsum(_unpack(row["lengths"])).tolist()
+                data, ends = _unzip.decompress(row["words"]), np.cumsum(_unpack(row["lengths"])).tolist()
                 words = [data[a:b] for a, b in zip([0, *ends], ends)]
-                new = list(dict.fromkeys(w for w in words if w not in known))
-                for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                    known[w] = e.ids
+                new = [w for w in words if w not in known]
+                known.update(zip(new, [e.ids for e in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]))
                 ids = [known[w] for w in words]
-                out.append((row["chunk"], row["places"], _pack(np.array([len(x) for x in ids])), _pack(np.fromiter((i for x in ids for i in x), np.uint32))))
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+                out.append((row["chunk"], row["places"], _pack(sizes), _pack(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "places", "counts", "ids"])
 
     return run
@@ -237,7 +238,7 @@ def _joined(key, texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches([b.cast(schema) for b in _join_ids(key, texts, words)], schema) if texts.num_rows else schema.empty_table()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 8_000_000, buckets: int = 1024) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 24_000_000, buckets: int = 256) -> DataFrame:
     """(id_col, ids): the ids of every whole text, one row per input row."""
     p = shuffle_partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
