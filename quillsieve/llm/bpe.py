@@ -137,6 +137,14 @@ _zip = zstandard.ZstdCompressor(level=1)
 _unzip = zstandard.ZstdDecompressor()
 
 
+def _zipped(data: bytes) -> bytes:
+    return _zip.compress(data)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return _unzip.decompress(data)
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Byte planes, so that the mostly empty high bytes compress away."""
     return _zip.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T))
@@ -156,7 +164,7 @@ def _words_of(path: str, chunk_chars: int, buckets: int):
             out = []
             for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
                 mine = [raw[i] for i in at.tolist()]
-                out.append((chunk, int(bucket[at[0]]), _pack(at), _pack(np.fromiter(map(len, mine), np.uint32, len(mine))), _zip.compress(b"".join(mine))))
+                out.append((chunk, int(bucket[at[0]]), _pack(at), _pack(np.fromiter(map(len, mine), np.uint32, len(mine))), _zipped(b"".join(mine))))
             if not len(order):
                 out.append((chunk, 0, b"", b"", b""))
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +202,7 @@ def _encode_words(path: str):
                 if row["places"] == b"":
                     out.append((row["chunk"], b"", b"", b""))
                     continue
-                data, ends = _unzip.decompress(row["words"]), np.cumsum(_unpack(row["lengths"])).tolist()
+                data, ends = _unzipped(row["words"]), np.cumsum(_unpack(row["lengths"])).tolist()
                 words = [data[a:b] for a, b in zip([0, *ends], ends)]
                 new = [w for w in words if w not in known]
                 known.update(zip(new, [e.ids for e in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]))
