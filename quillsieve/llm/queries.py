@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, sharding, simhash, warc
+from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, repeats, sharding, simhash, warc
 from quillsieve.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op4_histogram_shards(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op5_repeats(spark, sf_dir):
+    return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op6_host_rules(spark, sf_dir):
     return hostrules.digests(hostrules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -50,7 +54,7 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op5_repeats, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash)}
 
 
 def oracle_sql():
