@@ -85,11 +85,12 @@ def _pieces(width: int):
             for k in range(0, batch.num_rows, 200):
                 out = []
                 for row in batch.slice(k, 200).to_pylist():
-                    data = row["text"].encode()
-                    for p in row["pieces"]:
-                        out.append((p["anchor"], p["hot"], row["t1"], row["t2"], p["first"], data[p["first"] : p["last"] + width]))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["anchor", "hot", "t1", "t2", "first", "piece"])
+                    data, places = row["text"].encode(), {}
+                    for p in row["pieces"]:  # a text that repeats itself gives each piece once, with its places
+                        places.setdefault((p["anchor"], p["hot"], data[p["first"] : p["last"] + width]), []).append(p["first"])
+                    out += [(anchor, hot, row["t1"], row["t2"], sorted(firsts), piece) for (anchor, hot, piece), firsts in places.items()]
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["anchor", "hot", "t1", "t2", "firsts", "piece"])
 
     return run
 
@@ -104,43 +105,46 @@ _RUNS = pa.schema([("t1", pa.int64()), ("t2", pa.int32()), ("runs", pa.list_(pa.
 
 
 def _compare(width: int, batch_bytes: int):
-    """Rows come sorted by anchor. Groups are whole: at most `most` pieces, each once."""
+    """Rows come sorted by anchor. Groups are whole: at most `most` places of pieces."""
 
     def run(batches):
-        todo: list[tuple[bytes, list]] = []
-        group: dict[bytes, dict] = {}
+        todo: list[tuple[bytes, dict]] = []
+        group: dict[bytes, dict] = {}  # piece -> text -> its places there
+
+        def twice(where):
+            return len(where) > 1 or any(len(firsts) > 1 for firsts in where.values())
         anchor, size = None, 0
 
         def close():
             nonlocal size
             if len(group) > 1:
-                todo.extend((piece, list(where)) for piece, where in group.items())
+                todo.extend(group.items())
                 size += sum(map(len, group))
             else:
-                todo.extend((piece, list(where)) for piece, where in group.items() if len(where) > 1)
+                todo.extend((piece, where) for piece, where in group.items() if twice(where))
             group.clear()
 
         def flush():
             nonlocal size
             out = []
             for (piece, where), marks in zip(todo, repeated([piece for piece, _ in todo], width)):
-                if len(where) > 1:
+                if twice(where):
                     marks[:] = True
                 if marks.any():
                     runs = _runs(marks, 0, width)
-                    out += [(t1, t2, [first + x for x in runs]) for t1, t2, first in where]
+                    out += [(t1, t2, [first + x for first in firsts for x in runs]) for (t1, t2), firsts in where.items()]
             todo.clear()
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, _RUNS)], schema=_RUNS)
 
         for batch in batches:
-            for a, t1, t2, first, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, t1, t2, firsts, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != anchor:
                     close()
                     anchor = a
                     if size >= batch_bytes:
                         yield flush()
-                group.setdefault(piece, {})[(t1, t2, first)] = None
+                group.setdefault(piece, {})[(t1, t2)] = firsts
         close()
         if todo:
             yield flush()
@@ -177,10 +181,10 @@ def _place_runs(width: int):
 
 def hot_runs(pieces: DataFrame, width: int) -> DataFrame:
     """(t1, t2, runs) of the pieces of hot anchors: nothing is brought together but hashes."""
-    pieces = written(pieces.select("anchor", F.xxhash64("piece").alias("p1"), F.xxhash64(F.lit(7), "piece").alias("p2"), "t1", "t2", "first", "piece").distinct(), "hot-pieces")
-    place = F.xxhash64("t1", "t2", "first")
-    kinds = pieces.groupBy("anchor", "p1", "p2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("piece").alias("piece"))
-    kinds = written(kinds.withColumn("twice", F.col("a") != F.col("b")).drop("a", "b"), "hot-kinds")
+    pieces = written(pieces.select("anchor", F.xxhash64("piece").alias("p1"), F.xxhash64(F.lit(7), "piece").alias("p2"), "t1", "t2", "firsts", "piece").distinct(), "hot-pieces")
+    text = F.xxhash64("t1", "t2")
+    kinds = pieces.groupBy("anchor", "p1", "p2").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.max(F.size("firsts")).alias("n"), F.max("piece").alias("piece"))
+    kinds = written(kinds.withColumn("twice", (F.col("a") != F.col("b")) | (F.col("n") > 1)).drop("a", "b", "n"), "hot-kinds")
     windows = kinds.select("anchor", "p1", "p2", "piece").mapInArrow(_windows(width), "w1 long, w2 long, anchor long, p1 long, p2 long, place int")
     windows = written(windows, "hot-windows")
     where = F.xxhash64("anchor", "p1", "p2", "place")
@@ -190,7 +194,7 @@ def hot_runs(pieces: DataFrame, width: int) -> DataFrame:
     whole = kinds.filter("twice").select("anchor", "p1", "p2", F.array(F.lit(0), F.octet_length("piece")).alias("runs"))
     part = marked.join(kinds.filter("not twice").select("anchor", "p1", "p2"), ["anchor", "p1", "p2"], "left_semi")
     found = pieces.drop("piece").join(whole.unionByName(part), ["anchor", "p1", "p2"])
-    return found.select("t1", "t2", F.transform("runs", lambda x: x + F.col("first")).alias("runs"))
+    return found.select("t1", "t2", F.flatten(F.transform("firsts", lambda first: F.transform("runs", lambda x: x + first))).alias("runs"))
 
 
 def _sorted_places():
@@ -266,10 +270,10 @@ def remove(docs: DataFrame, width: int = 400, gram: int = 128, most: int = 4096,
     near = BitMap(lists, "t1", bits)
     having = source.filter(long).filter(near.column("t1"))
     joined = having.join(lists.withColumnRenamed("t1", "_1").withColumnRenamed("t2", "_2"), (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    pieces = joined.select("t1", "t2", "text", "pieces").mapInArrow(_pieces(width), "anchor long, hot boolean, t1 long, t2 int, first int, piece binary")
+    pieces = joined.select("t1", "t2", "text", "pieces").mapInArrow(_pieces(width), "anchor long, hot boolean, t1 long, t2 int, firsts array<int>, piece binary")
     if any_hot:
         pieces = written(pieces, "pieces")
-    cold = pieces.filter("not hot").select("anchor", "t1", "t2", "first", "piece")
+    cold = pieces.filter("not hot").select("anchor", "t1", "t2", "firsts", "piece")
     runs = cold.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(width, BATCH), "t1 long, t2 int, runs array<int>")
     if any_hot:
         runs = runs.unionByName(hot_runs(pieces.filter("hot"), width))
