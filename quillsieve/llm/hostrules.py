@@ -5,7 +5,7 @@ and the empty name are one host), each rule's rate is shrunk with a beta prior f
 method of moments, and a host whose shrunk rate passes `host_rate` for any rule is rejected as a whole.
 A document stays if it passes the base rules itself and its host isn't rejected.
 
-Windows of eight words are compared by their 64-bit XXH64 within one text. Measures are written once,
+Windows of eight words are compared by 64-bit XXH64 values within one text. Measures are written once,
 without the text unless it is asked for, since both the host sums and the documents need them.
 
 Defined results: a null or empty text has no words and fails; a table of one host has a prior of strength
@@ -32,39 +32,44 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _next(a: Column) -> Column:
-    return F.slice(a, F.lit(2), F.size(a))
+def _after(column: str, k: int = 1) -> Column:
+    """The array from its k-th element on, counted from 0."""
+    return F.slice(column, F.lit(k + 1), F.greatest(F.size(column) - k, F.lit(0)))
 
 
-def repeated_words(windows: Column, width: int) -> Column:
-    """Words covered by windows (hashes, by place) that occur twice or more."""
-    order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.zip_with(order, _next(order), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    either = F.zip_with(same, F.concat(F.array(F.lit(False)), F.slice(same, F.lit(1), F.greatest(F.size(same) - 1, F.lit(0)))), lambda a, b: a | b)
-    places = F.array_sort(F.filter(F.zip_with(order, either, lambda s, e: F.when(e, s["i"])), lambda i: i.isNotNull()))
-    covered = F.zip_with(places, _next(places), lambda a, b: F.least(F.lit(width), F.coalesce(b - a, F.lit(width))))
-    return F.aggregate(covered, F.lit(0), lambda total, n: total + n)
-
-
-def measure(docs: DataFrame, text_col: str = "text", width: int = 8) -> DataFrame:
-    """docs with the columns of the rules; columns of those names in docs are replaced."""
+def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the columns of the rules; columns of those names in docs are replaced. Arrays that are read more
+    than once are columns of their own, so that each is computed once a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in (*MEASURES, "kept") and not c.startswith("_qr_")]
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    step = docs.select(*kept, text.alias("_qr_text"), words_of(text).alias("_qr_words"), lines.alias("_qr_lines"))
     n = F.size("_qr_words")
-    windows = F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice("_qr_words", i, width)))).otherwise(F.array().cast("array<bigint>"))
+    step = docs.select(*kept, text.alias("_qr_text"), words_of(text).alias("_qr_words"), lines.alias("_qr_lines"))
     step = step.select(
         *kept,
-        n.cast(LONG).alias("n_words"),
-        F.length(F.translate("_qr_text", SPACES, "")).cast(LONG).alias("word_chars"),
-        (F.length("_qr_text") - F.length(F.translate("_qr_text", "#*$%&|<>", ""))).cast(LONG).alias("n_symbols"),
+        n.alias("_qr_n"),
+        F.length(F.array_join("_qr_words", "")).cast(LONG).alias("word_chars"),
+        F.regexp_count("_qr_text", F.lit("[#*$%&|<>]")).cast(LONG).alias("n_symbols"),
         F.size("_qr_lines").cast(LONG).alias("_qr_n_lines"),
         (F.size("_qr_lines") - F.size(F.array_distinct("_qr_lines"))).cast(LONG).alias("n_dup_lines"),
-        windows.alias("_qr_windows"),
+        F.transform("_qr_words", lambda w: F.xxhash64(w)).alias("_qr_h"),
     )
-    repeats = F.when(F.size(F.array_distinct("_qr_windows")) == F.size("_qr_windows"), F.lit(0)).otherwise(repeated_words(F.col("_qr_windows"), width))
-    step = step.withColumn("n_repeat_words", repeats.cast(LONG)).drop("_qr_windows")
+    # hashes of 2, 4 and 8 words from those of 1, 2 and 4; the last ones run over the end and are cut off
+    for k in (1, 2, 4):
+        step = step.withColumn("_qr_h", F.zip_with("_qr_h", _after("_qr_h", k), lambda a, b: F.xxhash64(a, b)))
+    step = step.withColumn("_qr_h", F.slice("_qr_h", F.lit(1), F.greatest(F.col("_qr_n") - 7, F.lit(0))))
+    some = F.size(F.array_distinct("_qr_h")) < F.size("_qr_h")
+    nothing = F.array().cast("array<struct<h:bigint,i:int>>")
+    # (hash, place) in order of hash; equal neighbours mark their places; each place covers up to the next one
+    step = step.withColumn("_qr_h", F.when(some, F.sort_array(F.transform("_qr_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(nothing))
+    step = step.withColumn("_qr_same", F.zip_with("_qr_h", _after("_qr_h"), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
+    before = F.concat(F.array(F.lit(False)), F.slice("_qr_same", F.lit(1), F.greatest(F.size("_qr_same") - 1, F.lit(0))))
+    step = step.withColumn("_qr_same", F.when(F.size("_qr_same") > 0, F.zip_with("_qr_same", before, lambda a, b: a | b)))
+    places = F.filter(F.zip_with("_qr_h", "_qr_same", lambda s, e: F.when(e, s["i"])), lambda i: i.isNotNull())
+    step = step.withColumn("_qr_places", F.sort_array(F.coalesce(places, F.array().cast("array<int>"))))
+    covered = F.zip_with("_qr_places", _after("_qr_places"), lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8))))
+    step = step.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda total, x: total + x).cast(LONG))
+    step = step.withColumn("n_words", F.col("_qr_n").cast(LONG)).drop("_qr_h", "_qr_same", "_qr_places", "_qr_n")
     return step.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
