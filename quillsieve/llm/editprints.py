@@ -60,11 +60,21 @@ def _octave(k: int) -> tuple[list[int], int]:
 
 def _classes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    mixed = points * np.uint32(0x9E3779B1)
+    mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x85EBCA77)
     out = np.zeros(len(points) + 1, np.uint8)
-    out[:-1] = 1 + (points * np.uint32(2654435761) >> np.uint32(24)) % np.uint32(255)
+    out[:-1] = 1 + (mixed >> np.uint32(16)) % np.uint32(255)
     return out
 
 
+@lru_cache(maxsize=1)
+def _digits() -> np.ndarray:
+    """Digit 1 to 15 of each class of characters, 0 for the end."""
+    digits = np.random.default_rng(SEED + 1).integers(1, 16, 256).astype(np.uint8)
+    digits[0] = 0
+    return digits
+
+
 def walk(texts: list[str]) -> list[bytes]:
     """Samples of each text, one byte a sample, whole octaves, trailing empty octaves cut."""
     if not texts:
@@ -73,8 +83,7 @@ def walk(texts: list[str]) -> list[bytes]:
     chars = np.concatenate(parts)
     sizes = np.array([len(p) for p in parts])
     at = (np.cumsum(sizes) - sizes).astype(np.int64)
-    digit = np.array([0] + [1 + c % 15 for c in range(255)], np.uint8)
-    bits, alive = _bits(), np.arange(len(texts))
+    bits, digit, alive = _bits(), _digits(), np.arange(len(texts))
     columns: list[np.ndarray] = []
     octave, step = 0, 0
     while True:
@@ -233,11 +242,15 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, digits: i
     """(a, b, likeness): pairs of smallest ids of equal fingerprints, each fingerprint with the smallest
     one that shares a band of bit-sampled digits. Likeness is verified on the whole fingerprints."""
     nodes = written(prints.groupBy(F.col(print_col).alias("print")).agg(F.min(id_col).alias("id")), "prints")
-    rng = np.random.default_rng(SEED)
+    rng, kept = np.random.default_rng(SEED), []
     keys = []
-    for band in range(bands):
-        octave = F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - 2).cast("int") * PER_OCTAVE
-        keys.append(F.concat_ws("", F.lit(f"{band}:"), *[F.substring("print", octave + F.lit(int(i) + 1), F.lit(1)) for i in sorted(rng.choice(PER_OCTAVE, digits, replace=False))]))
+    for back in (2, 3):  # two octaves well inside the text, so that lengths about a power of two share one
+        octave = F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - back).cast("int")
+        for band in range(bands // 2):
+            places = sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist()) if back == 2 else kept[band]
+            kept.append(places)
+            picked = [F.substring("print", octave * PER_OCTAVE + F.lit(i + 1), F.lit(1)) for i in places]
+            keys.append(F.concat_ws("", octave.cast("string"), F.lit(f":{band}:"), *picked))
     banded = nodes.select("id", "print", F.explode(F.array(*keys)).alias("band"))
     heads = banded.groupBy("band").agg(F.min(F.struct("id", "print")).alias("head"))
 

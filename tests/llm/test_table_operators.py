@@ -55,7 +55,7 @@ def plain_walk(text):
     """One step at a time, by the definition."""
     classes, bits, place, written = editprints._classes(text).tolist(), editprints._bits(), 0, []
     while classes[place] or not written:
-        written.append(0 if not classes[place] else 1 + (classes[place] - 1) % 15)
+        written.append(int(editprints._digits()[classes[place]]))
         place += int(bits[len(written) - 1 & 4095, classes[place]])
         if not classes[place]:
             break
