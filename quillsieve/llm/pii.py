@@ -1,18 +1,19 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans are the matches of four fixed patterns. Their values are the protected entities. A term (a word
-outside the base spans, A-Z lower-cased) discloses an entity if their co-occurrence in the corpus says so:
-with N distinct texts, the entity in f(e), the term in f(t) and both in f(t, e),
+outside the base spans, lower-cased) discloses an entity if their co-occurrence in the corpus says so:
+with N texts, the entity in f(e), the term in f(t) and both in f(t, e),
 
     PMI(t; e) = log2(N * f(t, e) / (f(t) * f(e)))  is at least `generalise` of  IC(e) = log2(N / f(e)),
 
 that is, whoever reads the term knows that share of what naming the entity would tell. Terms are judged on at
 least `support` common texts, and entities of fewer than `entity_bits` bits identify no one. In documents
-with the entity, such terms become spans of kind `term`: replaced by a placeholder of their shape from
+with the entity, such terms become spans of kind `term`: replaced by a placeholder from
 `generalise` on, removed from `remove` on. Base spans always stay and always go.
 
-Counts cover all documents; equal texts count once, so copies don't make evidence. Words are counted by
-explode and partial aggregation, with the few candidate terms only.
+Counts cover all documents. Equal texts with base spans count once, so copies don't make evidence; copies
+of other documents count each, which can only make a term less telling. Words are counted by explode and
+partial aggregation, with the few candidate terms only.
 
 Defined results: a null text is an empty one and stays null when sanitised; a null id is kept; repeated rows
 give repeated results; an empty table gives an empty result; other columns are ignored (find) or kept
@@ -103,7 +104,7 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
         while at < len(ranges) and ranges[at][1] <= m.start():
             at += 1
         if at == len(ranges) or ranges[at][0] >= m.end():
-            out.append((m[0].translate(_LOWER), *m.span()))
+            out.append((m[0].lower(), *m.span()))
     return out
 
 
@@ -124,28 +125,40 @@ def _find_base(batches):
 
 
 def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support: int, entity_bits: float, evidence_bits: float) -> DataFrame | None:
-    """(entity, term, share): share is PMI over IC. held: text, entities, terms of the texts with base spans."""
-    texts = held.select(F.xxhash64("text").alias("h"), "entities", "terms").dropDuplicates(["h"])
+    """(entity, term, share): share is PMI over IC. held: text, entities, terms of the documents with base spans.
+
+    What the documents with spans alone say bounds each PMI from above. Only pairs within that bound are
+    counted over the whole corpus, so common words never leave the documents with spans."""
+    rows = held.select(F.xxhash64("text").alias("h"), "entities", "terms")
+    texts = written(rows.dropDuplicates(["h"]), "held-texts")
+    n = docs_text.count() - held.count() + texts.count()
     pairs = texts.select("h", F.explode("entities").alias("entity"), "terms")
     entities = written(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("fe")).filter(F.col("fe") >= support), "entities")
     if entities.isEmpty():
         return None
+    ic = F.log2(F.lit(float(n)) / F.col("fe"))
+
+    def tells(ft):
+        pmi = F.log2(F.lit(float(n)) * F.col("fte") / (F.col("fe") * ft))
+        return pmi, (ic >= entity_bits) & (pmi >= generalise * ic) & (pmi * F.col("fte") >= evidence_bits)
+
     both = pairs.join(entities, "entity").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte")).filter(F.col("fte") >= support)
-    both = written(both, "term-pairs")
+    within = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("fh"))
+    both = written(both.join(within, "term").filter(tells(F.col("fh"))[1]), "term-pairs")
     terms = written(both.select("term").distinct(), "terms")
     few = terms.count()
     if not few:
         return None
     if few <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    n = docs_text.select(F.xxhash64("text").alias("h")).distinct().count()
-    lower = F.translate(F.btrim("text", F.lit(SPACES)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs_text.select(F.xxhash64("text").alias("h"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
-    counts = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ft"))
-    judged = both.join(counts, "term").withColumn("ic", F.log2(F.lit(float(n)) / F.col("fe")))
-    judged = judged.withColumn("pmi", F.log2(F.lit(float(n)) * F.col("fte") / (F.col("fe") * F.greatest("ft", "fte"))))
-    told = (F.col("ic") >= entity_bits) & (F.col("pmi") >= generalise * F.col("ic")) & (F.col("pmi") * F.col("fte") >= evidence_bits)
-    return written(judged.filter(told).select("entity", "term", (F.col("pmi") / F.col("ic")).alias("share")), "disclosing")
+    lower = F.lower(F.btrim("text", F.lit(SPACES)))
+    words = docs_text.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
+    every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
+    copied = rows.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
+    judged = both.join(every, "term", "left").join(copied, "term")
+    judged = judged.withColumn("ft", F.col("fh") + F.greatest(F.coalesce("n_all", F.lit(0)) - F.col("n_held"), F.lit(0)))
+    pmi, told = tells(F.col("ft"))
+    return written(judged.filter(told).select("entity", "term", (pmi / ic).alias("share")), "disclosing")
 
 
 def _mark(batches):
