@@ -32,7 +32,7 @@ def read_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
 def read_json_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """One JSON array of a few rows, with `ord`."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", T.ArrayType(fields))).alias("ord", "row")).select("ord", "row.*")
 
 
@@ -45,7 +45,7 @@ def read_predictions(spark: SparkSession, path: str, schema: str | T.StructType,
     rows = filled.select("file", "value", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
     bad = rows.filter(F.col(f"r.{CORRUPT}").isNotNull() | F.col(f"r.{id_col}").isNull())
     if not bad.isEmpty():
-        whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
         shown = whole.join(bad.select("file", "value"), ["file", "value"], "left_semi").select("file", (F.col("line") + 1).alias("line"), F.substring("value", 1, 80).alias("text"))
         require_empty(shown, "lines that aren't JSON objects with an id")
     out = rows.select(*[F.col(f"r.{f.name}").alias(f.name) for f in fields])

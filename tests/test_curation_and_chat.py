@@ -63,7 +63,7 @@ def test_replicate_and_band(spark):
 
 def test_source_reason(spark):
     df = spark.createDataFrame([("olympiads", True, "5"), ("blog", False, "5"), ("olympiads", False, "x"), ("olympiads", False, "7")], "source string, synthetic boolean, answer string")
-    apply = curation.source_reason([("synthetic", F.col("synthetic")), ("not_integer", T.curated_integer(F.col("answer")).isNull())], F.col("source") == "olympiads")
+    apply = curation.source_reason([("synthetic", F.col("synthetic")), ("not_integer", T.curated_integer(F.col("answer")).isNull())], F.col("source") != "olympiads")
     assert [r["reason"] for r in apply(df).collect()] == ["synthetic", "not_integer", None]
 
 
