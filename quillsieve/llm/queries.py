@@ -57,5 +57,31 @@ def queries():
     return {f.__name__: f for f in (op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op5_repeats, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash)}
 
 
+def _host_rules_sql(host_rate: float = 0.5) -> str:
+    """Measures, host sums, moments and verdicts as in hostrules, from its own rules."""
+    rules = {name: rule.replace("_qr_n_lines", "n_lines") for name, rule in hostrules.RULES.items()}
+    sums = ", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in rules.items())
+    moments = ", ".join(f"avg({name} / n) AS {name}_m, var_pop({name} / n) AS {name}_v" for name in rules)
+    strength = "CASE WHEN {0}_v > 0 THEN least(greatest({0}_m * (1 - {0}_m) / {0}_v - 1, 1.0), 1e4) ELSE 1.0 END"
+    rates = ", ".join(f"({name} + {name}_m * {strength.format(name)}) / (n + {strength.format(name)})" for name in rules)
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+r AS (SELECT rid, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM g JOIN r USING (rid, g))) GROUP BY 1),
+m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
+s AS (SELECT host, count(*) AS n, {sums} FROM m GROUP BY host), k AS (SELECT {moments} FROM s),
+v AS (SELECT host, greatest({rates}) > {host_rate} AS rejected FROM s, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT rejected AS kept FROM m JOIN v USING (host)"""
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+j AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM p JOIN t USING (h))
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j"""
+
+
 def oracle_sql():
-    return {}
+    """Only where SQL can express the result: the others hash, embed, tokenise, learn or follow a schedule."""
+    return {"op6_host_rules": _host_rules_sql(), "op8_warc": WARC_SQL}
