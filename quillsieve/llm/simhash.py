@@ -46,7 +46,7 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1)
+        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1)
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
