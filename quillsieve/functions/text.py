@@ -132,6 +132,11 @@ def normalized(c: Column) -> Column:
     return F.array_join(tokens(c), " ")
 
 
+def text_key(norm: Column) -> Column:
+    """What normalised texts are joined and grouped by: their SHA-256, so that texts don't travel."""
+    return F.sha2(norm, 256)
+
+
 def shingles(words: Column, width: int = 5) -> Column:
     """Distinct runs of `width` words, joined; a shorter text is one shingle, an empty one has none."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1))), lambda i: F.array_join(F.slice(words, i, width), " "))

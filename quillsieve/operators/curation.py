@@ -39,11 +39,11 @@ def near_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, sequences:
 
 def contamination(rows: DataFrame, official: DataFrame, sequences: bool = True) -> DataFrame:
     """(id, contamination) of rows (id, text) that are empty, equal or near to an official text."""
-    marked = rows.select("id", T.normalized(F.col("text")).alias("norm"), "text")
+    marked = rows.select("id", T.normalized(F.col("text")).alias("norm"), "text").withColumn("key", T.text_key(F.col("norm")))
     empty = marked.filter(F.col("norm") == "").select("id", F.lit("empty").alias("contamination"))
-    known = official.select(T.normalized(F.col("text")).alias("norm")).distinct()
-    exact = marked.filter(F.col("norm") != "").join(known, "norm", "left_semi").select("id", F.lit("exact").alias("contamination"))
-    rest = marked.filter(F.col("norm") != "").join(known, "norm", "left_anti")
+    known = official.select(T.text_key(T.normalized(F.col("text"))).alias("key")).distinct()
+    exact = marked.filter(F.col("norm") != "").join(known, "key", "left_semi").select("id", F.lit("exact").alias("contamination"))
+    rest = marked.filter(F.col("norm") != "").join(known, "key", "left_anti").select("id", "text")
     pairs = shingle_pairs(rest, official)
     # near_sequence < near_token as text; the precedence is token first, so it is ranked explicitly
     near = near_matches(pairs, rest, official, sequences).groupBy(F.col("left_id").alias("id")).agg(F.min(F.when(F.col("kind") == "near_token", 0).otherwise(1)).alias("rank"))
@@ -62,15 +62,16 @@ def rejection(rows: DataFrame, rules: list[tuple[str, Column]], norm: Column, ex
     """Adds norm and rejection. A row is `external_duplicate` if its text is excluded or an earlier row of it was
     accepted; that rule is judged first, but a rejected copy doesn't block a later one. The first accepted place
     of a text is an aggregate, so copies of one text never meet in a window."""
-    judged = rows.withColumn("norm", norm).withColumn("_failed", first_failure(rules))
+    judged = rows.withColumns({"norm": norm, "_failed": first_failure(rules)}).withColumn("_key", T.text_key(F.col("norm")))
+    known = F.lit(False)
     if excluded is not None:
-        judged = judged.join(excluded.select(F.col("norm")).distinct().withColumn("_known", F.lit(True)), "norm", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    else:
-        judged = judged.withColumn("_known", F.lit(False))
-    first = judged.filter(F.col("_failed").isNull() & ~F.col("_known")).groupBy("norm").agg(F.min(ord_col).alias("_first"))
-    joined = judged.join(first, "norm", "left")
+        keys = excluded.select(T.text_key(F.col("norm")).alias("_key")).distinct().withColumn("_known", F.lit(True))
+        judged, known = judged.join(keys, "_key", "left"), F.coalesce("_known", F.lit(False))
+    judged = judged.withColumn("_known", known)
+    first = judged.filter(F.col("_failed").isNull() & ~F.col("_known")).groupBy("_key").agg(F.min(ord_col).alias("_first"))
+    joined = judged.join(first, "_key", "left")
     again = F.col("_known") | (F.col(ord_col) > F.col("_first"))
-    return joined.withColumn("rejection", F.when(F.coalesce(again, F.lit(False)), "external_duplicate").otherwise(F.col("_failed"))).drop("_failed", "_known", "_first")
+    return joined.withColumn("rejection", F.when(F.coalesce(again, F.lit(False)), "external_duplicate").otherwise(F.col("_failed"))).drop("_failed", "_known", "_first", "_key")
 
 
 def first_accepted(rows: DataFrame, norm: Column, ok: Column, ord_col: str = "ord") -> DataFrame:

@@ -461,8 +461,9 @@ def first_accept_dedup(spark, sf_dir):
 SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') IN (SELECT norm FROM o) AS known FROM documents""")
 def exact_decontam(spark, sf_dir):
     rows = corpus(spark, sf_dir)
-    known = official(spark, sf_dir).select("text").unionByName(rows.filter("source = 'src0'").select("text")).select(T.normalized(F.col("text")).alias("norm")).distinct()
-    return rows.withColumn("norm", T.normalized(F.col("text"))).join(known.withColumn("k", F.lit(True)), "norm", "left").select(F.col("id").alias("doc_id"), F.coalesce("k", F.lit(False)).alias("known"))
+    key = T.text_key(T.normalized(F.col("text"))).alias("key")
+    known = official(spark, sf_dir).select("text").unionByName(rows.filter("source = 'src0'").select("text")).select(key).distinct()
+    return rows.select("id", key).join(known.withColumn("k", F.lit(True)), "key", "left").select(F.col("id").alias("doc_id"), F.coalesce("k", F.lit(False)).alias("known"))
 
 
 def _grams(table: str, key: str) -> str:
