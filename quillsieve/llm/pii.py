@@ -145,24 +145,33 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
     both = pairs.join(entities, "entity").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte")).filter(F.col("fte") >= support)
     within = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("fh"))
     both = written(both.join(within, "term").filter(tells(F.col("fh"))[1]), "term-pairs")
-    terms = written(both.select("term").distinct(), "terms")
-    few = terms.count()
-    if not few:
-        return None
-    if few <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    # the counts of a sixteenth of the documents bound the rest from above once more; then all are counted
+    for part in (16, 1):
+        terms = written(both.select("term").distinct(), "terms")
+        few = terms.count()
+        if not few:
+            return None
+        if few <= BROADCAST_TERMS:
+            terms = F.broadcast(terms)
+        other = _other_documents(docs_text.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0), rows.filter(F.pmod("h", F.lit(part)) == 0), terms)
+        judged = both.join(other, "term", "left").withColumn("ft", F.col("fh") + F.coalesce("others", F.lit(0)))
+        pmi, told = tells(F.col("ft"))
+        judged = judged.filter(told).withColumn("share", pmi / ic)
+        both = written(judged.select(*both.columns, *(["share"] if part == 1 else [])), "told")
+    return both.select("entity", "term", "share")
+
+
+def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, others): documents with the term, less those with base spans."""
     lower = F.lower(F.btrim("text", F.lit(SPACES)))
     words = docs_text.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
-    every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
-    copied = rows.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
-    judged = both.join(every, "term", "left").join(copied, "term")
-    judged = judged.withColumn("ft", F.col("fh") + F.greatest(F.coalesce("n_all", F.lit(0)) - F.col("n_held"), F.lit(0)))
-    pmi, told = tells(F.col("ft"))
-    return written(judged.filter(told).select("entity", "term", (pmi / ic).alias("share")), "disclosing")
+    every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    copied = held.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
+    return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("others"))
 
 
 def _mark(batches):
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"]
+    names = ["doc_id", "text_sha256", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"]
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -178,20 +187,21 @@ def _mark(batches):
                     clean += [text[at:a], put]
                 at = max(at, b)
             clean.append(text[at:])
-            out.append((row["doc_id"], row["n_email"], row["n_ip"], row["n_card"], row["n_phone"], hashlib.sha256(base.encode()).hexdigest(), spelled(every), "".join(clean) if every else None))
-        kinds = (*[pa.int64()] * 5, *[pa.string()] * 3)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=names)
+            out.append((row["doc_id"], row["text_sha256"], row["n_email"], row["n_ip"], row["n_card"], row["n_phone"], hashlib.sha256(base.encode()).hexdigest(), spelled(every), "".join(clean) if every else None))
+        kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.string()] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, support: int = 3, entity_bits: float = 4.0, evidence_bits: float = 24.0) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text (null where nothing was found)."""
+    """doc_id, text_sha256, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text (null digest and text
+    where nothing was found)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     may = F.col("text").rlike("[@0-9]")  # no base span without
     empty = hashlib.sha256(b"").hexdigest()
     zero = F.lit(0).cast("long")
 
     def none(df):
-        return df.select("doc_id", zero.alias("n_email"), zero.alias("n_ip"), zero.alias("n_card"), zero.alias("n_phone"), F.lit(empty).alias("base_sha256"), F.lit("").alias("spans"), F.lit(None).cast("string").alias("clean_text"))
+        return df.select("doc_id", F.lit(None).cast("string").alias("text_sha256"), zero.alias("n_email"), zero.alias("n_ip"), zero.alias("n_card"), zero.alias("n_phone"), F.lit(empty).alias("base_sha256"), F.lit("").alias("spans"), F.lit(None).cast("string").alias("clean_text"))
 
     counts = "n_email long, n_ip long, n_card long, n_phone long"
     found = source.filter(may).mapInArrow(_find_base, f"doc_id long, text string, {counts}, base string, entities array<string>, terms array<string>")
@@ -207,15 +217,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
         hits = own.join(shares, ["entity", "term"]).groupBy("h", "term").agg(F.max("share").alias("share"))
         lists = hits.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("removed")))).alias("found"))
         marked = held.withColumn("h", F.xxhash64("text")).join(lists, "h", "left").drop("h")
-    marked = marked.drop("entities", "terms").mapInArrow(_mark, f"doc_id long, {counts}, base_sha256 string, spans string, clean_text string")
+    marked = marked.drop("entities", "terms").withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(_mark, f"doc_id long, text_sha256 string, {counts}, base_sha256 string, spans string, clean_text string")
     return marked.unionByName(none(found.filter("base = ''"))).unionByName(none(source.filter(~may)))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with cleaned texts; ids must be unique."""
-    clean = find(docs, id_col, text_col, **options).filter("clean_text is not null").select(F.col("doc_id").alias("_pii_id"), F.col("clean_text").alias("_pii_text"))
-    joined = docs.join(clean, F.col(id_col) == F.col("_pii_id"), "left")
-    return joined.withColumn(text_col, F.coalesce("_pii_text", text_col)).select(*docs.columns)
+    """docs with cleaned texts. What is cleaned depends on the text alone, so rows meet by its digest, whatever
+    their ids; texts that can't have a base span aren't looked up."""
+    found = find(docs, id_col, text_col, **options).filter("clean_text is not null")
+    clean = found.groupBy(F.col("text_sha256").alias("_pii_key")).agg(F.max("clean_text").alias("_pii_text"))
+    may = F.coalesce(F.col(text_col).rlike("[@0-9]"), F.lit(False))
+    joined = docs.filter(may).join(clean, F.sha2(F.col(text_col), 256) == F.col("_pii_key"), "left")
+    cleaned = joined.withColumn(text_col, F.coalesce("_pii_text", text_col)).select(*docs.columns)
+    return cleaned.unionByName(docs.filter(~may))
 
 
 def digests(found: DataFrame) -> DataFrame:
