@@ -124,6 +124,7 @@ def prepare(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         size.alias("size"),
+        F.xxhash64(text).alias("text_key"),
         F.xxhash64(F.col(id_col).cast("long"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(9)).alias("hash"),
     )
     sized = written(sized, "sized")
@@ -150,7 +151,8 @@ def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, most: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, begin (place in the source's run)."""
+    """One row per document: doc_id, source, size, source_size, target, taken, begin (place in the source's run)
+    and text_key (hash of the text)."""
     spark = docs.sparkSession
     sized, sources, plan = prepare(docs, weights, id_col, text_col, source_col, slots, most)
     rows = placed(sized, sources)
@@ -168,7 +170,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: st
     used = pieces.withColumn("words", words).join(F.broadcast(times), ["source_no", "block"])
     taken = used.groupBy(F.col("source_no").alias("_no"), F.col("begin").alias("_begin")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = rows.join(taken, (F.col("source_no") == F.col("_no")) & (F.col("begin") == F.col("_begin")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "begin")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "begin", "text_key")
 
 
 def digests(mixed: DataFrame) -> DataFrame:
@@ -177,10 +179,11 @@ def digests(mixed: DataFrame) -> DataFrame:
 
 def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as the mix takes them: each whole pass over a document gives a copy of its row, and a pass that a
-    block border ends gives a row of the first words taken, joined by single spaces. Ids must be unique."""
+    block border ends gives a row of the first words taken, joined by single spaces. Rows that are equal in id and
+    text must have been made one before; null ids are told apart by their texts."""
     word = F.split(F.btrim(F.col(text_col), F.lit(SPACES)), r"[\x20\x09-\x0D]+")
-    some = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(some, F.col(id_col) == F.col("_id"))
+    some = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = docs.join(some, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key")))
     passes = F.sequence(F.lit(1).cast("long"), F.expr("(_taken + _size - 1) div _size"))
     rows = rows.withColumn("_pass", F.explode(passes))
     part = F.col("_pass") * F.col("_size") > F.col("_taken")
