@@ -142,3 +142,21 @@ def band_pool(pool: DataFrame, screened: DataFrame, training: DataFrame, low: in
 def length_order(rows: DataFrame, length: Column, partitions: int) -> DataFrame:
     """Rows grouped by length over partitions, longest first."""
     return rows.withColumn("_length", length).repartitionByRange(partitions, F.col("_length").desc()).sortWithinPartitions(F.col("_length").desc()).drop("_length")
+
+
+def last_write(rows: DataFrame, ord_col: str = "ord", id_col: str = "id") -> DataFrame:
+    """The last row of each id."""
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*rows.columns), ord_col).alias("row")).select("row.*")
+
+
+def first_rows(rows: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
+    """The first n rows in input order."""
+    return rows.orderBy(ord_col).limit(n)
+
+
+def support_range(rows: DataFrame, low: int | None = None, high: int | None = None, column: str = "support") -> DataFrame:
+    """Rows whose support lies within the bounds given; a missing support is 0."""
+    n, out = F.coalesce(F.col(column), F.lit(0)), rows
+    if low is not None:
+        out = out.filter(n >= low)
+    return out if high is None else out.filter(n <= high)

@@ -109,3 +109,17 @@ def test_collect_and_shots(spark):
     shots = spark.createDataFrame([(1, "q2", "a2"), (0, "q1", "a1")], "ord int, user string, assistant string")
     got = chat.with_shots(spark.createDataFrame([("q",)], "question string"), shots, F.lit("s")).first()["messages"]
     assert [m["content"] for m in got] == ["s", "q1", "a1", "q2", "a2", "q"]
+
+
+def test_small_selections(spark):
+    rows = spark.createDataFrame([("a", 0, 3), ("a", 2, None), ("b", 1, 5)], "id string, ord int, support int")
+    assert sorted(map(tuple, curation.last_write(rows).collect())) == [("a", 2, None), ("b", 1, 5)]
+    assert [r["ord"] for r in curation.first_rows(rows, 2).collect()] == [0, 1]
+    assert [curation.support_range(rows, *b).count() for b in ((None, None), (1, None), (None, 3), (1, 4))] == [3, 2, 2, 1]
+
+
+def test_rendered_prompt_styles(spark):
+    from quillsieve.operators.rollouts import cut_off
+
+    df = spark.createDataFrame([("length",), ("stop",), (None,)], "r string")
+    assert [r["c"] for r in df.select(cut_off(F.col("r")).alias("c")).collect()] == [True, False, False]

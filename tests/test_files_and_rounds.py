@@ -160,3 +160,22 @@ def test_zero_flag(spark):
     from dataclasses import replace
 
     assert replace(R.RolloutConfig(), zero_is_missing=True).zero_is_missing
+
+
+def test_cli(spark, tmp_path, capsys):
+    from argparse import Namespace
+
+    from quillsieve import __main__ as cli
+
+    rows = {"a": ("5", ["5", "5", "6"]), "b": ("7", ["1", "7", "2"]), "c": ("9", [None, "9", "9"])}
+    paths = []
+    for k in range(3):
+        paths.append(str(tmp_path / f"v{k}.jsonl"))
+        (tmp_path / f"v{k}.jsonl").write_text("".join(json.dumps({"id": i, "answer": g, "prediction": v[k], "response_tokens": 9, "retried_truncated": False}) + "\n" for i, (g, v) in rows.items()))
+        (tmp_path / f"v{k}.csv").write_text("id,answer\n" + "".join(f"{i},{v[k] or 0}\n" for i, (g, v) in rows.items()))
+    out = str(tmp_path / "out")
+    cli.evaluate(Namespace(master="local[2]", inputs=paths, output=out, fallback_voter=2, abstain_truncated=False, stuck_threshold=2046))
+    got = {r["id"]: (r["prediction"], r["decision"], r["correct"]) for r in spark.read.json(out).collect()}
+    assert got == {"a": ("5", "majority", True), "b": ("7", "fallback", True), "c": ("9", "majority", True)}
+    cli.submission(Namespace(master="local[2]", inputs=[p.replace("jsonl", "csv") for p in paths], output=str(tmp_path / "sub"), fallback_voter=1, expected_rows=3))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "sub")).collect()] == ["id,answer", "a,5", "b,1", "c,9"]
