@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,7 +247,7 @@ def _joined(key, texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches([b.cast(schema) for b in _join_ids(key, texts, words)], schema) if texts.num_rows else schema.empty_table()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 24_000_000, buckets: int = 256) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16_000_000, buckets: int = 256) -> DataFrame:
     """(id_col, ids): the ids of every whole text, one row per input row."""
     p = shuffle_partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -258,16 +259,28 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return joined.withColumnRenamed("key", id_col)
 
 
+@lru_cache(maxsize=4)
+def _piece_array(path: str) -> pa.Array:
+    return pa.array(piece_table(path), pa.binary())
+
+
+def _texts(joined: pa.Array) -> pa.Array:
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that cut a character
+        return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+
 def _decode(path: str):
     def run(batches):
-        pieces = piece_table(path)
+        pieces = _piece_array(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 ids = part.column(1)
-                flat, ends = [pieces[i] for i in ids.flatten().to_pylist()], (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-                texts = [b"".join(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], names=["key", "ids", "text"])
+                offsets = pa.array(ids.offsets.to_numpy() - ids.offsets[0].as_py(), pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(ids.flatten())), b"")
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _texts(joined)], names=["key", "ids", "text"])
 
     return run
 
