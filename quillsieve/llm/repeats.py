@@ -260,11 +260,15 @@ def remove(docs: DataFrame, width: int = 400, gram: int = 128, most: int = 4096,
     rows = written(rows, "anchors")
     place = F.expr("cast(xxhash64(t1, t2, first) & 2147483647 as int)")
     again = rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("anchor")
-    held = written(rows.join(again, "anchor", "left_semi").distinct(), "held-anchors")
-    hot = written(held.groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    # no aggregate over the anchor follows the join in its stage, so a frequent anchor's rows stay split over tasks
+    held = written(rows.join(again, "anchor", "left_semi"), "held-anchors")
+    # copies count in the first number only; the few anchors above it are counted without them
+    often = held.groupBy("anchor").count().filter(F.col("count") > most).select("anchor")
+    places = held.join(often, "anchor", "left_semi").groupBy("t1", "t2", "first", "anchor").agg(F.first("last").alias("last"))
+    hot = written(places.groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     any_hot = not hot.isEmpty()
     flagged = held.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else held.withColumn("hot", F.lit(False))
-    lists = flagged.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "hot", "first", "last")).alias("pieces"))  # bounded by the text
+    lists = flagged.groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "hot", "first", "last")).alias("pieces"))  # bounded by the text; copies fall together
     lists = written(lists.join(texts, ["t1", "t2"]).select("t1", "t2", "rep", "pieces"), "piece-lists")
 
     near = BitMap(lists, "t1", bits)
