@@ -145,29 +145,30 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
     both = pairs.join(entities, "entity").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte")).filter(F.col("fte") >= support)
     within = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("fh"))
     both = written(both.join(within, "term").filter(tells(F.col("fh"))[1]), "term-pairs")
-    # the counts of a sixteenth of the documents bound the rest from above once more; then all are counted
-    for part in (16, 1):
+    # documents are counted in four growing parts; after each, terms that are too common already are out
+    both = both.withColumn("others", F.lit(0).cast("long"))
+    for low, high in ((0, 1), (1, 4), (4, 16), (16, 64)):
         terms = written(both.select("term").distinct(), "terms")
         few = terms.count()
         if not few:
             return None
         if few <= BROADCAST_TERMS:
             terms = F.broadcast(terms)
-        other = _other_documents(docs_text.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0), rows.filter(F.pmod("h", F.lit(part)) == 0), terms)
-        judged = both.join(other, "term", "left").withColumn("ft", F.col("fh") + F.coalesce("others", F.lit(0)))
-        pmi, told = tells(F.col("ft"))
-        judged = judged.filter(told).withColumn("share", pmi / ic)
-        both = written(judged.select(*both.columns, *(["share"] if part == 1 else [])), "told")
+        part = lambda h: F.pmod(h, F.lit(64)).between(low, high - 1)  # noqa: B023, E731
+        more = _other_documents(docs_text.filter(part(F.xxhash64("text"))), rows.filter(part(F.col("h"))), terms)
+        counted = both.join(more, "term", "left").withColumn("others", F.col("others") + F.coalesce("more", F.lit(0)))
+        pmi, told = tells(F.col("fh") + F.col("others"))
+        both = written(counted.filter(told).withColumn("share", pmi / ic).select("entity", "fe", "term", "fte", "fh", "others", "share"), "told").drop(*(["share"] if high < 64 else []))
     return both.select("entity", "term", "share")
 
 
 def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, others): documents with the term, less those with base spans."""
+    """(term, more): documents with the term, less those with base spans."""
     lower = F.lower(F.btrim("text", F.lit(SPACES)))
     words = docs_text.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
     every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     copied = held.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
-    return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("others"))
+    return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("more"))
 
 
 def _mark(batches):
