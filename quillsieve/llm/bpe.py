@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsieve.llm.common import shuffle_partitions
+from quillsieve.llm.common import shuffle_partitions, small_batches
 
 _AWKWARD = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -103,28 +103,27 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk_chars: int, posi
     """Yields (doc ids, position arrays if asked for, words); positions into words."""
     special = special_pattern(path)
     found, keys, texts_as, chars = _Words(), [], [], 0
-    for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            for key, text in zip(batch.column(0).slice(k, 200).to_pylist(), batch.column(1).slice(k, 200).to_pylist()):
-                text = text or ""
-                if not (special and special.search(text)) and _plain(text):
-                    first, *rest = text.replace("\n", " \n").split(" ")
-                    first = [first] if first else []
-                else:
-                    parts = special.split(text) if special else [text]
-                    first, rest = [x for n, part in enumerate(parts) if part for x in ([part] if n % 2 else _CUT.split(part)) if x], []
-                found.add(found.literal, first)
-                found.add(found.after_space, rest)
-                keys.append(key)
-                if positions:
-                    at = np.empty(len(first) + len(rest), np.int32)
-                    at[: len(first)] = [found.literal[x] for x in first]
-                    at[len(first) :] = np.fromiter(map(found.after_space.__getitem__, rest), np.int32, len(rest))
-                    texts_as.append(_pack(at))
-                chars += len(text)
-                if chars >= chunk_chars:
-                    yield keys, texts_as, found.words
-                    found, keys, texts_as, chars = _Words(), [], [], 0
+    for batch in small_batches(batches, 200):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
+            if not (special and special.search(text)) and _plain(text):
+                first, *rest = text.replace("\n", " \n").split(" ")
+                first = [first] if first else []
+            else:
+                parts = special.split(text) if special else [text]
+                first, rest = [x for n, part in enumerate(parts) if part for x in ([part] if n % 2 else _CUT.split(part)) if x], []
+            found.add(found.literal, first)
+            found.add(found.after_space, rest)
+            keys.append(key)
+            if positions:
+                at = np.empty(len(first) + len(rest), np.int32)
+                at[: len(first)] = [found.literal[x] for x in first]
+                at[len(first) :] = np.fromiter(map(found.after_space.__getitem__, rest), np.int32, len(rest))
+                texts_as.append(_pack(at))
+            chars += len(text)
+            if chars >= chunk_chars:
+                yield keys, texts_as, found.words
+                found, keys, texts_as, chars = _Words(), [], [], 0
     if keys:
         yield keys, texts_as, found.words
 
@@ -247,7 +246,7 @@ def _joined(key, texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches([b.cast(schema) for b in _join_ids(key, texts, words)], schema) if texts.num_rows else schema.empty_table()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16_000_000, buckets: int = 256) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 12_000_000, buckets: int = 256) -> DataFrame:
     """(id_col, ids): the ids of every whole text, one row per input row."""
     p = shuffle_partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))

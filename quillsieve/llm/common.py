@@ -50,3 +50,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def count_words(text):
     """Column: number of words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def small_batches(batches, rows: int = 500):
+    """Record batches of few rows, so that texts become Python objects a few at a time; unused Arrow memory
+    goes back in between, since idle workers keep their processes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        pa.default_memory_pool().release_unused()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import SPACES, written
+from quillsieve.llm.common import SPACES, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidate terms up to which they are broadcast; beyond it they are joined by shuffle.
@@ -109,7 +109,7 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def _find_base(batches):
-    for batch in batches:
+    for batch in small_batches(batches):
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spans = base_spans(text)
@@ -173,7 +173,7 @@ def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) ->
 
 def _mark(batches):
     names = ["doc_id", "text_sha256", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"]
-    for batch in batches:
+    for batch in small_batches(batches):
         out = []
         for row in batch.to_pylist():
             text, base = row["text"], row["base"]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import shuffle_partitions, written
+from quillsieve.llm.common import shuffle_partitions, small_batches, written
 
 FULL = (1 << 64) - 1
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     """(id_col, fp long): fp has the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small_batches(batches):
             fps = [signed(simhash(t, width, seed)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
