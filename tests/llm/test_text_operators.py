@@ -4,12 +4,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillsieve.llm import bpe, colbwt, hostrules, pii, repeats, simhash
+from quillsieve.llm import bpe, colbwt, hostrules, pii, repeats, shingles, simhash
 from quillsieve.llm.queries import TOKENIZER
 
 from .conftest import same
@@ -163,6 +164,67 @@ def test_simhash_links(spark, most):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def plain_groups(texts):
+    """Components of all pairs whose sets of five-word shingles have similarity 0.8 or more, by brute force."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and top[a] != top[b]:
+                top = [min(top[a], top[b]) if t in (top[a], top[b]) else t for t in top]
+    return top
+
+
+def near_texts():
+    """Families of edited copies (chains, a star around one text that is not the first), shared passages, boilerplate."""
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+
+    def edit(text, n):
+        words = text.split()
+        for k in rng.choice(len(words), n, replace=False):
+            words[k] = f"x{rng.integers(0, 10**9)}"
+        return " ".join(words)
+
+    texts, boiler = [], say(60)
+    for n in (22, 40, 100, 300):
+        base = say(n)
+        texts += [edit(base, k) for k in (1, 1, 2, 4)] + [base, base, base.upper(), base + " " + say(n // 10)]
+    star = say(150)
+    texts += [edit(star, 3) for _ in range(40)] + [star]
+    texts += [boiler + " " + say(int(k)) for k in rng.integers(3, 90, 40)]
+    chain = [say(120)]
+    for _ in range(8):
+        chain.append(edit(chain[-1], 2))
+    return [*texts, *chain, None, "", "one two", "One  two", "one two three"]
+
+
+@pytest.mark.parametrize("small", [32, 1])
+def test_shingle_groups(spark, small):
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs, small=small).collect()}
+    top, least = plain_groups(texts), {}
+    for k, t in enumerate(top):
+        least.setdefault(t, k)
+    assert found == {k: least[t] for k, t in enumerate(top)}
+    assert shingles.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as C
+
+    texts = near_texts()
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    top, first = plain_groups(texts), {}
+    for k, t in enumerate(top):
+        first.setdefault(t, k)
+    assert sorted(r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()) == sorted(first.values())
+
+
 def plain_removed(texts, width):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + width] for d in data for i in range(len(d) - width + 1))
