@@ -11,9 +11,8 @@ least `support` common texts, and entities of fewer than `entity_bits` bits iden
 with the entity, such terms become spans of kind `term`: replaced by a placeholder from
 `generalise` on, removed from `remove` on. Base spans always stay and always go.
 
-Counts cover all documents. Equal texts with base spans count once, so copies don't make evidence; copies
-of other documents count each, which can only make a term less telling. Words are counted by explode and
-partial aggregation, with the few candidate terms only.
+Counts cover all documents. Equal texts count once, with base spans or without, so copies neither make evidence
+nor hide it. Words are counted by explode and partial aggregation, with the few candidate terms only.
 
 Defined results: a null text is an empty one and stays null when sanitised; a null id is kept; repeated rows
 give repeated results; an empty table gives an empty result; other columns are ignored (find) or kept
@@ -131,7 +130,7 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
     counted over the whole corpus, so common words never leave the documents with spans."""
     rows = held.select(F.xxhash64("text").alias("h"), "entities", "terms")
     texts = written(rows.dropDuplicates(["h"]), "held-texts")
-    n = docs_text.count() - held.count() + texts.count()
+    n = docs_text.select(F.xxhash64("text")).distinct().count()
     pairs = texts.select("h", F.explode("entities").alias("entity"), "terms")
     entities = written(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("fe")).filter(F.col("fe") >= support), "entities")
     if entities.isEmpty():
@@ -155,7 +154,7 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
         if few <= BROADCAST_TERMS:
             terms = F.broadcast(terms)
         part = lambda h: F.pmod(h, F.lit(64)).between(low, high - 1)  # noqa: B023, E731
-        more = _other_documents(docs_text.filter(part(F.xxhash64("text"))), rows.filter(part(F.col("h"))), terms)
+        more = _other_documents(docs_text.filter(part(F.xxhash64("text"))), texts.filter(part(F.col("h"))), terms)
         counted = both.join(more, "term", "left").withColumn("others", F.col("others") + F.coalesce("more", F.lit(0)))
         pmi, told = tells(F.col("fh") + F.col("others"))
         both = written(counted.filter(told).withColumn("share", pmi / ic).select("entity", "fe", "term", "fte", "fh", "others", "share"), "told").drop(*(["share"] if high < 64 else []))
@@ -163,9 +162,9 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
 
 
 def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, more): documents with the term, less those with base spans."""
+    """(term, more): distinct texts with the term, less those with base spans."""
     lower = F.lower(F.btrim("text", F.lit(SPACES)))
-    words = docs_text.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
+    words = docs_text.select(F.xxhash64("text").alias("h"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
     every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     copied = held.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
     return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("more"))

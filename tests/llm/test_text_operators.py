@@ -67,6 +67,16 @@ def test_pii_terms(spark):
     assert clean.columns == docs.columns and clean.count() == len(rows)
 
 
+def test_pii_copies_hide_nothing(spark):
+    """Copies of a text without base spans that holds the disclosing term count once, as copies with spans do."""
+    rows = [(k, f"nothing else happened in the long week number{k}") for k in range(400)]
+    rows += [(1000 + k, f"write to ann@corp.example about Bluefin case{k}") for k in range(6)]
+    rows += [(2000 + k, "the Bluefin notice that all of us have read") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: r for r in pii.find(docs, support=3, evidence_bits=10.0).collect()}
+    assert len(out) == len(rows) and all("Bluefin" not in out[1000 + k]["clean_text"] for k in range(6))
+
+
 def test_bpe_odd(odd, odd_rows, none):
     tokenizer = bpe.load_tokenizer(TOKENIZER)
     expected = []
