@@ -7,9 +7,9 @@ with N texts, the entity in f(e), the term in f(t) and both in f(t, e),
     PMI(t; e) = log2(N * f(t, e) / (f(t) * f(e)))  is at least `generalise` of  IC(e) = log2(N / f(e)),
 
 that is, whoever reads the term knows that share of what naming the entity would tell. Terms are judged on at
-least `support` common texts, and entities of fewer than `entity_bits` bits identify no one. In documents
-with the entity, such terms become spans of kind `term`: replaced by a placeholder from
-`generalise` on, removed from `remove` on. Base spans always stay and always go.
+least `support` common texts, and entities of fewer than `entity_bits` bits identify no one. Such terms become
+spans of kind `term` in all documents, whether the entity is named there or not: replaced by a placeholder from
+`generalise` on, removed from `remove` on, by the entity that they tell most of. Base spans always stay and always go.
 
 Counts cover all documents. Equal texts count once, with base spans or without, so copies neither make evidence
 nor hide it. Words are counted by explode and partial aggregation, with the few candidate terms only.
@@ -113,7 +113,7 @@ def _find_base(batches):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spans = base_spans(text)
             if not spans:
-                out.append((key, None, *[0] * 4, "", None, None))
+                out.append((key, text, *[0] * 4, "", None, None))
                 continue
             counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
             names = sorted({entity(k, text[a:b]) for k, a, b in spans})
@@ -170,26 +170,33 @@ def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) ->
     return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("more"))
 
 
-def _mark(batches):
+def _mark(terms: dict[str, bool]):
+    """terms: disclosing ones and whether they are removed; rows may bring their own as well."""
     names = ["doc_id", "text_sha256", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"]
-    for batch in small_batches(batches):
-        out = []
-        for row in batch.to_pylist():
-            text, base = row["text"], row["base"]
-            spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-            known = {t["term"]: t["removed"] for t in row["found"] or []}
-            more = [(w, a, b) for w, a, b in free_words(text, spans) if w in known] if known else []
-            every = spans + [("term", a, b) for _, a, b in more]
-            cuts = sorted([(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(a, b, "" if known[w] else "[TERM]") for w, a, b in more])
-            clean, at = [], 0
-            for a, b, put in cuts:
-                if a >= at:
-                    clean += [text[at:a], put]
-                at = max(at, b)
-            clean.append(text[at:])
-            out.append((row["doc_id"], row["text_sha256"], row["n_email"], row["n_ip"], row["n_card"], row["n_phone"], hashlib.sha256(base.encode()).hexdigest(), spelled(every), "".join(clean) if every else None))
-        kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.string()] * 3)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
+
+    def run(batches):
+        for batch in small_batches(batches):
+            out = []
+            for row in batch.to_pylist():
+                text, base = row["text"], row["base"]
+                spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
+                known = terms or {t["term"]: t["removed"] for t in row["found"] or []}
+                some = known and any(w.lower() in known for w in set(_WORD.findall(text)))
+                more = [(w, a, b) for w, a, b in free_words(text, spans) if w in known] if some else []
+                every = spans + [("term", a, b) for _, a, b in more]
+                cuts = sorted([(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(a, b, "" if known[w] else "[TERM]") for w, a, b in more])
+                clean, at = [], 0
+                for a, b, put in cuts:
+                    if a >= at:
+                        clean += [text[at:a], put]
+                    at = max(at, b)
+                clean.append(text[at:])
+                digest = hashlib.sha256(text.encode()).hexdigest() if every else None
+                out.append((row["doc_id"], digest, row["n_email"], row["n_ip"], row["n_card"], row["n_phone"], hashlib.sha256(base.encode()).hexdigest(), spelled(every), "".join(clean) if every else None))
+            kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.string()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
+
+    return run
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, support: int = 3, entity_bits: float = 4.0, evidence_bits: float = 24.0) -> DataFrame:
@@ -197,36 +204,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     where nothing was found)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     may = F.col("text").rlike("[@0-9]")  # no base span without
-    empty = hashlib.sha256(b"").hexdigest()
     zero = F.lit(0).cast("long")
-
-    def none(df):
-        return df.select("doc_id", F.lit(None).cast("string").alias("text_sha256"), zero.alias("n_email"), zero.alias("n_ip"), zero.alias("n_card"), zero.alias("n_phone"), F.lit(empty).alias("base_sha256"), F.lit("").alias("spans"), F.lit(None).cast("string").alias("clean_text"))
-
     counts = "n_email long, n_ip long, n_card long, n_phone long"
     found = source.filter(may).mapInArrow(_find_base, f"doc_id long, text string, {counts}, base string, entities array<string>, terms array<string>")
     found = written(found, "base-spans")
     held = found.filter("base <> ''")
     shares = disclosing(held, source.select("text"), generalise, support, entity_bits, evidence_bits)
-    if shares is None:
-        marked = held.withColumn("found", F.lit(None).cast("array<struct<term:string,removed:boolean>>"))
-    else:
-        # a document's own entities and terms meet the disclosing pairs; the list of a document is bounded by its text
-        ids = held.select(F.xxhash64("text").alias("h"), "entities", "terms").dropDuplicates(["h"])
-        own = ids.select("h", F.explode("entities").alias("entity"), "terms").select("h", "entity", F.explode("terms").alias("term"))
-        hits = own.join(shares, ["entity", "term"]).groupBy("h", "term").agg(F.max("share").alias("share"))
-        lists = hits.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("removed")))).alias("found"))
-        marked = held.withColumn("h", F.xxhash64("text")).join(lists, "h", "left").drop("h")
-    marked = marked.drop("entities", "terms").withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(_mark, f"doc_id long, text_sha256 string, {counts}, base_sha256 string, spans string, clean_text string")
-    return marked.unionByName(none(found.filter("base = ''"))).unionByName(none(source.filter(~may)))
+    columns = ["doc_id", "text", "n_email", "n_ip", "n_card", "n_phone", "base"]
+    every = found.select(*columns).unionByName(source.filter(~may).withColumns({"n_email": zero, "n_ip": zero, "n_card": zero, "n_phone": zero, "base": F.lit("")}))
+    every, known = every.withColumn("found", F.lit(None).cast("array<struct<term:string,removed:boolean>>")), {}
+    if shares is not None:
+        terms = written(shares.groupBy("term").agg((F.max("share") >= remove).alias("removed")), "disclosing")
+        if terms.count() <= BROADCAST_TERMS:
+            known = {r["term"]: r["removed"] for r in terms.collect()}
+        else:
+            words = F.explode(F.array_distinct(F.split(F.lower(F.btrim("text", F.lit(SPACES))), r"[\x20\x09-\x0D]+")))
+            hits = source.select(F.xxhash64("text").alias("h"), words.alias("term")).join(terms, "term").distinct()
+            lists = hits.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("found"))
+            every = every.drop("found").withColumn("h", F.xxhash64("text")).join(lists, "h", "left").drop("h")
+    return every.mapInArrow(_mark(known), f"doc_id long, text_sha256 string, {counts}, base_sha256 string, spans string, clean_text string")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with cleaned texts. What is cleaned depends on the text alone, so rows meet by its digest, whatever
-    their ids; texts that can't have a base span aren't looked up."""
+    their ids."""
     found = find(docs, id_col, text_col, **options).filter("clean_text is not null")
     clean = found.groupBy(F.col("text_sha256").alias("_pii_key")).agg(F.max("clean_text").alias("_pii_text"))
-    may = F.coalesce(F.col(text_col).rlike("[@0-9]"), F.lit(False))
+    may = F.coalesce(F.col(text_col) != "", F.lit(False))
     joined = docs.filter(may).join(clean, F.sha2(F.col(text_col), 256) == F.col("_pii_key"), "left")
     cleaned = joined.withColumn(text_col, F.coalesce("_pii_text", text_col)).select(*docs.columns)
     return cleaned.unionByName(docs.filter(~may))

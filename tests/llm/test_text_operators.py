@@ -77,6 +77,21 @@ def test_pii_copies_hide_nothing(spark):
     assert len(out) == len(rows) and all("Bluefin" not in out[1000 + k]["clean_text"] for k in range(6))
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_pii_terms_everywhere(spark, monkeypatch, broadcast):
+    """A disclosing term goes from documents that don't name the entity too, by broadcast and by shuffle."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    rows = [(k, f"nothing else happened in the long week number{k}") for k in range(400)]
+    rows += [(1000 + k, f"write to ann@corp.example about Bluefin case{k}") for k in range(6)]
+    rows += [(2000, "we spoke of BLUEFIN again"), (2001, "Bluefin or bob@corp.example"), (2002, "bluefins are fish"), (2003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: r for r in pii.find(docs, support=3, evidence_bits=10.0).collect()}
+    assert out[2000]["spans"] == "term:12:19" and "term:0:7" in out[2001]["spans"] and out[2002]["spans"] == out[2003]["spans"] == ""
+    assert all(out[k]["spans"] == "" and out[k]["clean_text"] is None for k in range(400))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, support=3, evidence_bits=10.0).collect()}
+    assert "BLUEFIN" not in clean[2000] and "Bluefin" not in clean[2001] and clean[2002] == "bluefins are fish" and clean[2003] is None and len(clean) == len(rows)
+
+
 def test_bpe_odd(odd, odd_rows, none):
     tokenizer = bpe.load_tokenizer(TOKENIZER)
     expected = []
