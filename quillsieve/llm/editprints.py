@@ -9,8 +9,8 @@ has ended. likeness() weighs each sample by the steps it stands for.
 
 Texts walk in lock-step through numpy, some million characters at a time; memory is bounded by the batch.
 
-near_pairs() groups fingerprints by bands of sampled digits, joins each to the smallest of its band and
-verifies the likeness; copies count once.
+near_pairs() groups fingerprints by bands of sampled digits of the last three octaves and links all members of a
+band by verified likeness; copies count once.
 
 Defined results: a null text is an empty one (fingerprint of zeros, likeness 1 to another empty text); a
 null id sorts last; equal ids go by text; repeated rows follow each other; other columns are ignored; an
@@ -34,6 +34,8 @@ SEED = 20240229
 PERIOD = 4096
 PER_OCTAVE = 32
 FEW = 6
+#: Members of a band up to which one task compares them.
+MOST = 1024
 
 
 @lru_cache(maxsize=1)
@@ -238,26 +240,65 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return dealt.select("code", "doc_id", "text").mapInArrow(_prints(batch_chars), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _band_links(least: float):
+    """Links (a, b, likeness) between members of a band; rows come sorted by band, then by id."""
+    back = bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
+
+    def links(members):
+        top, out = list(range(len(members))), []
+
+        def root(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for k, (b, y) in enumerate(members):
+            # heads of groups first, then the members of groups not reached yet
+            for j in sorted(range(k), key=lambda j: top[j] != j):
+                if root(j) != root(k) and (alike := likeness(members[j][1], y)) >= least:
+                    out.append((members[j][0], b, alike))
+                    x, z = root(j), root(k)
+                    top[max(x, z)] = min(x, z)
+        return out
+
+    def run(batches):
+        band, members = None, []
+
+        def flush():
+            out = links(members)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+
+        for batch in batches:
+            for key, name, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if key != band:
+                    if len(members) > 1:
+                        yield flush()
+                    band, members = key, []
+                members.append((name, text.encode().translate(back)))
+        if len(members) > 1:
+            yield flush()
+
+    return run
+
+
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
-    """(a, b, likeness): pairs of smallest ids of equal fingerprints, each fingerprint with the smallest
-    one that shares a band of bit-sampled digits. Likeness is verified on the whole fingerprints."""
+    """(a, b, likeness): pairs of smallest ids of equal fingerprints that share a band of bit-sampled digits. They
+    connect all members of a band whose likeness, verified on the whole fingerprints, is at least `least`. A band
+    of more than MOST members is cut into parts, and each two parts meet in a task of their own."""
     nodes = written(prints.groupBy(F.col(print_col).alias("print")).agg(F.min(id_col).alias("id")), "prints")
     rng, kept = np.random.default_rng(SEED), []
     keys = []
-    for back in (2, 3):  # two octaves well inside the text, so that lengths about a power of two share one
+    for back in (2, 3, 1):  # the last octaves, so that lengths about a power of two share two of them
         octave = F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - back).cast("int")
         for band in range(bands // 2):
-            places = sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist()) if back == 2 else kept[band]
-            kept.append(places)
-            picked = [F.substring("print", octave * PER_OCTAVE + F.lit(i + 1), F.lit(1)) for i in places]
+            if back == 2:
+                kept.append(sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist()))
+            picked = [F.substring("print", octave * PER_OCTAVE + F.lit(i + 1), F.lit(1)) for i in kept[band]]
             keys.append(F.concat_ws("", octave.cast("string"), F.lit(f":{band}:"), *picked))
-    banded = nodes.select("id", "print", F.explode(F.array(*keys)).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("id", "print")).alias("head"))
-
-    @F.pandas_udf("double")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        back = bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
-        return pd.Series([likeness(x.encode().translate(back), y.encode().translate(back)) for x, y in zip(a, b)])
-
-    pairs = banded.join(heads, "band").filter("head.id < id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.print").alias("x"), F.col("print").alias("y")).distinct()
-    return pairs.withColumn("likeness", verified("x", "y")).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+    banded = nodes.select("id", "print", F.explode(F.array_distinct(F.array(*keys))).alias("band"))
+    parts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / MOST).cast("int").alias("parts"))
+    placed = banded.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task = F.concat_ws("/", "band", F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
+    dealt = met.select(task.alias("band"), "id", "print").repartition(shuffle_partitions(prints.sparkSession), "band").sortWithinPartitions("band", F.col("id").asc_nulls_last(), "print")
+    return dealt.mapInArrow(_band_links(least), "a long, b long, likeness double").distinct()

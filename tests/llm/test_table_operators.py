@@ -104,6 +104,36 @@ def test_near_pairs(spark):
     assert {(k, 100 + k) for k in range(20) if found[k] != found[100 + k]} == pairs  # equal fingerprints are one node
 
 
+@pytest.mark.parametrize("most", [1024, 4])
+def test_near_pairs_of_mixed_bands(spark, monkeypatch, most):
+    """Texts that share their first part and differ in the rest head the bands of families they aren't part of."""
+    monkeypatch.setattr(editprints, "MOST", most, raising=False)
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    opening, rows = say(1100), []
+    for family in range(4):
+        rest = say(900)
+        rows += [(family, opening + say(900)), *[(100 + 10 * family + k, opening + rest[: 850 - 9 * k] + "!" + rest[850 - 9 * k :]) for k in range(3)]]
+    prints = [(k, editprints.fingerprint_text(editprints.walk([t])[0])) for k, t in rows]
+    back = bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
+    raw = {k: p.encode().translate(back) for k, p in prints}
+
+    def groups(pairs):
+        top = {k: k for k in raw}
+        for a, b in pairs:
+            x, y = top[a], top[b]
+            top = {k: min(x, y) if t in (x, y) else t for k, t in top.items()}
+        return top
+
+    found = editprints.near_pairs(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()
+    assert all(r["likeness"] == editprints.likeness(raw[r["a"]], raw[r["b"]]) >= 0.8 for r in found)
+    first = {p: min(k for k, q in prints if q == p) for _, p in prints}
+    copies = [(first[p], k) for k, p in prints if first[p] != k]  # equal fingerprints are one node
+    expected = groups([(a, b) for a in raw for b in raw if a < b and editprints.likeness(raw[a], raw[b]) >= 0.8])
+    assert groups([(r["a"], r["b"]) for r in found] + copies) == expected
+    assert len(set(expected.values())) > 4 and copies != [(a, b) for a, b in expected.items() if a != b]
+
+
 PAGES = "page_id long, url string, html string, value string, digest string"
 
 
