@@ -250,6 +250,16 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()) == sorted(first.values())
 
 
+def test_pipeline_keeps_equal_ids_of_different_groups(spark):
+    import corpus_pipeline as C
+
+    say = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, say("a")), (1, say("b")), (1, say("b")), (2, say("b")), (2, say("c")), (None, say("c")), (None, say("d")), (None, say("d"))]
+    docs = spark.createDataFrame([(k, t, "en", f"s{i}", len(t)) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in C.near_dedup(spark, docs.repartition(3), "").collect()]
+    assert sorted(kept, key=lambda x: x[1]) == [(1, say("a")), (1, say("b")), (2, say("c")), (None, say("d"))]
+
+
 def plain_removed(texts, width):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + width] for d in data for i in range(len(d) - width + 1))
