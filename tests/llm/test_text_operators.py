@@ -277,11 +277,40 @@ def plain_removed(texts, width):
 @pytest.mark.parametrize("most", [4096, 1])
 def test_repeats_odd(odd, odd_rows, none, most):
     expected = [(r[0], *x) for r, x in zip(odd_rows, plain_removed([r[1] for r in odd_rows], 400))]
-    same(repeats.digests(repeats.remove(odd, most=most)).collect(), expected)
+    found = repeats.digests(repeats.remove(odd, most=most))
+    same(found.drop("text").collect(), expected)
     if most == 1:
         assert repeats.remove(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 8, 2])
+def test_repeats_hot_passage(spark, most):
+    """A passage that many texts share, whole, cut or edited, between other words; some texts have it twice."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+    passage = say(260)
+    texts = []
+    for k in range(40):
+        cut = passage[: 500 + 20 * k] if k % 4 == 0 else passage[17 * k :] if k % 4 == 1 else passage.replace("w1", f"v{k}", 1 + k % 3) if k % 4 == 2 else passage
+        texts.append(say(20 + k) + " " + cut + " " + say(10) + (" " + passage if k % 9 == 0 else ""))
+    texts += [texts[3], passage, "é" * 500 + passage, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = [(k, *x) for k, x in enumerate(plain_removed(texts, 400))]
+    found = repeats.digests(repeats.remove(docs, most=most)).collect()
+    same([r[:5] for r in found], expected)
+    assert all(passage[:450] not in r["text"] for r in found)
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """Parts overlap so that each window comes once, with the anchor that it has by itself."""
+    data = np.frombuffer(np.random.default_rng(2).integers(97, 100, 3000, np.uint8).tobytes() * 2, np.uint8)
+    monkeypatch.setattr(repeats, "PART", 700)
+    rows = repeats.anchors(data, 40, 12)
+    windows = [(k, h, p - k) for h, first, last, p in rows for k in range(first, last + 1)]
+    assert sorted(k for k, _, _ in windows) == list(range(len(data) - 39))
+    assert all([(h, p)] == [(x[0], x[3]) for x in repeats.anchors(data[k : k + 40], 40, 12)] for k, h, p in windows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(max_size=14).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=8), st.integers(1, 3), st.integers(1, 3))
 def test_column_wise_transform(strings, block, times):
