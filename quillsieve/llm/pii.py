@@ -1,38 +1,49 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans are the matches of four fixed patterns. Their values are the protected entities. A term (a word
-outside the base spans, lower-cased) discloses an entity if their co-occurrence in the corpus says so:
-with N texts, the entity in f(e), the term in f(t) and both in f(t, e),
+Base spans are the matches of four fixed patterns. What they protect is a hierarchy: the value (an address, a
+number), its group (domain of an e-mail, first two parts of an IP address, area of a phone number, first six
+digits of a card), its kind, and personal data as such. A term (a word outside the base spans, A-Z lower-cased)
+discloses one of these, e, if their co-occurrence in the corpus says so: with N texts, e in f(e), the term in f(t)
+and both in f(t, e),
 
     PMI(t; e) = log2(N * f(t, e) / (f(t) * f(e)))  is at least `generalise` of  IC(e) = log2(N / f(e)),
 
-that is, whoever reads the term knows that share of what naming the entity would tell. Terms are judged on at
-least `support` common texts, and entities of fewer than `entity_bits` bits identify no one. Such terms become
-spans of kind `term` in all documents, whether the entity is named there or not: replaced by a placeholder from
-`generalise` on, removed from `remove` on, by the entity that they tell most of. Base spans always stay and always go.
+that is, whoever reads the term knows that share of what naming e would tell. A term counts beside a value or
+group within `window` words of it (so work grows with the text, however many entities it names), beside a kind
+anywhere in the text. Chance is kept out by the data: all f(t, e) co-occurrences of independent e and t have a
+probability of about 2 ** -(f(t, e) * PMI), so these bits must exceed the log2 of the number of pairs that were
+looked at by `margin`. Pairs of fewer than `support` texts are not looked at, and what has fewer than
+`entity_bits` bits identifies no one. Disclosing terms become spans of kind `term` in all documents, whether
+anything is named there or not: replaced by a placeholder from `generalise` on, removed from `remove` on, by the
+entity that they tell most of. Base spans always stay and always go.
 
 Counts cover all documents. Equal texts count once, with base spans or without, so copies neither make evidence
 nor hide it. Words are counted by explode and partial aggregation, with the few candidate terms only.
 
 Defined results: a null text is an empty one and stays null when sanitised; a null id is kept; repeated rows
-give repeated results; an empty table gives an empty result; other columns are ignored (find) or kept
-(sanitise, where the added columns of clashing names are replaced).
+give repeated results; a text of any length is read as a whole; a term that tells equally much of several entities
+is one span; an empty table gives an empty result; other columns are ignored (find) or kept (sanitise).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import SPACES, small_batches, written
+from quillsieve.llm.common import SPACES, free_name, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidate terms up to which they are broadcast; beyond it they are joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: What is protected whatever its value; PERSONAL is any of the kinds.
+PERSONAL = "personal"
+#: Candidate terms, and bytes of them, up to which they are broadcast; beyond it they are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 8_000_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Fixed patterns. Possessive forms match what the plain ones do, in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +52,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -86,12 +97,22 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.translate(_LOWER)}" if kind in ("email", "ip") else kind + ":" + "".join(c for c in value if c in "0123456789")
 
 
+def groups(name: str) -> list[str]:
+    """An entity and the group that it belongs to."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        return [name, "email@" + value.split("@")[1]]
+    if kind == "ip":
+        return [name, "ip/" + ".".join(value.split(".")[:2])]
+    return [name, f"{kind}/" + (value[:6] if kind == "card" else value[: max(len(value) - 7, 1)])]
+
+
 def spelled(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
 def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Words, lower-cased, that no base span touches."""
+    """Words, A-Z lower-cased, that no base span touches."""
     ranges: list[list[int]] = []
     for a, b in sorted((a, b) for _, a, b in spans):
         if ranges and a <= ranges[-1][1]:
@@ -103,55 +124,91 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
         while at < len(ranges) and ranges[at][1] <= m.start():
             at += 1
         if at == len(ranges) or ranges[at][0] >= m.end():
-            out.append((m[0].lower(), *m.span()))
+            out.append((m[0].translate(_LOWER), *m.span()))
+    return out
+
+
+def beside(text: str, spans: list[tuple[str, int, int]], words: list[tuple[str, int, int]], window: int) -> dict[str, set[str]]:
+    """The terms within `window` words of each value and group."""
+    starts, out = [a for _, a, _ in words], {}
+    for kind, a, b in spans:
+        near = {w for w, _, _ in words[max(bisect_left(starts, a) - window, 0) : bisect_right(starts, b) + window]}
+        for name in groups(entity(kind, text[a:b])):
+            out.setdefault(name, set()).update(near)
     return out
 
 
-def _find_base(batches):
-    for batch in small_batches(batches):
-        out = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            spans = base_spans(text)
-            if not spans:
-                out.append((key, text, *[0] * 4, "", None, None))
-                continue
-            counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-            names = sorted({entity(k, text[a:b]) for k, a, b in spans})
-            terms = sorted({w for w, _, _ in free_words(text, spans)})
-            out.append((key, text, *counts, spelled(spans), names, terms))
-        kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=["doc_id", "text", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
+_COUNTS = "n_email long, n_ip long, n_card long, n_phone long"
+_NEAR = "array<struct<entity:string,terms:array<string>>>"
 
 
-def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support: int, entity_bits: float, evidence_bits: float) -> DataFrame | None:
-    """(entity, term, share): share is PMI over IC. held: text, entities, terms of the documents with base spans.
+def _held(window: int):
+    """Of the texts with base spans only: digest, whether each kind is there, what stands beside it, all terms."""
+    near = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
+    kinds = (pa.int64(), *[pa.int64()] * 4, near, pa.list_(pa.string()))
+
+    def run(batches):
+        for batch in small_batches(batches):
+            out = []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if spans := base_spans(text):
+                    words, there = free_words(text, spans), {k for k, _, _ in spans}
+                    met = [{"entity": e, "terms": sorted(t)} for e, t in sorted(beside(text, spans, words, window).items())]
+                    out.append((h, *[int(k in there) for k in KINDS], met, sorted({w for w, _, _ in words})))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=["h", *KINDS, "near", "terms"])
+
+    return run
+
+
+def _words(text: str):
+    """Column: the distinct terms of a text, by the rule of free_words."""
+    bare = F.btrim(F.translate(text, UPPER, LOWER), F.lit(SPACES))
+    return F.array_distinct(F.split(bare, r"[\x20\x09-\x0D]+"))
+
+
+def _small(terms: DataFrame) -> bool:
+    n, size = terms.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()  # one row
+    return n <= BROADCAST_TERMS and (size or 0) <= BROADCAST_BYTES
+
+
+def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support: int, entity_bits: float, margin: float) -> DataFrame | None:
+    """(entity, term, share): share is PMI over IC. held: rows of _held.
 
     What the documents with spans alone say bounds each PMI from above. Only pairs within that bound are
     counted over the whole corpus, so common words never leave the documents with spans."""
-    rows = held.select(F.xxhash64("text").alias("h"), "entities", "terms")
-    texts = written(rows.dropDuplicates(["h"]), "held-texts")
+    texts = written(held.dropDuplicates(["h"]).withColumn(PERSONAL, F.lit(1).cast("long")), "held-texts")
+    classes = (*KINDS, PERSONAL)
     n = docs_text.select(F.xxhash64("text")).distinct().count()
-    pairs = texts.select("h", F.explode("entities").alias("entity"), "terms")
-    entities = written(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("fe")).filter(F.col("fe") >= support), "entities")
-    if entities.isEmpty():
+    totals = texts.agg(*[F.sum(k).alias(k) for k in classes]).first()  # one row
+    if not totals[PERSONAL]:
         return None
+    # values and groups: pairs within the window
+    near = texts.select(F.explode("near").alias("e")).select("e.entity", "e.terms")
+    entities = written(near.groupBy("entity").agg(F.count(F.lit(1)).alias("fe")).filter(F.col("fe") >= support), "entities")
+    pairs = near.join(entities, "entity").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte"))
+    pairs = written(pairs.filter(F.col("fte") >= support), "near-pairs")
+    # kinds: a handful of sums of one aggregate over terms
+    sums = texts.select(*classes, F.explode("terms").alias("term")).groupBy("term").agg(*[F.sum(k).alias(k) for k in classes])
+    within = written(sums.filter(F.col(PERSONAL) >= support), "held-terms")
+    bits = margin + math.log2(max(pairs.count() + len(classes) * within.count(), 1))
+
     ic = F.log2(F.lit(float(n)) / F.col("fe"))
 
     def tells(ft):
         pmi = F.log2(F.lit(float(n)) * F.col("fte") / (F.col("fe") * ft))
-        return pmi, (ic >= entity_bits) & (pmi >= generalise * ic) & (pmi * F.col("fte") >= evidence_bits)
+        return pmi, (ic >= entity_bits) & (pmi >= generalise * ic) & (pmi * F.col("fte") >= bits)
 
-    both = pairs.join(entities, "entity").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte")).filter(F.col("fte") >= support)
-    within = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("fh"))
-    both = written(both.join(within, "term").filter(tells(F.col("fh"))[1]), "term-pairs")
+    of_class = F.explode(F.array(*[F.struct(F.lit(k).alias("entity"), F.lit(totals[k]).cast("long").alias("fe"), F.col(k).alias("fte")) for k in classes]))
+    by_class = within.select("term", F.col(PERSONAL).alias("fh"), of_class.alias("c")).select("c.entity", "c.fe", "term", "c.fte", "fh")
+    by_value = pairs.join(within.select("term", F.col(PERSONAL).alias("fh")), "term").select("entity", "fe", "term", "fte", "fh")
+    both = by_class.filter(F.col("fte") >= support).unionByName(by_value).filter(tells(F.col("fh"))[1])
+    both = written(both.withColumn("others", F.lit(0).cast("long")), "term-pairs")
     # documents are counted in four growing parts; after each, terms that are too common already are out
-    both = both.withColumn("others", F.lit(0).cast("long"))
     for low, high in ((0, 1), (1, 4), (4, 16), (16, 64)):
         terms = written(both.select("term").distinct(), "terms")
-        few = terms.count()
-        if not few:
+        if terms.isEmpty():
             return None
-        if few <= BROADCAST_TERMS:
+        if _small(terms):
             terms = F.broadcast(terms)
         part = lambda h: F.pmod(h, F.lit(64)).between(low, high - 1)  # noqa: B023, E731
         more = _other_documents(docs_text.filter(part(F.xxhash64("text"))), texts.filter(part(F.col("h"))), terms)
@@ -163,77 +220,102 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
 
 def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, more): distinct texts with the term, less those with base spans."""
-    lower = F.lower(F.btrim("text", F.lit(SPACES)))
-    words = docs_text.select(F.xxhash64("text").alias("h"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("term"))
+    words = docs_text.select(F.xxhash64("text").alias("h"), F.explode(_words("text")).alias("term"))
     every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     copied = held.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
     return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("more"))
 
 
-def _mark(terms: dict[str, bool]):
-    """terms: disclosing ones and whether they are removed; rows may bring their own as well."""
+def cleaned(text: str, terms: dict[str, bool]) -> tuple[list, list, str]:
+    """Base spans, all spans, and the text without them. terms: disclosing ones, and whether they are removed."""
+    base = base_spans(text) if any(c in text for c in "@0123456789") else []
+    some = terms and not terms.keys().isdisjoint(w.translate(_LOWER) for w in set(_WORD.findall(text)))
+    more = [(w, a, b) for w, a, b in free_words(text, base) if w in terms] if some else []
+    cuts = sorted([(a, b, f"[{k.upper()}]") for k, a, b in base] + [(a, b, "" if terms[w] else "[TERM]") for w, a, b in more])
+    out, at = [], 0
+    for a, b, put in cuts:
+        if a >= at:
+            out += [text[at:a], put]
+        at = max(at, b)
+    return base, base + [("term", a, b) for _, a, b in more], "".join([*out, text[at:]]) if cuts else text
+
+
+def _terms_of(batch, column: int, rows: int, known: dict[str, bool]):
+    """The disclosing terms for each row: one table for all, or the row's own."""
+    if column < 0:
+        return [known] * rows
+    return [{t["term"]: t["removed"] for t in found or []} for found in batch.column(column).to_pylist()]
+
+
+def _spans_of(known: dict[str, bool], own: int):
     names = ["doc_id", "text_sha256", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"]
+    kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.string()] * 3)
 
     def run(batches):
         for batch in small_batches(batches):
             out = []
-            for row in batch.to_pylist():
-                text, base = row["text"], row["base"]
-                spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-                known = terms or {t["term"]: t["removed"] for t in row["found"] or []}
-                some = known and any(w.lower() in known for w in set(_WORD.findall(text)))
-                more = [(w, a, b) for w, a, b in free_words(text, spans) if w in known] if some else []
-                every = spans + [("term", a, b) for _, a, b in more]
-                cuts = sorted([(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(a, b, "" if known[w] else "[TERM]") for w, a, b in more])
-                clean, at = [], 0
-                for a, b, put in cuts:
-                    if a >= at:
-                        clean += [text[at:a], put]
-                    at = max(at, b)
-                clean.append(text[at:])
+            for key, text, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _terms_of(batch, own, batch.num_rows, known)):
+                base, every, clean = cleaned(text, terms)
                 digest = hashlib.sha256(text.encode()).hexdigest() if every else None
-                out.append((row["doc_id"], digest, row["n_email"], row["n_ip"], row["n_card"], row["n_phone"], hashlib.sha256(base.encode()).hexdigest(), spelled(every), "".join(clean) if every else None))
-            kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.string()] * 3)
+                counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
+                out.append((key, digest, *counts, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(every), clean if every else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
 
     return run
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, support: int = 3, entity_bits: float = 4.0, evidence_bits: float = 24.0) -> DataFrame:
+def _clean_rows(known: dict[str, bool], own: int, at: int, width: int):
+    """The first `width` columns, with the text in column `at` cleaned."""
+
+    def run(batches):
+        for batch in small_batches(batches):
+            texts = zip(batch.column(at).to_pylist(), _terms_of(batch, own, batch.num_rows, known))
+            clean = pa.array([None if text is None else cleaned(text, terms)[2] for text, terms in texts], pa.string())
+            columns = [clean if k == at else batch.column(k) for k in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+
+    return run
+
+
+def marked_terms(docs: DataFrame, text_col: str, generalise: float = 0.9, remove: float = 0.98, support: int = 3, entity_bits: float = 2.0, margin: float = 10.0, window: int = 64) -> DataFrame | None:
+    """(term, removed): the disclosing terms of the corpus, each once."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    may = texts.filter(F.col("text").rlike("[@0-9]"))  # no base span without
+    flags = ", ".join(f"{k} long" for k in KINDS)
+    held = may.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_held(window), f"h long, {flags}, near {_NEAR}, terms array<string>")
+    shares = disclosing(held, texts, generalise, support, entity_bits, margin)
+    if shares is None:
+        return None
+    return written(shares.groupBy("term").agg((F.max("share") >= remove).alias("removed")), "disclosing")
+
+
+def with_terms(docs: DataFrame, text_col: str, terms: DataFrame | None) -> tuple[DataFrame, dict[str, bool], int]:
+    """docs, the terms, -1; or, where they are too many for every task: docs with the terms of each text as a last
+    column, and its number."""
+    if terms is None:
+        return docs, {}, -1
+    if _small(terms):
+        return docs, {r["term"]: r["removed"] for r in terms.collect()}, -1
+    text, key, found = F.coalesce(F.col(text_col).cast("string"), F.lit("")), free_name(docs.columns, "h"), free_name(docs.columns, "found")
+    hits = docs.select(F.xxhash64(text).alias(key), text.alias("text")).select(key, F.explode(_words("text")).alias("term")).join(terms, "term").distinct()
+    lists = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias(found))  # bounded by the text
+    return docs.withColumn(key, F.xxhash64(text)).join(lists, key, "left").drop(key), {}, len(docs.columns)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, text_sha256, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text (null digest and text
-    where nothing was found)."""
+    where nothing was found). options: those of marked_terms."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    may = F.col("text").rlike("[@0-9]")  # no base span without
-    zero = F.lit(0).cast("long")
-    counts = "n_email long, n_ip long, n_card long, n_phone long"
-    found = source.filter(may).mapInArrow(_find_base, f"doc_id long, text string, {counts}, base string, entities array<string>, terms array<string>")
-    found = written(found, "base-spans")
-    held = found.filter("base <> ''")
-    shares = disclosing(held, source.select("text"), generalise, support, entity_bits, evidence_bits)
-    columns = ["doc_id", "text", "n_email", "n_ip", "n_card", "n_phone", "base"]
-    every = found.select(*columns).unionByName(source.filter(~may).withColumns({"n_email": zero, "n_ip": zero, "n_card": zero, "n_phone": zero, "base": F.lit("")}))
-    every, known = every.withColumn("found", F.lit(None).cast("array<struct<term:string,removed:boolean>>")), {}
-    if shares is not None:
-        terms = written(shares.groupBy("term").agg((F.max("share") >= remove).alias("removed")), "disclosing")
-        if terms.count() <= BROADCAST_TERMS:
-            known = {r["term"]: r["removed"] for r in terms.collect()}
-        else:
-            words = F.explode(F.array_distinct(F.split(F.lower(F.btrim("text", F.lit(SPACES))), r"[\x20\x09-\x0D]+")))
-            hits = source.select(F.xxhash64("text").alias("h"), words.alias("term")).join(terms, "term").distinct()
-            lists = hits.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("found"))
-            every = every.drop("found").withColumn("h", F.xxhash64("text")).join(lists, "h", "left").drop("h")
-    return every.mapInArrow(_mark(known), f"doc_id long, text_sha256 string, {counts}, base_sha256 string, spans string, clean_text string")
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with cleaned texts. What is cleaned depends on the text alone, so rows meet by its digest, whatever
-    their ids."""
-    found = find(docs, id_col, text_col, **options).filter("clean_text is not null")
-    clean = found.groupBy(F.col("text_sha256").alias("_pii_key")).agg(F.max("clean_text").alias("_pii_text"))
-    may = F.coalesce(F.col(text_col) != "", F.lit(False))
-    joined = docs.filter(may).join(clean, F.sha2(F.col(text_col), 256) == F.col("_pii_key"), "left")
-    cleaned = joined.withColumn(text_col, F.coalesce("_pii_text", text_col)).select(*docs.columns)
-    return cleaned.unionByName(docs.filter(~may))
+    rows, known, own = with_terms(source, "text", marked_terms(source, "text", **options))
+    return rows.mapInArrow(_spans_of(known, own), f"doc_id long, text_sha256 string, {_COUNTS}, base_sha256 string, spans string, clean_text string")
+
+
+def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs with cleaned texts; every other column stays as it is. No text moves unless the terms are too many to be
+    known to every task."""
+    source = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    rows, known, own = with_terms(source, text_col, marked_terms(source, text_col, **options))
+    return rows.mapInArrow(_clean_rows(known, own, source.columns.index(text_col), len(source.columns)), source.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -50,46 +50,82 @@ def test_pii_odd(odd, odd_rows, none):
     assert pii.digests(pii.find(none)).count() == 0
 
 
-def test_pii_terms(spark):
-    """A code name seen only with one address discloses it; common words and other documents stay."""
-    filler = ["the report was sent to many people today", "we met again and spoke about the plan", "nothing else happened in the long week"]
-    rows = [(k, f"{filler[k % 3]} number{k}") for k in range(400)]
-    rows += [(1000 + k, f"write to ann@corp.example about Bluefin {filler[k % 3]} case{k}") for k in range(6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r["doc_id"]: r for r in pii.find(docs, support=3, evidence_bits=10.0).collect()}
-    for k in range(6):
-        text, spans = rows[400 + k][1], out[1000 + k]["spans"].split(",")
-        at = text.index("Bluefin")
-        assert spans[0].startswith("email:") and f"term:{at}:{at + 7}" in spans
-        assert "Bluefin" not in out[1000 + k]["clean_text"] and "ann@" not in out[1000 + k]["clean_text"] and filler[k % 3].split()[0] in out[1000 + k]["clean_text"]
-    assert all(out[k]["spans"] == "" for k in range(400))
-    clean = pii.sanitise(docs, support=3, evidence_bits=10.0)
-    assert clean.columns == docs.columns and clean.count() == len(rows)
-
-
-def test_pii_copies_hide_nothing(spark):
-    """Copies of a text without base spans that holds the disclosing term count once, as copies with spans do."""
-    rows = [(k, f"nothing else happened in the long week number{k}") for k in range(400)]
-    rows += [(1000 + k, f"write to ann@corp.example about Bluefin case{k}") for k in range(6)]
-    rows += [(2000 + k, "the Bluefin notice that all of us have read") for k in range(500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    out = {r["doc_id"]: r for r in pii.find(docs, support=3, evidence_bits=10.0).collect()}
-    assert len(out) == len(rows) and all("Bluefin" not in out[1000 + k]["clean_text"] for k in range(6))
+FILLER = ["the report was sent to many people today", "we met again and spoke about the plan", "nothing else happened in the long week"]
+
+
+def plain_terms(texts, generalise=0.9, remove=0.98, support=3, entity_bits=2.0, margin=10.0, window=64):
+    """Disclosing terms and whether they are removed, from all pairs of all distinct texts."""
+    texts = sorted({t or "" for t in texts})
+    f_t, f_te, held, tested = Counter(), Counter(), set(), set()
+    for text in texts:
+        spans = plain_spans(text)
+        free = [m for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        say = lambda m: "".join(c.lower() if c.isascii() else c for c in m[0])
+        f_t.update({say(m) for m in free})
+        pairs = {(c, say(m)) for c in {"personal", *(k for k, _, _ in spans)} for m in free} if spans else set()
+        for kind, a, b in spans:
+            value, digits = text[a:b].lower(), re.sub("[^0-9]", "", text[a:b])
+            group = {"email": "d" + value.rpartition("@")[2], "ip": "i" + ".".join(value.split(".")[:2]), "card": "c" + digits[:6], "phone": "p" + digits[:-7]}[kind]
+            before, after = [m for m in free if m.start() < a], [m for m in free if m.start() > b]
+            near = before[-window:] + after[:window]
+            names = [(kind, value if kind in ("email", "ip") else digits), (kind, group)]
+            pairs |= {(n, say(m)) for n in names for m in near}
+            held.update({(n, text) for n in names})
+        f_te.update(pairs)
+        tested |= {say(m) for m in free} if spans else set()
+    f_e = Counter(e for e, _ in held)
+    for c in ("email", "ip", "card", "phone"):
+        f_e[c] = sum(any(k == c for k, _, _ in plain_spans(t)) for t in texts)
+    f_e["personal"] = sum(bool(plain_spans(t)) for t in texts)
+    enough = {t for t in tested if f_te["personal", t] >= support}
+    looked = sum(n >= support for (e, _), n in f_te.items() if isinstance(e, tuple)) + 5 * len(enough)
+    bits, out = margin + np.log2(max(looked, 1)), {}
+    for (e, t), n in f_te.items():
+        if n >= support and f_e[e] >= support:
+            ic, pmi = np.log2(len(texts) / f_e[e]), np.log2(len(texts) * n / (f_t[t] * f_e[e]))
+            if ic >= entity_bits and pmi >= generalise * ic and pmi * n >= bits:
+                out[t] = out.get(t, False) or pmi / ic >= remove
+    return out
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_pii_terms_everywhere(spark, monkeypatch, broadcast):
-    """A disclosing term goes from documents that don't name the entity too, by broadcast and by shuffle."""
-    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
-    rows = [(k, f"nothing else happened in the long week number{k}") for k in range(400)]
-    rows += [(1000 + k, f"write to ann@corp.example about Bluefin case{k}") for k in range(6)]
-    rows += [(2000, "we spoke of BLUEFIN again"), (2001, "Bluefin or bob@corp.example"), (2002, "bluefins are fish"), (2003, None)]
+def disclosing_texts():
+    """One address with a code word of its own, a mail domain with another, all personal data with a third that also
+    stands elsewhere now and then, and common words."""
+    texts = [f"{FILLER[k % 3]} number{k}" for k in range(400)]
+    texts += [f"write to ann@corp.example about Bluefin {FILLER[k % 3]} case{k}" for k in range(9)]
+    texts += [f"b{k}@guild.example is of the Lodge {FILLER[k % 3]}" for k in range(8)]
+    texts += [f"10.{k}.3.{k} secret= x{k} {FILLER[k % 3]}" for k in range(20)] + [f"call +1 (555) 010-{1000 + k} secret= {FILLER[k % 3]}" for k in range(9)]
+    return [*texts, "my secret= is safe", "we spoke of BLUEFIN again", "bluefins are fish", "Bluefin or bob@corp.example", None, ""]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_pii_terms(spark, monkeypatch, most):
+    """The terms of the production parameters, by broadcast and by shuffle; copies hide and prove nothing."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    texts = disclosing_texts()
+    terms = plain_terms(texts)
+    assert {"bluefin", "lodge", "secret="} <= set(terms) and not {"the", "week", "report"} & set(terms) and set(terms.values()) == {True, False}
+    rows = list(enumerate(texts + ["the Bluefin notice that all have read"] * 300 + [texts[400]] * 50))
+    rows = [(k, t) for k, t in rows if t != "we spoke of BLUEFIN again"]
+    terms = plain_terms([t for _, t in rows])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    out = {r["doc_id"]: r for r in pii.find(docs, support=3, evidence_bits=10.0).collect()}
-    assert out[2000]["spans"] == "term:12:19" and "term:0:7" in out[2001]["spans"] and out[2002]["spans"] == out[2003]["spans"] == ""
-    assert all(out[k]["spans"] == "" and out[k]["clean_text"] is None for k in range(400))
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, support=3, evidence_bits=10.0).collect()}
-    assert "BLUEFIN" not in clean[2000] and "Bluefin" not in clean[2001] and clean[2002] == "bluefins are fish" and clean[2003] is None and len(clean) == len(rows)
+    out = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert len(out) == len(rows)
+    for k, text in rows:
+        spans = plain_spans(text or "")
+        more = [m for m in WORD.finditer(text or "") if "".join(c.lower() if c.isascii() else c for c in m[0]) in terms and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        assert out[k]["spans"] == pii.spelled(spans + [("term", *m.span()) for m in more])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert {k: t for k, t in clean.items()} == {k: t if out[k]["clean_text"] is None else out[k]["clean_text"] for k, t in rows}
+    assert not any("Bluefin" in (t or "") for t in clean.values()) and any("[TERM]" in (t or "") for t in clean.values())
+
+
+def test_sanitise_keeps_columns(odd, odd_rows):
+    """Clashing and other columns stay; only texts change, and null texts stay null."""
+    clean = pii.sanitise(odd)
+    assert clean.columns == odd.columns
+    same(clean.drop("text").collect(), odd.drop("text").collect())
+    assert clean.filter("text is null").count() == sum(r[1] is None for r in odd_rows)
 
 
 def test_bpe_odd(odd, odd_rows, none):
