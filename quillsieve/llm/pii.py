@@ -6,16 +6,17 @@ digits of a card), its kind, and personal data as such. A term (a word outside t
 discloses one of these, e, if their co-occurrence in the corpus says so: with N texts, e in f(e), the term in f(t)
 and both in f(t, e),
 
-    PMI(t; e) = log2(N * f(t, e) / (f(t) * f(e)))  is at least `generalise` of  IC(e) = log2(N / f(e)),
+    PMI(t; e) = log2(N * f(t, e) / (f(t) * f(e)))  comes near  IC(e) = log2(N / f(e)),
 
-that is, whoever reads the term knows that share of what naming e would tell. A term counts beside a value or
+what naming e would tell. The bits that stay unknown, IC(e) - PMI(t; e), are -log2 of the probability of e where t
+is read; a term is over the threshold if this probability is at least `generalise`. A term counts beside a value or
 group within `window` words of it (so work grows with the text, however many entities it names), beside a kind
 anywhere in the text. Chance is kept out by the data: all f(t, e) co-occurrences of independent e and t have a
 probability of about 2 ** -(f(t, e) * PMI), so these bits must exceed the log2 of the number of pairs that were
 looked at by `margin`. Pairs of fewer than `support` texts are not looked at, and what has fewer than
 `entity_bits` bits identifies no one. Disclosing terms become spans of kind `term` in all documents, whether
-anything is named there or not: replaced by a placeholder from `generalise` on, removed from `remove` on, by the
-entity that they tell most of. Base spans always stay and always go.
+anything is named there or not: replaced by a placeholder from a probability of `generalise` on, removed from
+`remove` on, by the entity that they tell most of. Base spans always stay and always go.
 
 Counts cover all documents. Equal texts count once, with base spans or without, so copies neither make evidence
 nor hide it. Words are counted by explode and partial aggregation, with the few candidate terms only.
@@ -172,7 +173,7 @@ def _small(terms: DataFrame) -> bool:
 
 
 def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support: int, entity_bits: float, margin: float) -> DataFrame | None:
-    """(entity, term, share): share is PMI over IC. held: rows of _held.
+    """(entity, term, told): told is the probability of the entity where the term is read. held: rows of _held.
 
     What the documents with spans alone say bounds each PMI from above. Only pairs within that bound are
     counted over the whole corpus, so common words never leave the documents with spans."""
@@ -196,12 +197,12 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
 
     def tells(ft):
         pmi = F.log2(F.lit(float(n)) * F.col("fte") / (F.col("fe") * ft))
-        return pmi, (ic >= entity_bits) & (pmi >= generalise * ic) & (pmi * F.col("fte") >= bits)
+        return (ic >= entity_bits) & (F.col("fte") >= generalise * ft) & (pmi * F.col("fte") >= bits)
 
     of_class = F.explode(F.array(*[F.struct(F.lit(k).alias("entity"), F.lit(totals[k]).cast("long").alias("fe"), F.col(k).alias("fte")) for k in classes]))
     by_class = within.select("term", F.col(PERSONAL).alias("fh"), of_class.alias("c")).select("c.entity", "c.fe", "term", "c.fte", "fh")
     by_value = pairs.join(within.select("term", F.col(PERSONAL).alias("fh")), "term").select("entity", "fe", "term", "fte", "fh")
-    both = by_class.filter(F.col("fte") >= support).unionByName(by_value).filter(tells(F.col("fh"))[1])
+    both = by_class.filter(F.col("fte") >= support).unionByName(by_value).filter(tells(F.col("fh")))
     both = written(both.withColumn("others", F.lit(0).cast("long")), "term-pairs")
     # documents are counted in four growing parts; after each, terms that are too common already are out
     for low, high in ((0, 1), (1, 4), (4, 16), (16, 64)):
@@ -213,9 +214,9 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
         part = lambda h: F.pmod(h, F.lit(64)).between(low, high - 1)  # noqa: B023, E731
         more = _other_documents(docs_text.filter(part(F.xxhash64("text"))), texts.filter(part(F.col("h"))), terms)
         counted = both.join(more, "term", "left").withColumn("others", F.col("others") + F.coalesce("more", F.lit(0)))
-        pmi, told = tells(F.col("fh") + F.col("others"))
-        both = written(counted.filter(told).withColumn("share", pmi / ic).select("entity", "fe", "term", "fte", "fh", "others", "share"), "told").drop(*(["share"] if high < 64 else []))
-    return both.select("entity", "term", "share")
+        ft = F.col("fh") + F.col("others")
+        both = written(counted.filter(tells(ft)).select("entity", "fe", "term", "fte", "fh", "others"), "told")
+    return both.select("entity", "term", (F.col("fte") / (F.col("fh") + F.col("others"))).alias("told"))
 
 
 def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
@@ -277,16 +278,16 @@ def _clean_rows(known: dict[str, bool], own: int, at: int, width: int):
     return run
 
 
-def marked_terms(docs: DataFrame, text_col: str, generalise: float = 0.9, remove: float = 0.98, support: int = 3, entity_bits: float = 2.0, margin: float = 10.0, window: int = 64) -> DataFrame | None:
+def marked_terms(docs: DataFrame, text_col: str, generalise: float = 2 / 3, remove: float = 0.95, support: int = 3, entity_bits: float = 2.0, margin: float = 10.0, window: int = 64) -> DataFrame | None:
     """(term, removed): the disclosing terms of the corpus, each once."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     may = texts.filter(F.col("text").rlike("[@0-9]"))  # no base span without
     flags = ", ".join(f"{k} long" for k in KINDS)
     held = may.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_held(window), f"h long, {flags}, near {_NEAR}, terms array<string>")
-    shares = disclosing(held, texts, generalise, support, entity_bits, margin)
-    if shares is None:
+    found = disclosing(held, texts, generalise, support, entity_bits, margin)
+    if found is None:
         return None
-    return written(shares.groupBy("term").agg((F.max("share") >= remove).alias("removed")), "disclosing")
+    return written(found.groupBy("term").agg((F.max("told") >= remove).alias("removed")), "disclosing")
 
 
 def with_terms(docs: DataFrame, text_col: str, terms: DataFrame | None) -> tuple[DataFrame, dict[str, bool], int]:

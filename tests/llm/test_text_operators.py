@@ -53,7 +53,7 @@ def test_pii_odd(odd, odd_rows, none):
 FILLER = ["the report was sent to many people today", "we met again and spoke about the plan", "nothing else happened in the long week"]
 
 
-def plain_terms(texts, generalise=0.9, remove=0.98, support=3, entity_bits=2.0, margin=10.0, window=64):
+def plain_terms(texts, generalise=2 / 3, remove=0.95, support=3, entity_bits=2.0, margin=10.0, window=64):
     """Disclosing terms and whether they are removed, from all pairs of all distinct texts."""
     texts = sorted({t or "" for t in texts})
     f_t, f_te, held, tested = Counter(), Counter(), set(), set()
@@ -83,8 +83,8 @@ def plain_terms(texts, generalise=0.9, remove=0.98, support=3, entity_bits=2.0,
     for (e, t), n in f_te.items():
         if n >= support and f_e[e] >= support:
             ic, pmi = np.log2(len(texts) / f_e[e]), np.log2(len(texts) * n / (f_t[t] * f_e[e]))
-            if ic >= entity_bits and pmi >= generalise * ic and pmi * n >= bits:
-                out[t] = out.get(t, False) or pmi / ic >= remove
+            if ic >= entity_bits and n >= generalise * f_t[t] and pmi * n >= bits:
+                out[t] = out.get(t, False) or n / f_t[t] >= remove
     return out
 
 
@@ -94,7 +94,7 @@ def disclosing_texts():
     texts = [f"{FILLER[k % 3]} number{k}" for k in range(400)]
     texts += [f"write to ann@corp.example about Bluefin {FILLER[k % 3]} case{k}" for k in range(9)]
     texts += [f"b{k}@guild.example is of the Lodge {FILLER[k % 3]}" for k in range(8)]
-    texts += [f"10.{k}.3.{k} secret= x{k} {FILLER[k % 3]}" for k in range(20)] + [f"call +1 (555) 010-{1000 + k} secret= {FILLER[k % 3]}" for k in range(9)]
+    texts += [f"10.{k}.3.{k} secret= x{k} {FILLER[k % 3]}" for k in range(20)] + [f"the secret= of {k}" for k in range(4)] + [f"call +1 (555) 010-{1000 + k} secret= {FILLER[k % 3]}" for k in range(9)]
     return [*texts, "my secret= is safe", "we spoke of BLUEFIN again", "bluefins are fish", "Bluefin or bob@corp.example", None, ""]
 
 
