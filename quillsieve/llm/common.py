@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Removes the files of a written table that nothing reads any more. Whatever was made of it must have been
+    written itself."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -62,6 +74,28 @@ def count_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+class BitMap:
+    """Which 64-bit keys may be among a set: a fixed number of bits."""
+
+    def __init__(self, keys: DataFrame, column: str, bits: int):
+        place = F.pmod(F.col(column), F.lit(bits))
+        words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("set"))
+        self.data = np.zeros(bits // 64, np.int64)
+        for r in words.collect():  # at most bits / 64 rows
+            self.data[r["word"]] = r["set"]
+
+    def column(self, name: str):
+        """Column: whether the key may be in the set."""
+        words = self.data.view(np.uint64)
+
+        @F.pandas_udf("boolean")
+        def maybe(keys: pd.Series) -> pd.Series:
+            at = np.mod(keys.to_numpy(), len(words) * 64).astype(np.uint64)
+            return pd.Series((words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+        return maybe(F.col(name))
+
+
 def small_batches(batches, rows: int = 500):
     """Record batches of few rows, so that texts become Python objects a few at a time; unused Arrow memory
     goes back in between, since idle workers keep their processes."""

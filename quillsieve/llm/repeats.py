@@ -33,14 +33,13 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.colbwt import repeated, window_hashes
-from quillsieve.llm.common import shuffle_partitions, written
+from quillsieve.llm.common import BitMap, release, shuffle_partitions, written
 
 PART = 1 << 19
 PLACE_BITS = 21
@@ -222,28 +221,6 @@ def hot_runs(pieces: DataFrame, width: int, gram: int, most: int) -> DataFrame:
     return places.select("t1", "t2", F.flatten(F.transform("firsts", lambda first: F.transform("runs", lambda x: x + first))).alias("runs"))
 
 
-class BitMap:
-    """Which 64-bit keys may be among a set: a fixed number of bits."""
-
-    def __init__(self, keys: DataFrame, column: str, bits: int):
-        place = F.pmod(F.col(column), F.lit(bits))
-        words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("set"))
-        self.data = np.zeros(bits // 64, np.int64)
-        for r in words.collect():  # at most bits / 64 rows
-            self.data[r["word"]] = r["set"]
-
-    def column(self, name: str):
-        """Column: whether the key may be in the set."""
-        words = self.data.view(np.uint64)
-
-        @F.pandas_udf("boolean")
-        def maybe(keys: pd.Series) -> pd.Series:
-            at = np.mod(keys.to_numpy(), len(words) * 64).astype(np.uint64)
-            return pd.Series((words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-        return maybe(F.col(name))
-
-
 def _cut(batches):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     for batch in batches:

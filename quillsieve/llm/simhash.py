@@ -185,5 +185,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     return marked.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def linked_texts(docs: DataFrame, width: int = 5, radius: int = 2, seed: int = 42, text_col: str = "text") -> DataFrame:
+    """(a, b): each text (its xxhash64) of a component and the component's smallest one."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = fingerprints(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), width, seed, "node", "text")
+    nodes = written(marked.distinct().withColumnRenamed("doc_id", "node"), "simhash-texts")
+    linked = components(links(nodes.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "label")
+    named = nodes.join(linked, "fp", "left").select("node", F.coalesce("label", "fp").alias("label"))
+    heads = named.groupBy("label").agg(F.min("node").alias("b"))
+    return named.join(heads, "label").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
