@@ -11,11 +11,13 @@ Decoding joins each id to its piece; the piece table has one row per vocabulary
 not grow with the data, so the join is made on the map side.
 
 The cutting runs twice (once for words, once for positions), so the input must be deterministic: a table
-or a checkpoint. Chunks are named by the digest of their word list; an input that changes in between
-stops with an error instead of giving wrong ids.
+or a checkpoint. Chunks are named by the input partition, their number in it and the digest of their word list,
+so that partitions of equal texts stay apart; an input that changes in between stops with an error instead of
+giving wrong ids. There is a bucket for each shuffle partition (`buckets` at least), so that a bucket's words,
+which one task keeps while it encodes them, don't grow with the data.
 
-Defined results: null and empty texts give no ids and decode to an empty text; any column but the two
-named ones is ignored; repeated rows give repeated results; an empty table gives an empty result.
+Defined results: null and empty texts give no ids and decode to an empty text; a null id is kept; any column but
+the two named ones is ignored; repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,9 +131,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk_chars: int, posi
         yield keys, texts_as, found.words
 
 
-def _name(words: list[str]) -> int:
-    digest = hashlib.blake2b("\0".join(words).encode(), digest_size=8, salt=len(words).to_bytes(8, "little")).digest()
-    return int.from_bytes(digest, "little", signed=True)
+def _name(number: int, words: list[str]) -> str:
+    digest = hashlib.blake2b("\0".join(words).encode(), digest_size=8, salt=len(words).to_bytes(8, "little")).hexdigest()
+    task = TaskContext.get()
+    return f"{task.partitionId() if task else 0}-{number}-{digest}"
 
 
 _zip = zstandard.ZstdCompressor(level=1)
@@ -157,8 +161,8 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _words_of(path: str, chunk_chars: int, buckets: int):
     def run(batches):
-        for _, _, words in _chunks(batches, path, chunk_chars, False):
-            chunk, raw = _name(words), [w.encode() for w in words]
+        for number, (_, _, words) in enumerate(_chunks(batches, path, chunk_chars, False)):
+            chunk, raw = _name(number, words), [w.encode() for w in words]
             bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
             order = np.argsort(bucket, kind="stable")
             out = []
@@ -168,7 +172,7 @@ def _words_of(path: str, chunk_chars: int, buckets: int):
             if not len(order):
                 out.append((chunk, 0, b"", b"", b""))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                 names=["chunk", "bucket", "places", "lengths", "words"],
             )
 
@@ -177,12 +181,12 @@ def _words_of(path: str, chunk_chars: int, buckets: int):
 
 def _positions_of(path: str, chunk_chars: int):
     def run(batches):
-        for keys, texts_as, words in _chunks(batches, path, chunk_chars, True):
-            chunk = _name(words)
+        for number, (keys, texts_as, words) in enumerate(_chunks(batches, path, chunk_chars, True)):
+            chunk = _name(number, words)
             for k in range(0, len(keys), 2000):
                 part = keys[k : k + 2000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(texts_as[k : k + 2000], pa.binary())],
+                    [pa.array([chunk] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(texts_as[k : k + 2000], pa.binary())],
                     names=["chunk", "key", "positions"],
                 )
 
@@ -209,7 +213,7 @@ def _encode_words(path: str):
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
                 out.append((row["chunk"], row["places"], _pack(sizes), _pack(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "places", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "places", "counts", "ids"])
 
     return run
 
@@ -249,10 +253,11 @@ def _joined(key, texts: pa.Table, words: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 12_000_000, buckets: int = 256) -> DataFrame:
     """(id_col, ids): the ids of every whole text, one row per input row."""
     p = shuffle_partitions(docs.sparkSession)
+    buckets = max(buckets, p)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    words = source.mapInArrow(_words_of(tokenizer_path, chunk_chars, buckets), "chunk long, bucket int, places binary, lengths binary, words binary")
-    encoded = words.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer_path), "chunk long, places binary, counts binary, ids binary")
-    positions = source.mapInArrow(_positions_of(tokenizer_path, chunk_chars), "chunk long, key long, positions binary")
+    words = source.mapInArrow(_words_of(tokenizer_path, chunk_chars, buckets), "chunk string, bucket int, places binary, lengths binary, words binary")
+    encoded = words.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer_path), "chunk string, places binary, counts binary, ids binary")
+    positions = source.mapInArrow(_positions_of(tokenizer_path, chunk_chars), "chunk string, key long, positions binary")
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     joined = positions.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(lambda k, a, b: _joined(k, a, b), schema)
     return joined.withColumnRenamed("key", id_col)

@@ -3,49 +3,55 @@
 Slot t of the schedule is the van der Corput point of t (bits of t reversed, a binary fraction), mapped
 through the cumulative weights of the sources. How many of the first t points fall into an interval has a
 closed form, so every slot knows its rank within its source by itself: no sort, no window over a source.
-Each source is shuffled by hash and cut into blocks of equal words; the slot of rank k takes block
-k mod (number of blocks), until the source has its share. Blocks are places in the shuffled run of a
-source's words, found by prefix sums over hash buckets, so a source of any size is dealt over all tasks.
+Each source is shuffled by hash and cut into blocks of equal words, LEAST_BLOCKS at least, so that small sources
+reach their targets too; the slot of rank k takes block k mod (number of blocks), until the source has its share.
+Blocks are places in the shuffled run of a source's words, found by prefix sums over hash buckets, so a source of
+any size is dealt over all tasks.
 
-The table of sources is a dimension and is held on the driver; more than MAX_SOURCES stop with an error.
+Names of sources stay in Spark; the driver holds a few numbers for each source, whatever their names.
 
 Defined results: null and empty texts have size 0 and are never taken; the null source is one of its own,
-after all others; repeated rows are places of their own; if all sizes are 0 nothing is taken; an empty
-table gives an empty result; other columns are ignored.
+after all others; repeated rows are places of their own; ties of the hash go by id, then by size; a text of any
+length may lie in many blocks; if all sizes are 0 nothing is taken; an empty table gives an empty result; other
+columns are ignored (mix) or kept (repeat_texts).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillsieve.llm.common import SPACES, count_words, shuffle_partitions, written
+from quillsieve.llm.common import WORD, count_words, free_name, shuffle_partitions, written
 
+_WORD = re.compile(WORD)
 SLOTS = 1 << 18
+LEAST_BLOCKS = 256
 BITS = 52
 BUCKET_BITS = 12
-MAX_SOURCES = 1_000_000
+#: Sources up to which their table is broadcast; beyond it rows and sources meet by shuffle.
+BROADCAST_SOURCES = 50_000
 
 
-def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
+def targets(sizes, weights, most: float = 3.0) -> np.ndarray:
     """Shares of the sum of sizes by weight; none above `most` times its size, the excess reshared by weight."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    free = [i for i, n in enumerate(sizes) if n and weights[i] > 0]
-    left = total
-    while free:
-        weight = sum(weights[i] for i in free)
-        above = [i for i in free if left * weights[i] / weight > most * sizes[i]]
-        if not above:
-            for i in free:
-                out[i] = left * weights[i] / weight
+    sizes, weights = np.asarray(sizes, np.int64), np.asarray(weights, np.float64)
+    out, left = np.zeros(len(sizes)), float(sizes.sum())
+    free = (sizes > 0) & (weights > 0)
+    while free.any():
+        share = left * weights / weights[free].sum()
+        above = free & (share > most * sizes)
+        if not above.any():
+            out[free] = share[free]
             break
-        for i in above:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        free = [i for i in free if i not in set(above)]
+        out[above] = most * sizes[above]
+        left -= float(out[above].sum())
+        free &= ~above
     return out
 
 
@@ -71,13 +77,14 @@ def points_below(t: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Plan:
     """Blocks, needs and point intervals of the sources, given by size and target."""
 
-    def __init__(self, sizes: list[int], goals: list[float], slots: int = SLOTS):
-        total = sum(sizes)
-        block = max(1, -(-total // slots))
-        self.blocks = [max(1, round(n / block)) if n else 0 for n in sizes]
-        self.needs = [min(round(g * b / n), 3 * b) if n else 0 for n, g, b in zip(sizes, goals, self.blocks)]
-        shares = np.cumsum([0, *self.needs])
-        self.edges = np.array([int(s) * (1 << BITS) // max(int(shares[-1]), 1) for s in shares], np.int64)
+    def __init__(self, sizes, goals, slots: int = SLOTS, least: int = LEAST_BLOCKS):
+        sizes, goals = np.asarray(sizes, np.int64), np.asarray(goals, np.float64)
+        block = max(1, -(-int(sizes.sum()) // slots))
+        self.blocks = np.minimum(np.maximum(np.rint(sizes / block).astype(np.int64), least), sizes)
+        wanted = np.rint(goals * self.blocks / np.maximum(sizes, 1)).astype(np.int64)
+        self.needs = np.minimum(wanted, 3 * self.blocks)
+        shares = [0, *np.cumsum(self.needs).tolist()]
+        self.edges = np.array([(x << BITS) // max(shares[-1], 1) for x in shares], np.int64)
         self.length = self._length()
 
     def _counts(self, t: int) -> np.ndarray:
@@ -86,7 +93,7 @@ class Plan:
 
     def _length(self) -> int:
         """The least number of slots that gives each source its need."""
-        needs = np.array(self.needs, np.int64)
+        needs = self.needs
         if not needs.sum():
             return 0
         low, high = 0, int(needs.sum())
@@ -100,7 +107,7 @@ class Plan:
 
 def schedule(spark: SparkSession, plan: Plan) -> DataFrame:
     """(slot, source_no, rank, block): slots that sources with a need left take, in order of slot."""
-    edges, needs, blocks = plan.edges, np.array(plan.needs, np.int64), np.array(plan.blocks, np.int64)
+    edges, needs, blocks = plan.edges, plan.needs, plan.blocks
 
     def run(batches):
         for batch in batches:
@@ -128,21 +135,21 @@ def prepare(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col
         F.xxhash64(F.col(id_col).cast("long"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(9)).alias("hash"),
     )
     sized = written(sized, "sized")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()  # a dimension
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["n"] or 0) for r in rows]
-    goals = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most)
-    plan = Plan(sizes, goals, slots)
-    table = [(i, r["source"], n, float(g), b) for i, (r, n, g, b) in enumerate(zip(rows, sizes, goals, plan.blocks))]
-    sources = spark.createDataFrame(table, "source_no int, source string, source_size long, target double, blocks long")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    named = written(sums.withColumn("place", F.monotonically_increasing_id()), "sources")
+    numbers = named.select("place", "source_size").toPandas().sort_values("place", ignore_index=True)  # two numbers a source
+    sizes = numbers["source_size"].to_numpy(np.int64)
+    numbers["target"] = targets(sizes, np.resize(np.array(weights, np.float64), len(sizes)), most)
+    plan = Plan(sizes, numbers["target"], slots)
+    numbers["blocks"], numbers["source_no"] = plan.blocks, np.arange(len(sizes), dtype=np.int32)
+    known = spark.createDataFrame(numbers if len(numbers) else pd.DataFrame([], columns=numbers.columns), "place long, source_size long, target double, blocks long, source_no int")
+    sources = named.drop("source_size").join(known, "place").drop("place")
     return sized, sources, plan
 
 
-def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def placed(sized: DataFrame, sources: DataFrame, few: bool = False) -> DataFrame:
     """Sized rows with their source's columns and `begin`, their place in its shuffled run of words."""
-    known = sized.withColumnRenamed("source", "_s").join(F.broadcast(sources), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")  # at most MAX_SOURCES rows
+    known = sized.withColumnRenamed("source", "_s").join(F.broadcast(sources) if few else sources, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     known = known.withColumn("bucket", F.shiftrightunsigned("hash", 64 - BUCKET_BITS))
     sums = known.groupBy("source_no", "bucket").agg(F.sum("size").alias("sum"))
     before = sums.select("source_no", "bucket", (F.sum("sum").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("sum")).alias("before"))
@@ -155,8 +162,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: st
     and text_key (hash of the text)."""
     spark = docs.sparkSession
     sized, sources, plan = prepare(docs, weights, id_col, text_col, source_col, slots, most)
-    rows = placed(sized, sources)
-    times = schedule(spark, plan).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))  # at most `slots` rows
+    rows = placed(sized, sources, len(plan.needs) <= BROADCAST_SOURCES)
+    times = schedule(spark, plan).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
 
     def border(i):
         return F.expr(f"({i}) * source_size div blocks")
@@ -167,7 +174,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: st
         F.explode(F.expr("sequence(((begin + 1) * blocks - 1) div source_size, ((begin + size) * blocks - 1) div source_size)")).alias("block"),
     )
     words = F.least(F.col("begin") + F.col("size"), border("block + 1")) - F.greatest(F.col("begin"), border("block"))
-    used = pieces.withColumn("words", words).join(F.broadcast(times), ["source_no", "block"])
+    used = pieces.withColumn("words", words).join(times, ["source_no", "block"])
     taken = used.groupBy(F.col("source_no").alias("_no"), F.col("begin").alias("_begin")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = rows.join(taken, (F.col("source_no") == F.col("_no")) & (F.col("begin") == F.col("_begin")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "begin", "text_key")
@@ -177,15 +184,40 @@ def digests(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _first_words(text: str, n: int) -> str:
+    for k, m in enumerate(_WORD.finditer(text), 1):
+        if k == n:
+            return text[: m.end()]
+    return text
+
+
 def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them: each whole pass over a document gives a copy of its row, and a pass that a
-    block border ends gives a row of the first words taken, joined by single spaces. Rows that are equal in id and
-    text must have been made one before; null ids are told apart by their texts."""
-    word = F.split(F.btrim(F.col(text_col), F.lit(SPACES)), r"[\x20\x09-\x0D]+")
-    some = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(some, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key")))
-    passes = F.sequence(F.lit(1).cast("long"), F.expr("(_taken + _size - 1) div _size"))
-    rows = rows.withColumn("_pass", F.explode(passes))
-    part = F.col("_pass") * F.col("_size") > F.col("_taken")
-    cut = F.array_join(F.slice(word, F.lit(1), (F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")).cast("int")), " ")
-    return rows.withColumn(text_col, F.when(part, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    """docs as the mix takes them: each whole pass over a document gives a copy of its row. Blocks are taken from the
+    first one on, so a pass that ends at a block's border has the first words of one document: a row of these
+    words, with the white space between them. Rows equal in id and text share one row, the least as JSON, for all
+    that is taken of them; null ids are told apart by their texts."""
+    new = {name: free_name([*docs.columns, "r", "k"], name) for name in ("id", "key", "n", "whole", "parts", "pass", "cut")}
+    part = F.col("taken") % F.col("size")
+    some = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias(new["id"]), F.col("text_key").alias(new["key"])).agg(
+        F.count(F.lit(1)).alias(new["n"]),
+        F.sum(F.expr("taken div size")).alias(new["whole"]),
+        F.sort_array(F.collect_list(F.when(part > 0, part))).alias(new["parts"]),  # one a source and pass at most
+    )
+    # rows that are taken in part or not at all count too, so that equal rows are known as such
+    times = mixed.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    some = some.join(times, F.col(new["id"]).eqNullSafe(F.col("i")) & F.col(new["key"]).eqNullSafe(F.col("k")), "left").withColumn(new["n"], F.coalesce("times", F.lit(1))).drop("i", "k", "times")
+    rows = docs.join(some, F.col(id_col).eqNullSafe(F.col(new["id"])) & (F.xxhash64(F.col(text_col)) == F.col(new["key"])))
+    once, again = rows.filter(F.col(new["n"]) == 1), rows.filter(F.col(new["n"]) > 1)
+    every = F.struct(*[F.col(c) for c in rows.columns])
+    again = again.groupBy(new["id"], new["key"]).agg(F.min_by(every, F.to_json(every)).alias("r")).select("r.*")
+    rows = once.unionByName(again)
+    passes = F.sequence(F.lit(1).cast("long"), F.col(new["whole"]) + F.size(new["parts"]))
+    rows = rows.withColumn(new["pass"], F.explode(passes)).withColumn(new["cut"], F.col(new["pass"]) > F.col(new["whole"]))
+    words = F.element_at(new["parts"], (F.col(new["pass"]) - F.col(new["whole"])).cast("int"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_first_words(t, k) for t, k in zip(texts, n)], dtype=object)
+
+    ended = rows.filter(F.col(new["cut"])).withColumn(text_col, cut(F.col(text_col), words))
+    return rows.filter(~F.col(new["cut"])).select(*docs.columns).unionByName(ended.select(*docs.columns))

@@ -8,12 +8,15 @@ all pairwise interactions in time linear in the number of features. Inputs are t
 `BUCKETS`, damped and normalised), statistics of the text's structure, each as a value and as a bin, and
 the document's recorded length. Labels, language, source and id are never inputs.
 
-The machine is fitted on the driver on at most `max_train` labelled rows, chosen by hash of the id; this
-bound is its one sample, and every row is scored, from its whole text.
+The machine is fitted on the driver on at most `max_train` labelled ids, chosen by hash, and of these on as many,
+in order of that hash, as have `max_features` features together; these bounds are its one sample. Every row is
+scored, from its whole text.
 
 Defined results: null and empty texts have structure features only and get a score like any other; a null
-id is scored and never trained on; several labels of one id count as their smallest; without two classes of labels every
-score is the share of the one there is (0.5 without labels); an empty table gives an empty result.
+id is scored and never trained on; several labels of one id count as their smallest, and of several texts of one id
+one is trained on, the least; ties of the hash go by id; a text of any length has one feature a distinct word; without two
+classes of labels every score is the share of the one there is (0.5 without labels); repeated rows get equal scores;
+an empty table gives an empty result; columns but the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillsieve.llm.common import written
 
 BUCKETS = 1 << 14
 BINS = 8
@@ -99,7 +105,8 @@ class Machine:
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, batch: int = 128, shrink: float = 1e-5, seed: int = 6) -> Machine:
         share = float(labels.mean()) if len(labels) else 0.5
         self.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        if not 0 < share < 1:
+        if not len(labels) or not 0 < share < 1:
+            self.v[:] = 0
             return self
         rng = np.random.default_rng(seed)
         g_w, g_v, g_b = np.full(SIZE, 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1e-2
@@ -131,7 +138,8 @@ class Machine:
 def _features_of(batches):
     for batch in batches:
         rows = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary()), batch.column(3)], names=["at", "value", "label"])
+        made = [pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*made, batch.column(3), batch.column(4), batch.column(0)], names=["at", "value", "label", "place", "doc_id"])
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, length_col: str | None):
@@ -144,12 +152,21 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", label_col: str = "quality") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_features: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", label_col: str = "quality") -> Machine:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(max_train)
-    rows = _inputs(docs, id_col, text_col, length_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "n", "label")  # at most max_train rows
-    found = sorted(rows.mapInArrow(_features_of, "at binary, value binary, label int").collect(), key=lambda r: (r["at"], r["value"]))  # the bounded sample
+    sample = known.withColumn("place", F.xxhash64("doc_id", F.lit(2))).orderBy("place", "doc_id").limit(max_train)
+    rows = _inputs(docs, id_col, text_col, length_col).join(F.broadcast(sample), "doc_id")  # at most max_train rows
+    # one text an id: rows of an id meet as digests, and equal ones are one
+    rows = rows.withColumn("digest", F.xxhash64("text", "n"))
+    least = F.broadcast(rows.groupBy("doc_id").agg(F.min("digest").alias("digest")))
+    rows = rows.join(least, ["doc_id", "digest"]).dropDuplicates(["doc_id"])
+    made = rows.select("doc_id", "text", "n", "label", "place").mapInArrow(_features_of, "at binary, value binary, label int, place long, doc_id long")
+    made = written(made, "training-rows")
+    order = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most max_train rows
+    within = made.select("doc_id", F.sum(F.octet_length("at") / 4).over(order).alias("so_far")).filter(F.col("so_far") <= max_features)
+    found = made.join(F.broadcast(within), "doc_id").collect()  # the bounded sample
+    found.sort(key=lambda r: (r["at"], r["value"]))
     data = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
     return Machine().fit(data, np.array([float(r["label"] > 0) for r in found], np.float32))
 

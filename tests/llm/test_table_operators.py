@@ -175,9 +175,9 @@ def test_points_below():
 
 
 def test_targets():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+    assert mixing.targets([100, 100, 100], [1, 2, 3]).tolist() == [50, 100, 150]
     got = mixing.targets([1000, 10, 0, 5], [1, 2, 3, 1])
-    assert got[1:] == [30, 0, 15] and got[0] == 1015 - 45
+    assert got[1:].tolist() == [30, 0, 15] and got[0] == 1015 - 45
 
 
 def test_mix_odd(odd, odd_rows, none):
@@ -198,14 +198,75 @@ def test_mix_odd(odd, odd_rows, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_repeat_texts(spark):
-    rows = [(k, " ".join(f"w{k}_{i}" for i in range(20 + k)), f"s{k % 3}") for k in range(30)]
+def plain_taken(docs, weights=(1, 2, 3), slots=mixing.SLOTS):
+    """Words taken of each row of (id, text, source): the slots one by one, each word of each block counted."""
+    names = sorted({r[2] for r in docs}, key=lambda x: (x is None, x or ""))
+    runs = {n: [] for n in names}
+    for i, r in enumerate(docs):
+        runs[r[2]] += [(i, len(WORD.findall(r[1] or "")))]
+    sizes = [sum(n for _, n in runs[s]) for s in names]
+    plan = mixing.Plan(sizes, mixing.targets(sizes, [weights[k % len(weights)] for k in range(len(names))]), slots)
+    return names, sizes, plan
+
+
+@pytest.mark.parametrize("slots", [mixing.SLOTS, 64])
+def test_taken_words(spark, slots):
+    """taken is the number of words of the blocks that the schedule's slots give, counted slot by slot."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 40))), f"s{k % 5}" if k % 11 else None) for k in range(300)] + [(900, "a b c", "tiny"), (901, "x", "one word")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names, sizes, plan = plain_taken(rows, slots=slots)
+    takes = Counter()
+    for t in range(plan.length):
+        point = sum((t >> k & 1) << (mixing.BITS - 1 - k) for k in range(40))
+        j = max(k for k in range(len(names)) if plan.edges[k] <= point)
+        rank = sum(v for (n, _), v in takes.items() if n == names[j])
+        if rank < plan.needs[j]:
+            takes[names[j], rank % int(plan.blocks[j])] += 1
+    found = mixing.mix(docs, slots=slots).collect()
+    for r in found:
+        j = names.index(r["source"])
+        n, b = sizes[j], int(plan.blocks[j])
+        words = range(r["begin"], r["begin"] + r["size"])
+        assert r["taken"] == sum(takes[r["source"], ((w + 1) * b - 1) // n] for w in words)
+    for j, name in enumerate(names):
+        got = sum(r["taken"] for r in found if r["source"] == name)
+        assert abs(got - found[[r["source"] for r in found].index(name)]["target"]) <= max(1, n / min(mixing.LEAST_BLOCKS, sizes[j]))
+
+
+def test_mix_small_sources():
+    """A source of one word, or with less than a block of the rest, isn't lost or rounded up."""
+    plan = mixing.Plan([10**9, 1000, 1], [10**9, 400.0, 3.0])
+    assert (plan.needs * np.array([10**9, 1000, 1]) / plan.blocks)[1:].round().tolist() == [398, 3]
+    plan = mixing.Plan([10**9, 1000], [10**9, 1500.0])
+    assert plan.needs[1] / plan.blocks[1] == 1.5
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_repeat_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    rows = [(k, "\n".join(f"w{k}_{i}\t " for i in range(20 + k)), f"s{k % 3}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("own") for c in ("_size", "_pass", "size", "taken", "id", "n", "times", "key")})
     mixed = mixing.mix(docs)
-    words = {r["doc_id"]: r["n"] for r in mixing.repeat_texts(docs, mixed).groupBy("doc_id").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    out = mixing.repeat_texts(docs, mixed)
+    assert out.columns == docs.columns and out.filter("_size <> 'own' or _pass <> 'own' or size <> 'own' or id <> 'own' or times <> 'own'").isEmpty()
+    words, texts = Counter(), dict((k, t) for k, t, _ in rows)
+    for r in out.collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert texts[r["doc_id"]].startswith(r["text"])
     assert words == {r["doc_id"]: r["taken"] for r in mixed.filter("taken > 0").collect()}
 
 
+def test_repeat_equal_rows(spark):
+    """Rows equal in id and text are one row, taken as often as all of them together; null texts never."""
+    rows = [(1, "a b c d", "s", k) for k in range(4)] + [(None, "e f g h", "t", 0), (None, "i j k", "t", 0), (2, None, "t", 0), (2, "", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more int").repartition(3)
+    mixed = mixing.mix(docs)
+    out = mixing.repeat_texts(docs, mixed).collect()
+    assert sum(len(WORD.findall(r["text"])) for r in out) == sum(r["taken"] for r in mixed.collect())
+    assert {r["more"] for r in out} == {0} and {r["doc_id"] for r in out} <= {1, None}
+
+
 def labelled(spark, n=1500):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
@@ -229,7 +290,41 @@ def test_classifier(spark, odd, odd_rows, none):
     assert len(rows) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in rows)
     assert qualityfm.score(none, machine).count() == 0
     blank = qualityfm.train(docs, labels.limit(0))
-    assert {round(r["score"], 6) for r in qualityfm.score(docs.limit(5), blank).collect()} != set()
+    assert {r["score"] for r in qualityfm.score(docs.limit(5), blank).collect()} == {0.5}
+    one = qualityfm.train(docs, labels.filter("quality = 1"))
+    assert min(r["score"] for r in qualityfm.score(docs.limit(5), one).collect()) > 0.99
+
+
+def test_training_sample_is_bounded(spark):
+    """One row an id, however often it stands in the table, and no more features than allowed."""
+    docs, labels, _ = labelled(spark, 300)
+    often = docs.filter("doc_id = 3").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("k")
+    fitted = []
+
+    class Watched(qualityfm.Machine):
+        def fit(self, rows, labels):
+            fitted.append((len(rows), sum(len(at) for at, _ in rows)))
+            return self
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(qualityfm, "Machine", Watched)
+        qualityfm.train(docs.union(often), labels, max_train=20)
+        qualityfm.train(docs.union(often), labels, max_train=20, max_features=400)
+    assert fitted[0][0] == 20 and 0 < fitted[1][0] < 20 and fitted[1][1] <= 400
+
+
+def test_scores_from_all_pairs(spark):
+    """The query's scores, with a trained machine, from the sum over all pairs of features."""
+    docs, labels, _ = labelled(spark, 200)
+    m = qualityfm.train(docs, labels, max_train=60)
+    rows = docs.limit(12).collect()
+    got = {r["doc_id"]: r["score"] for r in qualityfm.score(docs.limit(12), m).collect()}
+    for r in rows:
+        at, value = qualityfm.features(r["text"], r["n_chars"])
+        x, v = value.astype(np.float64), m.v[at].astype(np.float64)
+        inner = (v @ v.T) * np.outer(x, x)
+        margin = m.bias + float((m.w[at] * x).sum()) + float(np.triu(inner, 1).sum())
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-margin))) < 1e-4
 
 
 def test_pair_identity():

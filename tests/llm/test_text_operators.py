@@ -139,6 +139,15 @@ def test_bpe_odd(odd, odd_rows, none):
     assert bpe.digests(bpe.decode(bpe.encode(none, TOKENIZER), TOKENIZER)).count() == 0
 
 
+def test_bpe_partitions_of_equal_texts(spark):
+    """Partitions of one repeated text are chunks of their own, and so groups of their own."""
+    docs = spark.createDataFrame([(k, "the same words again") for k in range(80)], "doc_id long, text string").repartition(8)
+    names = docs.mapInArrow(bpe._positions_of(TOKENIZER, 10**6), "chunk string, key long, positions binary").groupBy("chunk").count().collect()
+    assert len(names) == 8 and sum(r["count"] for r in names) == 80
+    out = bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)).collect()
+    assert len(out) == 80 and len({r["ids_sha256"] for r in out}) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab' \n\t\x0b\x1c\xa0 é1,!<|endoftx>"), max_size=40))
 def test_cuts_keep_ids(text):
