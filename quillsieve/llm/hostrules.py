@@ -9,7 +9,9 @@ Windows of eight words are compared by 64-bit XXH64 values within one text. Meas
 without the text unless it is asked for, since both the host sums and the documents need them.
 
 Defined results: a null or empty text has no words and fails; a table of one host has a prior of strength
-one; repeated rows count repeatedly; an empty table gives an empty result.
+one; a host at the very rate stays; repeated rows count repeatedly; a null id is kept; a text of any length is measured as a
+whole; an empty table gives an empty result; columns that have the name of a result are replaced, all others
+are carried along inside one column, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,13 +40,19 @@ def _after(column: str, k: int = 1) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns of the rules; columns of those names in docs are replaced. Arrays that are read more
-    than once are columns of their own, so that each is computed once a text."""
+    """docs with the columns of the rules; columns of those names in docs are replaced."""
+    carried = [F.col(c) for c in docs.columns if c not in (*MEASURES, "kept")]
+    return _measured(docs, F.struct(*carried), text_col).select("row.*", *MEASURES)
+
+
+def _measured(docs: DataFrame, row: Column, text_col: str, **more: Column) -> DataFrame:
+    """(row, more..., _qr_n_lines, the measures). Arrays that are read more than once are columns of their own, so that
+    each is computed once a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [c for c in docs.columns if c not in (*MEASURES, "kept") and not c.startswith("_qr_")]
+    kept = ["row", *more]
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     n = F.size("_qr_words")
-    step = docs.select(*kept, text.alias("_qr_text"), words_of(text).alias("_qr_words"), lines.alias("_qr_lines"))
+    step = docs.select(row.alias("row"), *[c.alias(name) for name, c in more.items()], text.alias("_qr_text"), words_of(text).alias("_qr_words"), lines.alias("_qr_lines"))
     step = step.select(
         *kept,
         n.alias("_qr_n"),
@@ -99,16 +107,15 @@ def host_verdicts(measured: DataFrame, host: Column, host_rate: float) -> DataFr
 
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_rate: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default), the measures, base_failed and kept."""
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in (*MEASURES, "kept")]
+    carried = [F.col(c) for c in (docs.columns if keep is None else keep) if c not in (*MEASURES, "kept")]
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    measured = measure(docs.withColumn("qrhost", host), text_col).withColumnRenamed("qrhost", "_qr_host")
-    measured = written(measured.select(*carried, "_qr_host", "_qr_n_lines", *MEASURES), "measures")
-    bad = written(host_verdicts(measured, F.col("_qr_host"), host_rate).filter("rejected").select(F.col("host").alias("_qr_host"), F.lit(True).alias("_qr_bad")), "rejected-hosts")
+    measured = _measured(docs, F.struct(*carried) if carried else F.struct(F.lit(0)), text_col, host=host)
+    measured = written(measured.select("row", "host", "_qr_n_lines", *MEASURES), "measures")
+    bad = written(host_verdicts(measured, F.col("host"), host_rate).filter("rejected").select("host", F.lit(True).alias("bad")), "rejected-hosts")
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    joined = measured.join(bad, "_qr_host", "left")
-    joined = joined.withColumn("kept", ~F.col("base_failed") & F.col("_qr_bad").isNull())
-    return joined.drop(*[c for c in joined.columns if c.startswith("_qr_")])
+    joined = measured.join(bad, "host", "left")
+    return joined.select(*(["row.*"] if carried else []), *MEASURES, (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
 
 
 def digests(judged: DataFrame) -> DataFrame:

@@ -58,8 +58,14 @@ def queries():
 
 
 def _host_rules_sql(host_rate: float = 0.5) -> str:
-    """Measures, host sums, moments and verdicts as in hostrules, from its own rules."""
-    rules = {name: rule.replace("_qr_n_lines", "n_lines") for name, rule in hostrules.RULES.items()}
+    """Measures, host sums, moments and verdicts, with the rules spelled out again."""
+    rules = {
+        "short": "n_words < 20",
+        "repetitive": "100 * n_repeat_words > 30 * n_words",
+        "symbols": "10 * n_symbols > word_chars",
+        "duplicate_lines": "2 * n_dup_lines > n_lines",
+        "word_length": "word_chars > 25 * n_words",
+    }
     sums = ", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in rules.items())
     moments = ", ".join(f"avg({name} / n) AS {name}_m, var_pop({name} / n) AS {name}_v" for name in rules)
     strength = "CASE WHEN {0}_v > 0 THEN least(greatest({0}_m * (1 - {0}_m) / {0}_v - 1, 1.0), 1e4) ELSE 1.0 END"

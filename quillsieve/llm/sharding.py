@@ -11,10 +11,14 @@ copies of any size splits and any other stays whole. Then one exchange deals the
 Slots are gapless without a window over a whole shard: rows of a shard go to hash buckets of bounded size,
 and a bucket's offset is the sum of the counts before it.
 
+Shards differ from the mean by half of `whole` at most on either side where groups of equal texts move borders, and
+by `tolerance` where they don't.
+
 Defined results: a null text has size 8 and CRC 0 and lies with the empty texts; a null id hashes as such;
-rows equal in id and text are one indivisible unit with slots of their own; fewer rows than shards leave
-shards empty; an empty table gives an empty result; other columns are carried along (write_shards) or
-ignored.
+rows equal in id and text are one indivisible unit, of one bucket, with slots of their own; fewer rows than
+shards leave shards empty; a text of any length is one row; an empty table gives an empty result; other columns are
+ignored (assign) or carried along whatever their names (write_shards; one named `shard` is written as
+`shard_`, since the folders have that name).
 """
 
 from __future__ import annotations
@@ -25,23 +29,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillsieve.llm.common import shuffle_partitions, written
+from quillsieve.llm.common import free_name, shuffle_partitions, written
 
 STEP = 12
 KEY_BITS = 63
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, text_crc32, _k1 and _k2 (63 bits each)."""
+    """row (all of docs), size, text_crc32, _k1 and _k2 (63 bits each)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    clash = [c for c in docs.columns if c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_k1", "_k2")]
     crc = F.crc32(text.cast("binary"))
-    return docs.drop(*clash).withColumns({
-        "size": (F.octet_length(text) + 8).cast("long"),
-        "text_crc32": crc,
-        "_k1": F.shiftleft(crc, 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text), 33)),
-        "_k2": F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit(4)), 1),
-    })
+    return docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        crc.alias("text_crc32"),
+        F.shiftleft(crc, 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text), 33)).alias("_k1"),
+        F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit(4)), 1).alias("_k2"),
+    )
 
 
 def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.005, whole: float = 0.1) -> list[tuple[int, int]]:
@@ -106,7 +110,7 @@ def shard_of(borders: list[tuple[int, int]]) -> Column:
 def assign(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.005, rows_per_bucket: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     ready = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    rows = written(ready.select("doc_id", "size", "text_crc32", "_k1", "_k2"), "shard-keys")
+    rows = written(ready.select("row.doc_id", "size", "text_crc32", "_k1", "_k2"), "shard-keys")
     placed = rows.withColumn("shard", shard_of(splitters(rows, n_shards, tolerance)))
     buckets = max(8, -(-rows.count() // (n_shards * rows_per_bucket)))
     placed = placed.withColumn("_b", F.pmod(F.xxhash64("_k2", "_k1"), F.lit(buckets)).cast("int"))
@@ -121,7 +125,8 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 24, tolerance: floa
     """Writes whole rows into shard=<i> folders, dealt once; parts of a shard are cut by hash so no task holds a shard."""
     ready = keyed(docs, id_col, text_col)
     keys = written(ready.select("size", "_k1", "_k2"), "shard-keys")
-    placed = ready.withColumn("shard", shard_of(splitters(keys, n_shards, tolerance)))
     p = shuffle_partitions(docs.sparkSession)
+    names = [free_name([*docs.columns, "shard"], "shard") if c.lower() == "shard" else c for c in docs.columns]
     salt = F.pmod(F.xxhash64("_k2", "_k1"), F.lit(max(1, -(-p // n_shards))))
-    placed.repartition(p, "shard", salt).drop("_k1", "_k2").write.partitionBy("shard").parquet(path)
+    placed = ready.select(*[F.col(f"row.`{c}`").alias(n) for c, n in zip(docs.columns, names)], shard_of(splitters(keys, n_shards, tolerance)).alias("shard"), salt.alias(salted := free_name([*names, "shard"], "salt")))
+    placed.repartition(p, "shard", salted).drop(salted).write.partitionBy("shard").parquet(path)

@@ -45,10 +45,27 @@ def test_shards_even(spark):
 
 
 def test_shard_files(odd, odd_rows, spark):
+    """All columns come back as they were; a user's `shard` under another name."""
     path = fresh_path(spark, "shards")
     sharding.write_shards(odd, path, 3)
     back = spark.read.parquet(path)
-    same([(r["doc_id"], r["text"]) for r in back.collect()], [r[:2] for r in odd_rows])
+    names = [c for c in odd.columns if c != "shard"]
+    same(back.select(*names).collect(), odd.select(*names).collect())
+    assert {r["shard_"] for r in back.collect()} == {"clash-shard"} and {r["shard"] for r in back.collect()} <= {0, 1, 2}
+
+
+def test_splitters_against_a_sort(spark):
+    """Each border is the key whose bytes below come nearest to the wanted ones, up to the tolerance, as in a full sort."""
+    docs = spark.createDataFrame([(k, f"text {k} " * (1 + k * 7 % 40)) for k in range(900)], "doc_id long, text string")
+    keys = sharding.keyed(docs).select("size", "_k1", "_k2")
+    rows = sorted((r["_k1"], r["_k2"], r["size"]) for r in keys.collect())
+    total, n = sum(r[2] for r in rows), 7
+    for i, border in enumerate(sharding.splitters(keys, n, tolerance=0.001)):
+        below = sum(s for a, b, s in rows if (a, b) < border)
+        want, sums = total * (i + 1) // n, [0]
+        for r in rows:
+            sums.append(sums[-1] + r[2])
+        assert below in sums and abs(below - want) <= max(min(abs(x - want) for x in sums), 0.001 * total / n, max(r[2] for r in rows))
 
 
 def plain_walk(text):

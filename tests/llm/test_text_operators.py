@@ -174,7 +174,14 @@ def test_host_rules_odd(odd, odd_rows, none):
     measures = [(r[0], *plain_measures(r[1] or "")) for r in odd_rows]
     same([r[:-1] for r in hostrules.digests(judged).collect()], measures)
     assert all(not r["kept"] for r in judged.filter("base_failed").collect())
+    from pyspark.sql import functions as F
+
     assert set(odd.columns) - set(judged.columns) <= set(hostrules.MEASURES)
+    clash = odd.withColumns({c: F.lit(c) for c in ("qrhost", "_qr_host", "_qr_n_lines", "_qr_words", "row", "host", "bad")})
+    again = hostrules.judge(clash)
+    same(hostrules.digests(again).collect(), hostrules.digests(judged).collect())
+    assert again.filter("qrhost <> 'qrhost' or _qr_host <> '_qr_host' or host <> 'host' or row <> 'row' or bad <> 'bad'").isEmpty()
+    assert {"qrhost", "_qr_host", "_qr_n_lines", "_qr_words", "row", "host", "bad"} <= set(again.columns)
     assert hostrules.digests(hostrules.judge(none)).count() == 0
 
 
