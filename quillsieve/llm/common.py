@@ -80,9 +80,8 @@ class BitMap:
     def __init__(self, keys: DataFrame, column: str, bits: int):
         place = F.pmod(F.col(column), F.lit(bits))
         words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("set"))
-        self.data = np.zeros(bits // 64, np.int64)
-        for r in words.collect():  # at most bits / 64 rows
-            self.data[r["word"]] = r["set"]
+        self.data, found = np.zeros(bits // 64, np.int64), words.toArrow()  # at most bits / 64 rows
+        self.data[found.column("word").to_numpy()] = found.column("set").to_numpy()
 
     def column(self, name: str):
         """Column: whether the key may be in the set."""

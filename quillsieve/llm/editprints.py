@@ -9,33 +9,37 @@ has ended. likeness() weighs each sample by the steps it stands for.
 
 Texts walk in lock-step through numpy, some million characters at a time; memory is bounded by the batch.
 
-near_pairs() groups fingerprints by bands of sampled digits of the last three octaves and links all members of a
-band by verified likeness; copies count once.
+near_pairs() groups fingerprints by bands of bit-sampled digits of octaves before the last and links the members
+of a band by verified likeness (buckets.links); copies count once. near_groups() gives their components.
 
 Defined results: a null text is an empty one (fingerprint of zeros, likeness 1 to another empty text); a
-null id sorts last; equal ids go by text; repeated rows follow each other; other columns are ignored; an
-empty table gives an empty result. The only document of a table is its own next one.
+null id sorts last; equal ids go by the XXH64 of their texts; repeated rows follow each other; other columns are ignored; an
+empty table gives an empty result. The only document of a table is its own next one. A group has no id if no
+document of it has one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import shuffle_partitions, written
+from quillsieve.llm import buckets
+from quillsieve.llm.common import shuffle_partitions, small_batches, written
+from quillsieve.llm.simhash import components
 
 SEED = 20240229
 PERIOD = 4096
 PER_OCTAVE = 32
 FEW = 6
-#: Members of a band up to which one task compares them.
-MOST = 1024
+_BACK = bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
 
 
 @lru_cache(maxsize=1)
@@ -154,29 +158,34 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(weight[either & (x == y)].sum() / total) if total else 1.0
 
 
-def _bucket_of(firsts: list[int]):
-    """For an id: 2 * its bucket, and for the first id of a bucket also 2 * the bucket before + 1."""
-    borders = np.array(firsts, np.int64)
+def _dealt(borders: list[tuple]):
+    """(code, doc_id, hash, packed text): code is 2 * the bucket, and the first rows of a bucket also go to the bucket
+    before, with 2 * that + 1. borders: the least (no id, id, hash of the text) of each bucket, in order."""
+    n = len(borders)
 
-    @F.pandas_udf("array<int>")
-    def buckets(ids: pd.Series) -> pd.Series:
-        n = len(borders)
-        known = ids.notna().to_numpy()
-        values = ids.fillna(0).to_numpy().astype(np.int64)
-        b = np.maximum(np.searchsorted(borders, values, side="right") - 1, 0)
-        b[~known] = max(n - 1, 0)
-        first = known & (n > 1) & (borders[b] == values if n else False)
-        return pd.Series([[2 * x, 2 * ((x - 1) % n) + 1] if f else [2 * x] for x, f in zip(b.tolist(), first.tolist())])
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in small_batches(batches):
+            out = []
+            for key, h, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                place = (key is None, key or 0, h)
+                b, packed = max(bisect_right(borders, place) - 1, 0), pack.compress((text or "").encode())
+                out.append((2 * b, key, h, packed))
+                if n > 1 and borders[b] == place:
+                    out.append((2 * ((b - 1) % n) + 1, key, h, packed))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["code", "doc_id", "hash", "packed"])
 
-    return buckets
+    return run
 
 
 def _pairs(batches):
     """(id, text, text of the next document) in order; rows come sorted by bucket, those of the next bucket last."""
     bucket, first, last, closed = None, None, None, False
-    for batch in batches:
-        for code, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            text = text or ""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in small_batches(batches):
+        for code, key, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            text = unpack.decompress(packed).decode()
             if code >> 1 != bucket:
                 if last and not closed:
                     yield (*last, first[1])
@@ -229,76 +238,74 @@ def _prints(batch_chars: int):
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
     """Fingerprints of each text and of its edit with the next document, and their likeness.
 
-    Texts move once, into buckets of neighbouring ids; the first document of a bucket also goes to the
-    bucket before it, where it is the next one of the last."""
+    Texts move once, packed, into buckets of neighbouring documents; the first document of a bucket also goes to
+    the bucket before it, where it is the next one of the last."""
     p = shuffle_partitions(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = source.select("doc_id").filter("doc_id is not null").repartitionByRange(4 * p, "doc_id")
-    firsts = sorted(r[0] for r in ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("id")).select("id").collect())  # one a partition
-    placed = source.select(F.explode(_bucket_of(firsts)("doc_id")).alias("code"), "doc_id", "text").withColumn("bucket", F.shiftright("code", 1))
-    dealt = placed.repartition(p, "bucket").sortWithinPartitions("code", F.col("doc_id").asc_nulls_last(), "text")
-    return dealt.select("code", "doc_id", "text").mapInArrow(_prints(batch_chars), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _band_links(least: float):
-    """Links (a, b, likeness) between members of a band; rows come sorted by band, then by id."""
-    back = bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
-
-    def links(members):
-        top, out = list(range(len(members))), []
-
-        def root(x):
-            while top[x] != x:
-                top[x] = x = top[top[x]]
-            return x
-
-        for k, (b, y) in enumerate(members):
-            # heads of groups first, then the members of groups not reached yet
-            for j in sorted(range(k), key=lambda j: top[j] != j):
-                if root(j) != root(k) and (alike := likeness(members[j][1], y)) >= least:
-                    out.append((members[j][0], b, alike))
-                    x, z = root(j), root(k)
-                    top[max(x, z)] = min(x, z)
-        return out
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text"))
+    place = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("hash")]
+    ranged = source.select(*[c.alias(n) for c, n in zip(place, ("none", "id", "hash"))]).repartitionByRange(4 * p, "none", "id", "hash")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("none", "id", "hash")).alias("first")).collect()  # one a partition
+    borders = sorted(tuple(r["first"]) for r in firsts)
+    dealt = source.mapInArrow(_dealt(borders), "code int, doc_id long, hash long, packed binary").withColumn("bucket", F.shiftright("code", 1))
+    dealt = dealt.repartition(p, "bucket").sortWithinPartitions("code", F.col("doc_id").asc_nulls_last(), "hash")
+    return dealt.select("code", "doc_id", "packed").mapInArrow(_prints(batch_chars), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _banded(nodes: DataFrame, bands: int, digits: int) -> DataFrame:
+    """(token, node): hashes of `digits` sampled digits, `bands` times in each of the two octaves before the last; the
+    last one is cut short by the text's end, and lengths about a power of two share one of the others."""
+    rng, keys = np.random.default_rng(SEED), []
+    kept = [sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist()) for _ in range(bands)]
+    for back in (2, 3):
+        octave = F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - back).cast("int")
+        for band, places in enumerate(kept):
+            picked = [F.substring("print", octave * PER_OCTAVE + F.lit(i + 1), F.lit(1)) for i in places]
+            keys.append(F.xxhash64(octave, F.lit(band), *picked))
+    return nodes.select("node", F.explode(F.array_distinct(F.array(*keys))).alias("token"))
 
+
+def _alike(least: float):
     def run(batches):
-        band, members = None, []
-
-        def flush():
-            out = links(members)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
-
-        for batch in batches:
-            for key, name, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if key != band:
-                    if len(members) > 1:
-                        yield flush()
-                    band, members = key, []
-                members.append((name, text.encode().translate(back)))
-        if len(members) > 1:
-            yield flush()
+        for batch in small_batches(batches):
+            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
+            found = [(i, j, alike) for i, j, p, q in zip(a, b, x, y) if (alike := likeness(p.encode().translate(_BACK), q.encode().translate(_BACK))) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
 
     return run
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
+def _near_nodes(prints: DataFrame, least: float, bands: int, digits: int, id_col: str, print_col: str, small: int) -> tuple[DataFrame, DataFrame]:
+    """(node, print, id) of the distinct fingerprints, and verified links (a, b, likeness) of nodes."""
+    nodes = prints.groupBy(F.xxhash64(print_col).alias("node")).agg(F.max(print_col).alias("print"), F.min(id_col).alias("id"))
+    nodes = written(nodes, "prints")
+    banded = _banded(nodes, bands, digits)
+    again = written(banded.groupBy("token").count().filter("count > 1").select("token"), "shared-bands")
+    live = written(banded.join(again, "token", "left_semi").select("token", "node", F.lit(0).alias("size"), F.lit(0).alias("at")), "band-members")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("print").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("print").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long, likeness double"), "alike")
+
+    return nodes, buckets.links(live, verify, F.lit(True), small=small)
+
+
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 12, digits: int = 6, id_col: str = "doc_id", print_col: str = "fingerprint", small: int = buckets.SMALL) -> DataFrame:
     """(a, b, likeness): pairs of smallest ids of equal fingerprints that share a band of bit-sampled digits. They
-    connect all members of a band whose likeness, verified on the whole fingerprints, is at least `least`. A band
-    of more than MOST members is cut into parts, and each two parts meet in a task of their own."""
-    nodes = written(prints.groupBy(F.col(print_col).alias("print")).agg(F.min(id_col).alias("id")), "prints")
-    rng, kept = np.random.default_rng(SEED), []
-    keys = []
-    for back in (2, 3, 1):  # the last octaves, so that lengths about a power of two share two of them
-        octave = F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - back).cast("int")
-        for band in range(bands // 2):
-            if back == 2:
-                kept.append(sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist()))
-            picked = [F.substring("print", octave * PER_OCTAVE + F.lit(i + 1), F.lit(1)) for i in kept[band]]
-            keys.append(F.concat_ws("", octave.cast("string"), F.lit(f":{band}:"), *picked))
-    banded = nodes.select("id", "print", F.explode(F.array_distinct(F.array(*keys))).alias("band"))
-    parts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / MOST).cast("int").alias("parts"))
-    placed = banded.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task = F.concat_ws("/", "band", F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
-    dealt = met.select(task.alias("band"), "id", "print").repartition(shuffle_partitions(prints.sparkSession), "band").sortWithinPartitions("band", F.col("id").asc_nulls_last(), "print")
-    return dealt.mapInArrow(_band_links(least), "a long, b long, likeness double").distinct()
+    connect all members of a band whose likeness, verified on the whole fingerprints, is at least `least`."""
+    nodes, links = _near_nodes(prints, least, bands, digits, id_col, print_col, small)
+    named = nodes.select("node", "id")
+    both = links.join(named.withColumnsRenamed({"node": "a", "id": "x"}), "a").join(named.withColumnsRenamed({"node": "b", "id": "y"}), "b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
+
+
+def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 12, digits: int = 6, id_col: str = "doc_id", print_col: str = "fingerprint", small: int = buckets.SMALL) -> DataFrame:
+    """prints with near_id, the smallest id that a document reaches over equal fingerprints and verified pairs, and
+    n_near, the number of distinct fingerprints of that group."""
+    nodes, links = _near_nodes(prints, least, bands, digits, id_col, print_col, small)
+    labels = components(links)
+    named = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    groups = named.groupBy("label").agg(F.min("id").alias("near_id"), F.count(F.lit(1)).alias("n_near"))
+    found = named.join(groups, "label").select("node", "near_id", "n_near")
+    return prints.join(found, F.xxhash64(print_col) == F.col("node")).select(*prints.columns, "near_id", "n_near")

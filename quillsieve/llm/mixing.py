@@ -137,7 +137,7 @@ def prepare(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col
     sized = written(sized, "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
     named = written(sums.withColumn("place", F.monotonically_increasing_id()), "sources")
-    numbers = named.select("place", "source_size").toPandas().sort_values("place", ignore_index=True)  # two numbers a source
+    numbers = named.select("place", "source_size").toArrow().to_pandas().sort_values("place", ignore_index=True)  # two numbers a source
     sizes = numbers["source_size"].to_numpy(np.int64)
     numbers["target"] = targets(sizes, np.resize(np.array(weights, np.float64), len(sizes)), most)
     plan = Plan(sizes, numbers["target"], slots)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, repeats, sharding, simhash, warc
-from quillsieve.llm.common import table
+from quillsieve.llm.common import table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,7 +38,8 @@ def op6_host_rules(spark, sf_dir):
 
 
 def op7_edit_fingerprints(spark, sf_dir):
-    return editprints.compare_with_next(table(spark, sf_dir, "documents"))
+    prints = written(editprints.compare_with_next(table(spark, sf_dir, "documents")), "edit-prints")
+    return editprints.near_groups(prints)
 
 
 def op8_warc(spark, sf_dir):

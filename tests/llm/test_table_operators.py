@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillsieve.llm import editprints, mixing, qualityfm, sharding, warc
@@ -99,7 +100,11 @@ def test_walk():
 
 
 def test_next_odd(odd, odd_rows, none):
-    rows = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    def place(text):
+        n = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        return n - (1 << 64) if n >> 63 else n
+
+    rows = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0, place(r[1])))
     expected = []
     for k, r in enumerate(rows):
         text, after = r[1] or "", rows[(k + 1) % len(rows)][1] or ""
@@ -121,10 +126,9 @@ def test_near_pairs(spark):
     assert {(k, 100 + k) for k in range(20) if found[k] != found[100 + k]} == pairs  # equal fingerprints are one node
 
 
-@pytest.mark.parametrize("most", [1024, 4])
-def test_near_pairs_of_mixed_bands(spark, monkeypatch, most):
+@pytest.mark.parametrize("small", [32, 4])
+def test_near_pairs_of_mixed_bands(spark, small):
     """Texts that share their first part and differ in the rest head the bands of families they aren't part of."""
-    monkeypatch.setattr(editprints, "MOST", most, raising=False)
     rng = np.random.default_rng(6)
     say = lambda n: "".join(rng.choice(list("abcdefghij "), n))
     opening, rows = say(1100), []
@@ -142,12 +146,14 @@ def test_near_pairs_of_mixed_bands(spark, monkeypatch, most):
             top = {k: min(x, y) if t in (x, y) else t for k, t in top.items()}
         return top
 
-    found = editprints.near_pairs(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()
+    table = spark.createDataFrame(prints, "doc_id long, fingerprint string")
+    found = editprints.near_pairs(table, small=small).collect()
     assert all(r["likeness"] == editprints.likeness(raw[r["a"]], raw[r["b"]]) >= 0.8 for r in found)
     first = {p: min(k for k, q in prints if q == p) for _, p in prints}
     copies = [(first[p], k) for k, p in prints if first[p] != k]  # equal fingerprints are one node
     expected = groups([(a, b) for a in raw for b in raw if a < b and editprints.likeness(raw[a], raw[b]) >= 0.8])
     assert groups([(r["a"], r["b"]) for r in found] + copies) == expected
+    assert {r["doc_id"]: r["near_id"] for r in editprints.near_groups(table, small=small).collect()} == expected
     assert len(set(expected.values())) > 4 and copies != [(a, b) for a, b in expected.items() if a != b]
 
 

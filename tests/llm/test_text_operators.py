@@ -279,6 +279,15 @@ def near_texts():
     return [*texts, *chain, None, "", "one two", "One  two", "one two three"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 700), st.integers(0, 150), st.integers(0, 150))
+def test_sketches_reject_no_similar_pair(seed, shared, more, other):
+    x, y, z = (np.random.default_rng([seed, k]).integers(-(2**63), 2**63, n) for k, n in enumerate((shared, more, other)))
+    a, b = np.unique(np.concatenate([x, y])), np.unique(np.concatenate([x, z]))
+    if shingles.similar(a, b):
+        assert shingles.may_be_similar(shingles.sketch(a), shingles.sketch(b), len(a) + len(b))
+
+
 @pytest.mark.parametrize("small", [32, 1])
 def test_shingle_groups(spark, small):
     texts = near_texts()
