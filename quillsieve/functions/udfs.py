@@ -15,19 +15,18 @@ from quillsieve.functions.text import curated_integer
 _BOXED = re.compile(r"\\boxed\s*\{")
 
 
-def braced(text: str, start: int) -> str | None:
-    """What the brace at `start` encloses, or null if it never closes."""
-    depth = 0
-    for m in re.finditer(r"[{}]", text[start:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return text[start + 1 : start + m.start()]
-    return None
-
-
 def boxed_in(text: str | None) -> list[str]:
-    """Every closed \\boxed{...}, nested ones too."""
-    return [v for m in _BOXED.finditer(text or "") if (v := braced(text, m.end() - 1)) is not None]
+    """What every closed \\boxed{...} holds, nested ones too, in order of their beginning; one pass over the text."""
+    text, out, opened = text or "", {}, []
+    if "\\boxed" not in text:
+        return []
+    begins = {m.end() - 1 for m in _BOXED.finditer(text)}
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened and (start := opened.pop()) in begins:
+            out[start] = text[start + 1 : m.start()]
+    return [out[k] for k in sorted(out)]
 
 
 def boxed_values(c: Column) -> Column:

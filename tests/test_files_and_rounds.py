@@ -101,6 +101,53 @@ def test_program_runs():
     assert status == "error" and "ZeroDivisionError" in err
     assert R.run_program("import socket\nsocket.socket()", 20)[0] == "error"
     assert R.run_program("while True: pass", 0.5)[0] == "timeout"
+    for code in ("import socket\nsocket.create_connection(('127.0.0.1', 9))", "import urllib.request\nurllib.request.urlopen('http://127.0.0.1:9')", "import os\nos.system('true')", "import subprocess\nsubprocess.run(['true'])"):
+        status, _, err = R.run_program(code, 20)
+        assert status == "error" and "not allowed" in err
+    assert R.run_program("import sys\nsys.exit(3)", 20)[0] == "error"
+    assert R.run_program("print('x' * 9_000_000 + 'end')", 20)[1] == "x" * 1996 + "end\n"
+    assert R.run_program("open('big', 'wb').write(bytes(10**8))", 20)[0] == "error"
+
+
+def test_programs_leave_nothing_running(tmp_path):
+    """What a program forks ends with it, in time or not."""
+    import time
+
+    for after, status in (("", "ok"), ("time.sleep(60)", "timeout")):
+        mark = tmp_path / f"alive-{status}"
+        code = f"import os, time\nif not os.fork():\n    time.sleep(3)\n    open({str(mark)!r}, 'w')\n    os._exit(0)\n{after}"
+        assert R.run_program(code, 1.5)[0] == status
+        time.sleep(3)
+        assert not mark.exists()
+
+
+def test_http_provider():
+    """Texts in order of index, cut ones marked, a refused request is an overflow."""
+    import json
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            code, answer = 200, {"choices": [{"index": 1, "message": {"content": None}, "finish_reason": "length"}, {"index": 0, "message": {"content": f"{asked['seed']} {self.path}"}, "finish_reason": "stop"}], "usage": {"completion_tokens": 10}}
+            if asked["max_tokens"] > 600:
+                code, answer = 400, {"error": "maximum context length"}
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    provider = R.HttpProvider(f"http://127.0.0.1:{server.server_port}/v1/", "m", timeout=10)
+    expected = [("4 /v1/chat/completions", 5, False), ("", 5, True)]
+    assert provider.generate([{"role": "user", "content": "?"}], 2, 500, 4) == expected
+    assert R.call_with_backoff(provider, [{"role": "user", "content": "?"}], 3, 2000, 4) == [*expected, ("", 0, False)]
+    assert R.call_with_backoff(provider, [{"role": "user", "content": "?"}], 1, 20000, 4) == [("", 0, False)]
+    server.shutdown()
 
 
 class Narrow:
