@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,14 +83,27 @@ class BitMap:
         self.data, found = np.zeros(bits // 64, np.int64), words.toArrow()  # at most bits / 64 rows
         self.data[found.column("word").to_numpy()] = found.column("set").to_numpy()
 
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be in the set."""
+        at = np.mod(keys, len(self.data) * 64).astype(np.uint64)
+        return (self.data.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows whose key may be in the set, for tables of numbers."""
+        k = df.columns.index(column)
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(self(batch.column(k).to_numpy())))
+
+        return df.mapInArrow(run, df.schema)
+
     def column(self, name: str):
-        """Column: whether the key may be in the set."""
-        words = self.data.view(np.uint64)
+        """Column: whether the key may be in the set; only the keys go to Python."""
 
-        @F.pandas_udf("boolean")
-        def maybe(keys: pd.Series) -> pd.Series:
-            at = np.mod(keys.to_numpy(), len(words) * 64).astype(np.uint64)
-            return pd.Series((words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+        @F.arrow_udf("boolean")
+        def maybe(keys: pa.Array) -> pa.Array:
+            return pa.array(self(keys.to_numpy()))
 
         return maybe(F.col(name))
 
@@ -98,8 +111,6 @@ class BitMap:
 def small_batches(batches, rows: int = 500):
     """Record batches of few rows, so that texts become Python objects a few at a time; unused Arrow memory
     goes back in between, since idle workers keep their processes."""
-    import pyarrow as pa
-
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)

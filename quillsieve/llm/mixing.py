@@ -21,10 +21,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillsieve.llm.common import WORD, count_words, free_name, shuffle_partitions, written
@@ -142,7 +142,7 @@ def prepare(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col
     numbers["target"] = targets(sizes, np.resize(np.array(weights, np.float64), len(sizes)), most)
     plan = Plan(sizes, numbers["target"], slots)
     numbers["blocks"], numbers["source_no"] = plan.blocks, np.arange(len(sizes), dtype=np.int32)
-    known = spark.createDataFrame(numbers if len(numbers) else pd.DataFrame([], columns=numbers.columns), "place long, source_size long, target double, blocks long, source_no int")
+    known = spark.createDataFrame(numbers if len(numbers) else [], "place long, source_size long, target double, blocks long, source_no int")
     sources = named.drop("source_size").join(known, "place").drop("place")
     return sized, sources, plan
 
@@ -191,6 +191,11 @@ def _first_words(text: str, n: int) -> str:
     return text
 
 
+@F.arrow_udf(T.StringType())
+def _shortened(texts: pa.Array, n: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _first_words(t, k) for t, k in zip(texts.to_pylist(), n.to_pylist())], pa.string())
+
+
 def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as the mix takes them: each whole pass over a document gives a copy of its row. Blocks are taken from the
     first one on, so a pass that ends at a block's border has the first words of one document: a row of these
@@ -207,17 +212,16 @@ def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
     times = mixed.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     some = some.join(times, F.col(new["id"]).eqNullSafe(F.col("i")) & F.col(new["key"]).eqNullSafe(F.col("k")), "left").withColumn(new["n"], F.coalesce("times", F.lit(1))).drop("i", "k", "times")
     rows = docs.join(some, F.col(id_col).eqNullSafe(F.col(new["id"])) & (F.xxhash64(F.col(text_col)) == F.col(new["key"])))
-    once, again = rows.filter(F.col(new["n"]) == 1), rows.filter(F.col(new["n"]) > 1)
-    every = F.struct(*[F.col(c) for c in rows.columns])
-    again = again.groupBy(new["id"], new["key"]).agg(F.min_by(every, F.to_json(every)).alias("r")).select("r.*")
-    rows = once.unionByName(again)
+    if not times.isEmpty():
+        once, again = rows.filter(F.col(new["n"]) == 1), rows.filter(F.col(new["n"]) > 1)
+        every = F.struct(*[F.col(c) for c in rows.columns])
+        again = again.groupBy(new["id"], new["key"]).agg(F.min_by(every, F.to_json(every)).alias("r")).select("r.*")
+        rows = once.unionByName(again)
     passes = F.sequence(F.lit(1).cast("long"), F.col(new["whole"]) + F.size(new["parts"]))
     rows = rows.withColumn(new["pass"], F.explode(passes)).withColumn(new["cut"], F.col(new["pass"]) > F.col(new["whole"]))
     words = F.element_at(new["parts"], (F.col(new["pass"]) - F.col(new["whole"])).cast("int"))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_first_words(t, k) for t, k in zip(texts, n)], dtype=object)
-
-    ended = rows.filter(F.col(new["cut"])).withColumn(text_col, cut(F.col(text_col), words))
-    return rows.filter(~F.col(new["cut"])).select(*docs.columns).unionByName(ended.select(*docs.columns))
+    # only texts that are cut go to Python
+    cut = F.col(new["cut"])
+    short = _shortened(F.when(cut, F.col(text_col)), F.when(cut, words))
+    return rows.withColumn(text_col, F.when(cut, short).otherwise(F.col(text_col))).select(*docs.columns)
