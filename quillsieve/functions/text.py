@@ -199,9 +199,14 @@ def training_messages(question: Column, solution: Column, answer: Column, prompt
     return messages(("system", F.lit(prompt)), ("user", strip(question)), ("assistant", F.concat(body, F.lit("\n\nFinal answer: "), answer)))
 
 
-def flatten_completion(turns: Column) -> Column:
-    """The contents of an array of turns, one a line; a null content is empty."""
-    return F.array_join(F.transform(turns, lambda t: F.coalesce(t["content"], F.lit(""))), "\n")
+def flatten_completion(completion: Column, kind: str = "array") -> Column:
+    """The text of a completion: of an array of turns the contents, one a line, of a single turn (`struct`) its
+    content, of a `string` itself. A null content is empty."""
+    if kind == "string":
+        return F.coalesce(completion, F.lit(""))
+    if kind == "struct":
+        return F.coalesce(completion["content"], F.lit(""))
+    return F.array_join(F.transform(completion, lambda t: F.coalesce(t["content"], F.lit(""))), "\n")
 
 
 def prompt(style: Column) -> Column:

@@ -5,12 +5,23 @@ Rows carry `ord`, their place in the input; no result depends on the order of fi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillsieve.functions import text as T
 from quillsieve.functions.udfs import sequence_at_least
+from quillsieve.operators import checks
+
+
+def free_name(columns, name: str) -> str:
+    """A column name that no column has, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shingle_pairs(left: DataFrame, right: DataFrame, width: int = 5) -> DataFrame:
@@ -22,17 +33,40 @@ def shingle_pairs(left: DataFrame, right: DataFrame, width: int = 5) -> DataFram
     return a.join(b, "shingle").select("left_id", "right_id").distinct()
 
 
-def near_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, sequences: bool = True, min_jaccard: float = 0.85, min_ratio: float = 0.80, sequence_ratio: float = 0.92, sequence_length: float = 0.85) -> DataFrame:
-    """(left_id, right_id, jaccard, ratio, kind): pairs near by tokens, or else by character sequence."""
-    texts = pairs.join(left.select(F.col("id").alias("left_id"), F.col("text").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("text").alias("b")), "right_id")
-    texts = texts.withColumns({"ta": T.tokens(F.col("a")), "tb": T.tokens(F.col("b"))})
+def prefix_pairs(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
+    """(left_id, right_id): candidates for a Jaccard similarity of token sets of at least `least`, and none that reach it
+    is lost: with all tokens ordered from rare to frequent, two such sets share one of their first
+    n - ceil(least * n) + 1. Frequent tokens so make no pairs."""
+    sets = [side.select(F.col("id").alias(name), F.array_distinct(T.tokens(F.col("text"))).alias("set")).filter("size(set) > 0") for side, name in ((left, "left_id"), (right, "right_id"))]
+    freq = reduce(DataFrame.unionByName, [s.select(F.explode("set").alias("token")) for s in sets]).groupBy("token").count()
+
+    def prefix(side: DataFrame, name: str) -> DataFrame:
+        ranked = side.select(name, F.size("set").alias("n"), F.explode("set").alias("token")).join(freq, "token")
+        order = ranked.groupBy(name).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))  # bounded by the text
+        keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+        return order.select(name, "n", F.explode(F.slice("order", F.lit(1), keep)).alias("t")).select(name, F.col("n").alias(f"{name}_n"), F.col("t.token").alias("token"))
+
+    both = prefix(sets[0], "left_id").join(prefix(sets[1], "right_id"), "token")
+    lengths = F.least("left_id_n", "right_id_n") >= F.lit(least) * F.greatest("left_id_n", "right_id_n") - 1e-9
+    return both.filter(lengths).select("left_id", "right_id").distinct()
+
+
+def near_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, sequences: bool = True, min_jaccard: float = 0.85, min_ratio: float = 0.80, sequence_ratio: float = 0.92, sequence_length: float = 0.85, shared_width: int | None = None) -> DataFrame:
+    """(left_id, right_id, jaccard, ratio, kind): pairs near by tokens, or else by character sequence. shared_width: of
+    pairs that weren't found by shingles, only those that share a shingle of so many words."""
+    # tokens are made once a text; they are also its normalised form
+    a = left.select(F.col("id").alias("left_id"), T.tokens(F.col("text")).alias("ta"))
+    b = right.select(F.col("id").alias("right_id"), T.tokens(F.col("text")).alias("tb"))
+    texts = pairs.join(a, "left_id").join(b, "right_id")
     ta, tb = F.col("ta"), F.col("tb")
     scored = texts.withColumns({"jaccard": T.jaccard(F.array_distinct(ta), F.array_distinct(tb)), "ratio": T.length_ratio(ta, tb)})
     by_token = (F.col("jaccard") >= min_jaccard) & (F.col("ratio") >= min_ratio)
     near = scored.filter(by_token).withColumn("kind", F.lit("near_token"))
+    if shared_width:
+        near = near.filter(F.arrays_overlap(T.shingles(ta, shared_width), T.shingles(tb, shared_width)))
     if sequences:
         rest = scored.filter(~by_token & (F.col("ratio") >= sequence_length))
-        reached = sequence_at_least(sequence_ratio)(T.normalized(F.col("a")), T.normalized(F.col("b")))
+        reached = sequence_at_least(sequence_ratio)(F.array_join("ta", " "), F.array_join("tb", " "))
         near = near.unionByName(rest.filter(reached).withColumn("kind", F.lit("near_sequence")))
     return near.select("left_id", "right_id", "jaccard", "ratio", "kind")
 
@@ -62,16 +96,19 @@ def rejection(rows: DataFrame, rules: list[tuple[str, Column]], norm: Column, ex
     """Adds norm and rejection. A row is `external_duplicate` if its text is excluded or an earlier row of it was
     accepted; that rule is judged first, but a rejected copy doesn't block a later one. The first accepted place
     of a text is an aggregate, so copies of one text never meet in a window."""
-    judged = rows.withColumns({"norm": norm, "_failed": first_failure(rules)}).withColumn("_key", T.text_key(F.col("norm")))
-    known = F.lit(False)
-    if excluded is not None:
-        keys = excluded.select(T.text_key(F.col("norm")).alias("_key")).distinct().withColumn("_known", F.lit(True))
-        judged, known = judged.join(keys, "_key", "left"), F.coalesce("_known", F.lit(False))
-    judged = judged.withColumn("_known", known)
-    first = judged.filter(F.col("_failed").isNull() & ~F.col("_known")).groupBy("_key").agg(F.min(ord_col).alias("_first"))
-    joined = judged.join(first, "_key", "left")
-    again = F.col("_known") | (F.col(ord_col) > F.col("_first"))
-    return joined.withColumn("rejection", F.when(F.coalesce(again, F.lit(False)), "external_duplicate").otherwise(F.col("_failed"))).drop("_failed", "_known", "_first", "_key")
+    # norm and rejection are results; what is needed on the way gets names that rows don't have
+    kept = [c for c in rows.columns if c not in ("norm", "rejection")]
+    key, failed, known, first = (free_name(rows.columns, f"_{n}") for n in ("key", "failed", "known", "first"))
+    judged = rows.select(*kept, norm.alias("norm"), first_failure(rules).alias(failed)).withColumn(key, T.text_key(F.col("norm")))
+    if excluded is None:
+        judged = judged.withColumn(known, F.lit(False))
+    else:
+        keys = excluded.select(T.text_key(F.col("norm")).alias(key)).distinct().withColumn(known, F.lit(True))
+        judged = judged.join(keys, key, "left").withColumn(known, F.coalesce(known, F.lit(False)))
+    firsts = judged.filter(F.col(failed).isNull() & ~F.col(known)).groupBy(key).agg(F.min(ord_col).alias(first))
+    joined = judged.join(firsts, key, "left")
+    again = F.coalesce(F.col(known) | (F.col(ord_col) > F.col(first)), F.lit(False))
+    return joined.select(*kept, "norm", F.when(again, "external_duplicate").otherwise(F.col(failed)).alias("rejection"))
 
 
 def first_accepted(rows: DataFrame, norm: Column, ok: Column, ord_col: str = "ord") -> DataFrame:
@@ -101,13 +138,22 @@ def apportion(quotas: dict[str, int], n: int) -> dict[str, int]:
     return out
 
 
+#: Rows of a small table up to which it is broadcast.
+SMALL_TABLE = 100_000
+
+
+def _maybe_broadcast(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SMALL_TABLE else table
+
+
 def quota_sample(rows: DataFrame, key: str, quotas: DataFrame, score: Column, ord_col: str) -> DataFrame:
     """The `quota` rows of least score of each stratum. quotas: (key, quota), one row a stratum. The rank
     filter becomes a group limit before the shuffle, so no stratum is sorted as a whole."""
-    ranked = rows.withColumn("_score", score).join(F.broadcast(quotas), key)
+    own, rank, most = (free_name(rows.columns, n) for n in ("_score", "_place", "_quota"))
+    ranked = rows.withColumn(own, score).join(_maybe_broadcast(quotas.select(key, F.col("quota").alias(most))), key)
     largest = quotas.agg(F.max("quota")).first()[0] or 0  # one number
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_score", ord_col))
-    return ranked.withColumn("_place", place).filter((F.col("_place") <= largest) & (F.col("_place") <= F.col("quota"))).drop("_place", "_score", "quota")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(own, ord_col))
+    return ranked.withColumn(rank, place).filter((F.col(rank) <= largest) & (F.col(rank) <= F.col(most))).select(*rows.columns)
 
 
 def short_strata(rows: DataFrame, key: str, quotas: DataFrame) -> DataFrame:
@@ -118,7 +164,8 @@ def short_strata(rows: DataFrame, key: str, quotas: DataFrame) -> DataFrame:
 
 def bottom_k(rows: DataFrame, score: Column, k: int, *ties: str) -> DataFrame:
     """The k rows of least score: a top-k plan, no full sort."""
-    return rows.withColumn("_score", score).orderBy("_score", *ties).limit(k).drop("_score")
+    own = free_name(rows.columns, "_score")
+    return rows.withColumn(own, score).orderBy(own, *ties).limit(k).drop(own)
 
 
 def hash_split(rows: DataFrame, key: Column, ratio: float, excluded: DataFrame | None = None, id_col: str = "id") -> DataFrame:
@@ -129,8 +176,31 @@ def hash_split(rows: DataFrame, key: Column, ratio: float, excluded: DataFrame |
 
 def replicate(rows: DataFrame, key: str, repeats: DataFrame, default: int = 1) -> DataFrame:
     """Each row as often as its key's `repeats` say, with training_repeat from 1; ids after the first get a suffix."""
-    times = rows.join(F.broadcast(repeats), key, "left").withColumn("_times", F.coalesce("repeats", F.lit(default)))
-    return times.withColumn("training_repeat", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times", "repeats")
+    times = free_name([*rows.columns, "training_repeat"], "_times")
+    known = rows.join(_maybe_broadcast(repeats.select(key, F.col("repeats").alias(times))), key, "left")
+    count = F.coalesce(F.col(times), F.lit(default)).cast("int")
+    return known.select(*[c for c in rows.columns if c != "training_repeat"], F.explode(F.sequence(F.lit(1), count)).alias("training_repeat"))
+
+
+def repeated_ids(*parts: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, n, kind) of ids that parts have more than once: `identical` copies, or `conflicting` ones, whose rows differ."""
+    digest = [F.xxhash64(F.to_json(F.struct(*sorted(p.columns)), {"ignoreNullFields": "false"})) for p in parts]
+    every = reduce(DataFrame.unionByName, [p.select(F.col(id_col).alias("id"), d.alias("digest")) for p, d in zip(parts, digest)])
+    per = every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    return per.filter("n > 1").select("id", "n", F.when(F.col("low") == F.col("high"), "identical").otherwise("conflicting").alias("kind"))
+
+
+def merge(parts: list[DataFrame], key: str, repeats: DataFrame, length: Column | None = None, limit: int | None = None, id_col: str = "id") -> DataFrame:
+    """Rows of all parts, each as often as its key's repeats say. Ids must be unique over all parts, keys of the repeats
+    known, and texts within the limit; conflicting copies are named before identical ones."""
+    again = repeated_ids(*parts, id_col=id_col)
+    checks.require_empty(again.filter("kind = 'conflicting'"), "conflicting rows of one id")
+    checks.require_empty(again, "ids more than once")
+    rows = reduce(DataFrame.unionByName, parts)
+    if limit is not None:
+        checks.require_empty(checks.too_long(rows, length, limit).select(id_col), f"rows longer than {limit}")
+    checks.require_empty(checks.unknown_keys(repeats, rows.select(key).distinct(), key), f"unknown values of {key}")
+    return replicate(rows, key, repeats)
 
 
 def band_pool(pool: DataFrame, screened: DataFrame, training: DataFrame, low: int, high: int) -> DataFrame:
@@ -141,7 +211,8 @@ def band_pool(pool: DataFrame, screened: DataFrame, training: DataFrame, low: in
 
 def length_order(rows: DataFrame, length: Column, partitions: int) -> DataFrame:
     """Rows grouped by length over partitions, longest first."""
-    return rows.withColumn("_length", length).repartitionByRange(partitions, F.col("_length").desc()).sortWithinPartitions(F.col("_length").desc()).drop("_length")
+    own = free_name(rows.columns, "_length")
+    return rows.withColumn(own, length).repartitionByRange(partitions, F.col(own).desc()).sortWithinPartitions(F.col(own).desc()).drop(own)
 
 
 def last_write(rows: DataFrame, ord_col: str = "ord", id_col: str = "id") -> DataFrame:

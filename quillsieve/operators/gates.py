@@ -48,6 +48,16 @@ def pool_gate(current: Column, votes: Column, nrisky: Column, low_pick: Column,
     return override(low, middle_pick, middle)
 
 
+def tool_gate(current: Column, votes: Column, nrisky: Column, low: tuple[Column, Column], middle: tuple[Column, Column], risky_bands: tuple[str, ...] = (), config: ChainConfig = ChainConfig()) -> Column:
+    """Tool answers of the low and the middle band. Of a pair of picks the first has the band's usual least number of
+    votes; the second, of any number, is taken in the risky form of a band, where some sample must be risky."""
+    n, risk = F.coalesce(votes, F.lit(0)), F.coalesce(nrisky, F.lit(0)) >= config.middle_risky
+    out = current
+    for name, inside, (usual, any_pick) in (("low", n <= config.low_votes, low), ("middle", n.isin(*config.middle_votes), middle)):
+        out = override(out, any_pick, inside & risk) if name in risky_bands else override(out, usual, inside)
+    return out
+
+
 def mode_gate(current: Column, support: Column, mode: Column, counts: Column, config: ChainConfig = ChainConfig()) -> Column:
     new = (support <= config.mode_support) & ~mode.eqNullSafe(current) & ~guard(counts, current, mode)
     return override(current, mode, new)

@@ -7,8 +7,6 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.operators.votes import explode_votes
-
 
 def correct(prediction: Column, gold: Column, raw: bool = False) -> Column:
     """Null-safe equality; `raw` compares strings as they are, else answers count as integers."""
@@ -55,8 +53,7 @@ def pass_rate(samples: DataFrame, gold: DataFrame) -> DataFrame:
 
 def oracle(df: DataFrame, votes_col: str, gold: str = "answer", id_col: str = "id") -> DataFrame:
     """(id, hit): whether any sample is the gold answer."""
-    long = explode_votes(df, votes_col, id_col).withColumnRenamed("answer", "vote")
-    return long.join(df.select(F.col(id_col).alias("id"), F.col(gold).alias("gold")), "id").groupBy("id").agg(F.coalesce(F.max(F.col("vote") == F.col("gold")), F.lit(False)).alias("hit"))
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.array_contains(votes_col, F.col(gold)), F.lit(False)).alias("hit"))
 
 
 def stage_delta(wide: DataFrame, stages: list[str], gold: str = "gold") -> DataFrame:

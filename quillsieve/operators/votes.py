@@ -31,6 +31,32 @@ def tops(hist: DataFrame) -> DataFrame:
     return both.select("id", F.col("high.answer").alias("top"), F.col("high.n").alias("support"), (F.col("high.answer") != F.col("low.answer")).alias("ties"), "total")
 
 
+def pooled_tops(counts: DataFrame, tops: tuple[str, ...], maps: tuple[str, ...] = ()) -> DataFrame:
+    """One row an id of counts(id, pool, answer, n), all pools at once: for each pool of `tops` a struct(top, support,
+    ties, total) as in tops(), null without votes, and for each of `maps` its map answer -> n. The counts move once
+    for their sums and once for the ids, however many pools there are."""
+    sums = counts.filter("answer is not null").groupBy("id", "pool", "answer").agg(F.sum("n").alias("n"))
+    inside, parts = {name: F.col("pool") == name for name in (*tops, *maps)}, []
+    for name in tops:
+        parts.append(F.max(F.when(inside[name], F.struct("n", "answer"))).alias(f"{name}_high"))
+        parts.append(F.min(F.when(inside[name], F.struct((-F.col("n")).alias("m"), F.col("answer")))).alias(f"{name}_low"))
+        parts.append(F.sum(F.when(inside[name], F.col("n"))).alias(f"{name}_total"))
+    # a row is as large as its id has answers
+    parts += [F.collect_list(F.when(inside[name], F.struct("answer", "n"))).alias(f"{name}_map") for name in maps]
+    per = sums.groupBy("id").agg(*parts)
+    out = [
+        F.when(F.col(f"{name}_high").isNotNull(), F.struct(F.col(f"{name}_high.answer").alias("top"), F.col(f"{name}_high.n").alias("support"), (F.col(f"{name}_high.answer") != F.col(f"{name}_low.answer")).alias("ties"), F.col(f"{name}_total").alias("total"))).alias(name)
+        for name in tops
+    ]
+    named = [F.when(F.size(f"{name}_map") > 0, F.map_from_entries(f"{name}_map")).alias(name if name not in tops else f"{name}_map") for name in maps]
+    return per.select("id", *out, *named)
+
+
+def single_top(pool: Column, min_count: int = 1) -> Column:
+    """The answer of a struct of pooled_tops() if it is the only top one and has enough votes."""
+    return F.when(~pool["ties"] & (pool["support"] >= min_count), pool["top"])
+
+
 def majority(votes: DataFrame, fallback: int = 0) -> DataFrame:
     """(id, answer, support, decision): the single top answer of two votes or more, else the fallback voter's."""
     by = votes.groupBy("id", "answer").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("idx") == fallback).alias("own"))
@@ -52,19 +78,32 @@ def majority(votes: DataFrame, fallback: int = 0) -> DataFrame:
 def choose(votes: DataFrame, fallback: int = 0, ignore_null: bool = False) -> DataFrame:
     """(id, answer, decision). Unless ignore_null, a missing answer is a candidate like any other; with it,
     a missing fallback moves to the first voter with an answer."""
+    kind = "ignored" if ignore_null else "kept"
+    return choices(votes, fallback).select("id", F.col(f"{kind}_answer").alias("answer"), F.col(f"{kind}_decision").alias("decision"))
+
+
+def choices(votes: DataFrame, fallback: int = 0) -> DataFrame:
+    """(id, kept_answer, kept_decision, ignored_answer, ignored_decision): both readings of missing answers, as
+    candidates and as no votes, from the same sums."""
     by = votes.groupBy("id", "answer").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("idx") == fallback).alias("own"), F.min("idx").alias("first"))
     named = F.struct(F.col("answer").isNull().alias("missing"), F.coalesce("answer", F.lit("")).alias("name"))
-    counts = F.col("answer").isNotNull() if ignore_null else F.lit(True)
+    high, low = F.struct(F.col("n"), named.alias("of")), F.struct((-F.col("n")).alias("m"), named.alias("of"))
+    there = F.col("answer").isNotNull()
     per = by.groupBy("id").agg(
-        F.max(F.when(counts, F.struct(F.col("n"), named.alias("of")))).alias("high"),
-        F.min(F.when(counts, F.struct((-F.col("n")).alias("m"), named.alias("of")))).alias("low"),
+        F.max(high).alias("kept_high"),
+        F.min(low).alias("kept_low"),
+        F.max(F.when(there, high)).alias("ignored_high"),
+        F.min(F.when(there, low)).alias("ignored_low"),
         F.max(F.when(F.col("own"), F.col("answer"))).alias("fallback"),
-        F.min(F.when(F.col("answer").isNotNull(), F.struct("first", "answer"))).alias("early"),
+        F.min(F.when(there, F.struct("first", "answer"))).alias("early"),
     )
-    clear = F.coalesce((F.col("high.n") >= 2) & (F.col("high.of") == F.col("low.of")), F.lit(False))
-    spare = F.coalesce(F.col("fallback"), F.col("early.answer")) if ignore_null else F.col("fallback")
-    chosen = F.when(clear, F.when(~F.col("high.of.missing"), F.col("high.of.name"))).otherwise(spare)
-    return per.select("id", chosen.alias("answer"), F.when(clear, "majority").otherwise("fallback").alias("decision"))
+    out = []
+    for kind, spare in (("kept", F.col("fallback")), ("ignored", F.coalesce("fallback", "early.answer"))):
+        top, other = F.col(f"{kind}_high"), F.col(f"{kind}_low")
+        clear = F.coalesce((top["n"] >= 2) & (top["of"] == other["of"]), F.lit(False))
+        out.append(F.when(clear, F.when(~top["of"]["missing"], top["of"]["name"])).otherwise(spare).alias(f"{kind}_answer"))
+        out.append(F.when(clear, "majority").otherwise("fallback").alias(f"{kind}_decision"))
+    return per.select("id", *out)
 
 
 def pick(hist: DataFrame, min_count: int = 1, strict: bool = True) -> DataFrame:
@@ -81,13 +120,22 @@ def concentration(hist: DataFrame, share: float = 0.425) -> DataFrame:
 
 
 def pooled(*pools: DataFrame) -> DataFrame:
-    """Histogram over pools (id, answer, n): answers are made canonical first, and equal ones add up."""
+    """Histogram over pools (id, answer, n): answers are made canonical and equal ones add up. Answers as they are
+    spelled are summed first, so the patterns see each spelling of an id once."""
     every = pools[0].select("id", "answer", "n")
     for pool in pools[1:]:
         every = every.unionByName(pool.select("id", "answer", "n"))
+    every = every.groupBy("id", "answer").agg(F.sum("n").alias("n"))
     return every.withColumn("answer", canonical(F.col("answer"))).filter("answer is not null").groupBy("id", "answer").agg(F.sum("n").alias("n"))
 
 
+def overwritten(counts: DataFrame) -> DataFrame:
+    """Histogram (id, answer, n) of counts (id, ord, answer, n) of one pool in which the last of the spellings of an
+    answer stands for all of them, instead of their sum."""
+    named = counts.withColumn("answer", canonical(F.col("answer"))).filter("answer is not null")
+    return named.groupBy("id", "answer").agg(F.max_by("n", "ord").alias("n"))
+
+
 def explode_counts(df: DataFrame, map_col: str, id_col: str = "id") -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.explode(map_col).alias("answer", "n"))
 

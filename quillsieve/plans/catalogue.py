@@ -93,8 +93,7 @@ CASE WHEN it.ties = 1 AND it.support >= 2 THEN 'majority' ELSE 'fallback' END AS
 FROM f LEFT JOIN kt USING (id) LEFT JOIN it USING (id)""")
 def choose_vote_null_aware(spark, sf_dir):
     votes = votes_of(spark, sf_dir).withColumn("answer", rollouts.abstain(F.col("answer"), F.col("flag") == "R", F.lit(2047)))
-    kept = V.choose(votes, 1, False).toDF("id", "kept_answer", "kept_decision")
-    return kept.join(V.choose(votes, 1, True).toDF("id", "ignored_answer", "ignored_decision"), "id")
+    return V.choices(votes, 1)
 
 
 EVENTS = "e AS (SELECT user_id AS id, event_type AS answer FROM events)"
@@ -166,33 +165,35 @@ def conditional_counts(spark, sf_dir):
 CONFIG = gates.ChainConfig(sample_support=2, low_votes=1, middle_votes=(2, 3), mode_support=2, pointer_votes=2, pointer_repeats=1)
 
 
-def _votes(spark, sf_dir, column: str, flag: str | None = None) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
-    lines = lines if flag is None else lines.filter(F.col("l_returnflag") == flag)
-    return lines.select(F.col("l_orderkey").alias("id"), (F.col(column) % 3).cast("string").alias("answer"), F.col("l_quantity").cast("bigint").alias("w"))
+TOPS = ("voters", "samples", "low", "middle", "mode", "repeats")
+MAPS = ("mode", "repeats", "codes")
 
 
 def wide_of(spark, sf_dir) -> DataFrame:
-    votes = votes_of(spark, sf_dir)
-    base = V.majority(votes, 1).select("id", F.col("answer").alias("base"), "support")
-    risky = votes.groupBy("id").agg(F.count_if(F.col("flag") == "R").alias("nrisky"))
-    part, supp = V.histogram(_votes(spark, sf_dir, "l_partkey")), V.histogram(_votes(spark, sf_dir, "l_suppkey"))
-    named = lambda df, name: df.select("id", F.col("answer").alias(name))
-    pointer = read(spark, sf_dir, "lineitem").filter("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("id")).agg((F.max("l_partkey") % 3).cast("string").alias("pointer"))
-    joined = base.join(risky, "id")
-    for df in (
-        named(V.pick(V.histogram(_votes(spark, sf_dir, "l_partkey", "N")), 1), "sample_pick"),
-        V.tops(supp).select("id", F.col("support").alias("votes")),
-        named(V.pick(V.histogram(_votes(spark, sf_dir, "l_partkey", "R")), 1), "low_pick"),
-        named(V.pick(V.histogram(_votes(spark, sf_dir, "l_partkey", "A")), 1), "middle_pick"),
-        named(V.pick(part, 2), "mode"),
-        V.count_map(V.histogram(_votes(spark, sf_dir, "l_suppkey"), "w"), "code_counts"),
-        pointer,
-        V.count_map(part, "pool"),
-        V.count_map(supp, "repeats"),
-    ):
-        joined = joined.join(df, "id", "left")
-    return joined
+    """The rows that gates read: every pool from one scan as counts, voters from a second, as their doubles count once."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 3).cast("string").alias("p"), (F.col("l_suppkey") % 3).cast("string").alias("s"), F.col("l_quantity").cast("bigint").alias("w"), F.col("l_returnflag").alias("flag"))
+    one = F.lit(1).cast("bigint")
+    entry = lambda pool, answer, n: F.struct(F.lit(pool).alias("pool") if isinstance(pool, str) else pool.alias("pool"), answer.alias("answer"), n.alias("n"))
+    band = F.element_at(F.create_map(*[F.lit(x) for x in ("N", "samples", "R", "low", "A", "middle")]), F.col("flag"))
+    pools = [entry(band, F.col("p"), one), entry("mode", F.col("p"), one), entry("repeats", F.col("s"), one), entry("codes", F.col("s"), F.col("w"))]
+    counts = lines.select("id", F.explode(F.array(*pools)).alias("e")).select("id", "e.*")
+    voters = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("idx")).agg((F.floor(F.max("l_quantity")) % 3).cast("string").alias("answer"), F.max("l_returnflag").alias("flag"), (F.max("l_partkey") % 3).cast("string").alias("pointer"))
+    told = [
+        F.struct(F.lit("voters").alias("pool"), F.col("answer"), one.alias("n")),
+        F.when(F.col("idx") == 1, F.struct(F.lit("own").alias("pool"), F.col("answer"), one.alias("n"))),
+        F.when(F.col("idx") == 2, F.struct(F.lit("pointer").alias("pool"), F.col("pointer").alias("answer"), one.alias("n"))),
+        F.when(F.col("flag") == "R", F.struct(F.lit("risky").alias("pool"), F.lit("").alias("answer"), one.alias("n"))),
+    ]
+    voters = voters.select("id", F.explode(F.array_compact(F.array(*told))).alias("e")).select("id", "e.*")
+    per, c = V.pooled_tops(counts.unionByName(voters), (*TOPS, "own", "pointer", "risky"), MAPS), F.col
+    clear = F.coalesce(~c("voters.ties") & (c("voters.support") >= 2), F.lit(False))
+    return per.filter("voters is not null").select(
+        "id", F.when(clear, c("voters.top")).otherwise(c("own.top")).alias("base"), F.coalesce("voters.support", F.lit(0)).alias("support"),
+        F.coalesce("risky.total", F.lit(0)).alias("nrisky"), V.single_top(c("samples")).alias("sample_pick"), c("repeats.support").alias("votes"),
+        V.single_top(c("low")).alias("low_pick"), V.single_top(c("middle")).alias("middle_pick"), V.single_top(c("mode"), 2).alias("mode"),
+        c("codes").alias("code_counts"), c("pointer.top").alias("pointer"), c("mode_map").alias("pool"), c("repeats_map").alias("repeats"),
+        F.when(~c("mode.ties") & (c("mode.support") / c("mode.total") >= 0.425), c("mode.top")).alias("concentrated"),
+    )
 
 
 def _pool_sql(name: str, column: str, flag: str | None = None, amount: str = "count(*)") -> str:
@@ -235,22 +236,15 @@ def pointer_gate(spark, sf_dir):
 CASE WHEN nrisky >= 1 AND votes <= 1 AND lpick IS NOT NULL THEN lpick WHEN nrisky >= 1 AND votes IN (2, 3) AND mpick IS NOT NULL THEN mpick ELSE base END AS risky FROM x0""".replace("{}", "true"))
 def tool_override(spark, sf_dir):
     wide, c = wide_of(spark, sf_dir), F.col
-    votes = F.coalesce("votes", F.lit(0))
-    risky = c("nrisky") >= 1
-
-    def tool(extra):
-        low = gates.override(c("base"), c("low_pick"), (votes <= 1) & extra)
-        return gates.override(low, c("middle_pick"), votes.isin(2, 3) & extra)
-
-    return wide.select("id", tool(F.lit(True)).alias("tight"), tool(risky).alias("risky"))
+    picks = {"low": (c("low_pick"), c("low_pick")), "middle": (c("middle_pick"), c("middle_pick"))}
+    forms = {"tight": (), "risky": ("low", "middle")}
+    return wide.select("id", *[gates.tool_gate(c("base"), c("votes"), c("nrisky"), picks["low"], picks["middle"], bands, CONFIG).alias(name) for name, bands in forms.items()])
 
 
 @query(f"""WITH {CHAIN}, {_pool_sql('cm', 'l_partkey')}, y AS (SELECT x.*, CASE WHEN cm.ties = 1 AND cm.support / cm.total >= 0.425 THEN cm.top END AS cmode FROM x0 x LEFT JOIN cm USING (id))
 SELECT id, CASE WHEN cmode IS NOT NULL AND cmode IS DISTINCT FROM base AND NOT (coded AND {_count('code', 'x.base')} > {_count('code', 'x.cmode')}) THEN cmode ELSE base END AS answer FROM y x""")
 def concentration_gate(spark, sf_dir):
-    mode = V.concentration(V.histogram(_votes(spark, sf_dir, "l_partkey"))).select("id", F.col("answer").alias("cmode"))
-    wide = wide_of(spark, sf_dir).join(mode, "id", "left")
-    return wide.select("id", gates.concentration_gate(F.col("base"), F.col("cmode"), F.col("code_counts")).alias("answer"))
+    return wide_of(spark, sf_dir).select("id", gates.concentration_gate(F.col("base"), F.col("concentrated"), F.col("code_counts")).alias("answer"))
 
 
 GOLD = "g AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS gold FROM orders)"
@@ -310,7 +304,7 @@ def retry_counters(spark, sf_dir):
 
 @query(f"WITH {VOTES}, {GOLD} SELECT id, coalesce(bool_or(answer = gold), false) AS hit FROM v JOIN g USING (id) GROUP BY id")
 def sample_oracle(spark, sf_dir):
-    lists = votes_of(spark, sf_dir).groupBy("id").agg(F.collect_list("answer").alias("votes"))
+    lists = votes_of(spark, sf_dir).groupBy("id").agg(F.collect_list("answer").alias("votes"))  # seven voters at most
     return metrics.oracle(lists.join(gold_of(spark, sf_dir), "id"), "votes", "gold")
 
 
@@ -328,23 +322,21 @@ def token_stats(spark, sf_dir):
 
 # --- text ------------------------------------------------------------------------------------------------------
 
-TAILED = r"""d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text || chr(10) || 'Final answer: -' || doc_id WHEN 1 THEN 'We get \boxed{ ' || doc_id || ' } so the ANSWER is ' || (doc_id + 1)
-WHEN 2 THEN text || ' 정답: 1,' || (doc_id % 900 + 100) || ', then 5' WHEN 3 THEN 'final answer is \boxed{' || doc_id || '}' || chr(10) || 'x' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE text END AS t FROM documents)"""
+TAILED = r"""d AS (SELECT doc_id, text || [chr(10) || 'Final answer: -' || doc_id, ' We get \boxed{ ' || doc_id || ' } so the ANSWER is ' || (doc_id + 1),
+' 정답: 1,' || (doc_id % 900 + 100) || ', then 5', ' final answer is \boxed{' || doc_id || '}' || chr(10) || 'x', ''][doc_id % 5 + 1] AS t FROM documents)"""
 
 
 def tailed(spark, sf_dir) -> DataFrame:
-    docs, k = read(spark, sf_dir, "documents"), F.col("doc_id") % 7
+    """Every whole text with one of five endings."""
     i = F.col("doc_id").cast("string")
-    text = (
-        F.when(k == 0, F.concat("text", F.lit("\nFinal answer: -"), i))
-        .when(k == 1, F.concat(F.lit("We get \\boxed{ "), i, F.lit(" } so the ANSWER is "), (F.col("doc_id") + 1).cast("string")))
-        .when(k == 2, F.concat("text", F.lit(" 정답: 1,"), (F.col("doc_id") % 900 + 100).cast("string"), F.lit(", then 5")))
-        .when(k == 3, F.concat(F.lit("final answer is \\boxed{"), i, F.lit("}\nx")))
-        .when(k == 4, F.lit(""))
-        .when(k == 5, F.lit(None))
-        .otherwise(F.col("text"))
-    )
-    return docs.select("doc_id", text.alias("t"))
+    ends = [
+        F.concat(F.lit("\nFinal answer: -"), i),
+        F.concat(F.lit(" We get \\boxed{ "), i, F.lit(" } so the ANSWER is "), (F.col("doc_id") + 1).cast("string")),
+        F.concat(F.lit(" 정답: 1,"), (F.col("doc_id") % 900 + 100).cast("string"), F.lit(", then 5")),
+        F.concat(F.lit(" final answer is \\boxed{"), i, F.lit("}\nx")),
+        F.lit(""),
+    ]
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.element_at(F.array(*ends), (F.col("doc_id") % 5 + 1).cast("int"))).alias("t"))
 
 
 def _extract_sql(patterns) -> str:
@@ -483,19 +475,13 @@ def ngram_candidates(spark, sf_dir):
     return scored.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("jaccard", 9).alias("jaccard"), F.round("ratio", 9).alias("ratio"))
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, 'near_token' AS kind FROM j WHERE jaccard >= 0.02 AND ratio >= 0.02")
+@query(f"WITH {PAIRS} SELECT doc_id, item_id, 'near_token' AS kind FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8")
 def near_dup_jaccard(spark, sf_dir):
     docs, items = corpus(spark, sf_dir).select("id", "text"), official(spark, sf_dir)
-    near = curation.near_matches(curation.shingle_pairs(docs, items), docs, items, sequences=False, min_jaccard=0.02, min_ratio=0.02)
+    near = curation.near_matches(curation.prefix_pairs(docs, items), docs, items, sequences=False, shared_width=5)
     return near.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "kind")
 
 
-@query()
-def near_dup_sequence(spark, sf_dir):
-    """Character sequence ratios have no SQL; tests hold the UDF against difflib."""
-    return curation.contamination(corpus(spark, sf_dir).select("id", "text"), official(spark, sf_dir)).withColumnRenamed("id", "doc_id")
-
-
 QUOTAS = {"en": 12, "fr": 6, "de": 5, "es": 4}
 
 
@@ -637,8 +623,11 @@ def printed(code: str, timeout: float) -> tuple[str, str, str]:
 
 
 def queries():
+    from quillsieve.plans import details, roundtrips  # noqa: F401  they add their own
+
     return QUERIES
 
 
 def oracle_sql():
+    queries()
     return SQL

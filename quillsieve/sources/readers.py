@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsieve.functions.text import strict_integer
+from quillsieve.functions.text import canonical, strict_integer
 from quillsieve.operators.checks import CheckError, duplicate_ids, require_columns, require_empty
 
 CORRUPT = "_corrupt"
@@ -66,15 +66,21 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """(id, answer): the answer column, or the second one where there is none."""
+    """(id, answer): `id` and the canonical integer of the answer column, or of the second column where there is none."""
     rows = read_csv(spark, path)
+    require_columns(rows, "id")
     column = "answer" if "answer" in rows.columns else rows.columns[1]
-    return rows.select(F.col(rows.columns[0]).alias("id"), F.col(column).alias("answer"))
+    return rows.select("id", canonical(F.col(column)).alias("answer"))
 
 
-def read_pinned(spark: SparkSession, path: str, revision: str) -> DataFrame:
-    """A corpus kept as Parquet under a folder of its revision."""
-    return spark.read.parquet(f"{path.rstrip('/')}/{revision}")
+def read_pinned(spark: SparkSession, path: str, revision: str, split: str | None = None, kind: str = "parquet", schema: str | T.StructType | None = None) -> DataFrame:
+    """A corpus under a folder of its revision, and of its split if it has one, as Parquet, JSON lines or CSV."""
+    folder = "/".join([path.rstrip("/"), revision, *([split] if split else [])])
+    if not exists(spark, folder):
+        raise CheckError(f"no revision {revision} of {path}" + (f" with a split {split}" if split else ""))
+    if kind == "parquet":
+        return spark.read.parquet(folder)
+    return read_jsonl(spark, folder, schema) if kind == "jsonl" else read_csv(spark, folder)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quillsieve.operators.curation import free_name
 from quillsieve.operators.metrics import manifest, table_digest
 
 
@@ -12,30 +13,37 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def filled_answers(df: DataFrame, column: str = "answer") -> tuple[DataFrame, int]:
-    """Rows with '0' for missing answers, and how many were missing."""
-    missing = df.filter(F.col(column).isNull()).count()
-    return df.withColumn(column, F.coalesce(column, F.lit("0"))), missing
+def filled_answers(df: DataFrame, column: str = "answer") -> tuple[DataFrame, Observation]:
+    """Rows with '0' for missing answers; the observation has `missing`, how many they were, once the rows are written."""
+    seen = Observation()
+    return df.observe(seen, F.count_if(F.col(column).isNull()).alias("missing")).withColumn(column, F.coalesce(column, F.lit("0"))), seen
 
 
-def write_submission(df: DataFrame, path: str, ord_col: str = "ord") -> int:
-    """id,answer in input order as one file (a submission is small); gives the number of missing answers."""
-    rows, missing = filled_answers(df)
-    rows.orderBy(ord_col).select("id", "answer").coalesce(1).write.option("header", True).csv(path)
-    return missing
+def _in_order(ordered: DataFrame, path: str, columns: list[str], one_file: bool) -> None:
+    """Sorted rows as one file, or as many as there are ranges of places, whose names sort as the places do."""
+    rows = ordered.select(*columns)
+    (rows.coalesce(1) if one_file else rows).write.option("header", True).csv(path)
 
 
-def write_replaced(df: DataFrame, answers: DataFrame, path: str, ord_col: str = "ord") -> None:
+def write_submission(df: DataFrame, path: str, ord_col: str = "ord", one_file: bool = True) -> int:
+    """id,answer in input order; gives the number of missing answers. A submission is one file and so one task writes
+    it; without one_file, tables of any size are written by many."""
+    # observed after the sort, which looks at its input twice
+    rows, seen = filled_answers(df.orderBy(ord_col))
+    _in_order(rows, path, ["id", "answer"], one_file)
+    return seen.get["missing"]
+
+
+def write_replaced(df: DataFrame, answers: DataFrame, path: str, ord_col: str = "ord", one_file: bool = True) -> None:
     """All columns of df, with the answers of (id, answer) where there are any."""
-    columns = [c for c in df.columns if c != ord_col]
-    new = answers.select("id", F.col("answer").alias("_new"))
-    rows = df.join(new, "id", "left").withColumn("answer", F.coalesce("_new", "answer"))
-    rows.orderBy(ord_col).select(*columns).coalesce(1).write.option("header", True).csv(path)
+    new = free_name(df.columns, "new")
+    rows = df.join(answers.select("id", F.col("answer").alias(new)), "id", "left").withColumn("answer", F.coalesce(new, "answer"))
+    _in_order(rows.orderBy(ord_col), path, [c for c in df.columns if c != ord_col], one_file)
 
 
-def write_stages(wide: DataFrame, targets: dict[str, str], ord_col: str = "ord") -> dict[str, int]:
-    """Named chain stages, each to its own submission."""
-    return {stage: write_submission(wide.select(ord_col, "id", F.col(stage).alias("answer")), path, ord_col) for stage, path in targets.items()}
+def write_stages(rows: DataFrame, targets: dict[str, str], ord_col: str = "ord") -> dict[str, int]:
+    """Named chain stages, each to its own submission. rows: a written table, as each stage reads it."""
+    return {stage: write_submission(rows.select(ord_col, "id", F.col(stage).alias("answer")), path, ord_col) for stage, path in targets.items()}
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -50,8 +58,15 @@ def write_bands(problems: DataFrame, bands: dict[str, Column], path: str) -> Non
     rows.write.partitionBy("band").option("header", True).csv(path)
 
 
-def write_manifest(df: DataFrame, path: str, **sections) -> None:
-    """Counts and digest of a written table as pretty JSON text beside it."""
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of the emitted files of a folder, from their bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifest(df: DataFrame, path: str, written_to: str | None = None, **sections) -> None:
+    """Counts and digest of a written table as pretty JSON text beside it, and digests of the files themselves."""
     digest = table_digest(df).first()  # one row
-    text = manifest(rows=digest["rows"], digest=digest["digest"], columns=df.columns, **sections)
+    files = {r["name"]: r["sha256"] for r in file_digests(df.sparkSession, written_to).collect()} if written_to else {}  # one a file
+    text = manifest(rows=digest["rows"], digest=digest["digest"], columns=df.columns, files=files, **sections)
     df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)

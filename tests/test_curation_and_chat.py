@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,55 @@ def test_rendered_prompt_styles(spark):
 
     df = spark.createDataFrame([("length",), ("stop",), (None,)], "r string")
     assert [r["c"] for r in df.select(cut_off(F.col("r")).alias("c")).collect()] == [True, False, False]
+
+
+def test_merge(spark):
+    from quillsieve.operators.checks import CheckError
+
+    a = spark.createDataFrame([("1", "x", "t1"), ("2", "y", "t2")], "id string, text string, teacher string")
+    b = spark.createDataFrame([("3", "zz", "t2")], "id string, text string, teacher string")
+    repeats = spark.createDataFrame([("t2", 2)], "teacher string, repeats int")
+    rows = curation.merge([a, b], "teacher", repeats, F.length("text"), 2).select("id", "training_repeat").collect()
+    assert sorted(map(tuple, rows)) == [("1", 1), ("2", 1), ("2", 2), ("3", 1), ("3", 2)]
+    same, other = a.filter("id = '1'"), a.filter("id = '1'").withColumn("text", F.lit("w"))
+    unknown = spark.createDataFrame([("t9", 2)], "teacher string, repeats int")
+    for parts, times, limit, said in (([a, same], repeats, 2, "more than once"), ([a, other], repeats, 2, "conflicting"), ([a, b], repeats, 1, "longer"), ([a, b], unknown, 2, "unknown")):
+        with pytest.raises(CheckError, match=said):
+            curation.merge(parts, "teacher", times, F.length("text"), limit)
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(25)]
+    texts = base + [[w if rng.random() > 0.06 else "zz" for w in b] for b in base * 3] + [["", "the"], ["the"], []]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id int, text string")
+    found = {tuple(r) for r in curation.prefix_pairs(docs, docs).collect()}
+    sets = [set(re.findall(r"[a-z]+|\d+", " ".join(t))) for t in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
+    assert near <= found
+
+
+def test_odd_column_names(spark):
+    """Columns with the names that operators use themselves come through."""
+    names = ["_key", "_score", "_place", "_failed", "_known", "_first", "_times", "quota", "repeats", "norm", "_length", "new"]
+    rows = spark.createDataFrame([(k, f"t{k % 3}", "en") for k in range(6)], "ord int, text string, lang string").withColumns({n: F.lit(n) for n in names})
+    kept = lambda df, but=(): all(df.filter(F.col(n) != n).isEmpty() for n in names if n not in but) and set(names) <= set(df.columns)
+    judged = curation.rejection(rows, [("short", F.length("text") < 1)], F.col("text"), rows.filter("ord = 0").select(F.col("text").alias("norm")))
+    assert kept(judged, ("norm",)) and {r["ord"]: r["rejection"] for r in judged.collect()} == {0: "external_duplicate", 1: None, 2: None, 3: "external_duplicate", 4: "external_duplicate", 5: "external_duplicate"}
+    quotas = spark.createDataFrame([("en", 2)], "lang string, quota int")
+    assert kept(curation.quota_sample(rows, "lang", quotas, F.col("text"), "ord")) and curation.quota_sample(rows, "lang", quotas, F.col("text"), "ord").count() == 2
+    assert kept(curation.bottom_k(rows, F.col("text"), 2, "ord")) and kept(curation.length_order(rows, F.length("text"), 2))
+    assert kept(curation.replicate(rows, "lang", spark.createDataFrame([("en", 2)], "lang string, repeats int")))
+
+
+def test_contamination_kinds(spark):
+    from difflib import SequenceMatcher
+
+    official = ["the little house by the river is where we made the fine white cheese before the war came to the place", "one two three four five six seven eight nine ten"]
+    texts = [official[0], official[0] + " indeed", re.sub(r"e\b", "ee", official[0]), "", "something else altogether", official[1].replace("ten", "eleven")]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {r["id"]: r["contamination"] for r in curation.contamination(frame(texts), frame(official)).collect()}
+    ratio = SequenceMatcher(None, texts[2], official[0], autojunk=False).ratio()
+    assert ratio >= 0.92 and got == {0: "exact", 1: "near_token", 2: "near_sequence", 3: "empty", 5: "near_sequence"}

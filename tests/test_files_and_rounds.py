@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -46,7 +47,12 @@ def test_submissions(spark, tmp_path):
     assert [tuple(r) for r in readers.read_submission(spark, str(path)).collect()] == [("a", "1"), ("b", "-2")]
     other = tmp_path / "o.csv"
     other.write_text("key,value\na,9\n")
-    assert [tuple(r) for r in readers.read_answers(spark, str(other)).collect()] == [("a", "9")]
+    with pytest.raises(CheckError):
+        readers.read_answers(spark, str(other))
+    for text in ("question,id,answer\nq1,a, 1.0\nq2,b,none\n", "id,guess\na,+01\nb,\n"):
+        path.write_text(text)
+        assert [tuple(r) for r in readers.read_answers(spark, str(path)).collect()] == [("a", "1"), ("b", None)]
+    path.write_text("id,answer\na,1\nb,-02\n")
     with pytest.raises(CheckError):
         readers.read_submission(spark, str(other))
     df = spark.createDataFrame([(1, "b", None, "q2"), (0, "a", "5", "q1")], "ord int, id string, answer string, question string")
@@ -71,9 +77,16 @@ def test_pools_documents_bands(spark, tmp_path):
     sinks.write_bands(problems, {"low": F.col("votes") <= 3, "all": F.lit(True)}, str(tmp_path / "bands"))
     assert spark.read.option("header", True).csv(str(tmp_path / "bands")).groupBy("band").count().filter("band = 'all'").first()["count"] == 2
     sinks.write_manifest(problems, str(tmp_path / "m"), quotas={"x": 1})
+    (tmp_path / "emitted").mkdir()
+    (tmp_path / "emitted" / "part-0.csv").write_bytes(b"id\na\n")
+    sinks.write_manifest(problems, str(tmp_path / "m2"), str(tmp_path / "emitted"))
+    told = json.loads("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "m2")).collect()))
+    assert told["files"] == {"part-0.csv": hashlib.sha256(b"id\na\n").hexdigest()}
     assert json.loads("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()))["rows"] == 2
     spark.range(3).write.parquet(str(tmp_path / "corpus" / "rev1"))
     assert readers.read_pinned(spark, str(tmp_path / "corpus"), "rev1").count() == 3
+    with pytest.raises(CheckError):
+        readers.read_pinned(spark, str(tmp_path / "corpus"), "rev2")
 
 
 def test_append_and_resume(spark, tmp_path):
