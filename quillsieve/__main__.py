@@ -1,15 +1,20 @@
-"""python -m quillsieve evaluate|submission: ensembles of prediction or submission files."""
+"""python -m quillsieve evaluate|submission|compose|merge: ensembles of prediction or submission files, the chain of gates
+over a folder of materials, and training files put together."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import sys
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.operators import checks, metrics, votes
+from quillsieve.functions import udfs
+from quillsieve.operators import checks, chat, curation, metrics, votes
 from quillsieve.operators.rollouts import abstain
+from quillsieve.plans import compose as composing
 from quillsieve.session import session
 from quillsieve.sources import readers, sinks
 
@@ -19,11 +24,18 @@ PREDICTIONS = "id string, answer string, prediction string, response_tokens int,
 def same_ids(voters: list[DataFrame]) -> None:
     for other in voters[1:]:
         checks.require_empty(checks.id_differences(voters[0], other), "id sets differ")
+        if not checks.same_order(voters[0], other):
+            print("warning: the order of rows differs; that of the first input is used", file=sys.stderr)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the input."""
+    return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
 def evaluate(args) -> None:
     spark = session(args.master)
-    voters = [readers.read_predictions(spark, p, PREDICTIONS, integers=("prediction", "answer")) for p in args.inputs]
+    voters = [in_order(readers.read_predictions(spark, p, PREDICTIONS, integers=("prediction", "answer"))) for p in args.inputs]
     checks.require_parameters(fallback_voter=1 <= args.fallback_voter <= len(voters))
     same_ids(voters)
     long = reduce(DataFrame.unionByName, [v.withColumn("idx", F.lit(i)) for i, v in enumerate(voters)])
@@ -32,25 +44,61 @@ def evaluate(args) -> None:
     raw = long.select("id", "idx", F.col("prediction").alias("answer"), stuck.alias("abstained"))
     used = raw.withColumn("answer", F.when(~F.col("abstained"), F.col("answer")))
     chosen = votes.choose(used, args.fallback_voter - 1, args.abstain_truncated)
-    gold = voters[0].select("id", F.col("answer").alias("gold"))
-    out = chosen.withColumnRenamed("answer", "prediction").join(gold, "id").withColumn("correct", F.col("prediction").eqNullSafe(F.col("gold")))
-    sinks.write_jsonl(out, args.output)
+    # one row an id, as many votes as inputs
+    each = raw.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "answer", "abstained"))).alias("v"))
+    each = each.select(
+        "id",
+        F.transform("v", lambda x: F.when(~x["abstained"], x["answer"])).alias("votes"),
+        F.transform("v", lambda x: x["answer"]).alias("raw_votes"),
+        F.transform(F.filter("v", lambda x: x["abstained"]), lambda x: x["idx"] + 1).alias("abstained_voters"),
+    )
+    gold = voters[0].select("id", F.col("answer").alias("gold"), "ord")
+    out = chosen.withColumnRenamed("answer", "prediction").join(gold, "id").join(each, "id")
+    out = out.withColumn("correct", F.col("prediction").eqNullSafe(F.col("gold"))).withColumn("fallback_voter", F.lit(args.fallback_voter))
+    named = out.select("ord", "id", F.col("gold").alias("answer"), "prediction", "correct", "votes", "raw_votes", "abstained_voters", "decision", "fallback_voter")
+    sinks.write_jsonl(named.orderBy("ord").drop("ord"), args.output)
     metrics.accuracy(out, "prediction", "gold").show()
-    metrics.voter_accuracy(raw, gold).orderBy("idx").show()
+    metrics.voter_accuracy(raw, gold.drop("ord")).orderBy("idx").show()
     metrics.decision_counters(chosen, raw, args.fallback_voter - 1, F.col("abstained")).show()
 
 
 def submission(args) -> None:
     spark = session(args.master)
-    voters = [readers.read_submission(spark, p) for p in args.inputs]
+    voters = [in_order(readers.read_submission(spark, p)) for p in args.inputs]
     checks.require_parameters(fallback_voter=1 <= args.fallback_voter <= len(voters))
     same_ids(voters)
     if args.expected_rows:
         checks.require_count(voters[0], args.expected_rows)
     long = reduce(DataFrame.unionByName, [v.withColumn("idx", F.lit(i)) for i, v in enumerate(voters)])
     chosen = votes.choose(long, args.fallback_voter - 1)
-    order = voters[0].withColumn("ord", F.monotonically_increasing_id()).select("id", "ord")
-    sinks.write_submission(order.join(chosen, "id"), args.output)
+    sinks.write_submission(voters[0].select("id", "ord").join(chosen, "id"), args.output)
+
+
+def compose(args) -> None:
+    """Scores of the stages, and the submissions of those to emit."""
+    spark = session(args.master)
+    problems = in_order(readers.read_csv(spark, args.input))
+    if "answer" not in problems.columns:
+        problems = problems.withColumn("answer", F.lit(None).cast("string"))
+    names = composing.Materials(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(args.names or "{}").items()})
+    emit = dict(e.split("=", 1) for e in args.emit)
+    scores, missing = composing.run(spark, problems, args.materials, emit, names)
+    scores.show()
+    for stage, n in missing.items():
+        print(f"{stage}: {emit[stage]}, {n} missing answers")
+
+
+def merge(args) -> None:
+    """Training rows of all inputs by id, each teacher's as often as asked for."""
+    spark = session(args.master)
+    asked = [r.rpartition("=") for r in args.teacher_repeat]
+    checks.require_parameters(teacher_repeat=all(t and n.isdigit() and int(n) >= 1 for t, _, n in asked))
+    parts = [spark.read.json(p) for p in args.inputs]
+    repeats = spark.createDataFrame([(t, int(n)) for t, _, n in asked], "teacher string, repeats int")
+    for part in parts:
+        checks.require_empty(checks.bad_chats(part).select("id"), "messages that aren't a system, a user and an assistant turn")
+    rows = curation.merge(parts, "teacher", repeats, udfs.count_words(chat.render(F.col("messages"))), args.max_length)
+    sinks.write_jsonl(rows.orderBy("id", "training_repeat"), args.output)
 
 
 def main() -> None:
@@ -68,6 +116,18 @@ def main() -> None:
             p.add_argument("--stuck-threshold", type=int, default=2046)
         else:
             p.add_argument("--expected-rows", type=int)
+    p = kinds.add_parser("compose")
+    p.add_argument("--input", required=True)
+    p.add_argument("--materials", required=True)
+    p.add_argument("--emit", action="append", default=[], help="stage=path, any number of times")
+    p.add_argument("--names", help="JSON object of file names by role")
+    p.set_defaults(run=compose)
+    p = kinds.add_parser("merge")
+    p.add_argument("inputs", nargs="+")
+    p.add_argument("--output", required=True)
+    p.add_argument("--teacher-repeat", action="append", default=[], help="teacher=count, any number of times")
+    p.add_argument("--max-length", type=int)
+    p.set_defaults(run=merge)
     args = parser.parse_args()
     args.run(args)
 

@@ -25,6 +25,11 @@ LOOSE_TAIL = (r"(?i)(?:final answer\s*(?:is|:|=)?\s*\$?\\?\(?\s*-?\d|\\boxed\s*\
 VISUAL = r"(?i)https?://|www\.|\\includegraphics|\.(?:png|jpe?g|gif)\b|\b(?:diagram|figure)\s+(?:above|below)|\bshown\s+(?:above|below)\b"
 TOKENS = r"[a-z]+|\d+"
 TRUE_WORDS = ("yes", "true", "valid", "1")
+MINUS_SIGNS, TEXT_MACRO = "−–", r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}"
+DEGREE_END, CURATED, ZERO_TAIL = r"(?:\^\s*\{?\\circ\}?|\\circ|°|\\%)$", r"^[+-]?\d+(?:\.0+)?$", r"\.0+$"
+HASH_ANSWER, HASH_TAIL, CALCULATION = r"####\s*([^\n]+)\s*$", r"\s*####\s*[^\n]+\s*$", r"<<[^<>]*>>"
+FINAL_LINE, FINAL_ANSWER = r"\n*Final answer:\s*[+-]?\d+\s*$", "\n\nFinal answer: "
+OUTPUT_HEAD, OUTPUT_END, NO_OUTPUT, SHOWN_ERROR, TAIL_LENGTH = "Program output:\n```\n", "\n```\n", "(no output)", 400, 400
 DERIVATION_PROMPT = (
     "Solve the math problem independently. Give a concise, logically complete derivation. Do not restate the problem or explore "
     "multiple approaches. The answer is always an integer. End with exactly: Final answer: <integer>"
@@ -42,6 +47,26 @@ PROMPTS = {
         "cases, proper versus total divisors, overlapping regions, and whether a maximum or minimum was proved. Correct any failed check. "
         "Do not round unless explicitly required. The answer is always an integer. End your response with exactly: Final answer: <integer>"
     ),
+    "program": (
+        "You are a meticulous contest mathematician with a Python interpreter available.\n"
+        "Solve the problem by writing Python code that computes the answer.\n"
+        "Prefer brute-force enumeration, exhaustive case checking, and sympy over hand algebra — "
+        "the interpreter is exact and fast, so verify rather than guess.\n"
+        "Write exactly one Python code block in this format:\n```python\n# your code; it MUST print the result\nprint(result)\n```\n"
+        "Then stop and wait. You will be shown the program output, and only then give the final answer.\n"
+        "The answer is always an integer. End your final response with exactly: Final answer: <integer>"
+    ),
+    "symbolic": (
+        "You are a meticulous contest mathematician with a Python interpreter and the sympy library.\n"
+        "Solve the problem with EXACT symbolic computation using sympy: define unknowns with symbols(), "
+        "set up equations with Eq(), and use solve(), simplify(), expand(), factor(), Rational(), "
+        "summation(), or diff() as needed. Never use floating point — keep every step exact, and only "
+        "convert the final exact result to an integer at the end. If symbolic solving stalls, fall back "
+        "to exact enumeration.\n"
+        "Write exactly one Python code block in this format:\n```python\nfrom sympy import *\n# your exact symbolic solution; it MUST print the result\nprint(result)\n```\n"
+        "Then stop and wait. You will be shown the program output, and only then give the final answer.\n"
+        "The answer is always an integer. End your final response with exactly: Final answer: <integer>"
+    ),
     "rigor": (
         "Solve the math problem rigorously. Begin by listing the exact quantity requested and every condition that the final answer must "
         "satisfy. Maintain a checklist and explicitly verify that no condition is dropped. If the solution has multiple cases, branches, "
@@ -111,16 +136,16 @@ def strict_integer(c: Column) -> Column:
 
 def curated_integer(c: Column) -> Column:
     """Integer of a typeset answer: unicode minus, text macros, degree and percent signs, .000 tails."""
-    s = F.translate(F.replace(strip(c.cast("string")), F.lit(","), F.lit("")), "−–", "--")
-    s = F.regexp_replace(s, r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", "")
-    s = strip(F.regexp_replace(s, r"(?:\^\s*\{?\\circ\}?|\\circ|°|\\%)$", ""))
-    return F.when(s.rlike(r"^[+-]?\d+(?:\.0+)?$"), bare_integer(F.regexp_replace(s, r"\.0+$", "")))
+    s = F.translate(F.replace(strip(c.cast("string")), F.lit(","), F.lit("")), MINUS_SIGNS, "--")
+    s = F.regexp_replace(s, TEXT_MACRO, "")
+    s = strip(F.regexp_replace(s, DEGREE_END, ""))
+    return F.when(s.rlike(CURATED), bare_integer(F.regexp_replace(s, ZERO_TAIL, "")))
 
 
 def hash_answer(c: Column) -> Column:
     """struct(solution, answer) of a text that ends in '#### answer', null if it doesn't or isn't an integer."""
-    answer = curated_integer(F.nullif(F.regexp_extract(c, r"####\s*([^\n]+)\s*$", 1), F.lit("")))
-    solution = F.regexp_replace(strip(F.regexp_replace(c, r"\s*####\s*[^\n]+\s*$", "")), r"<<[^<>]*>>", "")
+    answer = curated_integer(F.nullif(F.regexp_extract(c, HASH_ANSWER, 1), F.lit("")))
+    solution = F.regexp_replace(strip(F.regexp_replace(c, HASH_TAIL, "")), CALCULATION, "")
     return F.when(answer.isNotNull(), F.struct(solution.alias("solution"), answer.alias("answer")))
 
 
@@ -173,7 +198,7 @@ def tail(c: Column, n: int) -> Column:
 
 def risky(c: Column, patterns: Sequence[str] = STRICT_TAIL) -> Column:
     """No committed integer answer in the last 400 characters."""
-    end = tail(c, 400)
+    end = tail(c, TAIL_LENGTH)
     found = end.rlike(patterns[0])
     for p in patterns[1:]:
         found = found | end.rlike(p)
@@ -195,8 +220,8 @@ def messages(*turns: tuple[str, Column]) -> Column:
 
 def training_messages(question: Column, solution: Column, answer: Column, prompt: str = DERIVATION_PROMPT) -> Column:
     """System, user and assistant turn; the solution ends with one canonical final answer."""
-    body = F.regexp_replace(F.regexp_replace(strip(solution), r"\n*Final answer:\s*[+-]?\d+\s*$", ""), r"\s+$", "")
-    return messages(("system", F.lit(prompt)), ("user", strip(question)), ("assistant", F.concat(body, F.lit("\n\nFinal answer: "), answer)))
+    body = F.regexp_replace(F.regexp_replace(strip(solution), FINAL_LINE, ""), r"\s+$", "")
+    return messages(("system", F.lit(prompt)), ("user", strip(question)), ("assistant", F.concat(body, F.lit(FINAL_ANSWER), answer)))
 
 
 def flatten_completion(completion: Column, kind: str = "array") -> Column:
@@ -216,14 +241,14 @@ def prompt(style: Column) -> Column:
 
 def feedback(status: Column, stdout: Column, stderr: Column, nudge: str) -> Column:
     """What the model is told about a program's run before its final answer."""
-    body = F.coalesce(F.nullif(strip(stdout), F.lit("")), F.lit("(no output)"))
-    failed = F.concat(body, F.lit("\n["), status, F.lit("] "), F.substring(strip(stderr), 1, 400))
-    return F.concat(F.lit("Program output:\n```\n"), F.when(status == "ok", body).otherwise(failed), F.lit(f"\n```\n{nudge}"))
+    body = F.coalesce(F.nullif(strip(stdout), F.lit("")), F.lit(NO_OUTPUT))
+    failed = F.concat(body, F.lit("\n["), status, F.lit("] "), F.substring(strip(stderr), 1, SHOWN_ERROR))
+    return F.concat(F.lit(OUTPUT_HEAD), F.when(status == "ok", body).otherwise(failed), F.lit(OUTPUT_END + nudge))
 
 
 def repair_request(status: Column, stderr: Column, nudge: str) -> Column:
-    reason = F.coalesce(F.nullif(F.substring(strip(stderr), 1, 400), F.lit("")), status)
-    return F.concat(F.lit("Program output:\n```\n["), status, F.lit("] "), reason, F.lit(f"\n```\n{nudge}"))
+    reason = F.coalesce(F.nullif(F.substring(strip(stderr), 1, SHOWN_ERROR), F.lit("")), status)
+    return F.concat(F.lit(OUTPUT_HEAD + "["), status, F.lit("] "), reason, F.lit(OUTPUT_END + nudge))
 
 
 def _mean(a: Column) -> Column:

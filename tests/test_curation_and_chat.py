@@ -170,7 +170,7 @@ def test_odd_column_names(spark):
 def test_contamination_kinds(spark):
     from difflib import SequenceMatcher
 
-    official = ["the little house by the river is where we made the fine white cheese before the war came to the place", "one two three four five six seven eight nine ten"]
+    official = ["the little house by our own long green river is where we made the fine white cheese before the war came to the place", "one two three four five six seven eight nine ten"]
     texts = [official[0], official[0] + " indeed", re.sub(r"e\b", "ee", official[0]), "", "something else altogether", official[1].replace("ten", "eleven")]
     frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id int, text string")
     got = {r["id"]: r["contamination"] for r in curation.contamination(frame(texts), frame(official)).collect()}

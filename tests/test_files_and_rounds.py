@@ -237,5 +237,62 @@ def test_cli(spark, tmp_path, capsys):
     cli.evaluate(Namespace(master="local[2]", inputs=paths, output=out, fallback_voter=2, abstain_truncated=False, stuck_threshold=2046))
     got = {r["id"]: (r["prediction"], r["decision"], r["correct"]) for r in spark.read.json(out).collect()}
     assert got == {"a": ("5", "majority", True), "b": ("7", "fallback", True), "c": ("9", "majority", True)}
+    lines = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
+    assert [x["id"] for x in lines] == ["a", "b", "c"] and list(lines[2]) == ["id", "answer", "prediction", "correct", "votes", "raw_votes", "abstained_voters", "decision", "fallback_voter"]
+    assert (lines[2]["raw_votes"], lines[2]["votes"], lines[2]["abstained_voters"], lines[2]["fallback_voter"]) == ([None, "9", "9"], [None, "9", "9"], [], 2)
+    with open(paths[0], "a") as f:
+        f.write(json.dumps({"id": "d", "answer": "1", "prediction": "1", "response_tokens": 2046, "retried_truncated": True}) + "\n")
+    for path in paths[1:]:
+        text = open(path).read()
+        open(path, "w").write(json.dumps({"id": "d", "answer": "1", "prediction": "4", "response_tokens": 9, "retried_truncated": False}) + "\n" + text)
+    cli.evaluate(Namespace(master="local[2]", inputs=paths, output=out + "2", fallback_voter=1, abstain_truncated=True, stuck_threshold=2046))
+    last = [json.loads(r["value"]) for r in spark.read.text(out + "2").collect()][-1]
+    assert (last["id"], last["votes"], last["raw_votes"], last["abstained_voters"], last["prediction"]) == ("d", [None, "4", "4"], ["1", "4", "4"], [1], "4")
+    assert "order" in capsys.readouterr().err
     cli.submission(Namespace(master="local[2]", inputs=[p.replace("jsonl", "csv") for p in paths], output=str(tmp_path / "sub"), fallback_voter=1, expected_rows=3))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "sub")).collect()] == ["id,answer", "a,5", "b,1", "c,9"]
+
+
+def test_cli_compose_and_merge(spark, tmp_path, capsys):
+    """Each gate fires for one problem; missing pools are skipped, missing bands aren't."""
+    from argparse import Namespace
+
+    from quillsieve import __main__ as cli
+
+    folder = tmp_path / "materials"
+    folder.mkdir()
+
+    def put(name, rows):
+        (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+    ids = ["plain", "sampled", "low", "middle", "moded", "pointed", "none"]
+    for k in range(1, 6):
+        put(f"voter_{k}.jsonl", [{"id": i, "prediction": None if i == "none" else "1", "response": "no"} for i in ids])
+    values = {"support": {i: 4 if i in ("sampled", "moded") else 5 for i in ids}, "votes": {i: 2 if i == "low" else 5 if i == "middle" else 8 for i in ids}, "nrisky": {i: int(i == "middle") for i in ids}}
+    (folder / "bands.json").write_text(json.dumps(values))
+    put("samples.jsonl", [{"id": "sampled", "responses": ["Final answer: 22"] * 4 + ["Final answer: 1"] * 3}])
+    put("tools_low.jsonl", [{"id": "low", "verified_counts": {"33": 1, "033.0": 1, "9": 1}}])
+    put("tools_middle.jsonl", [{"id": "middle", "verified_counts": {"44": 2}}])
+    put("screened.jsonl", [{"id": "moded", "predictions": ["55"] * 5 + ["1"]}, {"id": "plain", "predictions": ["7"] * 8}])
+    put("pointer.jsonl", [{"id": "pointed", "prediction": "66"}])
+    put("pointer_repeats.jsonl", [{"id": "pointed", "predictions": ["66", "66", "1"]}])
+    put("pointer_pool_1.jsonl", [{"id": "pointed", "predictions": ["66"] * 3 + ["1"]}])
+    put("pointer_pool_2.jsonl", [{"id": "pointed", "predictions": ["66", None]}])
+    problems = tmp_path / "problems.csv"
+    problems.write_text("id,question,answer\n" + "".join(f"{i},q,{'' if i == 'none' else 1}\n" for i in ids))
+    args = Namespace(master="local[2]", input=str(problems), materials=str(folder), emit=[f"c2={tmp_path}/c2", f"c4={tmp_path}/c4"], names=None)
+    cli.compose(args)
+    read = lambda name: [r["value"] for r in spark.read.text(f"{tmp_path}/{name}").collect()]
+    assert read("c4") == ["id,answer", "plain,1", "sampled,22", "low,33", "middle,44", "moded,55", "pointed,66", "none,0"]
+    assert read("c2")[5:7] == ["moded,1", "pointed,1"] and "1 missing" in capsys.readouterr().out
+    values["votes"].pop("low")
+    (folder / "bands.json").write_text(json.dumps(values))
+    with pytest.raises(CheckError, match="bands"):
+        cli.compose(args)
+
+    chat = [{"role": r, "content": "x"} for r in ("system", "user", "assistant")]
+    for name, teacher in (("a", "t1"), ("b", "t2")):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"id": name, "teacher": teacher, "messages": chat}) + "\n")
+    args = Namespace(master="local[2]", inputs=[f"{tmp_path}/{n}.jsonl" for n in "ba"], output=f"{tmp_path}/merged", teacher_repeat=["t2=2"], max_length=50)
+    cli.merge(args)
+    assert [(r["id"], r["training_repeat"]) for r in map(json.loads, read("merged"))] == [("a", 1), ("b", 1), ("b", 2)]
