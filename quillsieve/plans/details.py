@@ -11,7 +11,8 @@ from quillsieve.functions import text as T
 from quillsieve.functions import udfs
 from quillsieve.operators import chat, checks, curation, metrics, rollouts
 from quillsieve.operators import votes as V
-from quillsieve.plans.catalogue import corpus, long, query, read
+from quillsieve.plans import curate
+from quillsieve.plans.catalogue import PAIRS, corpus, long, query, read
 
 # --- scalars ---------------------------------------------------------------------------------------------------
 
@@ -289,3 +290,45 @@ def contaminated(spark, sf_dir) -> DataFrame:
 def near_dup_sequence(spark, sf_dir):
     """Contamination with sequence ratios over documents, items and edited items; tests hold the ratio against difflib."""
     return contaminated(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+# --- the curation job ------------------------------------------------------------------------------------------
+
+def _curation(spark, sf_dir):
+    docs = corpus(spark, sf_dir).filter("id is not null").select(F.col("id").alias("ord"), "id", F.col("text").alias("question"), F.col("text").alias("solution"), "lang", "source")
+    sources = [
+        curate.Source("main", docs, {"en": 12}, "lang", (("odd", F.col("id") % 10 == 3),), F.col("lang") != "en"),
+        curate.Source("more", docs, {"fr": 6}, "lang", silent=~F.col("lang").isin("fr", "en")),
+    ]
+    excluded = docs.filter("source = 'src0'").select(T.normalized(F.col("question")).alias("norm"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    judged = curate.judge(sources, items, excluded, curate.Limits(32, 900), sequences=False)
+    return judged, curate.choose(judged, sources, 2026)
+
+
+_T = r"regexp_extract_all(lower(text), '[a-z]+|\d+')"
+CURATED = f"""{PAIRS}, dd AS (SELECT doc_id, text, lang, source, array_to_string({_T}, ' ') AS norm, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE doc_id IS NOT NULL),
+oo AS (SELECT DISTINCT array_to_string({_T}, ' ') AS norm FROM benchmark), nn AS (SELECT DISTINCT doc_id FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8),
+rr AS (SELECT 0 AS k, 'main' AS src, * FROM dd WHERE lang = 'en' UNION ALL SELECT 1, 'more', * FROM dd WHERE lang IN ('en', 'fr')),
+ff AS (SELECT *, CASE WHEN src = 'main' AND doc_id % 10 = 3 THEN 'main_odd' END AS early, CASE WHEN regexp_matches(text, '{T.VISUAL}') THEN 'visual_or_url' WHEN norm = '' THEN 'official_empty'
+  WHEN norm IN (SELECT norm FROM oo) THEN 'official_exact' WHEN doc_id IN (SELECT doc_id FROM nn) THEN 'official_near_token' WHEN n < 32 THEN 'solution_too_short' WHEN n > 900 THEN 'solution_too_long' END AS failed FROM rr),
+kk AS (SELECT norm FROM dd WHERE source = 'src0'),
+fa AS (SELECT norm, min(k * 1000000000000 + doc_id) AS begin_at FROM ff WHERE early IS NULL AND failed IS NULL AND norm NOT IN (SELECT norm FROM kk) GROUP BY norm),
+ju AS (SELECT src, doc_id, text, lang, CASE WHEN early IS NOT NULL THEN early WHEN norm IN (SELECT norm FROM kk) OR k * 1000000000000 + doc_id > begin_at THEN 'external_duplicate' ELSE failed END AS rejection FROM ff LEFT JOIN fa USING (norm)),
+pl AS (SELECT src, doc_id, row_number() OVER (PARTITION BY src, lang ORDER BY sha256('2026:' || src || ':' || text), doc_id) AS p FROM ju WHERE rejection IS NULL AND ((src = 'main' AND lang = 'en') OR (src = 'more' AND lang = 'fr')))"""
+
+
+@query(f"WITH {CURATED} SELECT src AS source, ju.doc_id, rejection, coalesce(p <= CASE src WHEN 'main' THEN 12 ELSE 6 END, false) AS chosen FROM ju LEFT JOIN pl USING (src, doc_id)")
+def curation_job(spark, sf_dir):
+    """Two sources that share rows: pre-filter, known texts, rules, first accepted, quotas."""
+    judged, chosen = _curation(spark, sf_dir)
+    marked = judged.join(chosen.select("source", "id", F.lit(True).alias("chosen")), ["source", "id"], "left")
+    return marked.select("source", F.col("id").alias("doc_id"), "rejection", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query(f"WITH {CURATED} SELECT rejection, count(*) AS n FROM ju WHERE rejection IS NOT NULL GROUP BY rejection")
+def curation_counts(spark, sf_dir):
+    """The rejections section of the job's manifest."""
+    judged, chosen = _curation(spark, sf_dir)
+    found = curate.counted(judged, chosen, 2026)["rejections"]
+    return spark.createDataFrame(sorted(found.items()), "rejection string, n bigint")
