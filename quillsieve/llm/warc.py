@@ -4,6 +4,7 @@ write_archives() makes one record per page, an HTTP response in chunked transfer
 than `segment_bytes` is cut into a first record (WARC-Segment-Number 1) and continuation records that name
 it by WARC-Segment-Origin-ID; the last one has WARC-Segment-Total-Length. Of pages with equal payloads of
 at least `revisit_bytes`, those with the largest id are responses and the others are revisits of it.
+A revisit names its response by target URI and date, and by page id. Each task begins with a warcinfo record.
 Records are written by Spark's text writer, whose line separator is the two line ends that close a record,
 so the files are plain WARC in any store that Spark can write.
 
@@ -67,24 +68,36 @@ def record(kind: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(head).encode() + END + END + block
 
 
-def page_records(page_id, url, html: str | None, digest: str, refers_to, segment_bytes: int) -> list[bytes]:
+DATE = "2024-01-01T00:00:00Z"
+
+
+def _uri(url: str | None) -> str | None:
+    return None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=")
+
+
+def info_record() -> bytes:
+    head = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")]
+    return record("warcinfo", head, b"software: quillsieve" + END + b"format: WARC File Format 1.1" + END)
+
+
+def page_records(page_id, url, html: str | None, digest: str, refers_to, refers_url, segment_bytes: int) -> list[bytes]:
     payload = (html or "").encode()
     name = f"<urn:uuid:{uuid.uuid4()}>"
     fields = [
-        ("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=")),
+        ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response"),
     ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [record("revisit", [*fields, ("WARC-Profile", profile), ("X-Refers-To-Page-ID", refers_to)], http)]
+        return [record("revisit", [*fields, ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", refers_to)], http)]
     block = http + chunked(payload)
     if len(block) <= segment_bytes:
         return [record("response", fields, block)]
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
     out = [record("response", [*fields, ("WARC-Segment-Number", 1)], parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        more = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", n)]
+        more = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", n)]
         out.append(record("continuation", [*more, ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)], part))
     return out
 
@@ -92,16 +105,19 @@ def page_records(page_id, url, html: str | None, digest: str, refers_to, segment
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, revisit_bytes: int = 1000, records_per_file: int = 1000, id_col: str = "page_id") -> None:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    groups = slim.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("least"))
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
+    last = F.max(F.struct("page_id", "url"))  # of rows equal in id, the largest url
+    groups = slim.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(last["page_id"].alias("top"), last["url"].alias("top_url"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("least"))
     # ids that revisit: of groups with more than one id only, so that rows of one kind need no join partner
-    again = groups.filter("top > least").select("digest", "top")
-    visits = slim.filter(F.col("n") >= revisit_bytes).join(again, "digest").filter("page_id is null or page_id < top").select("page_id", "digest", "top").distinct()
-    visits = written(visits, "revisits").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "top")
-    plan = rows.join(visits, (F.col("page_id").eqNullSafe(F.col("_id"))) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "top")
+    again = groups.filter("top > least").select("digest", "top", "top_url")
+    visits = slim.filter(F.col("n") >= revisit_bytes).join(again, "digest").filter("page_id is null or page_id < top").select("page_id", "digest", "top", "top_url").distinct()
+    visits = written(visits, "revisits").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "top", "top_url")
+    plan = rows.join(visits, (F.col("page_id").eqNullSafe(F.col("_id"))) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "top", "top_url")
 
     def run(batches):
-        for batch in batches:
+        for number, batch in enumerate(batches):
+            if not number:
+                yield pa.RecordBatch.from_arrays([pa.array([info_record()], pa.binary())], names=["value"])
             found = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in page_records(*row, segment_bytes)]
             for k in range(0, len(found), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 2000], pa.binary())], names=["value"])

@@ -174,6 +174,12 @@ def test_warc_odd(spark):
     same(warc.digests(read).collect(), expected)
     assert {r["url"] for r in read.filter("page_id = 1").collect()} == {"http://a.example/ü x\r\ny"}
     assert warc.round_trip(df.limit(0)).count() == 0
+    path = fresh_path(spark, "archive")
+    warc.write_archives(df, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).collect()
+    kinds = Counter(fields["WARC-Type"] for f in files for fields, _ in warc.parse(bytes(f["content"])))
+    visits = [fields for f in files for fields, _ in warc.parse(bytes(f["content"])) if fields["WARC-Type"] == "revisit"]
+    assert kinds["warcinfo"] >= 1 and visits and all(v["WARC-Refers-To-Target-URI"] == "u" and "WARC-Refers-To-Date" in v for v in visits)
 
 
 def test_warc_broken():
