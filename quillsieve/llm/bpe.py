@@ -57,6 +57,7 @@ def load_tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def special_pattern(path: str):
+    """Of the added tokens, found by the driver: tasks that only cut words don't load the vocabulary."""
     found = [t["content"] for t in json.loads(load_tokenizer(path).to_str())["added_tokens"]]
     return re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None
 
@@ -102,9 +103,8 @@ class _Words:
         self.words += new if index is self.literal else [k if k[:1] == "\n" else " " + k for k in new]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk_chars: int, positions: bool):
+def _chunks(batches: Iterator[pa.RecordBatch], special: re.Pattern | None, chunk_chars: int, positions: bool):
     """Yields (doc ids, position arrays if asked for, words); positions into words."""
-    special = special_pattern(path)
     found, keys, texts_as, chars = _Words(), [], [], 0
     for batch in small_batches(batches, 200):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -159,9 +159,9 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _words_of(path: str, chunk_chars: int, buckets: int):
+def _words_of(special: re.Pattern | None, chunk_chars: int, buckets: int):
     def run(batches):
-        for number, (_, _, words) in enumerate(_chunks(batches, path, chunk_chars, False)):
+        for number, (_, _, words) in enumerate(_chunks(batches, special, chunk_chars, False)):
             chunk, raw = _name(number, words), [w.encode() for w in words]
             bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -179,9 +179,9 @@ def _words_of(path: str, chunk_chars: int, buckets: int):
     return run
 
 
-def _positions_of(path: str, chunk_chars: int):
+def _positions_of(special: re.Pattern | None, chunk_chars: int):
     def run(batches):
-        for number, (keys, texts_as, words) in enumerate(_chunks(batches, path, chunk_chars, True)):
+        for number, (keys, texts_as, words) in enumerate(_chunks(batches, special, chunk_chars, True)):
             chunk = _name(number, words)
             for k in range(0, len(keys), 2000):
                 part = keys[k : k + 2000]
@@ -250,24 +250,20 @@ def _joined(key, texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches([b.cast(schema) for b in _join_ids(key, texts, words)], schema) if texts.num_rows else schema.empty_table()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 12_000_000, buckets: int = 256) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 8_000_000, buckets: int = 256) -> DataFrame:
     """(id_col, ids): the ids of every whole text, one row per input row."""
     p = shuffle_partitions(docs.sparkSession)
     buckets = max(buckets, p)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    words = source.mapInArrow(_words_of(tokenizer_path, chunk_chars, buckets), "chunk string, bucket int, places binary, lengths binary, words binary")
+    special = special_pattern(tokenizer_path)
+    words = source.mapInArrow(_words_of(special, chunk_chars, buckets), "chunk string, bucket int, places binary, lengths binary, words binary")
     encoded = words.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer_path), "chunk string, places binary, counts binary, ids binary")
-    positions = source.mapInArrow(_positions_of(tokenizer_path, chunk_chars), "chunk string, key long, positions binary")
+    positions = source.mapInArrow(_positions_of(special, chunk_chars), "chunk string, key long, positions binary")
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     joined = positions.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(lambda k, a, b: _joined(k, a, b), schema)
     return joined.withColumnRenamed("key", id_col)
 
 
-@lru_cache(maxsize=4)
-def _piece_array(path: str) -> pa.Array:
-    return pa.array(piece_table(path), pa.binary())
-
-
 def _texts(joined: pa.Array) -> pa.Array:
     try:
         return joined.cast(pa.string())
@@ -275,9 +271,8 @@ def _texts(joined: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
 
 
-def _decode(path: str):
+def _decode(pieces: pa.Array):
     def run(batches):
-        pieces = _piece_array(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -293,7 +288,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
     """(id_col, ids_col, text): ids joined to their pieces. Null ids give an empty text."""
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
     source = encoded.select(F.col(id_col).cast("long").alias("key"), ids.alias("ids"))
-    return source.mapInArrow(_decode(tokenizer_path), "key long, ids array<int>, text string").toDF(id_col, ids_col, "text")
+    return source.mapInArrow(_decode(pa.array(piece_table(tokenizer_path), pa.binary())), "key long, ids array<int>, text string").toDF(id_col, ids_col, "text")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

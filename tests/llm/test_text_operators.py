@@ -142,7 +142,7 @@ def test_bpe_odd(odd, odd_rows, none):
 def test_bpe_partitions_of_equal_texts(spark):
     """Partitions of one repeated text are chunks of their own, and so groups of their own."""
     docs = spark.createDataFrame([(k, "the same words again") for k in range(80)], "doc_id long, text string").repartition(8)
-    names = docs.mapInArrow(bpe._positions_of(TOKENIZER, 10**6), "chunk string, key long, positions binary").groupBy("chunk").count().collect()
+    names = docs.mapInArrow(bpe._positions_of(bpe.special_pattern(TOKENIZER), 10**6), "chunk string, key long, positions binary").groupBy("chunk").count().collect()
     assert len(names) == 8 and sum(r["count"] for r in names) == 80
     out = bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)).collect()
     assert len(out) == 80 and len({r["ids_sha256"] for r in out}) == 1
@@ -154,7 +154,7 @@ def test_cuts_keep_ids(text):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["k", "t"])
-    (_, positions, words), *_ = bpe._chunks(iter([batch]), TOKENIZER, 10**6, True)
+    (_, positions, words), *_ = bpe._chunks(iter([batch]), bpe.special_pattern(TOKENIZER), 10**6, True)
     tokenizer = bpe.load_tokenizer(TOKENIZER)
     ids = [i for p in bpe._unpack(positions[0]).tolist() for i in tokenizer.encode(words[p], add_special_tokens=False).ids]
     assert ids == tokenizer.encode(text, add_special_tokens=False).ids and "".join(words[p] for p in bpe._unpack(positions[0]).tolist()) == text
