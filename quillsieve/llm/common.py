@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Paths given out so far, with the session; what is left of them goes when the driver ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch():
+    """Tables that are written inside go at the end: for work whose result is written as well."""
+    before = len(_made)
+    yield
+    for spark, path in _made[before:]:
+        delete(spark, path)
+    del _made[before:]
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        with suppress(Exception):  # the session may be gone
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,11 +76,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Removes the files of a written table that nothing reads any more. Whatever was made of it must have been
     written itself."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
