@@ -254,14 +254,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _banded(nodes: DataFrame, bands: int, digits: int) -> DataFrame:
     """(token, node): hashes of `digits` sampled digits, `bands` times in each of the two octaves before the last; the
     last one is cut short by the text's end, and lengths about a power of two share one of the others."""
-    rng, keys = np.random.default_rng(SEED), []
-    kept = [sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist()) for _ in range(bands)]
-    for back in (2, 3):
-        octave = F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - back).cast("int")
-        for band, places in enumerate(kept):
-            picked = [F.substring("print", octave * PER_OCTAVE + F.lit(i + 1), F.lit(1)) for i in places]
-            keys.append(F.xxhash64(octave, F.lit(band), *picked))
-    return nodes.select("node", F.explode(F.array_distinct(F.array(*keys))).alias("token"))
+    rng = np.random.default_rng(SEED)
+    kept = F.array(*[F.array(*[F.lit(i + 1) for i in sorted(rng.choice(PER_OCTAVE, digits, replace=False).tolist())]) for _ in range(bands)])
+    octave = lambda back: F.greatest(F.lit(0), F.floor(F.length("print") / PER_OCTAVE) - back).cast("int")
+    parts = [F.struct(octave(back).alias("octave"), F.substring("print", octave(back) * PER_OCTAVE + 1, F.lit(PER_OCTAVE)).alias("piece")) for back in (2, 3)]
+    sampled = nodes.select("node", F.explode(F.array_distinct(F.array(*parts))).alias("p")).select("node", "p.octave", "p.piece")
+    keys = F.transform(kept, lambda places, band: F.xxhash64(F.col("octave"), band, F.concat_ws("", F.transform(places, lambda i: F.substring("piece", i, F.lit(1))))))
+    return sampled.select("node", F.explode(keys).alias("token"))
 
 
 def _alike(least: float):
