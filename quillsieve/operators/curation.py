@@ -138,6 +138,19 @@ def apportion(quotas: dict[str, int], n: int) -> dict[str, int]:
     return out
 
 
+def apportioned(strata: DataFrame, key: str, amount: str, n: int) -> DataFrame:
+    """(key, quota) as apportion() gives them, for a table of strata of any length: the largest remainders are a top-k."""
+    if n <= 0:
+        raise ValueError("the number of rows must be positive")
+    total = strata.agg(F.sum(amount)).first()[0] or 1  # one number
+    share = F.lit(n).cast("decimal(38,0)") * F.col(amount)
+    parts = strata.select(key, F.floor(share / total).cast("bigint").alias("whole"), (share % total).alias("rest"))
+    short = n - (parts.agg(F.sum("whole")).first()[0] or 0)
+    more = parts.orderBy(F.desc("rest"), key).limit(short).select(F.col(key).alias("k"), F.lit(1).alias("more"))
+    joined = parts.join(more, F.col(key).eqNullSafe(F.col("k")), "left")
+    return joined.select(key, (F.col("whole") + F.coalesce("more", F.lit(0))).alias("quota"))
+
+
 #: Rows of a small table up to which it is broadcast.
 SMALL_TABLE = 100_000
 
@@ -203,9 +216,12 @@ def merge(parts: list[DataFrame], key: str, repeats: DataFrame, length: Column |
     return replicate(rows, key, repeats)
 
 
-def band_pool(pool: DataFrame, screened: DataFrame, training: DataFrame, low: int, high: int) -> DataFrame:
-    """Pool rows whose screen has low..high correct samples and that aren't in the training set."""
+def band_pool(pool: DataFrame, screened: DataFrame, training: DataFrame, low: int, high: int, strict: bool = False) -> DataFrame:
+    """Pool rows whose screen has low..high correct samples and that aren't in the training set. strict: a screened row
+    that the pool lacks is an error."""
     fit = screened.filter(F.col("n_correct").between(low, high)).select("id", "n_correct")
+    if strict:
+        checks.require_empty(checks.unknown_ids(fit, pool), "screened ids that the pool lacks")
     return pool.join(fit, "id").join(training.select("id"), "id", "left_anti")
 
 

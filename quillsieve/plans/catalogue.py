@@ -509,8 +509,7 @@ def hash_split(spark, sf_dir):
 @query("""WITH c AS (SELECT source, count(*) AS q FROM documents GROUP BY 1), e AS (SELECT source, (137 * q) // (SELECT sum(q) FROM c) AS base, (137 * q) % (SELECT sum(q) FROM c) AS rest FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, source) AS k FROM e) SELECT source, CAST(base + CASE WHEN k <= 137 - (SELECT sum(base) FROM e) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
 def quota_apportion(spark, sf_dir):
-    counts = {r["source"]: r["n"] for r in metrics.frequencies(read(spark, sf_dir, "documents"), "source").collect()}  # one row a source
-    return spark.createDataFrame(list(curation.apportion(counts, 137).items()), "source string, quota bigint")
+    return curation.apportioned(metrics.frequencies(read(spark, sf_dir, "documents"), "source"), "source", "n", 137)
 
 
 @query("SELECT doc_id, lang, CAST(k AS BIGINT) AS training_repeat FROM (SELECT doc_id, lang, unnest(range(1, CASE lang WHEN 'fr' THEN 3 WHEN 'de' THEN 4 ELSE 2 END)) AS k FROM documents)")

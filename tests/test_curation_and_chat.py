@@ -126,6 +126,23 @@ def test_rendered_prompt_styles(spark):
     assert [r["c"] for r in df.select(cut_off(F.col("r")).alias("c")).collect()] == [True, False, False]
 
 
+def test_apportioned_table(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        quotas, n = {f"k{i}": rng.randint(1, 50) for i in range(rng.randint(1, 9))}, rng.randint(1, 400)
+        strata = spark.createDataFrame(list(quotas.items()), "name string, q bigint")
+        assert {r["name"]: r["quota"] for r in curation.apportioned(strata, "name", "q", n).collect()} == curation.apportion(quotas, n)
+
+
+def test_strict_pool(spark):
+    from quillsieve.operators.checks import CheckError
+
+    pool, screened, none = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, 2), (2, 2)], "id int, n_correct int"), spark.createDataFrame([], "id int")
+    assert curation.band_pool(pool, screened, none, 1, 3).count() == 1
+    with pytest.raises(CheckError):
+        curation.band_pool(pool, screened, none, 1, 3, strict=True)
+
+
 def test_merge(spark):
     from quillsieve.operators.checks import CheckError
 
