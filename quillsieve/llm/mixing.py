@@ -211,17 +211,21 @@ def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
     # rows that are taken in part or not at all count too, so that equal rows are known as such
     times = mixed.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     some = some.join(times, F.col(new["id"]).eqNullSafe(F.col("i")) & F.col(new["key"]).eqNullSafe(F.col("k")), "left").withColumn(new["n"], F.coalesce("times", F.lit(1))).drop("i", "k", "times")
-    rows = docs.join(some, F.col(id_col).eqNullSafe(F.col(new["id"])) & (F.xxhash64(F.col(text_col)) == F.col(new["key"])))
-    if not times.isEmpty():
+    some, several = written(some, "taken"), not times.isEmpty()
+
+    def joined(takes: DataFrame) -> DataFrame:
+        rows = docs.join(takes, F.col(id_col).eqNullSafe(F.col(new["id"])) & (F.xxhash64(F.col(text_col)) == F.col(new["key"])))
+        if not several:
+            return rows
         once, again = rows.filter(F.col(new["n"]) == 1), rows.filter(F.col(new["n"]) > 1)
         every = F.struct(*[F.col(c) for c in rows.columns])
         again = again.groupBy(new["id"], new["key"]).agg(F.min_by(every, F.to_json(every)).alias("r")).select("r.*")
-        rows = once.unionByName(again)
-    passes = F.sequence(F.lit(1).cast("long"), F.col(new["whole"]) + F.size(new["parts"]))
-    rows = rows.withColumn(new["pass"], F.explode(passes)).withColumn(new["cut"], F.col(new["pass"]) > F.col(new["whole"]))
-    words = F.element_at(new["parts"], (F.col(new["pass"]) - F.col(new["whole"])).cast("int"))
-
-    # only texts that are cut go to Python
-    cut = F.col(new["cut"])
-    short = _shortened(F.when(cut, F.col(text_col)), F.when(cut, words))
-    return rows.withColumn(text_col, F.when(cut, short).otherwise(F.col(text_col))).select(*docs.columns)
+        return once.unionByName(again)
+
+    copies = F.sequence(F.lit(1).cast("long"), F.col(new["whole"]))
+    full = joined(some.filter(F.col(new["whole"]) > 0)).withColumn(new["pass"], F.explode(copies)).select(*docs.columns)
+    ends = some.filter(F.size(new["parts"]) > 0)
+    if ends.count() <= BROADCAST_SOURCES:
+        ends = F.broadcast(ends)
+    cut = joined(ends).withColumn(new["cut"], F.explode(new["parts"]))
+    return full.unionByName(cut.withColumn(text_col, _shortened(F.col(text_col), F.col(new["cut"]))).select(*docs.columns))
