@@ -202,7 +202,7 @@ def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
     words, with the white space between them. Rows equal in id and text share one row, the least as JSON, for all
     that is taken of them; null ids are told apart by their texts."""
     new = {name: free_name([*docs.columns, "r", "k"], name) for name in ("id", "key", "n", "whole", "parts", "pass", "cut")}
-    part = F.col("taken") % F.col("size")
+    part, mixed = F.col("taken") % F.col("size"), written(mixed, "mixed")
     some = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias(new["id"]), F.col("text_key").alias(new["key"])).agg(
         F.count(F.lit(1)).alias(new["n"]),
         F.sum(F.expr("taken div size")).alias(new["whole"]),
