@@ -332,3 +332,80 @@ def curation_counts(spark, sf_dir):
     judged, chosen = _curation(spark, sf_dir)
     found = curate.counted(judged, chosen, 2026)["rejections"]
     return spark.createDataFrame(sorted(found.items()), "rejection string, n bigint")
+
+
+# --- rounds of the stub provider, whose texts SQL can hash as well -----------------------------------------------
+
+
+def _byte(i: int, h: str = "h") -> str:
+    return f"CAST('0x' || substr({h}, {2 * i + 1}, 2) AS INTEGER)"
+
+
+def _said(h: str, told: str) -> str:
+    """The stub's text by its hash; `told` is whether the chat shows program output."""
+    v = f"({_byte(0, h)} % 7)"
+    program = f"'Try this.' || chr(10) || '```python' || chr(10) || 'print(' || CASE WHEN {_byte(2, h)} % 5 = 0 THEN '1 // 0' ELSE CAST({v} AS VARCHAR) END || ')' || chr(10) || '```' || chr(10) || 'Final answer: ' || {v}"
+    return f"CASE WHEN {told} OR {_byte(1, h)} % 3 = 0 THEN 'Final answer: ' || {v} ELSE {program} END"
+
+
+def _chat(prompt: str) -> str:
+    return "'system:" + T.PROMPTS[prompt].replace("'", "''") + "' || chr(10) || 'user:' || text"
+
+
+ASKED = f"a AS (SELECT item_id AS id, k AS sample_index, {_chat('concise')} AS chat FROM benchmark, (SELECT unnest(range(3)) AS k)), b AS (SELECT *, sha256('5:' || sample_index || ':' || chat) AS h FROM a)"
+
+
+def _requests(spark, sf_dir, style: str) -> DataFrame:
+    none = F.array().cast("array<struct<user:string,assistant:string>>")
+    items = read(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("id"), chat.prompt_messages(T.prompt(F.lit(style)), none, F.col("text")).alias("messages"))
+
+
+@query(f"WITH {ASKED} SELECT id, CAST(sample_index AS BIGINT) AS sample_index, {_said('h', 'false')} AS response, CAST(16 + {_byte(3)} % 64 AS BIGINT) AS response_tokens, {_byte(3)} % 11 = 0 AS truncated FROM b")
+def stub_generations(spark, sf_dir):
+    """Three samples a question through the thread pools of the generate operator."""
+    got = rollouts.generate(_requests(spark, sf_dir, "concise"), rollouts.StubProvider(), 3, 64, 5)
+    return got.filter("error is null").select("id", long("sample_index").alias("sample_index"), "response", long("response_tokens").alias("response_tokens"), "truncated")
+
+
+@query(f"WITH {ASKED}, r AS (SELECT id, {_said('h', 'false')} AS response, {_byte(3)} % 11 = 0 AS cut FROM b WHERE sample_index = 0) SELECT id, response, cut AS retried_truncated, CASE WHEN cut THEN response END AS initial_response FROM r")
+def retried_generations(spark, sf_dir):
+    """Greedy texts; truncated ones are asked again with a larger budget, which the stub answers alike."""
+    from quillsieve.plans.scratch import scratch_folder
+
+    got = rollouts.with_retry(_requests(spark, sf_dir, "concise"), rollouts.StubProvider(), scratch_folder(spark), 64, 2048, 5)
+    return got.select("id", "response", "retried_truncated", "initial_response")
+
+
+_NUDGE, _NONE = (x.replace("'", "''") for x in (rollouts.FINAL_NUDGE, rollouts.NO_CODE_FOUND))
+ROUNDS = f"""a AS (SELECT item_id AS id, k AS sample_index, {_chat('program')} AS chat FROM benchmark, (SELECT unnest(range(3)) AS k)),
+b AS (SELECT *, sha256('5:' || sample_index || ':' || chat) AS h FROM a), c AS (SELECT *, {_said('h', 'false')} AS round1, nullif(regexp_extract({_said('h', 'false')}, 'print.([^)]*)', 1), '') AS printed FROM b),
+d AS (SELECT *, CASE WHEN printed IS NULL THEN NULL WHEN printed = '1 // 0' THEN 'error' ELSE 'ok' END AS status FROM c),
+e AS (SELECT *, CASE WHEN status IS NULL THEN '{_NONE}' ELSE 'Program output:' || chr(10) || '```' || chr(10) || CASE WHEN status = 'ok' THEN printed ELSE '(no output)' || chr(10) || '[error] ZeroDivisionError: division by zero' END
+  || chr(10) || '```' || chr(10) || '{_NUDGE}' END AS told FROM d),
+f AS (SELECT *, sha256('12:0:' || chat || chr(10) || 'assistant:' || round1 || chr(10) || 'user:' || told) AS h2 FROM e), g AS (SELECT *, {_said('h2', 'status IS NOT NULL')} AS final FROM f),
+s AS (SELECT *, regexp_extract(final, 'Final answer: ([0-9]+)', 1) AS prediction FROM g)"""
+
+
+def _single_round(spark, sf_dir) -> DataFrame:
+    from quillsieve.plans.catalogue import printed
+    from quillsieve.plans.scratch import scratch_folder
+
+    questions = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    config = rollouts.RolloutConfig(samples=3, repair_rounds=0, seed=5)
+    return rollouts.trajectories(questions, rollouts.StubProvider(), scratch_folder(spark), config, execute=rollouts.programs(runner=printed))
+
+
+@query(f"WITH {ROUNDS} SELECT id, CAST(sample_index AS BIGINT) AS sample_index, status, sha256(round1) AS first, sha256(final) AS final, prediction FROM s")
+def rollout_texts(spark, sf_dir):
+    """Sample, run, final answer: every text, run and prediction of a round."""
+    got = _single_round(spark, sf_dir)
+    return got.select("id", long("sample_index").alias("sample_index"), "status", F.sha2("round1_text", 256).alias("first"), F.sha2("final_text", 256).alias("final"), "prediction")
+
+
+@query(f"""WITH {ROUNDS}, v AS (SELECT id, prediction AS answer, count(*) AS n FROM s WHERE status = 'ok' AND printed = prediction GROUP BY 1, 2),
+t AS (SELECT id, max(answer) FILTER (WHERE n = m) AS top, count(*) FILTER (WHERE n = m) AS ties, CAST(sum(n) AS BIGINT) AS total FROM (SELECT *, max(n) OVER (PARTITION BY id) AS m FROM v) GROUP BY id)
+SELECT i.id, CASE WHEN ties = 1 THEN top END AS prediction, coalesce(total, 0) AS verified_support, 3 AS n_samples FROM (SELECT DISTINCT id FROM s) i LEFT JOIN t USING (id)""")
+def rollout_pool(spark, sf_dir):
+    """The verified votes of a round's samples."""
+    return rollouts.tool_pool(_single_round(spark, sf_dir))
