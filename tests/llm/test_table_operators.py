@@ -382,3 +382,24 @@ def test_pipeline(spark, odd):
     empty = odd.limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_scratch_tables_go(spark):
+    """What a stage writes under way is removed after it; released tables go at once; a cluster needs a shared folder."""
+    from types import SimpleNamespace
+
+    from quillsieve.llm import common
+
+    with common.scratch():
+        kept = common.written(spark.range(3).toDF("x"), "kept")
+        gone = common.written(spark.range(3).toDF("x"), "gone")
+        common.release(gone)
+        assert kept.count() == 3
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+            spark.read.parquet(gone.inputFiles()[0] if gone.inputFiles() else "/nowhere").count()
+        path = kept.inputFiles()[0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(path).count()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="none"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
