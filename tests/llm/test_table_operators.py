@@ -157,6 +157,21 @@ def test_near_pairs_of_mixed_bands(spark, small):
     assert len(set(expected.values())) > 4 and copies != [(a, b) for a, b in expected.items() if a != b]
 
 
+def test_near_groups_odd(odd, odd_rows, none):
+    """Every row comes back, null ids too; equal fingerprints share a group, known by its smallest id."""
+    prints = editprints.compare_with_next(odd)
+    found = editprints.near_groups(prints).collect()
+    same([r[:-2] for r in found], prints.collect())
+    by = defaultdict(set)
+    for r in found:
+        by[r["fingerprint"]].add((r["near_id"], r["n_near"]))
+        assert r["near_id"] is None or r["doc_id"] is None or r["near_id"] <= r["doc_id"]
+    assert all(len(groups) == 1 for groups in by.values()) and any(r["doc_id"] is None for r in found)
+    members = Counter(near for groups in by.values() for near, _ in groups)
+    assert all(n == members[near] for groups in by.values() for near, n in groups if near is not None)
+    assert editprints.near_groups(editprints.compare_with_next(none)).count() == 0
+
+
 PAGES = "page_id long, url string, html string, value string, digest string"
 
 
