@@ -1,5 +1,5 @@
-"""python -m quillsieve evaluate|submission|compose|merge: ensembles of prediction or submission files, the chain of gates
-over a folder of materials, and training files put together."""
+"""python -m quillsieve evaluate|submission|compose|rebuild|merge: ensembles of prediction or submission files, the chain of gates
+over a folder of materials, its first stages from raw texts, and training files put together."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import udfs
 from quillsieve.operators import checks, chat, curation, metrics, votes
-from quillsieve.operators.rollouts import abstain
+from quillsieve.operators.rollouts import round_store
 from quillsieve.plans import compose as composing
+from quillsieve.plans import rebuild as rebuilding
+from quillsieve.plans.scratch import scratch_folder
 from quillsieve.session import session
 from quillsieve.sources import readers, sinks
 
@@ -88,6 +90,20 @@ def compose(args) -> None:
         print(f"{stage}: {emit[stage]}, {n} missing answers")
 
 
+def rebuild(args) -> None:
+    """The first stages from raw texts; how many answers of each differ from a golden submission; submissions of the stages."""
+    spark = session(args.master)
+    problems = in_order(readers.read_csv(spark, args.input))
+    names = rebuilding.Files(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(args.names or "{}").items()})
+    bands = tuple(b for b in args.risky_bands.split(",") if b)
+    rows = round_store(rebuilding.rebuild(spark, problems, args.materials, args.extractor, bands, names), scratch_folder(spark), "rebuilt")
+    metrics.frequencies(rows, "support").orderBy("support").show()
+    for stage, differ in rebuilding.verify(spark, rows, dict(g.split("=", 1) for g in args.golden)).items():
+        n, shown = differ.count(), [r["id"] for r in differ.orderBy("id").limit(10).collect()]  # a few examples
+        print(f"{stage}: {n} answers differ {shown if n else ''}".rstrip())
+    sinks.write_stages(rows, dict(e.split("=", 1) for e in args.emit))
+
+
 def merge(args) -> None:
     """Training rows of all inputs by id, each teacher's as often as asked for."""
     spark = session(args.master)
@@ -122,6 +138,15 @@ def main() -> None:
     p.add_argument("--emit", action="append", default=[], help="stage=path, any number of times")
     p.add_argument("--names", help="JSON object of file names by role")
     p.set_defaults(run=compose)
+    p = kinds.add_parser("rebuild")
+    p.add_argument("--input", required=True)
+    p.add_argument("--materials", required=True)
+    p.add_argument("--extractor", choices=sorted(rebuilding.EXTRACTORS), default="boxed_first")
+    p.add_argument("--risky-bands", default="", help="low, middle, or both with a comma")
+    p.add_argument("--golden", action="append", default=[], help="stage=path, any number of times")
+    p.add_argument("--emit", action="append", default=[], help="stage=path, any number of times")
+    p.add_argument("--names", help="JSON object of file names by role")
+    p.set_defaults(run=rebuild)
     p = kinds.add_parser("merge")
     p.add_argument("inputs", nargs="+")
     p.add_argument("--output", required=True)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import text as T
 from quillsieve.operators import curation, gates
-from quillsieve.plans import compose
-from quillsieve.plans.catalogue import CHAIN, CONFIG, query, read
+from quillsieve.plans import compose, rebuild
+from quillsieve.plans.catalogue import CHAIN, CONFIG, _pool_sql, query, read, tops_sql
 from quillsieve.plans.scratch import scratch_folder
 from quillsieve.sources import readers, sinks
 
@@ -193,3 +193,55 @@ def composed_submission(spark, sf_dir):
     path = fresh(spark, "emit")
     compose.run(spark, _problems(spark, sf_dir), materials(spark, sf_dir), {"c4": path}, NAMES, RULES)
     return readers.read_submission(spark, path)
+
+
+# --- rebuilt stages --------------------------------------------------------------------------------------------
+
+REBUILT = rebuild.Rules(sample_votes=1, low_votes=2, middle_votes=2, chain=CONFIG)
+REBUILD_FILES = rebuild.Files(voters=NAMES.voters)
+
+
+def _raw(spark, sf_dir) -> str:
+    """Texts instead of predictions: voters that box one number and conclude with another, samples that leave their last
+    line open on even lines, tool counts with two spellings of one answer."""
+    folder, c = fresh(spark, "raw"), F.col
+    lines = read(spark, sf_dir, "lineitem").withColumns({"id": c("l_orderkey").cast("string"), "p": (c("l_partkey") % 3).cast("string")})
+    voters = lines.groupBy("id", "l_linenumber").agg((F.floor(F.max("l_quantity")) % 3).cast("string").alias("a"), (F.max("l_partkey") % 3).cast("string").alias("b"))
+    text = F.concat(F.lit("We get \\boxed{"), "b", F.lit("}.\nFinal answer: "), "a")
+    for k, name in enumerate(REBUILD_FILES.voters, 1):
+        sinks.write_jsonl(voters.filter(c("l_linenumber") == k).select("id", text.alias("response")), f"{folder}/{name}")
+    sample = F.when(c("l_linenumber") % 2 == 0, F.concat(F.lit("so it is "), "p")).otherwise(F.concat(F.lit("Final answer: "), "p"))
+    sinks.write_jsonl(lines.withColumn("t", sample).groupBy("id").agg(F.collect_list("t").alias("responses")), f"{folder}/{REBUILD_FILES.samples[0]}")
+    for flag, name in (("R", REBUILD_FILES.low_tools), ("A", REBUILD_FILES.middle_tools)):
+        counts = lines.filter(c("l_returnflag") == flag).groupBy("id", "p").agg(F.count(F.lit(1)).alias("n"))
+        spelled = counts.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit("0"), "p").alias("a"), F.lit(9).cast("bigint").alias("n")), F.struct(F.lit(1).alias("k"), c("p").alias("a"), c("n")))).alias("e"))
+        both = spelled.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("e.k", "e.a", "e.n"))).alias("l"))
+        sinks.write_jsonl(both.select("id", F.map_from_entries(F.transform("l", lambda x: F.struct(x["a"], x["n"]))).alias("verified_counts")), f"{folder}/{name}")
+    return folder
+
+
+def _rebuilt_sql(answer: str, risky: bool) -> str:
+    low, middle = ("nrisky >= 1 AND lp.ties = 1", "nrisky >= 1 AND mp.ties = 1") if risky else ("lp.ties = 1 AND lp.support >= 2", "mp.ties = 1 AND mp.support >= 2")
+    return f"""WITH v AS (SELECT l_orderkey AS id, l_linenumber AS idx, CAST({answer} % 3 AS VARCHAR) AS answer FROM lineitem GROUP BY 1, 2), {tops_sql('v', 't')},
+{_pool_sql('sp', 'l_partkey')}, {_pool_sql('lp', 'l_partkey', 'R')}, {_pool_sql('mp', 'l_partkey', 'A')},
+k AS (SELECT l_orderkey AS id, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS nrisky, max(o.answer) AS own FROM lineitem LEFT JOIN (SELECT id, answer FROM v WHERE idx = 1) o ON o.id = l_orderkey GROUP BY 1),
+x AS (SELECT k.id, t.support, sp.support AS votes, nrisky, CASE WHEN t.ties = 1 AND t.support >= 2 THEN t.top ELSE own END AS voters, CASE WHEN sp.ties = 1 THEN sp.top END AS pick,
+  CASE WHEN sp.support <= 1 AND {low} THEN lp.top END AS lpick, CASE WHEN sp.support IN (2, 3) AND {middle} THEN mp.top END AS mpick
+  FROM k JOIN t USING (id) JOIN sp USING (id) LEFT JOIN lp USING (id) LEFT JOIN mp USING (id)),
+y AS (SELECT *, CASE WHEN support = 2 AND pick IS NOT NULL THEN pick ELSE voters END AS samples FROM x)
+SELECT id, support, votes, nrisky, voters, samples, coalesce(lpick, samples) AS low, coalesce(mpick, lpick, samples) AS middle FROM y"""
+
+
+def _rebuilt(spark, sf_dir, extractor: str, bands: tuple[str, ...]):
+    rows = rebuild.rebuild(spark, _problems(spark, sf_dir), _raw(spark, sf_dir), extractor, bands, REBUILD_FILES, REBUILT)
+    return rows.select(F.col("id").cast("bigint").alias("id"), "support", "votes", "nrisky", *rebuild.STAGES)
+
+
+@query(_rebuilt_sql("max(l_partkey)", False))
+def rebuilt_boxed_first(spark, sf_dir):
+    return _rebuilt(spark, sf_dir, "boxed_first", ())
+
+
+@query(_rebuilt_sql("CAST(floor(max(l_quantity)) AS BIGINT)", True))
+def rebuilt_final_first_risky(spark, sf_dir):
+    return _rebuilt(spark, sf_dir, "final_first", ("low", "middle"))

@@ -296,3 +296,26 @@ def test_cli_compose_and_merge(spark, tmp_path, capsys):
     args = Namespace(master="local[2]", inputs=[f"{tmp_path}/{n}.jsonl" for n in "ba"], output=f"{tmp_path}/merged", teacher_repeat=["t2=2"], max_length=50)
     cli.merge(args)
     assert [(r["id"], r["training_repeat"]) for r in map(json.loads, read("merged"))] == [("a", 1), ("b", 1), ("b", 2)]
+
+
+def test_cli_rebuild(spark, tmp_path, capsys):
+    """Extractors read the same texts differently; a golden submission shows where."""
+    from argparse import Namespace
+
+    from quillsieve import __main__ as cli
+
+    put = lambda name, rows: (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    for k in range(1, 6):
+        put(f"voter_{k}.jsonl", [{"id": "a", "response": "\\boxed{1}\nFinal answer: 2"}, {"id": "b", "response": "Final answer: 5" if k < 3 else f"Final answer: 7{k}"}])
+    put("samples.jsonl", [{"id": "a", "responses": ["Final answer: 8"] * 6}, {"id": "b", "responses": ["well 4", "Final answer: 4", "Final answer: 4"]}])
+    put("tools_low.jsonl", [{"id": "b", "verified_counts": {"06": 5, "6": 1}}])
+    put("tools_middle.jsonl", [{"id": "a", "verified_counts": {"9": 9}}])
+    (tmp_path / "p.csv").write_text("id,question\na,q\nb,q\n")
+    (tmp_path / "g.csv").write_text("id,answer\na,1\nb,5\n")
+    said = {}
+    for extractor in ("boxed_first", "final_first"):
+        args = Namespace(master="local[2]", input=str(tmp_path / "p.csv"), materials=str(tmp_path), extractor=extractor, risky_bands="low", golden=[f"voters={tmp_path}/g.csv"], emit=[f"middle={tmp_path}/{extractor}"], names=None)
+        cli.rebuild(args)
+        said[extractor] = capsys.readouterr().out
+    assert "voters: 0 answers differ" in said["boxed_first"] and "voters: 1 answers differ ['a']" in said["final_first"]
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/final_first").collect()] == ["id,answer", "a,2", "b,6"]
