@@ -64,11 +64,17 @@ def _clear() -> None:
             delete(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows a file of a table whose number of rows is bounded.
+ROWS_A_FILE = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and a lost
-    executor costs no more than a read."""
+    executor costs no more than a read. rows: an upper bound of its rows, so that a small table has few files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

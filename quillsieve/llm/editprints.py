@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm import buckets
-from quillsieve.llm.common import shuffle_partitions, small_batches, written
+from quillsieve.llm.common import BitMap, shuffle_partitions, small_batches, written
 from quillsieve.llm.simhash import components
 
 SEED = 20240229
 PERIOD = 4096
 PER_OCTAVE = 32
 FEW = 6
+#: Bits of the map that tells most bands of one fingerprint from shared ones.
+BITS = 1 << 24
 _BACK = bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
 
 
@@ -274,31 +276,37 @@ def _alike(least: float):
 
 
 def _near_nodes(prints: DataFrame, least: float, bands: int, digits: int, id_col: str, print_col: str, small: int) -> tuple[DataFrame, DataFrame]:
-    """(node, print, id) of the distinct fingerprints, and verified links (a, b, likeness) of nodes."""
-    nodes = prints.groupBy(F.xxhash64(print_col).alias("node")).agg(F.max(print_col).alias("print"), F.min(id_col).alias("id"))
-    nodes = written(nodes, "prints")
-    banded = _banded(nodes, bands, digits)
+    """(node, id) of the distinct fingerprints, and verified links (a, b, likeness) of nodes. Only nodes that share a band
+    move with their fingerprints."""
+    named = prints.select(F.xxhash64(print_col).alias("node"), F.col(print_col).alias("print"), F.col(id_col).alias("id"))
+    nodes = written(named.groupBy("node").agg(F.min("id").alias("id")), "prints")
+    banded = _banded(named, bands, digits)
+    # copies count too here; they fall together after the few rows left have moved
     again = written(banded.groupBy("token").count().filter("count > 1").select("token"), "shared-bands")
-    live = written(banded.join(again, "token", "left_semi").select("token", "node", F.lit(0).alias("size"), F.lit(0).alias("at")), "band-members")
+    some = written(BitMap(again, "token", BITS).keep(banded, "token").join(again, "token", "left_semi").distinct(), "band-rows")
+    shared = some.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
+    live = written(some.join(written(shared, "bands"), "token", "left_semi").select("token", "node", F.lit(0).alias("size"), F.lit(0).alias("at")), "band-members")
+    texts = named.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("print").alias("print"))
+    texts = written(texts, "band-prints")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("print").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("print").alias("y")), "b")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("print").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("print").alias("y")), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long, likeness double"), "alike")
 
     return nodes, buckets.links(live, verify, F.lit(True), small=small)
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 12, digits: int = 6, id_col: str = "doc_id", print_col: str = "fingerprint", small: int = buckets.SMALL) -> DataFrame:
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 14, digits: int = 9, id_col: str = "doc_id", print_col: str = "fingerprint", small: int = buckets.SMALL) -> DataFrame:
     """(a, b, likeness): pairs of smallest ids of equal fingerprints that share a band of bit-sampled digits. They
     connect all members of a band whose likeness, verified on the whole fingerprints, is at least `least`."""
     nodes, links = _near_nodes(prints, least, bands, digits, id_col, print_col, small)
-    named = nodes.select("node", "id")
+    named = nodes
     both = links.join(named.withColumnsRenamed({"node": "a", "id": "x"}), "a").join(named.withColumnsRenamed({"node": "b", "id": "y"}), "b")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
 
 
-def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 12, digits: int = 6, id_col: str = "doc_id", print_col: str = "fingerprint", small: int = buckets.SMALL) -> DataFrame:
+def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 14, digits: int = 9, id_col: str = "doc_id", print_col: str = "fingerprint", small: int = buckets.SMALL) -> DataFrame:
     """prints with near_id, the smallest id that a document reaches over equal fingerprints and verified pairs, and
     n_near, the number of distinct fingerprints of that group."""
     nodes, links = _near_nodes(prints, least, bands, digits, id_col, print_col, small)

@@ -163,13 +163,14 @@ def links(nodes: DataFrame, radius: int = 2, blocks: int = 4, most: int = 4096)
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the links (a, b) reaches. Labels are written each round."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
+    n = 2 * edges.count()
+    both = written(edges.select("a", "b").union(edges.select("b", "a")), "links", n)
+    labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels", n)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        after = written(lower.join(jump, "to").select("node", F.least("to", "further").alias("label"), "was"), "labels")
+        after = written(lower.join(jump, "to").select("node", F.least("to", "further").alias("label"), "was"), "labels", n)
         labels = after.select("node", "label")
         if after.filter("label <> was").isEmpty():
             return labels
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     """doc_id, fp, component_id (the smallest doc_id that the document reaches over links)."""
     marked = written(fingerprints(docs, width, seed, id_col, text_col), "simhash")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    linked = components(links(nodes.select("fp"), radius, most=most)).select(F.col("node").alias("fp"), "label")
+    linked = components(written(links(nodes.select("fp"), radius, most=most), "simhash-links")).select(F.col("node").alias("fp"), "label")
     named = nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -190,7 +191,7 @@ def linked_texts(docs: DataFrame, width: int = 5, radius: int = 2, seed: int = 4
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = fingerprints(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), width, seed, "node", "text")
     nodes = written(marked.distinct().withColumnRenamed("doc_id", "node"), "simhash-texts")
-    linked = components(links(nodes.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "label")
+    linked = components(written(links(nodes.select("fp").distinct(), radius), "simhash-links")).select(F.col("node").alias("fp"), "label")
     named = nodes.join(linked, "fp", "left").select("node", F.coalesce("label", "fp").alias("label"))
     heads = named.groupBy("label").agg(F.min("node").alias("b"))
     return named.join(heads, "label").filter("node <> b").select(F.col("node").alias("a"), "b")
