@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillsieve.functions import text as T
-from quillsieve.operators import curation, gates
+from quillsieve.operators import curation
 from quillsieve.plans import compose, rebuild
 from quillsieve.plans.catalogue import CHAIN, CONFIG, _pool_sql, query, read, tops_sql
 from quillsieve.plans.scratch import scratch_folder
