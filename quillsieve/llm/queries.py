@@ -39,7 +39,7 @@ def op6_host_rules(spark, sf_dir):
 
 def op7_edit_fingerprints(spark, sf_dir):
     prints = written(editprints.compare_with_next(table(spark, sf_dir, "documents")), "edit-prints")
-    return editprints.near_groups(prints)
+    return editprints.near_groups(prints, least=0.9, digits=16)
 
 
 def op8_warc(spark, sf_dir):

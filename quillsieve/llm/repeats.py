@@ -260,6 +260,8 @@ def remove(docs: DataFrame, width: int = 400, gram: int = 128, most: int = 4096,
     # sums by anchor are tables before they are joined, so that a frequent anchor's rows can be split over tasks
     again = written(rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("anchor"), "repeated-anchors")
     held = written(rows.join(again, "anchor", "left_semi"), "held-anchors")
+    for done in (rows, again):
+        release(done)
     # copies count in the first number only; the few anchors above it are counted without them
     often = written(held.groupBy("anchor").count().filter(F.col("count") > most).select("anchor"), "frequent-anchors")
     places = held.join(often, "anchor", "left_semi").select("t1", "t2", "first", "anchor").distinct()
@@ -268,6 +270,7 @@ def remove(docs: DataFrame, width: int = 400, gram: int = 128, most: int = 4096,
     flagged = held.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else held.withColumn("hot", F.lit(False))
     lists = flagged.groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "hot", "first", "last", "place")).alias("pieces"))  # bounded by the text; copies fall together
     lists = written(lists.join(texts, ["t1", "t2"]).select("t1", "t2", "rep", "pieces"), "piece-lists")
+    release(held)
 
     near = BitMap(lists, "t1", bits)
     having = source.filter(long).filter(near.column("t1"))
