@@ -10,7 +10,8 @@ has ended. likeness() weighs each sample by the steps it stands for.
 Texts walk in lock-step through numpy, some million characters at a time; memory is bounded by the batch.
 
 near_pairs() groups fingerprints by bands of bit-sampled digits of octaves before the last and links the members
-of a band by verified likeness (buckets.links); copies count once. near_groups() gives their components.
+of a band by verified likeness (buckets.links); copies count once. near_groups() gives their components. Openings that
+very many short texts share make bands whose unlike members meet in pairs, so its work can grow faster than the input.
 
 Defined results: a null text is an empty one (fingerprint of zeros, likeness 1 to another empty text); a
 null id sorts last; equal ids go by the XXH64 of their texts; repeated rows follow each other; other columns are ignored; an
