@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, repeats, sharding, simhash, warc
+from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, repeats, resample, sharding, simhash, warc, whitening
 from quillsieve.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,8 +53,22 @@ def op10_simhash(spark, sf_dir):
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_resample(spark, sf_dir):
+    return resample.digests(table(spark, sf_dir, "clicks"), "Asia/Kolkata")
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.digests(table(spark, sf_dir, "embeddings"))
+
+
+NUMBERED = (
+    op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op5_repeats, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash,
+    op11_resample, op12_whitening,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op5_repeats, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in NUMBERED}
 
 
 def _host_rules_sql(host_rate: float = 0.5) -> str:
@@ -88,6 +102,25 @@ j AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 AND top IS NOT NULL AND pag
 SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j"""
 
 
+def _floor_div_sql(a: str, b: str) -> str:
+    return f"((({a}) - ((({a}) % ({b})) + ({b})) % ({b})) // ({b}))"
+
+
+def _resample_sql(cap: int = 3600, ahead: int = 19800) -> str:
+    """Successors by a window; the zone is 19800 seconds ahead all year."""
+    area = "2 * v * {0} + " + _floor_div_sql("(w - v) * {0} * {0}", "d")
+    return f"""WITH p AS (SELECT client_id, click_id, epoch_us(date_trunc('second', ts)) // 1000000 AS s, CAST(floor(100 * value + 0.5) AS HUGEINT) AS v FROM clicks
+  WHERE client_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+o AS (SELECT client_id, s, v FROM p QUALIFY row_number() OVER (PARTITION BY client_id, s ORDER BY click_id DESC NULLS LAST, v DESC) = 1),
+n AS (SELECT client_id, s, v, lead(s) OVER g AS t, lead(v) OVER g AS w FROM o WINDOW g AS (PARTITION BY client_id ORDER BY s)),
+c AS (SELECT client_id, s, v, w, CAST(t - s AS HUGEINT) AS d, unnest([s - (s + {ahead}) % 3600, s - (s + {ahead}) % 3600 + 3600]) AS b FROM n WHERE t - s <= {cap}),
+u AS (SELECT client_id, b, v, w, d, CAST(greatest(0, b - s) AS HUGEINT) AS x, CAST(least(d, b + 3600 - s) AS HUGEINT) AS y FROM c WHERE b < s + d),
+r AS (SELECT client_id, b, 0 AS k, y - x AS covered, ({area.format("y")}) - ({area.format("x")}) AS area FROM u UNION ALL SELECT client_id, s - (s + {ahead}) % 3600, 1, 0, 0 FROM o),
+z AS (SELECT client_id, b, sum(k) AS k, CAST(sum(covered) AS HUGEINT) AS covered, CAST(sum(area) AS HUGEINT) AS area FROM r GROUP BY 1, 2)
+SELECT client_id, CAST(b AS BIGINT) AS bucket_start, CAST(k AS BIGINT) AS n_points, CAST(covered AS BIGINT) AS covered_seconds, CAST(area AS BIGINT) AS area2,
+  CAST(CASE WHEN covered > 0 THEN {_floor_div_sql("area", "2 * covered")} END AS BIGINT) AS avg_cents FROM z"""
+
+
 def oracle_sql():
     """Only where SQL can express the result: the others hash, embed, tokenise, learn or follow a schedule."""
-    return {"op6_host_rules": _host_rules_sql(), "op8_warc": WARC_SQL}
+    return {"op6_host_rules": _host_rules_sql(), "op8_warc": WARC_SQL, "op11_resample": _resample_sql()}
