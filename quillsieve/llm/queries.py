@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, repeats, resample, sharding, simhash, warc, whitening
+from quillsieve.llm import bpe, editprints, hostrules, mixing, pii, qualityfm, repeats, resample, sharding, simhash, urltree, warc, whitening
 from quillsieve.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,9 +62,23 @@ def op12_whitening(spark, sf_dir):
     return whitening.digests(table(spark, sf_dir, "embeddings"))
 
 
+#: Fixed rules of op13.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op13_url_tree(spark, sf_dir):
+    """A page shows the document whose id is the last number of its path, so the document's labels are the URL's:
+    bad if toxic or of low quality."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    bad = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
+    document = F.regexp_extract(urltree.path_of(F.col("url")), r"([0-9]+)[^0-9]*$", 1).try_cast("long")
+    labelled = pages.withColumn("_doc", document).join(bad.withColumnRenamed("doc_id", "_doc"), "_doc", "left")
+    return urltree.digests(urltree.judge(labelled, URL_RULES, bad=F.col("bad")))
+
+
 NUMBERED = (
     op1_pii, op2_quality_fm, op3_bpe, op4_histogram_shards, op5_repeats, op6_host_rules, op7_edit_fingerprints, op8_warc, op9_mixing, op10_simhash,
-    op11_resample, op12_whitening,
+    op11_resample, op12_whitening, op13_url_tree,
 )
 
 
