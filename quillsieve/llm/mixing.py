@@ -18,18 +18,14 @@ columns are ignored (mix) or kept (repeat_texts).
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillsieve.llm.common import WORD, count_words, free_name, shuffle_partitions, written
+from quillsieve.llm.common import count_words, free_name, shuffle_partitions, written
 
-_WORD = re.compile(WORD)
 SLOTS = 1 << 18
 LEAST_BLOCKS = 256
 BITS = 52
@@ -184,48 +180,23 @@ def digests(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _first_words(text: str, n: int) -> str:
-    for k, m in enumerate(_WORD.finditer(text), 1):
-        if k == n:
-            return text[: m.end()]
-    return text
-
-
-@F.arrow_udf(T.StringType())
-def _shortened(texts: pa.Array, n: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else _first_words(t, k) for t, k in zip(texts.to_pylist(), n.to_pylist())], pa.string())
-
-
 def repeat_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them: each whole pass over a document gives a copy of its row. Blocks are taken from the
-    first one on, so a pass that ends at a block's border has the first words of one document: a row of these
-    words, with the white space between them. Rows equal in id and text share one row, the least as JSON, for all
-    that is taken of them; null ids are told apart by their texts."""
-    new = {name: free_name([*docs.columns, "r", "k"], name) for name in ("id", "key", "n", "whole", "parts", "pass", "cut")}
-    part, mixed = F.col("taken") % F.col("size"), written(mixed, "mixed")
-    some = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias(new["id"]), F.col("text_key").alias(new["key"])).agg(
-        F.count(F.lit(1)).alias(new["n"]),
-        F.sum(F.expr("taken div size")).alias(new["whole"]),
-        F.sort_array(F.collect_list(F.when(part > 0, part))).alias(new["parts"]),  # one a source and pass at most
-    )
-    # rows that are taken in part or not at all count too, so that equal rows are known as such
+    """docs as the mix takes them, in whole documents: each pass over a document gives a copy of its row. Blocks are taken
+    from the first one on, so a pass that ends at a block's border takes one document of its source in part; that is a copy if
+    at least half of its words are taken, so a source's words differ from the mix's by half a document a pass at most. Rows
+    equal in id and text share one row, the least as JSON, for all that is taken of them; null ids are told apart by their texts."""
+    new = {name: free_name([*docs.columns, "r", "k"], name) for name in ("id", "key", "n", "whole", "pass")}
+    mixed = written(mixed, "mixed")
+    rounded = F.expr("(2 * taken + size) div (2 * size)")
+    some = mixed.filter("2 * taken >= size and size > 0").groupBy(F.col("doc_id").alias(new["id"]), F.col("text_key").alias(new["key"])).agg(F.sum(rounded).alias(new["whole"]))
+    # rows that aren't taken count too, so that equal rows are known as such
     times = mixed.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     some = some.join(times, F.col(new["id"]).eqNullSafe(F.col("i")) & F.col(new["key"]).eqNullSafe(F.col("k")), "left").withColumn(new["n"], F.coalesce("times", F.lit(1))).drop("i", "k", "times")
     some, several = written(some, "taken"), not times.isEmpty()
-
-    def joined(takes: DataFrame) -> DataFrame:
-        rows = docs.join(takes, F.col(id_col).eqNullSafe(F.col(new["id"])) & (F.xxhash64(F.col(text_col)) == F.col(new["key"])))
-        if not several:
-            return rows
+    rows = docs.join(some, F.col(id_col).eqNullSafe(F.col(new["id"])) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(new["key"])))
+    if several:
         once, again = rows.filter(F.col(new["n"]) == 1), rows.filter(F.col(new["n"]) > 1)
         every = F.struct(*[F.col(c) for c in rows.columns])
         again = again.groupBy(new["id"], new["key"]).agg(F.min_by(every, F.to_json(every)).alias("r")).select("r.*")
-        return once.unionByName(again)
-
-    copies = F.sequence(F.lit(1).cast("long"), F.col(new["whole"]))
-    full = joined(some.filter(F.col(new["whole"]) > 0)).withColumn(new["pass"], F.explode(copies)).select(*docs.columns)
-    ends = some.filter(F.size(new["parts"]) > 0)
-    if ends.count() <= BROADCAST_SOURCES:
-        ends = F.broadcast(ends)
-    cut = joined(ends).withColumn(new["cut"], F.explode(new["parts"]))
-    return full.unionByName(cut.withColumn(text_col, _shortened(F.col(text_col), F.col(new["cut"]))).select(*docs.columns))
+        rows = once.unionByName(again)
+    return rows.withColumn(new["pass"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(new["whole"])))).select(*docs.columns)
