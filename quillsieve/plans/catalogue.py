@@ -622,7 +622,7 @@ def printed(code: str, timeout: float) -> tuple[str, str, str]:
 
 
 def queries():
-    from quillsieve.plans import details, roundtrips  # noqa: F401  they add their own
+    from quillsieve.plans import details, roundtrips, streams  # noqa: F401  they add their own
 
     return QUERIES
 

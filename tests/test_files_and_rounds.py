@@ -1,5 +1,7 @@
 import hashlib
 import json
+import shutil
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,7 +107,51 @@ def test_stream(spark, tmp_path):
     assert enrich_stream(spark, source, schema, target, mark, enrich).count() == 3
     spark.range(1, 5).selectExpr("cast(id as int) id").write.mode("append").json(source)
     out = enrich_stream(spark, source, schema, target, mark, enrich)
-    assert sorted(map(tuple, out.collect())) == [(i, 2 * i) for i in range(5)]
+    assert sorted(map(tuple, out.select("id", "twice").collect())) == [(i, 2 * i) for i in range(5)]
+
+
+def test_stream_reads_no_target(spark, tmp_path):
+    """What was written may go; its ids are still done. An empty source gives an empty table."""
+    source, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    spark.range(0).selectExpr("id").write.json(source)
+    enrich = lambda df: df.withColumn("twice", F.col("id") * 2)
+    assert enrich_stream(spark, source, "id long", target, mark, enrich).collect() == []
+    spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "id long").write.mode("append").option("ignoreNullFields", False).json(source)
+    assert sorted(map(tuple, enrich_stream(spark, source, "id long", target, mark, enrich).select("id", "twice").collect()), key=repr) == [(1, 2), (2, 4), (None, None)]
+    shutil.rmtree(target)
+    spark.range(1, 4).write.mode("append").json(source)
+    assert [r["id"] for r in enrich_stream(spark, source, "id long", target, mark, enrich).collect()] == [3]
+
+
+def test_stream_attempts(spark, tmp_path):
+    """Failed rows come back with one attempt more until none is left; others aren't asked again."""
+    source, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    spark.range(6).write.json(source)
+    enrich = lambda df: df.withColumn("error", F.when(F.col("attempt") <= F.col("id") - 3, "busy"))
+    found = []
+    for _ in range(4):
+        out = enrich_stream(spark, source, "id long", target, mark, enrich, error_col="error", attempts=2)
+        found.append(sorted((r["id"], r["attempt"], r["error"]) for r in out.collect()))
+        spark.range(6).write.mode("append").json(source)
+    first = [(0, 1, None), (1, 1, None), (2, 1, None), (3, 1, None)]
+    assert found == [first, *[[*first, (4, 2, None), (5, 2, "busy")]] * 3]
+
+
+def test_stream_state_expires(spark, tmp_path):
+    """With times, ids are kept as long as asked; rows beyond that are an error, not a silent loss."""
+    source, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "id long, at timestamp"
+    enrich = lambda df: df.select("id", "at")
+
+    def feed(*rows):
+        spark.createDataFrame([(i, datetime(2024, 1, d)) for i, d in rows], schema).coalesce(1).write.mode("append").json(source)
+        return sorted(r["id"] for r in enrich_stream(spark, source, schema, target, mark, enrich, time_col="at", keep="2 days").collect())
+
+    assert feed((1, 1), (2, 2)) == [1, 2]
+    assert feed((1, 2), (3, 10)) == [1, 2, 3]
+    assert feed((4, 11), (2, 11)) == [1, 2, 2, 3, 4]  # forgotten by then, so done again
+    with pytest.raises(CheckError, match="1 rows are later"):
+        feed((9, 3))
 
 
 def test_program_runs():
