@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillsieve.functions import blocks
 from quillsieve.functions.text import curated_integer
 
 _BOXED = re.compile(r"\\boxed\s*\{")
@@ -45,22 +45,18 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of characters."""
 
     @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y)], dtype="float64")
+    def measured(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([blocks.ratio(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
 
-    return ratio(a, b)
+    return measured(a, b)
 
 
 def sequence_at_least(least: float):
-    """Whether the ratio reaches `least`; the cheap upper bounds are tried first."""
+    """Whether the ratio reaches `least`; for pairs that the bounds on lengths and letters leave."""
 
     @F.pandas_udf("boolean")
     def reached(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            m = SequenceMatcher(None, x or "", y or "", autojunk=False)
-            out.append(m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least)
-        return pd.Series(out, dtype="bool")
+        return pd.Series([blocks.reaches(x or "", y or "", least) for x, y in zip(a, b)], dtype="bool")
 
     return reached
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillsieve.functions import text as T
-from quillsieve.functions.udfs import sequence_at_least
 from quillsieve.operators import checks
 
 
@@ -24,66 +23,6 @@ def free_name(columns, name: str) -> str:
     return name
 
 
-def shingle_pairs(left: DataFrame, right: DataFrame, width: int = 5) -> DataFrame:
-    """(left_id, right_id): rows of (id, text) that share a shingle. Shingles join by equality, so work follows
-    the shared ones; a frequent shingle splits over tasks as a skewed join."""
-    words = T.tokens(F.col("text")).alias("words")  # a column of its own: shingles() reads it once a window
-    a = left.select(F.col("id").alias("left_id"), words).select("left_id", F.explode(T.shingles(F.col("words"), width)).alias("shingle"))
-    b = right.select(F.col("id").alias("right_id"), words).select("right_id", F.explode(T.shingles(F.col("words"), width)).alias("shingle"))
-    return a.join(b, "shingle").select("left_id", "right_id").distinct()
-
-
-def prefix_pairs(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
-    """(left_id, right_id): candidates for a Jaccard similarity of token sets of at least `least`, and none that reach it
-    is lost: with all tokens ordered from rare to frequent, two such sets share one of their first
-    n - ceil(least * n) + 1. Frequent tokens so make no pairs."""
-    sets = [side.select(F.col("id").alias(name), F.array_distinct(T.tokens(F.col("text"))).alias("set")).filter("size(set) > 0") for side, name in ((left, "left_id"), (right, "right_id"))]
-    freq = reduce(DataFrame.unionByName, [s.select(F.explode("set").alias("token")) for s in sets]).groupBy("token").count()
-
-    def prefix(side: DataFrame, name: str) -> DataFrame:
-        ranked = side.select(name, F.size("set").alias("n"), F.explode("set").alias("token")).join(freq, "token")
-        order = ranked.groupBy(name).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))  # bounded by the text
-        keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-        return order.select(name, "n", F.explode(F.slice("order", F.lit(1), keep)).alias("t")).select(name, F.col("n").alias(f"{name}_n"), F.col("t.token").alias("token"))
-
-    both = prefix(sets[0], "left_id").join(prefix(sets[1], "right_id"), "token")
-    lengths = F.least("left_id_n", "right_id_n") >= F.lit(least) * F.greatest("left_id_n", "right_id_n") - 1e-9
-    return both.filter(lengths).select("left_id", "right_id").distinct()
-
-
-def near_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, sequences: bool = True, min_jaccard: float = 0.85, min_ratio: float = 0.80, sequence_ratio: float = 0.92, sequence_length: float = 0.85, shared_width: int | None = None) -> DataFrame:
-    """(left_id, right_id, jaccard, ratio, kind): pairs near by tokens, or else by character sequence. shared_width: of
-    pairs that weren't found by shingles, only those that share a shingle of so many words."""
-    # tokens are made once a text; they are also its normalised form
-    a = left.select(F.col("id").alias("left_id"), T.tokens(F.col("text")).alias("ta"))
-    b = right.select(F.col("id").alias("right_id"), T.tokens(F.col("text")).alias("tb"))
-    texts = pairs.join(a, "left_id").join(b, "right_id")
-    ta, tb = F.col("ta"), F.col("tb")
-    scored = texts.withColumns({"jaccard": T.jaccard(F.array_distinct(ta), F.array_distinct(tb)), "ratio": T.length_ratio(ta, tb)})
-    by_token = (F.col("jaccard") >= min_jaccard) & (F.col("ratio") >= min_ratio)
-    near = scored.filter(by_token).withColumn("kind", F.lit("near_token"))
-    if shared_width:
-        near = near.filter(F.arrays_overlap(T.shingles(ta, shared_width), T.shingles(tb, shared_width)))
-    if sequences:
-        rest = scored.filter(~by_token & (F.col("ratio") >= sequence_length))
-        reached = sequence_at_least(sequence_ratio)(F.array_join("ta", " "), F.array_join("tb", " "))
-        near = near.unionByName(rest.filter(reached).withColumn("kind", F.lit("near_sequence")))
-    return near.select("left_id", "right_id", "jaccard", "ratio", "kind")
-
-
-def contamination(rows: DataFrame, official: DataFrame, sequences: bool = True) -> DataFrame:
-    """(id, contamination) of rows (id, text) that are empty, equal or near to an official text."""
-    marked = rows.select("id", T.normalized(F.col("text")).alias("norm"), "text").withColumn("key", T.text_key(F.col("norm")))
-    empty = marked.filter(F.col("norm") == "").select("id", F.lit("empty").alias("contamination"))
-    known = official.select(T.text_key(T.normalized(F.col("text"))).alias("key")).distinct()
-    exact = marked.filter(F.col("norm") != "").join(known, "key", "left_semi").select("id", F.lit("exact").alias("contamination"))
-    rest = marked.filter(F.col("norm") != "").join(known, "key", "left_anti").select("id", "text")
-    pairs = shingle_pairs(rest, official)
-    # near_sequence < near_token as text; the precedence is token first, so it is ranked explicitly
-    near = near_matches(pairs, rest, official, sequences).groupBy(F.col("left_id").alias("id")).agg(F.min(F.when(F.col("kind") == "near_token", 0).otherwise(1)).alias("rank"))
-    return empty.unionByName(exact).unionByName(near.select("id", F.when(F.col("rank") == 0, "near_token").otherwise("near_sequence").alias("contamination")))
-
-
 def first_failure(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule that holds, null if none does."""
     out = F.lit(None).cast("string")

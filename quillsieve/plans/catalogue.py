@@ -6,13 +6,16 @@ user are samples, documents are corpus rows, benchmark items are official questi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as T
 from quillsieve.functions import udfs
-from quillsieve.operators import chat, checks, curation, gates, metrics, rollouts
+from quillsieve.operators import chat, checks, curation, gates, metrics, nearness, rollouts
 from quillsieve.operators import votes as V
+from quillsieve.plans.scratch import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -469,16 +472,30 @@ j AS (SELECT doc_id, item_id, len(list_intersect(list_distinct(x), list_distinct
 
 @query(f"WITH {PAIRS} SELECT doc_id, item_id, round(jaccard, 9) AS jaccard, round(ratio, 9) AS ratio FROM j")
 def ngram_candidates(spark, sf_dir):
-    docs, items = corpus(spark, sf_dir).select("id", "text"), official(spark, sf_dir)
-    pairs = curation.shingle_pairs(docs, items)
-    scored = curation.near_matches(pairs, docs, items, sequences=False, min_jaccard=0.0, min_ratio=0.0)
+    docs, items = (stored(nearness.token_table(side)) for side in (corpus(spark, sf_dir), official(spark, sf_dir)))
+    pairs = nearness.shingle_pairs(docs, items, store=stored)
+    scored = nearness.near_matches(pairs, docs, items, sequences=False, min_jaccard=0.0, min_ratio=0.0, shared_width=5)
     return scored.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("jaccard", 9).alias("jaccard"), F.round("ratio", 9).alias("ratio"))
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, 'near_token' AS kind FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8")
+def _changed(n: int) -> str:
+    """An item with its first n words replaced by 'w1 w2 ...'."""
+    return f"SELECT (item_id + 1) * 1000000 + {n} AS doc_id, array_to_string(list_concat(list_transform(range(1, {n} + 1), lambda k: 'w' || k), (regexp_extract_all(text, '\\S+'))[{n} + 1:]), ' ') AS text FROM benchmark"
+
+
+EDITED = " UNION ALL ".join(map(_changed, range(4)))
+EDITED_PAIRS = PAIRS.replace("documents d USING", "edited d USING").replace("FROM documents)", "FROM edited)")
+
+
+@query(f"WITH edited AS (SELECT doc_id, text FROM documents UNION ALL {EDITED}), {EDITED_PAIRS} SELECT doc_id, item_id, 'near_token' AS kind FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8")
 def near_dup_jaccard(spark, sf_dir):
-    docs, items = corpus(spark, sf_dir).select("id", "text"), official(spark, sf_dir)
-    near = curation.near_matches(curation.prefix_pairs(docs, items), docs, items, sequences=False, shared_width=5)
+    """Documents, and items with up to three words replaced: on both sides of the thresholds, since items differ in length."""
+    items = official(spark, sf_dir)
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    edited = [items.select(((F.col("id") + 1) * 1_000_000 + n).alias("id"), F.array_join(F.concat(F.array(*[F.lit(f"w{k}") for k in range(1, n + 1)]).cast("array<string>"), F.slice(words, F.lit(n + 1), F.greatest(F.size(words) - n, F.lit(0)))), " ").alias("text")) for n in range(4)]
+    docs = stored(nearness.token_table(reduce(DataFrame.unionByName, edited, corpus(spark, sf_dir).select("id", "text"))))
+    items = stored(nearness.token_table(items))
+    near = nearness.near_matches(nearness.prefix_pairs(docs, items), docs, items, sequences=False, shared_width=5)
     return near.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "kind")
 
 

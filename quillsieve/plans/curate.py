@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import text as T
 from quillsieve.functions import udfs
-from quillsieve.operators import checks, curation
-from quillsieve.plans.scratch import scratch_folder
-from quillsieve.operators.rollouts import round_store
+from quillsieve.operators import checks, curation, nearness
+from quillsieve.plans.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -48,12 +47,12 @@ def judge(sources: list[Source], official: DataFrame, excluded: DataFrame | None
         rows = curation.source_reason(list(s.reasons), s.silent)(s.rows)
         parts.append(rows.select(F.lit(s.name).alias("source"), F.struct(F.lit(k).alias("k"), F.col("ord")).alias("place"), "id", "question", "solution", F.col(s.quota_key).cast("string").alias("stratum"), "reason"))
     every = reduce(DataFrame.unionByName, parts)
-    spark = every.sparkSession
     early = every.filter("reason is not null")
     rows = every.filter("reason is null").drop("reason").withColumn("n_tokens", tokens(F.col("solution")))
-    known = curation.contamination(rows.select(F.struct("source", "id").alias("id"), F.col("question").alias("text")), official, sequences)
-    known = known.select(F.col("id.source").alias("source"), F.col("id.id").alias("id"), F.concat(F.lit("official_"), "contamination").alias("official"))
-    rows = rows.join(known, ["source", "id"], "left")
+    # each row is judged by its own text, whatever its id; a text is judged once
+    texts = stored(nearness.distinct_texts(rows, "question"))
+    known = nearness.text_contamination(texts, official, sequences, stored).select(F.col("key").alias("_key"), F.concat(F.lit("official_"), "contamination").alias("official"))
+    rows = rows.withColumn("_key", T.text_key(T.normalized(F.coalesce("question", F.lit(""))))).join(known, "_key", "left").drop("_key")
     rules = [("visual_or_url", F.col("question").rlike(T.VISUAL))]
     rules += [(f"official_{kind}", F.col("official") == f"official_{kind}") for kind in ("empty", "exact", "near_token", "near_sequence")]
     rules += [("solution_too_short", F.col("n_tokens") < limits.least_tokens), ("solution_too_long", F.col("n_tokens") > limits.most_tokens)]
@@ -61,7 +60,7 @@ def judge(sources: list[Source], official: DataFrame, excluded: DataFrame | None
         rules.append(("sequence_too_long", sequence > limits.most_sequence))
     judged = curation.rejection(rows, rules, T.normalized(F.col("question")), excluded, "place").drop("official")
     early = early.select("source", "place", "id", "question", "solution", "stratum", F.lit(None).cast("int").alias("n_tokens"), T.normalized(F.col("question")).alias("norm"), F.concat("source", F.lit("_"), "reason").alias("rejection"))
-    return round_store(judged.unionByName(early), scratch_folder(spark), "judged")
+    return stored(judged.unionByName(early))
 
 
 def choose(judged: DataFrame, sources: list[Source], seed: int) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import text as T
 from quillsieve.functions import udfs
-from quillsieve.operators import chat, checks, curation, metrics, rollouts
+from quillsieve.operators import chat, checks, curation, metrics, nearness, rollouts
 from quillsieve.operators import votes as V
 from quillsieve.plans import curate
-from quillsieve.plans.catalogue import PAIRS, corpus, long, query, read
+from quillsieve.plans.catalogue import PAIRS, corpus, long, official, query, read
+from quillsieve.plans.scratch import stored
 
 # --- scalars ---------------------------------------------------------------------------------------------------
 
@@ -245,10 +246,9 @@ def zipped_lists(spark, sf_dir):
 
 
 def representatives(spark, sf_dir) -> DataFrame:
-    """(id, text): of each normalised text that isn't empty the document of smallest id, so that copies make no pairs."""
-    docs = corpus(spark, sf_dir).filter("id is not null").select("id", "text")
-    keyed = docs.select("id", T.text_key(T.normalized(F.col("text"))).alias("key"), (F.size(T.tokens(F.col("text"))) > 0).alias("some")).filter("some")
-    return docs.join(keyed.groupBy("key").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    """(id, tokens): of each normalised text that isn't empty the document of smallest id, so that copies make no pairs."""
+    docs = corpus(spark, sf_dir).filter("id is not null").select("id", T.tokens(F.col("text")).alias("tokens")).filter("size(tokens) > 0")
+    return docs.groupBy(T.text_key(F.array_join("tokens", " ")).alias("key")).agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")).drop("key")
 
 
 _TOK = r"regexp_extract_all(lower(text), '[a-z]+|\d+')"
@@ -263,9 +263,9 @@ j AS (SELECT a, b, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(li
 @query(f"WITH {NEAR} SELECT a AS doc_id, b AS other_id, round(jaccard, 9) AS jaccard, round(ratio, 9) AS ratio, 'near_token' AS kind FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8")
 def near_dup_documents(spark, sf_dir):
     """Documents against documents at the production thresholds, pairs of representatives of equal texts."""
-    docs = representatives(spark, sf_dir)
-    pairs = curation.prefix_pairs(docs, docs).filter("left_id < right_id")
-    near = curation.near_matches(pairs, docs, docs, sequences=False, shared_width=5)
+    docs = stored(representatives(spark, sf_dir))
+    pairs = nearness.prefix_pairs(docs)
+    near = nearness.near_matches(pairs, docs, docs, sequences=False, shared_width=5)
     return near.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("other_id"), F.round("jaccard", 9).alias("jaccard"), F.round("ratio", 9).alias("ratio"), "kind")
 
 
@@ -277,13 +277,16 @@ def known_texts(spark, sf_dir):
     return contaminated(spark, sf_dir).filter("contamination in ('empty', 'exact')")
 
 
-def contaminated(spark, sf_dir) -> DataFrame:
+def edited_corpus(spark, sf_dir) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
     # as it is, with a word more, and with each final e doubled, which keeps characters better than words
     forms = [F.col("text"), F.concat("text", F.lit(" indeed")), F.regexp_replace("text", r"e\b", "ee")]
     edited = [items.select((F.lit(1_000_000 + k) + 3 * F.col("item_id")).alias("id"), form.alias("text")) for k, form in enumerate(forms)]
-    rows = reduce(DataFrame.unionByName, edited, corpus(spark, sf_dir).select("id", "text"))
-    return curation.contamination(rows, items.select(F.col("item_id").alias("id"), "text"))
+    return reduce(DataFrame.unionByName, edited, corpus(spark, sf_dir).select("id", "text"))
+
+
+def contaminated(spark, sf_dir) -> DataFrame:
+    return nearness.contamination(edited_corpus(spark, sf_dir), official(spark, sf_dir), store=stored)
 
 
 @query()
@@ -292,6 +295,22 @@ def near_dup_sequence(spark, sf_dir):
     return contaminated(spark, sf_dir).withColumnRenamed("id", "doc_id")
 
 
+LETTERED = " + ".join(f"least(strlen(x) - strlen(replace(x, '{c}', '')), strlen(y) - strlen(replace(y, '{c}', '')))" for c in nearness.LETTERS)
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT 1000000 + 3 * item_id, text FROM benchmark UNION ALL SELECT 1000001 + 3 * item_id, text || ' indeed' FROM benchmark UNION ALL SELECT 1000002 + 3 * item_id, regexp_replace(text, 'e\\b', 'ee', 'g') FROM benchmark),
+a AS (SELECT id, {_TOK} AS w FROM d), b AS (SELECT item_id, {_TOK} AS w FROM benchmark), o AS (SELECT id, array_to_string(w, ' ') AS x, len(w) AS n, list_distinct(w) AS s FROM a WHERE len(w) > 0), p AS (SELECT item_id, array_to_string(w, ' ') AS y, len(w) AS m, list_distinct(w) AS t FROM b),
+j AS (SELECT id AS doc_id, item_id, x, y, n, m, len(s) AS ns, len(t) AS mt, least(n, m) / greatest(n, m) AS ratio FROM o JOIN p ON least(n, m) / greatest(n, m) >= 0.8 AND len(list_intersect(list_transform(range(1, greatest(1, n - 4) + 1), lambda i: array_to_string(string_split(x, ' ')[i:i + 4], ' ')), list_transform(range(1, greatest(1, m - 4) + 1), lambda i: array_to_string(string_split(y, ' ')[i:i + 4], ' ')))) > 0),
+q AS (SELECT *, 2 * ({LETTERED}) / (strlen(x) + strlen(y)) AS quick FROM j)
+SELECT doc_id, item_id, least(ns, mt) / greatest(ns, mt) >= 0.85 AS tokens_may, ratio >= 0.85 AND quick >= 0.92 AS sequence_may, round(quick, 9) AS quick FROM q WHERE least(ns, mt) / greatest(ns, mt) >= 0.85 OR (ratio >= 0.85 AND quick >= 0.92)""")
+def near_sequence_bounds(spark, sf_dir):
+    """Pairs of texts and items that lengths and letters leave for the comparison of tokens and of sequences."""
+    docs, items = stored(nearness.token_table(edited_corpus(spark, sf_dir))), stored(nearness.token_table(official(spark, sf_dir)))
+    pairs = nearness.shingle_pairs(docs, items, alike=True, store=stored)
+    found = nearness.bounded_pairs(pairs, docs, items)
+    return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "tokens_may", "sequence_may", F.round("quick", 9).alias("quick"))
+
+
 # --- the curation job ------------------------------------------------------------------------------------------
 
 def _curation(spark, sf_dir):

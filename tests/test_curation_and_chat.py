@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as T
-from quillsieve.operators import chat, curation
+from quillsieve.functions import blocks
+from quillsieve.operators import chat, curation, nearness
 
 
 def test_apportion():
@@ -34,7 +35,7 @@ def test_rejection_after_acceptance(spark):
 def test_contamination(spark):
     item = "find the sum of all positive integers n such that n squared plus n divides one hundred and twenty"
     rows = [(0, "!!"), (1, item.upper() + "."), (2, item + " today"), (3, "unrelated words only here and nothing else at all"), (4, item.replace("positive", "possitive").replace("hundred", "hundreds"))]
-    got = {r["id"]: r["contamination"] for r in curation.contamination(spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([(9, item)], "id int, text string")).collect()}
+    got = {r["id"]: r["contamination"] for r in nearness.contamination(spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([(9, item)], "id int, text string")).collect()}
     assert got == {0: "empty", 1: "exact", 2: "near_token", 4: "near_sequence"}
 
 
@@ -165,12 +166,80 @@ def test_prefix_pairs_lose_nothing(spark):
     base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(25)]
     texts = base + [[w if rng.random() > 0.06 else "zz" for w in b] for b in base * 3] + [["", "the"], ["the"], []]
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id int, text string")
-    found = {tuple(r) for r in curation.prefix_pairs(docs, docs).collect()}
+    found = {tuple(r) for r in nearness.prefix_pairs(docs, docs).collect()}
     sets = [set(re.findall(r"[a-z]+|\d+", " ".join(t))) for t in texts]
     near = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     assert near <= found
 
 
+def test_blocks_equal_difflib():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    say = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for letters in ("a", "ab", "abc ", "abcdefghijklmnopqrstuvwxyz "):
+        for _ in range(150):
+            a, b = say(rng.randint(0, 40), letters), say(rng.randint(0, 40), letters)
+            if rng.random() < 0.5:
+                b = a[: rng.randint(0, 40)] + say(rng.randint(0, 4), letters) + a[rng.randint(0, 40) :]
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            block = m.find_longest_match()
+            assert blocks.longest_block(a, b) == (block.a, block.b, block.size) or not block.size
+            assert blocks.ratio(a, b) == m.ratio()
+            for least in (0.0, 0.5, 0.85, 0.92, 1.0):
+                assert blocks.reaches(a, b, least) == (m.ratio() >= least)
+    long = " ".join(say(rng.randint(1, 9), "abcdefghij") for _ in range(6000))
+    assert blocks.reaches(long, long.replace("abc", "bca"), 0.9) and not blocks.reaches(long, long[::-1], 0.9)
+
+
+def test_pairs_are_made_once(spark):
+    """A passage of 100 words in many texts makes one row a pair, although it gives 96 shingles; two passages two."""
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two = say(100), say(40)
+    left = [(k, f"{say(9)} {one if k % 2 else ''} {say(5)} {two if k % 3 == 0 else ''}") for k in range(60)] + [(99, ""), (98, None), (97, "a b")]
+    right = [(k, f"{say(4)} {one} {say(3)} {two}") for k in range(5)] + [(7, "a b"), (8, None)]
+    a, b = spark.createDataFrame(left, "id int, text string"), spark.createDataFrame(right, "id int, text string")
+    want = {(i, j) for i in range(60) for j in range(5) if i % 2 or i % 3 == 0} | {(97, 7)}
+    made = [tuple(r) for r in nearness.shingle_rows(a, b).collect()]
+    assert set(made) == want and len(made) == len(want) + sum(5 for i in range(60) if i % 2 and i % 3 == 0)
+    assert {tuple(r) for r in nearness.shingle_pairs(a, b).collect()} == want
+    alike = {tuple(r) for r in nearness.shingle_pairs(a, b, alike=True).collect()}
+    n = {k: len(t.split()) for k, t in left if t}, {k: len(t.split()) for k, t in right if t}
+    assert alike == {(i, j) for i, j in want if min(n[0][i], n[1][j]) >= 0.8 * max(n[0][i], n[1][j])}
+
+
+def test_few_pairs_reach_python(spark):
+    """Of texts that share a passage, only those that letters allow are compared as sequences."""
+    rng = random.Random(7)
+    say = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    shared = say(8, "abcdefghijklmnop")
+    texts = [(k, shared + " " + say(40, "abcdefghijklmnop"[k % 8 : k % 8 + 8])) for k in range(60)]
+    texts += [(100, shared + " " + say(40, "abcd")), (101, None)]
+    items = [(0, texts[-2][1].replace("a", "aa", 3)), (1, texts[0][1][::-1])]
+    left, right = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(items, "id int, text string")
+    pairs = nearness.shingle_pairs(left, right, alike=True)
+    assert pairs.count() >= 50
+    asked = nearness.bounded_pairs(pairs, left, right).filter("sequence_may").collect()
+    assert {(r["left_id"], r["right_id"]) for r in asked} == {(100, 0)}
+    assert [tuple(r)[:2] for r in nearness.near_matches(pairs, left, right).collect()] == [(100, 0)]
+
+
+def test_verdicts_by_text(spark):
+    """Rows of one id are judged each by its own text; rows of one text share the verdict and stay as many."""
+    from quillsieve.plans import curate
+
+    item = "find the sum of all positive integers n such that n squared plus n divides one hundred and twenty"
+    rows = [(0, "a", item, "s"), (1, "a", "a clean question of its own about seven green apples", "s"), (2, "b", item, "s"), (3, "b", item, "s"), (4, "c", item + " today", "s"), (5, None, None, "s")]
+    df = spark.createDataFrame(rows, "ord int, id string, question string, lang string").withColumn("solution", F.repeat(F.lit("x "), 70))
+    official = spark.createDataFrame([(item,)], "text string")
+    assert sorted((r["id"] or "", r["contamination"]) for r in nearness.contamination(df.withColumnRenamed("question", "text"), official).collect()) == [("", "empty"), ("a", "exact"), ("b", "exact"), ("b", "exact"), ("c", "near_token")]
+    judged = curate.judge([curate.Source("s", df, {"s": 1}, "lang")], official)
+    found = {r["place"]["ord"]: r["rejection"] for r in judged.collect()}
+    assert len(found) == judged.count() == 6
+    assert found == {0: "official_exact", 1: None, 2: "official_exact", 3: "official_exact", 4: "official_near_token", 5: "official_empty"}
+
+
 def test_odd_column_names(spark):
     """Columns with the names that operators use themselves come through."""
     names = ["_key", "_score", "_place", "_failed", "_known", "_first", "_times", "quota", "repeats", "norm", "_length", "new"]
@@ -190,6 +259,6 @@ def test_contamination_kinds(spark):
     official = ["the little house by our own long green river is where we made the fine white cheese before the war came to the place", "one two three four five six seven eight nine ten"]
     texts = [official[0], official[0] + " indeed", re.sub(r"e\b", "ee", official[0]), "", "something else altogether", official[1].replace("ten", "eleven")]
     frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id int, text string")
-    got = {r["id"]: r["contamination"] for r in curation.contamination(frame(texts), frame(official)).collect()}
+    got = {r["id"]: r["contamination"] for r in nearness.contamination(frame(texts), frame(official)).collect()}
     ratio = SequenceMatcher(None, texts[2], official[0], autojunk=False).ratio()
     assert ratio >= 0.92 and got == {0: "exact", 1: "near_token", 2: "near_sequence", 3: "empty", 5: "near_sequence"}
