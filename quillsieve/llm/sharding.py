@@ -4,15 +4,14 @@ Rows sort by a 126-bit key: 63 bits made of the CRC-32 and XXH64 of the text, th
 the id. Splitters are found without sorting: each round counts the exact bytes below evenly spaced probe
 keys of the intervals that still hold a wanted boundary (4096 probes an interval), then keeps the one
 probe interval that the boundary falls into, until a probe is within `tolerance` of the wanted bytes.
-Only rows of kept intervals are read on. A boundary inside one text's copies moves to the nearer end of the
-group if the group has at most `whole` of a shard's bytes; else it goes on into the id part, so a group of
-copies of any size splits and any other stays whole. Then one exchange deals the rows.
+Only rows of kept intervals are read on. Equal texts lie side by side; a boundary that falls into them goes on into the
+id part, so copies of one text are split only where a shard ends, whatever their number. Then one exchange deals the rows.
 
 Slots are gapless without a window over a whole shard: rows of a shard go to hash buckets of bounded size,
 and a bucket's offset is the sum of the counts before it.
 
-Shards differ from the mean by half of `whole` at most on either side where groups of equal texts move borders, and
-by `tolerance` where they don't.
+A boundary lies within `tolerance` of a shard from its wanted place, or at the nearer end of the row that it would cut, at any
+size of input and of group.
 
 Defined results: a null text has size 8 and CRC 0 and lies with the empty texts; a null id hashes as such;
 rows equal in id and text are one indivisible unit, of one bucket, with slots of their own; fewer rows than
@@ -48,7 +47,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.005, whole: float = 0.1) -> list[tuple[int, int]]:
+def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.005) -> list[tuple[int, int]]:
     """Keys (k1, k2) at which shards 1 .. n-1 begin. rows: size, _k1, _k2. The driver holds 4096 counts for each
     boundary and round, whatever the number of rows."""
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -88,7 +87,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.005, whole: f
                     probe, n = cells[c]
                     low, high = want - starts[c], starts[c] + n - want
                     at = min(probe << shift if low <= high else (probe + 1) << shift, (1 << 63) - 1)
-                    if min(low, high) <= near or not level and not shift and n <= whole * total / n_shards:
+                    if min(low, high) <= near:
                         found[i] = (k1, at) if level else (at, 0)
                     elif shift:
                         after[i] = (level, k1, probe, shift, starts[c])
