@@ -44,6 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 PERSONAL = "personal"
 #: Candidate terms, and bytes of them, up to which they are broadcast; beyond it they are joined by shuffle.
 BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 8_000_000
+#: Tasks that a key of very many rows is dealt over in joins by shuffle.
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Fixed patterns. Possessive forms match what the plain ones do, in linear time.
@@ -167,11 +169,22 @@ def _words(text: str):
     return F.array_distinct(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _small(terms: DataFrame) -> bool:
-    n, size = terms.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()  # one row
+def _small(terms: DataFrame, column: str = "term") -> bool:
+    n, size = terms.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()  # one row
     return n <= BROADCAST_TERMS and (size or 0) <= BROADCAST_BYTES
 
 
+def _met(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of one row a key: by broadcast if it is small; else on the key and a salt from
+    `by`, so that a key of very many rows is dealt over SALTS tasks, whatever is summed by that key afterwards."""
+    if _small(table, on):
+        return rows.join(F.broadcast(table), on, how)
+    salt = free_name([*rows.columns, *table.columns], "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by, F.lit(7)), F.lit(SALTS)))
+    each = table.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(each, [on, salt], how).drop(salt)
+
+
 def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support: int, entity_bits: float, margin: float) -> DataFrame | None:
     """(entity, term, told): told is the probability of the entity where the term is read. held: rows of _held.
 
@@ -184,9 +197,9 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
     if not totals[PERSONAL]:
         return None
     # values and groups: pairs within the window
-    near = texts.select(F.explode("near").alias("e")).select("e.entity", "e.terms")
+    near = texts.select("h", F.explode("near").alias("e")).select("h", "e.entity", "e.terms")
     entities = written(near.groupBy("entity").agg(F.count(F.lit(1)).alias("fe")).filter(F.col("fe") >= support), "entities")
-    pairs = near.join(entities, "entity").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte"))
+    pairs = _met(near, entities, "entity", "h").select("entity", "fe", F.explode("terms").alias("term")).groupBy("entity", "fe", "term").agg(F.count(F.lit(1)).alias("fte"))
     pairs = written(pairs.filter(F.col("fte") >= support), "near-pairs")
     # kinds: a handful of sums of one aggregate over terms
     sums = texts.select(*classes, F.explode("terms").alias("term")).groupBy("term").agg(*[F.sum(k).alias(k) for k in classes])
@@ -209,8 +222,6 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
         terms = written(both.select("term").distinct(), "terms")
         if terms.isEmpty():
             return None
-        if _small(terms):
-            terms = F.broadcast(terms)
         part = lambda h: F.pmod(h, F.lit(64)).between(low, high - 1)  # noqa: B023, E731
         more = _other_documents(docs_text.filter(part(F.xxhash64("text"))), texts.filter(part(F.col("h"))), terms)
         counted = both.join(more, "term", "left").withColumn("others", F.col("others") + F.coalesce("more", F.lit(0)))
@@ -222,8 +233,8 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
 def _other_documents(docs_text: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, more): distinct texts with the term, less those with base spans."""
     words = docs_text.select(F.xxhash64("text").alias("h"), F.explode(_words("text")).alias("term"))
-    every = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    copied = held.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
+    every = _met(words, terms, "term", "h", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    copied = _met(held.select("h", F.explode("terms").alias("term")), terms, "term", "h", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
     return every.join(copied, "term", "left").select("term", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("more"))
 
 
@@ -298,7 +309,8 @@ def with_terms(docs: DataFrame, text_col: str, terms: DataFrame | None) -> tuple
     if _small(terms):
         return docs, {r["term"]: r["removed"] for r in terms.collect()}, -1
     text, key, found = F.coalesce(F.col(text_col).cast("string"), F.lit("")), free_name(docs.columns, "h"), free_name(docs.columns, "found")
-    hits = docs.select(F.xxhash64(text).alias(key), text.alias("text")).select(key, F.explode(_words("text")).alias("term")).join(terms, "term").distinct()
+    hits = docs.select(F.xxhash64(text).alias(key), text.alias("text")).select(key, F.explode(_words("text")).alias("term"))
+    hits = _met(hits, terms, "term", key).distinct()
     lists = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias(found))  # bounded by the text
     return docs.withColumn(key, F.xxhash64(text)).join(lists, key, "left").drop(key), {}, len(docs.columns)
 
