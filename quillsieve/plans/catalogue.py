@@ -566,15 +566,62 @@ def chat_shape_check(spark, sf_dir):
     return checks.bad_chats(chat.collect_chats(read(spark, sf_dir, "conversations"))).select(F.col("id").alias("conv_id"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(text || '<|im_end|>', '\S+') AS w FROM conversations)
-SELECT conv_id, CAST(sum(1 + len(w)) AS BIGINT) AS n_tokens, CAST(coalesce(sum(len(w)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS n_labels,
-sha256(coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS labels FROM t GROUP BY conv_id""")
+@query(rf"""WITH {RENDERED}, w AS (SELECT conv_id, len(regexp_extract_all(t, '\S+')) - 1 AS n FROM r),
+a AS (SELECT conv_id, turn, regexp_extract_all(text || '<|im_end|>', '\S+') AS w FROM conversations WHERE role = 'assistant'),
+l AS (SELECT conv_id, sum(len(w)) AS n_labels, string_agg(array_to_string(w, ' '), ' ' ORDER BY turn) AS labels FROM a GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_tokens, CAST(coalesce(n_labels, 0) AS BIGINT) AS n_labels, sha256(coalesce(labels, '')) AS labels FROM w LEFT JOIN l USING (conv_id)""")
 def assistant_mask(spark, sf_dir):
+    """Tokens of the rendered chat, the default system turn among them; the SQL counts them in the rendered text, whose
+    generation prompt is one token more."""
     chats = chat.collect_chats(read(spark, sf_dir, "conversations")).select("id", chat.label_mask(F.col("messages")).alias("mask"))
     kept = F.transform(F.filter("mask", lambda t: t["label"].isNotNull()), lambda t: t["label"])
     return chats.select(F.col("id").alias("conv_id"), long(F.size("mask")).alias("n_tokens"), long(F.size(kept)).alias("n_labels"), F.sha2(F.array_join(kept, " "), 256).alias("labels"))
 
 
+CLASSES = r"[a-z]+|[A-Z]+|[0-9]+|[ \t\n]+|[^a-zA-Z0-9 \t\n]"
+
+
+def class_encoder():
+    """Runs of one class of characters, with ids that SQL can tell: first character and length."""
+    import re
+
+    pattern = re.compile(CLASSES)
+
+    def encode(text):
+        found = [(ord(m[0][0]) * 1000 + len(m[0]), m.span()) for m in pattern.finditer(text)]
+        return [i for i, _ in found], [s for _, s in found]
+
+    return encode
+
+
+_IDS = "list_transform(regexp_extract_all({0}, '" + CLASSES + "'), lambda x: unicode(x) * 1000 + length(x))"
+SPACED = "CASE WHEN role = 'assistant' AND (conv_id + turn) % 7 = 0 THEN ' ' ELSE '' END || text"
+
+
+@query(f"""WITH conversations AS (SELECT conv_id, turn, role, {SPACED} AS text FROM conversations), {RENDERED}, i AS (SELECT conv_id, {_IDS.format("t[:length(t) - 22]")} AS ids FROM r),
+a AS (SELECT conv_id, turn, {_IDS.format("text || '<|im_end|>' || chr(10)")} AS ids, text[1] = ' ' AS crosses FROM conversations WHERE role = 'assistant'),
+l AS (SELECT conv_id, bool_or(crosses) AS crosses, flatten(list(ids ORDER BY turn)) AS labels FROM a GROUP BY conv_id)
+SELECT conv_id, CASE WHEN len(ids) > 900 THEN 1 ELSE len(ids) END AS n_tokens, CASE WHEN len(ids) > 900 THEN 0 WHEN NOT coalesce(crosses, false) THEN len(coalesce(labels, [])) END AS n_labels,
+CASE WHEN len(ids) > 900 THEN '7' ELSE array_to_string(ids, ',') END AS ids, CASE WHEN len(ids) > 900 THEN '' WHEN NOT coalesce(crosses, false) THEN coalesce(array_to_string(labels, ','), '') END AS labels FROM i LEFT JOIN l USING (conv_id)""".replace("{{", "{"))
+def encoded_labels(spark, sf_dir):
+    """Ids and labels by a pluggable tokeniser, whose runs of white space cross into turns that begin with a space."""
+    spaced = F.when((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 7 == 0), " ").otherwise("")
+    turns = read(spark, sf_dir, "conversations").withColumn("text", F.concat(spaced, "text"))
+    chats = chat.collect_chats(turns).select("id", chat.encoded_mask(F.col("messages"), class_encoder, 900, 7).alias("m"))
+    kept = F.filter("m.labels", lambda x: x != chat.IGNORED)
+    return chats.select(F.col("id").alias("conv_id"), long(F.size("m.ids")).alias("n_tokens"), F.when(F.col("m.labels").isNotNull(), long(F.size(kept))).alias("n_labels"), F.array_join("m.ids", ",").alias("ids"), F.array_join(kept, ",").alias("labels"))
+
+
+@query(r"""WITH n AS (SELECT conv_id, turn, len(regexp_extract_all(text, '\S+')) AS n FROM conversations),
+b AS (SELECT *, (row_number() OVER (ORDER BY n DESC, sha256(conv_id || ':' || turn)) - 1) // 16 AS batch FROM n), p AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch) / 8) * 8 AS BIGINT) AS padded FROM b)
+SELECT conv_id, turn, batch, padded, padded - n AS pads FROM p""")
+def padded_batches(spark, sf_dir):
+    """Turns in batches of 16 of like length."""
+    turns = read(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return chat.length_batches(turns, udfs.count_words(F.col("text")), key, 16).select("conv_id", "turn", "batch", "padded", "pads")
+
+
 @query("""SELECT vec_id, round(list_avg(e), 9) AS mean, round(list_avg(e[-16:]), 9) AS tail, round(list_min(list_transform(range(0, greatest(1, len(e) - 15), 8), lambda s: list_avg(e[s + 1:s + 16]))), 9) AS min_group, CAST(len(e) AS BIGINT) AS ntok
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
 def conf_windows(spark, sf_dir):

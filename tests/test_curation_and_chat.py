@@ -105,6 +105,89 @@ def test_masks(spark):
     assert [r["n"] for r in padded] == [8, 8, 0]
 
 
+CHATS = [
+    [("user", "a b"), ("assistant", "c d"), ("user", "e"), ("assistant", "f\n\n")],
+    [("system", "be brief"), ("user", "a 12"), ("assistant", ""), ("user", "x"), ("assistant", "don't 3.5 é ß 日本")],
+    [("user", "a")],
+    [("assistant", "first"), ("user", "then")],
+    [("user", "q"), ("assistant", "  begins with spaces")],
+    [],
+]
+
+
+def test_pieces_are_the_rendered_chat(spark):
+    df = spark.createDataFrame([(c,) for c in CHATS], CHAT)
+    for r in df.select(chat.render(F.col("messages")).alias("t"), chat.pieces(F.col("messages")).alias("p"), chat.label_mask(F.col("messages")).alias("m")).collect():
+        assert "".join(p["text"] for p in r["p"]) == r["t"]
+        assert [t["token"] for t in r["m"]] == re.findall(r"\S+", r["t"])
+
+
+def prefix_method(messages, encode):
+    """Labels by rendering and encoding each turn's prefix anew; None where it isn't one."""
+    opening = "" if messages and messages[0][0] == "system" else chat.START + "system\n" + chat.DEFAULT_SYSTEM + chat.END
+    render = lambda m: opening + "".join(chat.START + role + "\n" + content + chat.END for role, content in m)
+    ids = encode(render(messages))[0]
+    labels = [chat.IGNORED] * len(ids)
+    for k, (role, _) in enumerate(messages):
+        if role == "assistant":
+            before, upto = encode(render(messages[:k]) + chat.START + "assistant\n")[0], encode(render(messages[: k + 1]))[0]
+            if ids[: len(before)] != before or ids[: len(upto)] != upto:
+                return ids, None
+            labels[len(before) : len(upto)] = ids[len(before) : len(upto)]
+    return ids, labels
+
+
+def load_bpe():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def encode(text):
+        found = bpe.encode(text, add_special_tokens=False)
+        return found.ids, found.offsets
+
+    return encode
+
+
+def test_encoded_mask_is_the_prefix_method(spark):
+    """Subword tokens and runs of one class; a turn that begins with spaces shares a token with its head."""
+    from quillsieve.plans.catalogue import class_encoder
+
+    pytest.importorskip("tokenizers")
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(CHATS)], "k int, " + CHAT).repartition(2)
+    for load in (load_bpe, class_encoder):
+        encode = load()
+        found = {r["k"]: r["m"] for r in rows.select("k", chat.encoded_mask(F.col("messages"), load).alias("m")).collect()}
+        for k, messages in enumerate(CHATS):
+            ids, labels = prefix_method(messages, encode)
+            assert found[k]["ids"] == ids and found[k]["labels"] == labels and (found[k]["crossing"] is None) == (labels is not None)
+        assert load is load_bpe or found[4]["labels"] is None and found[0]["labels"] is not None
+    short = {r["k"]: r["m"] for r in rows.select("k", chat.encoded_mask(F.col("messages"), class_encoder, 60, 7).alias("m")).collect()}
+    assert short[1]["ids"] == [7] and short[1]["labels"] == [chat.IGNORED]
+    nothing = spark.createDataFrame([([("user", None)],), (None,)], CHAT).select(chat.encoded_mask(F.col("messages"), class_encoder).alias("m"))
+    assert [r["m"] for r in nothing.collect()] == [None, None]
+
+
+@pytest.mark.parametrize("part", [50_000, 7])
+def test_length_batches(spark, part):
+    """Gapless batches, longest first, one padded length each; one length has a third of the rows and lies in many parts."""
+    import hashlib
+
+    rng = random.Random(9)
+    rows = [(k, 40 if k % 3 == 0 else rng.choice([None, 0, 1, 8, 9, 63, 200]), "own", "own") for k in range(150)] + [(7, 8, "own", "own")] * 2
+    df = spark.createDataFrame(rows, "k int, n int, batch string, _n string").repartition(4)
+    found = chat.length_batches(df, F.col("n"), F.col("k"), 8, 16, part).collect()
+    order = sorted(rows, key=lambda r: (-(r[1] or 0), hashlib.sha256(str(r[0]).encode()).hexdigest()))
+    want = []
+    for b in range(0, len(order), 8):
+        longest = order[b][1] or 0
+        padded = -(-longest // 16) * 16
+        want += [(r[0], r[1] or 0, b // 8, padded, padded - (r[1] or 0)) for r in order[b : b + 8]]
+    assert sorted((r["k"], r["n"] or 0, r["batch"], r["padded"], r["pads"]) for r in found) == sorted(want)
+    assert {r["_n"] for r in found} == {"own"} and chat.length_batches(df.limit(0), F.col("n"), F.col("k"), 8).count() == 0
+
+
 def test_collect_and_shots(spark):
     turns = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], "conv_id int, turn int, role string, text string")
     assert [tuple(m) for m in chat.collect_chats(turns).first()["messages"]] == [("user", "a"), ("assistant", "b")]
