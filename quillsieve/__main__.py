@@ -16,7 +16,7 @@ from quillsieve.operators import checks, chat, curation, metrics, votes
 from quillsieve.operators.rollouts import round_store
 from quillsieve.plans import compose as composing
 from quillsieve.plans import rebuild as rebuilding
-from quillsieve.plans.scratch import scratch_folder
+from quillsieve.plans.scratch import scratch_folder, stored
 from quillsieve.session import session
 from quillsieve.sources import readers, sinks
 
@@ -37,7 +37,7 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def evaluate(args) -> None:
     spark = session(args.master)
-    voters = [in_order(readers.read_predictions(spark, p, PREDICTIONS, integers=("prediction", "answer"))) for p in args.inputs]
+    voters = [in_order(readers.read_predictions(spark, p, PREDICTIONS, stored, integers=("prediction", "answer"))) for p in args.inputs]
     checks.require_parameters(fallback_voter=1 <= args.fallback_voter <= len(voters))
     same_ids(voters)
     long = reduce(DataFrame.unionByName, [v.withColumn("idx", F.lit(i)) for i, v in enumerate(voters)])

@@ -279,8 +279,8 @@ def known_texts(spark, sf_dir):
 
 def edited_corpus(spark, sf_dir) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
-    # as it is, with a word more, and with each final e doubled, which keeps characters better than words
-    forms = [F.col("text"), F.concat("text", F.lit(" indeed")), F.regexp_replace("text", r"e\b", "ee")]
+    # as it is, with a word more, and with each final e before a space doubled, which keeps characters better than words
+    forms = [F.col("text"), F.concat("text", F.lit(" indeed")), F.replace("text", F.lit("e "), F.lit("ee "))]
     edited = [items.select((F.lit(1_000_000 + k) + 3 * F.col("item_id")).alias("id"), form.alias("text")) for k, form in enumerate(forms)]
     return reduce(DataFrame.unionByName, edited, corpus(spark, sf_dir).select("id", "text"))
 
@@ -298,9 +298,13 @@ def near_dup_sequence(spark, sf_dir):
 LETTERED = " + ".join(f"least(strlen(x) - strlen(replace(x, '{c}', '')), strlen(y) - strlen(replace(y, '{c}', '')))" for c in nearness.LETTERS)
 
 
-@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT 1000000 + 3 * item_id, text FROM benchmark UNION ALL SELECT 1000001 + 3 * item_id, text || ' indeed' FROM benchmark UNION ALL SELECT 1000002 + 3 * item_id, regexp_replace(text, 'e\\b', 'ee', 'g') FROM benchmark),
-a AS (SELECT id, {_TOK} AS w FROM d), b AS (SELECT item_id, {_TOK} AS w FROM benchmark), o AS (SELECT id, array_to_string(w, ' ') AS x, len(w) AS n, list_distinct(w) AS s FROM a WHERE len(w) > 0), p AS (SELECT item_id, array_to_string(w, ' ') AS y, len(w) AS m, list_distinct(w) AS t FROM b),
-j AS (SELECT id AS doc_id, item_id, x, y, n, m, len(s) AS ns, len(t) AS mt, least(n, m) / greatest(n, m) AS ratio FROM o JOIN p ON least(n, m) / greatest(n, m) >= 0.8 AND len(list_intersect(list_transform(range(1, greatest(1, n - 4) + 1), lambda i: array_to_string(string_split(x, ' ')[i:i + 4], ' ')), list_transform(range(1, greatest(1, m - 4) + 1), lambda i: array_to_string(string_split(y, ' ')[i:i + 4], ' ')))) > 0),
+@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT 1000000 + 3 * item_id, text FROM benchmark UNION ALL SELECT 1000001 + 3 * item_id, text || ' indeed' FROM benchmark UNION ALL SELECT 1000002 + 3 * item_id, replace(text, 'e ', 'ee ') FROM benchmark),
+a AS (SELECT id, {_TOK} AS w FROM d), b AS (SELECT item_id AS id, {_TOK} AS w FROM benchmark),
+o AS (SELECT id, array_to_string(w, ' ') AS x, len(w) AS n, len(list_distinct(w)) AS ns FROM a WHERE len(w) > 0), p AS (SELECT id AS item_id, array_to_string(w, ' ') AS y, len(w) AS m, len(list_distinct(w)) AS mt FROM b),
+ga AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM a WHERE len(w) > 0)),
+gb AS (SELECT DISTINCT id AS item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM b WHERE len(w) > 0)),
+c AS (SELECT DISTINCT id, item_id FROM ga JOIN gb USING (g)),
+j AS (SELECT id AS doc_id, item_id, x, y, ns, mt, least(n, m) / greatest(n, m) AS ratio FROM c JOIN o USING (id) JOIN p USING (item_id) WHERE least(n, m) / greatest(n, m) >= 0.8),
 q AS (SELECT *, 2 * ({LETTERED}) / (strlen(x) + strlen(y)) AS quick FROM j)
 SELECT doc_id, item_id, least(ns, mt) / greatest(ns, mt) >= 0.85 AS tokens_may, ratio >= 0.85 AND quick >= 0.92 AS sequence_may, round(quick, 9) AS quick FROM q WHERE least(ns, mt) / greatest(ns, mt) >= 0.85 OR (ratio >= 0.85 AND quick >= 0.92)""")
 def near_sequence_bounds(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillsieve.operators import curation
 from quillsieve.plans import compose, rebuild
 from quillsieve.plans.catalogue import CHAIN, CONFIG, _pool_sql, query, read, tops_sql
-from quillsieve.plans.scratch import scratch_folder
+from quillsieve.plans.scratch import scratch_folder, stored
 from quillsieve.sources import readers, sinks
 
 
@@ -53,7 +53,58 @@ def validated_predictions(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(key.cast("string").alias("id"), F.when(key % 4 > 0, F.concat(F.lit("-0"), key.cast("string"))).alias("prediction"))
     path = fresh(spark, "predictions")
     sinks.write_jsonl(rows, path)
-    return readers.read_predictions(spark, path, "id string, prediction string")
+    return readers.read_predictions(spark, path, "id string, prediction string", stored)
+
+
+def _lines(spark, sf_dir) -> str:
+    """Files of lines in a known order, one a folder: some broken, some without an id, some with the id or an answer that won't do, some blank."""
+    key, path = F.col("o_orderkey"), fresh(spark, "lines")
+    said = F.when(key % 17 == 0, "3d").otherwise(F.concat(F.lit("-0"), key.cast("string")))
+    made = F.to_json(F.struct(F.when(key % 13 > 0, F.when(key % 19 == 0, "same").otherwise(key.cast("string"))).alias("id"), said.alias("prediction")))
+    value = F.when(key % 23 == 0, "").when(key % 11 == 0, F.concat(F.lit('{"id": '), key.cast("string"))).otherwise(made)
+    rows = read(spark, sf_dir, "orders").select((key % 8).alias("k"), key.alias("o"), value.alias("value"))
+    rows.repartition("k").sortWithinPartitions("k", "o").select("k", "value").write.partitionBy("k").text(path)
+    return path
+
+
+LINES = """l AS (SELECT o_orderkey % 8 AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS line FROM orders),
+g AS (SELECT *, CASE WHEN o % 19 = 0 THEN 'same' ELSE CAST(o AS VARCHAR) END AS id FROM l WHERE o % 23 > 0 AND o % 11 > 0)"""
+
+
+@query(f"""WITH {LINES} SELECT k, line, 'not a JSON object' AS problem, left('{{"id": ' || o, 80) AS found FROM l WHERE o % 23 > 0 AND o % 11 = 0
+UNION ALL SELECT k, line, 'prediction isn''t an integer', '3d' FROM g WHERE o % 17 = 0
+UNION ALL SELECT k, line, 'no id', '{{"prediction":"' || CASE WHEN o % 17 = 0 THEN '3d' ELSE '-0' || o END || '"}}' FROM g WHERE o % 13 = 0
+UNION ALL SELECT k, line, 'duplicate id', id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, line) AS n FROM g WHERE o % 13 > 0) WHERE n > 1""")
+def bad_lines(spark, sf_dir):
+    """Every problem of a folder of prediction files by file and line."""
+    _, bad = readers.checked_predictions(spark, _lines(spark, sf_dir), "id string, prediction string", stored)
+    return bad.select(F.regexp_extract("file", "k=([0-9]+)", 1).cast("bigint").alias("k"), F.col("line").cast("bigint").alias("line"), "problem", F.regexp_replace("found", '"id":null,', "").alias("found"))
+
+
+@query(f"""WITH {LINES}, v AS (SELECT k, line - 1 AS p, CASE WHEN o % 23 = 0 THEN '' WHEN o % 11 = 0 THEN '{{"id": ' || o
+  ELSE '{{' || CASE WHEN o % 13 > 0 THEN '"id":"' || CASE WHEN o % 19 = 0 THEN 'same' ELSE CAST(o AS VARCHAR) END || '",' ELSE '@' END || '"prediction":"' || CASE WHEN o % 17 = 0 THEN '3d' ELSE '-0' || o END || '"}}' END AS value FROM l),
+h AS (SELECT k, p // 64 AS q, sha256(string_agg(sha256(replace(value, '@', '"id":null,')), '' ORDER BY p)) AS h, count(*) AS n, sum(strlen(replace(value, '@', '"id":null,')) + 1) AS b FROM v GROUP BY 1, 2),
+i AS (SELECT k, q // 64 AS q, CASE WHEN count(*) = 1 AND min(q) = 0 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY q)) END AS h, sum(n) AS n, sum(b) AS b FROM h GROUP BY 1, 2)
+SELECT k, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(b) AS BIGINT) AS bytes, CASE WHEN count(*) = 1 AND min(q) = 0 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY q)) END AS digest FROM i GROUP BY k""")
+def file_trees(spark, sf_dir):
+    """Tree digests of those files, hashes joined by 64."""
+    lines = readers.numbered_lines(spark, _lines(spark, sf_dir), stored)
+    found = sinks.tree_digests(lines, stored, 64)
+    return found.select(F.regexp_extract("file", "k=([0-9]+)", 1).cast("bigint").alias("k"), "lines", "bytes", "digest")
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey AS VARCHAR) END AS answer, c_name || ', "' || c_custkey || '"' AS name FROM customer),
+t AS (SELECT string_agg(k || ',' || coalesce(answer, '') || ',"' || replace(name, '"', '\\"') || '"' || chr(10), '' ORDER BY k DESC) AS body FROM r)
+SELECT sha256('id,answer,name' || chr(10) || body) AS sha256, CAST(strlen('id,answer,name' || chr(10) || body) AS BIGINT) AS bytes, true AS as_by_one_task FROM t""")
+def ordered_file(spark, sf_dir):
+    """A file in input order whose parts several tasks write, joined; its bytes are those that one task writes."""
+    key, path = F.col("c_custkey"), fresh(spark, "ordered")
+    rows = read(spark, sf_dir, "customer").select((-key).alias("ord"), key.alias("id"), F.when(key % 5 > 0, key.cast("string")).alias("answer"), F.concat("c_name", F.lit(', "'), key.cast("string"), F.lit('"')).alias("name"))
+    sinks.write_ordered(rows, f"{path}/parts")
+    sinks.join_parts(spark, f"{path}/parts", f"{path}/joined/part-0")
+    rows.orderBy("ord").drop("ord").coalesce(1).write.option("header", True).csv(f"{path}/one")
+    one = sinks.file_digests(spark, f"{path}/one").select(F.col("sha256").alias("other"))  # one row
+    return sinks.file_digests(spark, f"{path}/joined").join(one, F.col("sha256") == F.col("other"), "left").select("sha256", "bytes", F.col("other").isNotNull().alias("as_by_one_task"))
 
 
 SUBMITTED = "CASE WHEN c_custkey % 6 > 0 THEN CAST(c_custkey AS VARCHAR) ELSE '0' END"

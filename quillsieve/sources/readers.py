@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillsieve.functions.text import canonical, strict_integer
 from quillsieve.operators.checks import CheckError, duplicate_ids, require_columns, require_empty
 
 CORRUPT = "_corrupt"
+#: Byte ranges of files up to which their line counts are broadcast.
+SMALL_RANGES = 100_000
+#: Writes a frame that is read more than once, and reads it back.
+Store = Callable[[DataFrame], DataFrame]
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -36,24 +43,48 @@ def read_json_document(spark: SparkSession, path: str, schema: str | T.StructTyp
     return text.select(F.posexplode(F.from_json("value", T.ArrayType(fields))).alias("ord", "row")).select("ord", "row.*")
 
 
-def read_predictions(spark: SparkSession, path: str, schema: str | T.StructType, id_col: str = "id", integers: tuple[str, ...] = ("prediction",)) -> DataFrame:
-    """JSONL that must parse, have unique ids and integer answers; errors name file and line."""
+def numbered_lines(spark: SparkSession, path: str | list[str], store: Store) -> DataFrame:
+    """(file, line, value) of text files, lines from 1, blank ones too. A file is read in byte ranges by many tasks; a line's
+    number is its place in its range and the number of lines in the ranges before. store: writes a frame and reads it
+    back, since places must not be counted twice."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    rows = store(rows)
+    ranges = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))  # a row a range
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")
+    ranges = store(ranges.select(F.col("file").alias("f"), F.col("start").alias("s"), (before - F.col("first")).alias("shift")))
+    small = F.broadcast(ranges) if ranges.count() <= SMALL_RANGES else ranges
+    met = rows.join(small, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
+    return met.select("file", (F.col("place") + F.col("shift") + 1).alias("line"), "value")
+
+
+def checked_predictions(spark: SparkSession, path: str, schema: str | T.StructType, store: Store, id_col: str = "id", integers: tuple[str, ...] = ("prediction",)) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSONL files with canonical integers, and (file, line, problem, found): lines that aren't JSON objects, lines
+    without an id, all but the first line of an id, and answers that aren't integers. Blank lines count as lines only. The
+    files are read and parsed once."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    filled = raw.filter(F.regexp_replace("value", r"\s+", "") != "")
     wide = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    rows = filled.select("file", "value", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    bad = rows.filter(F.col(f"r.{CORRUPT}").isNotNull() | F.col(f"r.{id_col}").isNull())
-    if not bad.isEmpty():
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-        shown = whole.join(bad.select("file", "value"), ["file", "value"], "left_semi").select("file", (F.col("line") + 1).alias("line"), F.substring("value", 1, 80).alias("text"))
-        require_empty(shown, "lines that aren't JSON objects with an id")
-    out = rows.select(*[F.col(f"r.{f.name}").alias(f.name) for f in fields])
-    require_empty(duplicate_ids(out, id_col), "duplicate ids")
+    lines = numbered_lines(spark, path, store).filter(F.regexp_replace("value", r"\s+", "") != "")
+    rows = lines.select("file", "line", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"), F.substring("value", 1, 80).alias("text"))
+    rows = store(rows)
+    broken, key = F.col(f"r.{CORRUPT}").isNotNull() | F.col("r").isNull(), F.col(f"r.{id_col}")
+    problems = [F.when(broken, F.struct(F.lit("not a JSON object").alias("problem"), F.col("text").alias("found"))), F.when(~broken & key.isNull(), F.struct(F.lit("no id").alias("problem"), F.col("text").alias("found")))]
     for column in integers:
-        require_empty(out.filter(F.col(column).isNotNull() & strict_integer(F.col(column)).isNull()).select(id_col, column), f"{column} isn't an integer")
-        out = out.withColumn(column, strict_integer(F.col(column)))
-    return out
+        told = F.col(f"r.{column}")
+        problems.append(F.when(~broken & told.isNotNull() & strict_integer(told).isNull(), F.struct(F.lit(f"{column} isn't an integer").alias("problem"), told.cast("string").alias("found"))))
+    bad = rows.select("file", "line", F.explode(F.array_compact(F.array(*problems))).alias("p")).select("file", "line", "p.*")
+    good = rows.filter(~broken & key.isNotNull())
+    places = good.groupBy(key.alias("key")).agg(F.min(F.struct("file", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = good.select("file", "line", key.alias("key")).join(places, "key").filter(F.struct("file", "line") != F.col("first"))
+    bad = bad.unionByName(again.select("file", "line", F.lit("duplicate id").alias("problem"), F.col("key").cast("string").alias("found")))
+    out = good.select(*[F.col(f"r.{f.name}").alias(f.name) for f in fields])
+    return out.withColumns({column: strict_integer(F.col(column)) for column in integers}), bad
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str | T.StructType, store: Store, id_col: str = "id", integers: tuple[str, ...] = ("prediction",)) -> DataFrame:
+    """JSONL that must parse, have unique ids and integer answers; an error names the first problems with file and line."""
+    rows, bad = checked_predictions(spark, path, schema, store, id_col, integers)
+    require_empty(bad.orderBy("file", "line"), "lines that can't be used")
+    return rows
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:

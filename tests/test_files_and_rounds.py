@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillsieve.operators import rollouts as R
 from quillsieve.operators.checks import CheckError
 from quillsieve.plans.catalogue import printed
+from quillsieve.plans.scratch import stored
 from quillsieve.sources import readers, sinks
 from quillsieve.streaming.resume import enrich_stream
 
@@ -34,13 +35,13 @@ def test_validating_reader(spark, tmp_path):
     schema = "id string, prediction string"
     good, bad, twice, word = (tmp_path / n for n in ("good", "bad", "twice", "word"))
     good.write_text('{"id": "a", "prediction": "007"}\n\n{"id": "b", "prediction": null}\n')
-    assert [tuple(r) for r in readers.read_predictions(spark, str(good), schema).collect()] == [("a", "7"), ("b", None)]
+    assert [tuple(r) for r in readers.read_predictions(spark, str(good), schema, stored).collect()] == [("a", "7"), ("b", None)]
     bad.write_text('{"id": "a"}\n{"id": \n')
     twice.write_text('{"id": "a"}\n{"id": "a"}\n')
     word.write_text('{"id": "a", "prediction": "five"}\n')
     for path, said in ((bad, "'line': 2"), (twice, "duplicate"), (word, "integer")):
         with pytest.raises(CheckError, match=said):
-            readers.read_predictions(spark, str(path), schema)
+            readers.read_predictions(spark, str(path), schema, stored)
 
 
 def test_submissions(spark, tmp_path):
@@ -154,6 +155,84 @@ def test_stream_state_expires(spark, tmp_path):
         feed((9, 3))
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of 500 bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_numbered_lines_of_split_files(spark, tmp_path, small_ranges):
+    texts = {"a.jsonl": [f"line {k} " + "x" * (k * 37 % 90) for k in range(200)], "b.jsonl": ["", "é" * 300, "", "end"], "c.jsonl": []}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    found = readers.numbered_lines(spark, str(tmp_path), stored).collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in found) == [(name, k + 1, x) for name in texts for k, x in enumerate(texts[name])]
+
+
+def test_problems_name_their_line(spark, tmp_path, small_ranges):
+    """Each kind of problem on a file of many ranges, the second file's first line among them."""
+    rows = [{"id": f"q{k}", "prediction": str(k)} for k in range(120)]
+    lines = [json.dumps(r) for r in rows]
+    lines[17], lines[40], lines[63], lines[100], lines[111] = '{"id": ', '{"prediction": "1"}', '{"id": "q63", "prediction": "3.5"}', '{"id": "q5", "prediction": "x"}', "[1]"
+    lines.insert(20, "  ")
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text('{"id": "q7"}\r\n{"id": "new", "prediction": null}\r\n')
+    good, bad = readers.checked_predictions(spark, str(tmp_path), "id string, prediction string", stored)
+    found = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["problem"]) for r in bad.collect())
+    assert found == [("a.jsonl", 18, "not a JSON object"), ("a.jsonl", 42, "no id"), ("a.jsonl", 65, "prediction isn't an integer"), ("a.jsonl", 102, "duplicate id"), ("a.jsonl", 102, "prediction isn't an integer"), ("a.jsonl", 113, "not a JSON object"), ("b.jsonl", 1, "duplicate id")]
+    with pytest.raises(CheckError, match="18"):
+        readers.read_predictions(spark, str(tmp_path), "id string, prediction string", stored)
+
+
+def test_ordered_parts(spark, tmp_path):
+    """Many parts in order are byte by byte one file; the header comes once, of an empty table too."""
+    rows = [(k * 7 % 501, f'n"{k}, ' if k % 3 else None, "" if k % 5 == 0 else "é\\") for k in range(501)]
+    df = spark.createDataFrame(rows, "ord int, name string, more string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sinks.write_ordered(df, str(tmp_path / "parts"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(parts) > 2
+    df.orderBy("ord").drop("ord").coalesce(1).write.option("header", True).csv(str(tmp_path / "one"))
+    one = next((tmp_path / "one").glob("part-*")).read_bytes()
+    assert b"".join(p.read_bytes() for p in parts) == one
+    assert sinks.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "joined")) is False
+    assert (tmp_path / "joined").read_bytes() == one
+    sinks.write_ordered(df.limit(0), str(tmp_path / "none"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "none").glob("part-*"))) == b"name,more\n"
+
+
+def test_parts_too_large_to_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "COPY_BYTES", 3)
+    spark.createDataFrame([("abcd",)], "value string").write.text(str(tmp_path / "parts"))
+    with pytest.raises(CheckError, match="stay in"):
+        sinks.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "joined"))
+    assert not (tmp_path / "joined").exists()
+
+
+def test_tree_digest(spark, tmp_path, small_ranges):
+    """Against a plain tree, whatever the ranges; one changed line changes it."""
+    def tree(lines, fan):
+        level = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+        while True:
+            level = [hashlib.sha256("".join(level[k : k + fan]).encode()).hexdigest() for k in range(0, len(level), fan)]
+            if len(level) == 1:
+                return level[0]
+
+    lines = [f"row {k} " * (k % 9) for k in range(300)]
+    for name, body in (("a", lines), ("b", lines[:-1] + ["other"]), ("c", ["one"])):
+        (tmp_path / name).write_text("\n".join(body))
+    for fan in (4, 4096):
+        found = {r["file"][-1]: r for r in sinks.tree_digests(readers.numbered_lines(spark, str(tmp_path), stored), stored, fan).collect()}
+        assert {k: (r["lines"], r["digest"]) for k, r in found.items()} == {"a": (300, tree(lines, fan)), "b": (300, tree(lines[:-1] + ["other"], fan)), "c": (1, tree(["one"], fan))}
+        assert found["a"]["bytes"] == len("\n".join(lines)) + 1
+
+
 def test_program_runs():
     assert R.run_program("print(6 * 7)", 20) == ("ok", "42\n", "")
     status, _, err = R.run_program("1 // 0", 20)
