@@ -18,8 +18,10 @@ from quillsieve.operators import checks, gates, metrics
 from quillsieve.operators import votes as V
 from quillsieve.operators.rollouts import round_store
 from quillsieve.plans.scratch import scratch_folder
-from quillsieve.sources import readers, sinks
+from quillsieve.sources import jsondoc, readers, sinks
 
+#: Maps of the bands file.
+BANDS = ("support", "votes", "nrisky")
 STAGES = ("base", "c1", "c2", "c3", "c4")
 
 
@@ -79,11 +81,9 @@ def counts(spark: SparkSession, folder: str, names: Materials = Materials()) ->
 
 
 def read_bands(spark: SparkSession, path: str) -> DataFrame:
-    """(id, support, votes, nrisky) of one JSON object of maps."""
-    maps = ("support", "votes", "nrisky")
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", ", ".join(f"{m} map<string,bigint>" for m in maps)).alias("b"))
-    long = reduce(DataFrame.unionByName, [text.select(F.explode(f"b.{m}").alias("id", "n")).withColumn("kind", F.lit(m)) for m in maps])
-    return long.groupBy("id").agg(*[F.max(F.when(F.col("kind") == m, F.col("n"))).alias(m) for m in maps])
+    """(id, support, votes, nrisky) of one JSON object of maps, of any size."""
+    found = jsondoc.elements(spark, path, 2).select(F.col("path")[0].alias("kind"), F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,bigint>")).alias("id", "n"))
+    return found.groupBy("id").agg(*[F.max(F.when(F.col("kind") == m, F.col("n"))).alias(m) for m in BANDS])
 
 
 def compose(spark: SparkSession, problems: DataFrame, folder: str, names: Materials = Materials(), rules: Rules = Rules()) -> DataFrame:

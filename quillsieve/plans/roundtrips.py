@@ -11,7 +11,7 @@ from quillsieve.operators import curation
 from quillsieve.plans import compose, rebuild
 from quillsieve.plans.catalogue import CHAIN, CONFIG, _pool_sql, query, read, tops_sql
 from quillsieve.plans.scratch import scratch_folder, stored
-from quillsieve.sources import readers, sinks
+from quillsieve.sources import jsondoc, readers, sinks
 
 
 def fresh(spark, name: str) -> str:
@@ -39,10 +39,9 @@ def jsonl_rows(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, text AS \"user\", 'Final answer: ' || item_id AS assistant FROM benchmark")
 def json_document_rows(spark, sf_dir):
     """One JSON array, read with the places of its elements."""
-    turns = F.struct(F.col("item_id"), F.col("text").alias("user"), F.concat(F.lit("Final answer: "), F.col("item_id").cast("string")).alias("assistant"))
-    every = read(spark, sf_dir, "benchmark").agg(F.to_json(F.sort_array(F.collect_list(turns))).alias("value"))  # a document is one row
+    turns = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("user"), F.concat(F.lit("Final answer: "), F.col("item_id").cast("string")).alias("assistant"))
     path = fresh(spark, "document")
-    every.write.text(path)
+    jsondoc.write_array(turns, path, "item_id")
     return readers.read_json_document(spark, path, "user string, assistant string").select(F.col("ord").cast("bigint").alias("ord"), "user", "assistant")
 
 
@@ -221,8 +220,8 @@ def materials(spark, sf_dir) -> str:
     votes = lines.groupBy("id", "s").count().groupBy("id").agg(F.max("count").alias("votes"))
     risky = voters.groupBy("id").agg(F.count_if(c("flag") == "R").alias("nrisky"))
     bands = support.join(votes, "id").join(risky, "id")
-    one = bands.agg(*[F.map_from_entries(F.collect_list(F.struct("id", m))).alias(m) for m in ("support", "votes", "nrisky")])  # bands are one document
-    sinks.write_jsonl(one, f"{folder}/{NAMES.bands}")
+    long_rows = bands.select(c("id").alias("key"), F.explode(F.array(*[F.struct(F.lit(m).alias("name"), c(m).cast("bigint").alias("value")) for m in compose.BANDS])).alias("r")).select("key", "r.*")
+    jsondoc.write_maps(long_rows, f"{folder}/{NAMES.bands}", list(compose.BANDS))
     return folder
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quillsieve.functions.text import canonical, strict_integer
 from quillsieve.operators.checks import CheckError, duplicate_ids, require_columns, require_empty
+from quillsieve.sources import jsondoc
 
 CORRUPT = "_corrupt"
 #: Byte ranges of files up to which their line counts are broadcast.
@@ -37,10 +38,10 @@ def read_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One JSON array of a few rows, with `ord`."""
+    """One JSON array of any size, with `ord`."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", T.ArrayType(fields))).alias("ord", "row")).select("ord", "row.*")
+    rows = jsondoc.elements(spark, path, 1).select(F.col("element").alias("ord"), F.from_json("text", fields).alias("row"))
+    return rows.select("ord", "row.*")
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], store: Store) -> DataFrame:

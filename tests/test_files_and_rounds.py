@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import shutil
 from datetime import datetime
 
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quillsieve.operators import rollouts as R
 from quillsieve.operators.checks import CheckError
+from quillsieve.plans import compose
 from quillsieve.plans.catalogue import printed
 from quillsieve.plans.scratch import stored
-from quillsieve.sources import readers, sinks
+from quillsieve.sources import jsondoc, readers, sinks
 from quillsieve.streaming.resume import enrich_stream
 
 
@@ -189,6 +191,62 @@ def test_problems_name_their_line(spark, tmp_path, small_ranges):
         readers.read_predictions(spark, str(tmp_path), "id string, prediction string", stored)
 
 
+def odd_value(rng, depth=0):
+    """A JSON value with commas, quotes, brackets and escapes inside its strings and keys."""
+    text = lambda: "".join(rng.choice('ab,"\\{}[]: \né日') for _ in range(rng.randint(0, 12)))
+    kind = rng.randint(0, 5 if depth < 3 else 3)
+    if kind == 4:
+        return [odd_value(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    if kind == 5:
+        return {text(): odd_value(rng, depth + 1) for _ in range(rng.randint(0, 4))}
+    return [None, True, rng.randint(-9, 10**9), text()][kind]
+
+
+@pytest.mark.parametrize("style", [{}, {"indent": 1}, {"separators": (",", ":")}, {"ensure_ascii": False}])
+def test_document_elements(spark, tmp_path, small_ranges, style):
+    """Elements of a document cut into ranges of 500 bytes, one of them longer than several ranges."""
+    rng = random.Random(21)
+    rows = [odd_value(rng) for _ in range(60)] + [{"long": ["x, y " * 300, {"z": list(range(400))}]}, "s" * 1500] + [odd_value(rng) for _ in range(40)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, **style))
+    found = jsondoc.elements(spark, str(tmp_path / "a.json"), 1).collect()
+    assert [json.loads(r["text"]) for r in sorted(found, key=lambda r: r["element"])] == rows and sorted(r["element"] for r in found) == list(range(len(rows)))
+    maps = {f"map {k}": {f'id,{n} "q"': odd_value(rng) for n in range(60)} for k in range(4)} | {"none": {}}
+    (tmp_path / "b.json").write_text(json.dumps(maps, **style))
+    back = {}
+    for r in jsondoc.elements(spark, str(tmp_path / "b.json"), 2).collect():
+        back.setdefault(r["path"][0], {}).update(json.loads("{" + r["text"] + "}"))
+    assert back == {k: m for k, m in maps.items() if m}
+
+
+def test_documents_of_parts(spark, tmp_path, small_ranges):
+    """What many tasks write is one document of JSON, and is read back by many."""
+    rows = [(k, f"u{k}, {{", None if k % 3 else 'q"') for k in range(150)]
+    jsondoc.write_array(spark.createDataFrame(rows, "ord int, user string, assistant string").repartition(7), str(tmp_path / "array"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*")))
+    assert [(k, r["user"], r["assistant"]) for k, r in enumerate(json.loads(whole))] == rows
+    found = readers.read_json_document(spark, str(tmp_path / "array"), "user string, assistant string")
+    assert sorted(map(tuple, found.collect())) == rows
+    maps = [(n, f"id,{k}", k) for n in ("support", "votes") for k in range(90)]
+    jsondoc.write_maps(spark.createDataFrame(maps, "name string, key string, value long"), str(tmp_path / "maps"), ["support", "votes", "nrisky"])
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "maps").glob("part-*")))
+    assert json.loads(whole) == {"support": {f"id,{k}": k for k in range(90)}, "votes": {f"id,{k}": k for k in range(90)}, "nrisky": {}}
+    assert sorted(map(tuple, compose.read_bands(spark, str(tmp_path / "maps")).collect())) == sorted((f"id,{k}", k, k, None) for k in range(90))
+
+
+@pytest.mark.parametrize("text", ["[1, 2", '{"a": "b', "[1]]"])
+def test_broken_documents(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(ValueError, match="document ends|more brackets"):
+        jsondoc.elements(spark, str(tmp_path / "a.json"), 1)
+
+
+def test_empty_documents(spark, tmp_path):
+    for k, text in enumerate(["", "[]", " [ ] ", "{}", "7"]):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert jsondoc.elements(spark, str(tmp_path / f"{k}.json"), 1).count() == 0
+    assert jsondoc.elements(spark, str(tmp_path / "1.json"), 2).count() == 0
+
+
 def test_ordered_parts(spark, tmp_path):
     """Many parts in order are byte by byte one file; the header comes once, of an empty table too."""
     rows = [(k * 7 % 501, f'n"{k}, ' if k % 3 else None, "" if k % 5 == 0 else "é\\") for k in range(501)]
