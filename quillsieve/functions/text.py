@@ -1,11 +1,15 @@
 """Scalar functions on text columns, all of them expressions that Catalyst compiles.
 
-Regular expressions are Java's: \\d and \\s are ASCII, and lower() stands for case folding.
+Regular expressions are Java's: \\d and \\s are ASCII.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Sequence
+from functools import cache
+from string import ascii_uppercase as UPPER
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +27,7 @@ REWARD = (
 STRICT_TAIL = (r"(?im)(?:final answer|정답)\s*(?:is|:|=)?\s*\$?\\?\(?\s*(-?\d[\d,]*)\s*\\?\)?\$?\s*\.?\s*$", r"\\boxed\s*\{\s*(-?\d[\d,]*)\s*\}")
 LOOSE_TAIL = (r"(?i)(?:final answer\s*(?:is|:|=)?\s*\$?\\?\(?\s*-?\d|\\boxed\s*\{\s*-?\d)",)
 VISUAL = r"(?i)https?://|www\.|\\includegraphics|\.(?:png|jpe?g|gif)\b|\b(?:diagram|figure)\s+(?:above|below)|\bshown\s+(?:above|below)\b"
-TOKENS = r"[a-z]+|\d+"
+TOKENS = r"[a-z]+|\p{Nd}+"
 TRUE_WORDS = ("yes", "true", "valid", "1")
 MINUS_SIGNS, TEXT_MACRO = "−–", r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}"
 DEGREE_END, CURATED, ZERO_TAIL = r"(?:\^\s*\{?\\circ\}?|\\circ|°|\\%)$", r"^[+-]?\d+(?:\.0+)?$", r"\.0+$"
@@ -149,8 +153,46 @@ def hash_answer(c: Column) -> Column:
     return F.when(answer.isNotNull(), F.struct(solution.alias("solution"), answer.alias("answer")))
 
 
+@cache
+def folds() -> dict[str, str]:
+    """Characters beyond ASCII that full case folding changes, by Python's own table."""
+    every = (chr(c) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c}
+
+
+def _replaced(c: Column, many: dict[str, str]) -> Column:
+    """c with each character of `many` spelled out; texts without any are only looked through once."""
+    out = c
+    for old, new in many.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(c.rlike("[" + "".join(many) + "]"), out).otherwise(c)
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding, one character to several where it says so. ASCII texts are lower-cased."""
+    one = {k: v for k, v in folds().items() if len(v) == 1}
+    many = {k: v for k, v in folds().items() if len(v) > 1}
+    folded = F.translate(_replaced(c, many), UPPER + "".join(one), UPPER.lower() + "".join(one.values()))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(c))
+
+
+@cache
+def letter_folds() -> dict[str, str]:
+    """Characters whose folding has ASCII letters that lower-casing doesn't give: \u00df becomes ss. No others matter to tokens."""
+    return {k: v for k, v in folds().items() if re.search("[a-z]", v) and re.findall("[a-z]", k.lower()) != re.findall("[a-z]", v)}
+
+
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKENS), F.lit(0))
+    """Runs of a-z and runs of digits of the folded text."""
+    return F.regexp_extract_all(_replaced(F.lower(c), letter_folds()), F.lit(TOKENS), F.lit(0))
+
+
+def tokens_sql(column: str) -> str:
+    """The same in SQL, for the queries' oracles."""
+    out = f"lower({column})"
+    for old, new in letter_folds().items():
+        out = f"replace({out}, '{old}', '{new}')"
+    return rf"regexp_extract_all({out}, '[a-z]+|\p{{Nd}}+')"
 
 
 def normalized(c: Column) -> Column:

@@ -397,10 +397,10 @@ def hash_answers(spark, sf_dir):
     return got.select("doc_id", "h.answer", "h.solution")
 
 
-_TOK = r"regexp_extract_all(lower({0}), '[a-z]+|\d+')"
+TOK = {c: T.tokens_sql(c) for c in ("text", "d.text", "k.text")}
 
 
-@query(f"SELECT doc_id, sha256(array_to_string({_TOK.format('text')}, ' ')) AS norm, CAST(len({_TOK.format('text')}) AS BIGINT) AS n FROM documents")
+@query(f"SELECT doc_id, sha256(array_to_string({TOK['text']}, ' ')) AS norm, CAST(len({TOK['text']}) AS BIGINT) AS n FROM documents")
 def normalized_texts(spark, sf_dir):
     t = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalized(t), 256).alias("norm"), long(F.size(T.tokens(t))).alias("n"))
@@ -432,7 +432,7 @@ def official(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
 
 
-CASCADE = f"""d AS (SELECT doc_id, text, array_to_string({_TOK.format('text')}, ' ') AS norm, len(regexp_extract_all(text, '\\S+')) AS n FROM documents),
+CASCADE = f"""d AS (SELECT doc_id, text, array_to_string({TOK['text']}, ' ') AS norm, len(regexp_extract_all(text, '\\S+')) AS n FROM documents),
 f AS (SELECT doc_id, norm, CASE WHEN regexp_matches(text, '{T.VISUAL}') OR contains(text, '@') THEN 'visual_or_url' WHEN n < 64 THEN 'too_short' WHEN n > 900 THEN 'too_long' END AS failed FROM d),
 o AS (SELECT norm, min(doc_id) AS first FROM f WHERE failed IS NULL GROUP BY norm)"""
 
@@ -452,8 +452,8 @@ def first_accept_dedup(spark, sf_dir):
     return curation.first_accepted(corpus(spark, sf_dir), T.normalized(F.col("text")), ok, "id").select(F.col("id").alias("doc_id"))
 
 
-@query(f"""WITH o AS (SELECT DISTINCT array_to_string({_TOK.format('text')}, ' ') AS norm FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE source = 'src0'))
-SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') IN (SELECT norm FROM o) AS known FROM documents""")
+@query(f"""WITH o AS (SELECT DISTINCT array_to_string({TOK['text']}, ' ') AS norm FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE source = 'src0'))
+SELECT doc_id, array_to_string({TOK['text']}, ' ') IN (SELECT norm FROM o) AS known FROM documents""")
 def exact_decontam(spark, sf_dir):
     rows = corpus(spark, sf_dir)
     key = T.text_key(T.normalized(F.col("text"))).alias("key")
@@ -462,11 +462,11 @@ def exact_decontam(spark, sf_dir):
 
 
 def _grams(table: str, key: str) -> str:
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM (SELECT {key}, {_TOK.format('text')} AS w FROM {table}) WHERE len(w) > 0)"""
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM (SELECT {key}, {TOK['text']} AS w FROM {table}) WHERE len(w) > 0)"""
 
 
 PAIRS = f"""a AS ({_grams('documents', 'doc_id')}), b AS ({_grams('benchmark', 'item_id')}), c AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)),
-s AS (SELECT doc_id, item_id, {_TOK.format('d.text')} AS x, {_TOK.format('k.text')} AS y FROM c JOIN documents d USING (doc_id) JOIN benchmark k USING (item_id)),
+s AS (SELECT doc_id, item_id, {TOK['d.text']} AS x, {TOK['k.text']} AS y FROM c JOIN documents d USING (doc_id) JOIN benchmark k USING (item_id)),
 j AS (SELECT doc_id, item_id, len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(list_concat(x, y))) AS jaccard, least(len(x), len(y)) / greatest(len(x), len(y)) AS ratio FROM s)"""
 
 

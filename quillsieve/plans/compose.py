@@ -61,21 +61,32 @@ def counts(spark: SparkSession, folder: str, names: Materials = Materials()) ->
     def lines(name: str, schema: str, optional: bool = False) -> DataFrame:
         return readers.read_pools(spark, [f"{folder.rstrip('/')}/{name}"], f"id string, {schema}", optional)
 
+    def dealt(rows: DataFrame, pools: list[str], answer: Column, n: Column | None = None) -> DataFrame:
+        """Rows of a file for each pool that it counts in; a file is read once, whatever its roles."""
+        made = _one(rows, pools[0], answer, n)
+        return made if len(pools) == 1 else made.withColumn("pool", F.explode(F.array(*map(F.lit, pools))))
+
     said = T.canonical(F.coalesce("prediction", T.extract_final_first(F.col("response"))))
     each = T.canonical(F.col("one"))
     parts = []
     for k, name in enumerate(names.voters):
-        voter = lines(name, "prediction string, response string")
-        parts += [_one(voter, "voters", said)] + ([_one(voter, "own", said)] if not k else [])
+        parts.append(dealt(lines(name, "prediction string, response string"), ["voters", "own"] if not k else ["voters"], said))
     texts = lines(names.samples, "responses array<string>").select("id", F.explode("responses").alias("one"))
     parts.append(_one(texts, "samples", T.canonical(T.extract_final_first(F.col("one")))))
+    roles: dict[str, list[str]] = {}
     for pool, files in (("low", names.low_pools), ("middle", names.middle_pools), ("guard", names.guard_pools or names.low_pools + names.middle_pools)):
         for name in files:
-            verified = lines(name, "verified_counts map<string,bigint>", True).select("id", F.explode("verified_counts").alias("one", "n"))
-            parts.append(_one(verified, pool, T.canonical_output(F.col("one")), F.col("n")))
+            roles.setdefault(name, []).append(pool)
+    for name, pools in roles.items():
+        verified = lines(name, "verified_counts map<string,bigint>", True).select("id", F.explode("verified_counts").alias("one", "n"))
+        parts.append(dealt(verified, pools, T.canonical_output(F.col("one")), F.col("n")))
+    lists: dict[str, list[str]] = {}
     for pool, files in (("mode", (names.screened,)), ("pool", names.pointer_pools), ("repeats", (names.repeats,))):
         for name in files:
-            parts.append(_one(lines(name, "predictions array<string>").select("id", F.explode("predictions").alias("one")), pool, each))
+            lists.setdefault(name, []).append(pool)
+    for name, pools in lists.items():
+        predicted = lines(name, "predictions array<string>").select("id", F.explode("predictions").alias("one"))
+        parts.append(dealt(predicted, pools, each))
     parts.append(_one(lines(names.pointer, "prediction string"), "pointer", T.canonical(F.col("prediction"))))
     return reduce(DataFrame.unionByName, parts)
 

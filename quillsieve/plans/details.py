@@ -251,7 +251,7 @@ def representatives(spark, sf_dir) -> DataFrame:
     return docs.groupBy(T.text_key(F.array_join("tokens", " ")).alias("key")).agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")).drop("key")
 
 
-_TOK = r"regexp_extract_all(lower(text), '[a-z]+|\d+')"
+_TOK = T.tokens_sql("text")
 NEAR = f"""w AS (SELECT min(doc_id) AS id, w FROM (SELECT doc_id, {_TOK} AS w FROM documents) WHERE len(w) > 0 AND doc_id IS NOT NULL GROUP BY w),
 s AS (SELECT id, w, list_distinct(w) AS s FROM w),
 g AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w)),
@@ -269,9 +269,9 @@ def near_dup_documents(spark, sf_dir):
     return near.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("other_id"), F.round("jaccard", 9).alias("jaccard"), F.round("ratio", 9).alias("ratio"), "kind")
 
 
-@query("""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT 1000000 + 3 * item_id, text FROM benchmark UNION ALL SELECT 1000001 + 3 * item_id, text || ' indeed' FROM benchmark),
-w AS (SELECT id, regexp_extract_all(lower(text), '[a-z]+|\\d+') AS w FROM d), o AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z]+|\\d+'), ' ') AS norm FROM benchmark)
-SELECT id, CASE WHEN len(w) = 0 THEN 'empty' ELSE 'exact' END AS contamination FROM w WHERE len(w) = 0 OR array_to_string(w, ' ') IN (SELECT norm FROM o)""".replace("\\\\", "\\"))
+@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT 1000000 + 3 * item_id, text FROM benchmark UNION ALL SELECT 1000001 + 3 * item_id, text || ' indeed' FROM benchmark),
+w AS (SELECT id, {_TOK} AS w FROM d), o AS (SELECT DISTINCT array_to_string({_TOK}, ' ') AS norm FROM benchmark)
+SELECT id, CASE WHEN len(w) = 0 THEN 'empty' ELSE 'exact' END AS contamination FROM w WHERE len(w) = 0 OR array_to_string(w, ' ') IN (SELECT norm FROM o)""")
 def known_texts(spark, sf_dir):
     """Empty texts and copies of official ones among the documents, the items and edited items."""
     return contaminated(spark, sf_dir).filter("contamination in ('empty', 'exact')")
@@ -329,9 +329,8 @@ def _curation(spark, sf_dir):
     return judged, curate.choose(judged, sources, 2026)
 
 
-_T = r"regexp_extract_all(lower(text), '[a-z]+|\d+')"
-CURATED = f"""{PAIRS}, dd AS (SELECT doc_id, text, lang, source, array_to_string({_T}, ' ') AS norm, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE doc_id IS NOT NULL),
-oo AS (SELECT DISTINCT array_to_string({_T}, ' ') AS norm FROM benchmark), nn AS (SELECT DISTINCT doc_id FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8),
+CURATED = f"""{PAIRS}, dd AS (SELECT doc_id, text, lang, source, array_to_string({_TOK}, ' ') AS norm, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE doc_id IS NOT NULL),
+oo AS (SELECT DISTINCT array_to_string({_TOK}, ' ') AS norm FROM benchmark), nn AS (SELECT DISTINCT doc_id FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8),
 rr AS (SELECT 0 AS k, 'main' AS src, * FROM dd WHERE lang = 'en' UNION ALL SELECT 1, 'more', * FROM dd WHERE lang IN ('en', 'fr')),
 ff AS (SELECT *, CASE WHEN src = 'main' AND doc_id % 10 = 3 THEN 'main_odd' END AS early, CASE WHEN regexp_matches(text, '{T.VISUAL}') THEN 'visual_or_url' WHEN norm = '' THEN 'official_empty'
   WHEN norm IN (SELECT norm FROM oo) THEN 'official_exact' WHEN doc_id IN (SELECT doc_id FROM nn) THEN 'official_near_token' WHEN n < 32 THEN 'solution_too_short' WHEN n > 900 THEN 'solution_too_long' END AS failed FROM rr),

@@ -2,6 +2,8 @@ import hashlib
 import json
 import random
 import shutil
+import threading
+import time
 from datetime import datetime
 
 import pytest
@@ -502,3 +504,32 @@ def test_cli_rebuild(spark, tmp_path, capsys):
         said[extractor] = capsys.readouterr().out
     assert "voters: 0 answers differ" in said["boxed_first"] and "voters: 1 answers differ ['a']" in said["final_first"]
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/final_first").collect()] == ["id,answer", "a,2", "b,6"]
+
+
+def test_slow_requests_hold_up_no_others(spark):
+    """Every tenth request is slow; four in flight across batches of five rows, answers in the order of rows."""
+    seen = []
+
+    class Slow:
+        def generate(self, messages, n, max_tokens, seed):
+            k = int(messages[0]["content"])
+            time.sleep(0.4 if k % 10 == 0 else 0.002)
+            return [(f"said {k} {threading.active_count()}", 1, False)]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    rows = spark.createDataFrame([(k, [("user", str(k))]) for k in range(100)], "id int, messages array<struct<role:string,content:string>>").coalesce(1)
+    began = time.time()
+    got = R.generate(rows, Slow(), workers=4, answers=30).collect()
+    took = time.time() - began
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["id"] for r in got] == list(range(100)) and all(r["response"].startswith(f"said {r['id']} ") for r in got)
+    assert took < 3.5  # ten slow ones: 4 s one after the other, about 1 s by four
+    done = R.in_order(lambda k: seen.append(k) or k, iter(range(50)), 1, 3)
+    assert next(done) == 0 and len(seen) <= 4 and list(done) == list(range(1, 50))
+
+
+def test_rate_of_the_whole_job(spark):
+    rows = spark.createDataFrame([(k, [("user", str(k))]) for k in range(12)], "id int, messages array<struct<role:string,content:string>>").coalesce(1)
+    began = time.time()
+    got = R.generate(rows, R.StubProvider(), workers=4, rate=10.0 * spark.sparkContext.defaultParallelism).collect()
+    assert len(got) == 12 and time.time() - began >= 1.1

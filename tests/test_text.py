@@ -120,3 +120,14 @@ def test_prompts_and_completions(spark):
     assert apply(spark, T.prompt, ["concise", "unknown"])[1] is None
     df = spark.createDataFrame([([("user", "a"), ("assistant", None)],)], "m array<struct<role:string,content:string>>")
     assert df.select(T.flatten_completion(F.col("m")).alias("t")).first()["t"] == "a\n"
+
+
+def test_casefold_of_all_characters(spark):
+    """Python's casefold over every code point, in runs of 500; tokens over the basic plane."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    runs = [" x".join(map(chr, points[k : k + 500])) for k in range(0, len(points), 500)] + ["", "Straße ﬁn", "PLAIN ascii"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(runs)], "k int, t string").repartition(3)
+    assert {r["k"]: r["f"] for r in df.select("k", T.casefold(F.col("t")).alias("f")).collect()} == {k: t.casefold() for k, t in enumerate(runs)}
+    found = {r["k"]: r["w"] for r in df.select("k", T.tokens(F.col("t")).alias("w")).collect()}
+    basic = [k for k, t in enumerate(runs) if max(t, default="") < "\U00010000"]
+    assert len(basic) > 100 and all(found[k] == re.findall(r"[a-z]+|\d+", runs[k].casefold()) for k in basic)
