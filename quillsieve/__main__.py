@@ -1,5 +1,6 @@
-"""python -m quillsieve evaluate|submission|compose|rebuild|merge: ensembles of prediction or submission files, the chain of gates
-over a folder of materials, its first stages from raw texts, and training files put together."""
+"""python -m quillsieve evaluate|submission|compose|rebuild|merge|curate|screen|pool|rollout: ensembles of prediction or submission
+files, the chain of gates over a folder of materials, its first stages from raw texts, training files put together, rows
+curated from corpora, problems screened by a model server, a training pool of a band, and verified tool answers."""
 
 from __future__ import annotations
 
@@ -11,11 +12,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.functions import udfs
-from quillsieve.operators import checks, chat, curation, metrics, votes
+from quillsieve.functions import text, udfs
+from quillsieve.operators import chat, checks, curation, metrics, rollouts, votes
 from quillsieve.operators.rollouts import round_store
 from quillsieve.plans import compose as composing
+from quillsieve.plans import curate as curating
 from quillsieve.plans import rebuild as rebuilding
+from quillsieve.plans import screen as screening
 from quillsieve.plans.scratch import scratch_folder, stored
 from quillsieve.session import session
 from quillsieve.sources import readers, sinks
@@ -37,7 +40,7 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def evaluate(args) -> None:
     spark = session(args.master)
-    voters = [in_order(readers.read_predictions(spark, p, PREDICTIONS, stored, integers=("prediction", "answer"))) for p in args.inputs]
+    voters = [readers.read_predictions(spark, p, PREDICTIONS, stored, integers=("prediction", "answer"), ord_col="ord") for p in args.inputs]
     checks.require_parameters(fallback_voter=1 <= args.fallback_voter <= len(voters))
     same_ids(voters)
     long = reduce(DataFrame.unionByName, [v.withColumn("idx", F.lit(i)) for i, v in enumerate(voters)])
@@ -117,6 +120,60 @@ def merge(args) -> None:
     sinks.write_jsonl(rows.orderBy("id", "training_repeat"), args.output)
 
 
+def curate(args) -> None:
+    """Rows chosen from the corpora of a plan (JSON: sources with name, path, quotas, quota_key and optional silent and reasons
+    as SQL conditions), in order, none near an official question."""
+    spark = session(args.master)
+    plan = json.loads(args.plan)
+    sources = []
+    for s in plan["sources"]:
+        rows = in_order(spark.read.json(s["path"]))
+        reasons = tuple((reason, F.expr(condition)) for reason, condition in s.get("reasons", []))
+        sources.append(curating.Source(s["name"], rows, s["quotas"], s["quota_key"], reasons, F.expr(s["silent"]) if "silent" in s else None))
+    official = readers.read_csv(spark, args.official).select(F.col("question").alias("text"))
+    judged = curating.judge(sources, official, limits=curating.Limits(args.min_tokens, args.max_tokens))
+    chosen = stored(curating.choose(judged, sources, args.seed))
+    sinks.write_jsonl(chosen.orderBy("source", "place").select("source", "id", "question", "solution", "stratum", "n_tokens"), args.output)
+    sinks.write_manifest(chosen, args.output + ".manifest", args.output, **curating.counted(judged, chosen, args.seed))
+
+
+def _asked(args) -> tuple:
+    """Questions that the output lacks yet, and the server."""
+    spark = session(args.master)
+    questions = readers.read_rows(spark, args.input, "id string, question string, answer string")
+    if "answer" not in questions.columns:
+        questions = questions.withColumn("answer", F.lit(None).cast("string"))
+    if args.resume and readers.exists(spark, args.output):
+        questions = questions.join(readers.read_jsonl(spark, args.output, "id string").select("id"), "id", "left_anti")
+    provider = rollouts.HttpProvider(args.base_url, args.model, args.temperature, args.top_p)
+    return spark, questions, provider
+
+
+def screen(args) -> None:
+    _, questions, provider = _asked(args)
+    sinks.append_rows(screening.screen(questions, provider, args.num_samples, args.max_new_tokens, args.seed, args.request_workers, args.rate, args.save_responses), args.output)
+
+
+def rollout(args) -> None:
+    """Samples with programs that are run, repaired and concluded; the verified answers of each problem."""
+    spark, questions, provider = _asked(args)
+    config = rollouts.RolloutConfig(samples=args.num_samples, no_code_rounds=args.no_code_rounds, repair_rounds=args.repair_rounds, seed=args.seed)
+    samples = stored(rollouts.trajectories(questions, provider, scratch_folder(spark), config))
+    sinks.append_rows(rollouts.tool_pool(samples), args.output)
+    if args.samples_output:
+        sinks.append_rows(samples, args.samples_output)
+
+
+def pool(args) -> None:
+    spark = session(args.master)
+    screened = readers.read_jsonl(spark, args.screen, "id string, n_correct int")
+    training = readers.read_jsonl(spark, args.training, "id string").withColumn("id", text.strip(F.col("id")))
+    rows, counts = screening.training_pool(screened, readers.read_csv(spark, args.pool_csv).withColumn("id", text.strip(F.col("id"))), training, args.min_correct, args.max_correct)
+    sinks.write_jsonl(rows.orderBy("id"), args.output)
+    sinks.write_manifest(rows, args.output + ".manifest", args.output, **counts)
+    print(json.dumps(counts))
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(prog="quillsieve")
     parser.add_argument("--master", default="local[*]")
@@ -153,6 +210,43 @@ def main() -> None:
     p.add_argument("--teacher-repeat", action="append", default=[], help="teacher=count, any number of times")
     p.add_argument("--max-length", type=int)
     p.set_defaults(run=merge)
+    p = kinds.add_parser("curate")
+    p.add_argument("--plan", required=True, help="JSON object of sources")
+    p.add_argument("--official", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--min-tokens", type=int, default=64)
+    p.add_argument("--max-tokens", type=int, default=900)
+    p.set_defaults(run=curate)
+    for name, run in (("screen", screen), ("rollout", rollout)):
+        p = kinds.add_parser(name)
+        p.add_argument("--input", required=True)
+        p.add_argument("--output", required=True)
+        p.add_argument("--model", required=True)
+        p.add_argument("--base-url", default="http://localhost:8000/v1")
+        p.add_argument("--num-samples", type=int, default=8)
+        p.add_argument("--temperature", type=float, default=0.7)
+        p.add_argument("--top-p", type=float, default=0.95)
+        p.add_argument("--seed", type=int, default=0)
+        p.add_argument("--resume", action="store_true")
+        p.set_defaults(run=run)
+        if name == "screen":
+            p.add_argument("--max-new-tokens", type=int, default=1024)
+            p.add_argument("--request-workers", type=int, default=8, help="a task")
+            p.add_argument("--rate", type=float, help="requests a second of the whole job")
+            p.add_argument("--save-responses", action="store_true")
+        else:
+            p.add_argument("--no-code-rounds", type=int, default=0)
+            p.add_argument("--repair-rounds", type=int, default=1)
+            p.add_argument("--samples-output")
+    p = kinds.add_parser("pool")
+    p.add_argument("--screen", required=True)
+    p.add_argument("--pool-csv", required=True)
+    p.add_argument("--training", required=True)
+    p.add_argument("--min-correct", type=int, default=2)
+    p.add_argument("--max-correct", type=int, default=6)
+    p.add_argument("--output", required=True)
+    p.set_defaults(run=pool)
     args = parser.parse_args()
     args.run(args)
 

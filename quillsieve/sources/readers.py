@@ -45,27 +45,27 @@ def read_json_document(spark: SparkSession, path: str, schema: str | T.StructTyp
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], store: Store) -> DataFrame:
-    """(file, line, value) of text files, lines from 1, blank ones too. A file is read in byte ranges by many tasks; a line's
-    number is its place in its range and the number of lines in the ranges before. store: writes a frame and reads it
-    back, since places must not be counted twice."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    """(file, line, place, value) of text files, lines from 1, blank ones too; place counts on over all files in order of their
+    names. A file is read in byte ranges by many tasks; a line's number is its place in its range and the number of lines
+    in the ranges before. store: writes a frame and reads it back, since places must not be counted twice."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     rows = store(rows)
-    ranges = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))  # a row a range
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")
-    ranges = store(ranges.select(F.col("file").alias("f"), F.col("start").alias("s"), (before - F.col("first")).alias("shift")))
+    ranges = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row a range
+    before, all_before = (F.sum("n").over(w) - F.col("n") - F.col("first") for w in (Window.partitionBy("file").orderBy("start"), Window.orderBy("file", "start")))
+    ranges = store(ranges.select(F.col("file").alias("f"), F.col("start").alias("s"), before.alias("shift"), all_before.alias("far")))
     small = F.broadcast(ranges) if ranges.count() <= SMALL_RANGES else ranges
     met = rows.join(small, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
-    return met.select("file", (F.col("place") + F.col("shift") + 1).alias("line"), "value")
+    return met.select("file", (F.col("at") + F.col("shift") + 1).alias("line"), (F.col("at") + F.col("far") + 1).alias("place"), "value")
 
 
-def checked_predictions(spark: SparkSession, path: str, schema: str | T.StructType, store: Store, id_col: str = "id", integers: tuple[str, ...] = ("prediction",)) -> tuple[DataFrame, DataFrame]:
+def checked_predictions(spark: SparkSession, path: str, schema: str | T.StructType, store: Store, id_col: str = "id", integers: tuple[str, ...] = ("prediction",), ord_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of JSONL files with canonical integers, and (file, line, problem, found): lines that aren't JSON objects, lines
     without an id, all but the first line of an id, and answers that aren't integers. Blank lines count as lines only. The
     files are read and parsed once."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wide = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     lines = numbered_lines(spark, path, store).filter(F.regexp_replace("value", r"\s+", "") != "")
-    rows = lines.select("file", "line", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"), F.substring("value", 1, 80).alias("text"))
+    rows = lines.select("file", "line", "place", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"), F.substring("value", 1, 80).alias("text"))
     rows = store(rows)
     broken, key = F.col(f"r.{CORRUPT}").isNotNull() | F.col("r").isNull(), F.col(f"r.{id_col}")
     problems = [F.when(broken, F.struct(F.lit("not a JSON object").alias("problem"), F.col("text").alias("found"))), F.when(~broken & key.isNull(), F.struct(F.lit("no id").alias("problem"), F.col("text").alias("found")))]
@@ -77,13 +77,14 @@ def checked_predictions(spark: SparkSession, path: str, schema: str | T.StructTy
     places = good.groupBy(key.alias("key")).agg(F.min(F.struct("file", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = good.select("file", "line", key.alias("key")).join(places, "key").filter(F.struct("file", "line") != F.col("first"))
     bad = bad.unionByName(again.select("file", "line", F.lit("duplicate id").alias("problem"), F.col("key").cast("string").alias("found")))
-    out = good.select(*[F.col(f"r.{f.name}").alias(f.name) for f in fields])
+    out = good.select(*[F.col(f"r.{f.name}").alias(f.name) for f in fields], *([F.col("place").alias(ord_col)] if ord_col else []))
     return out.withColumns({column: strict_integer(F.col(column)) for column in integers}), bad
 
 
-def read_predictions(spark: SparkSession, path: str, schema: str | T.StructType, store: Store, id_col: str = "id", integers: tuple[str, ...] = ("prediction",)) -> DataFrame:
-    """JSONL that must parse, have unique ids and integer answers; an error names the first problems with file and line."""
-    rows, bad = checked_predictions(spark, path, schema, store, id_col, integers)
+def read_predictions(spark: SparkSession, path: str, schema: str | T.StructType, store: Store, id_col: str = "id", integers: tuple[str, ...] = ("prediction",), ord_col: str | None = None) -> DataFrame:
+    """JSONL that must parse, have unique ids and integer answers; an error names the first problems with file and line.
+    ord_col: a column for the rows' places in the input."""
+    rows, bad = checked_predictions(spark, path, schema, store, id_col, integers, ord_col)
     require_empty(bad.orderBy("file", "line"), "lines that can't be used")
     return rows
 

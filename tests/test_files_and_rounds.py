@@ -176,6 +176,7 @@ def test_numbered_lines_of_split_files(spark, tmp_path, small_ranges):
     assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
     found = readers.numbered_lines(spark, str(tmp_path), stored).collect()
     assert sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in found) == [(name, k + 1, x) for name in texts for k, x in enumerate(texts[name])]
+    assert [r["value"] for r in sorted(found, key=lambda r: r["place"])] == texts["a.jsonl"] + texts["b.jsonl"] and {r["place"] for r in found} == set(range(1, 205))
 
 
 def test_problems_name_their_line(spark, tmp_path, small_ranges):
@@ -533,3 +534,61 @@ def test_rate_of_the_whole_job(spark):
     began = time.time()
     got = R.generate(rows, R.StubProvider(), workers=4, rate=10.0 * spark.sparkContext.defaultParallelism).collect()
     assert len(got) == 12 and time.time() - began >= 1.1
+
+
+def test_cli_screen_pool_and_curate(spark, tmp_path):
+    """A model server is asked for eight samples of each problem, what is done isn't asked again; a band of it becomes a
+    pool; corpora become chosen rows with a manifest."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            k = int(body["messages"][-1]["content"].split()[-1])
+            asked.append(k)
+            said = [f"Final answer: {k if s < k else -1}" for s in range(body["n"])]
+            self.send_response(500 if k == 7 and asked.count(7) == 1 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"index": s, "message": {"content": x}, "finish_reason": "length" if s == 0 else "stop"} for s, x in enumerate(said)], "usage": {"completion_tokens": 9}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    def run(*args):
+        import sys
+        from unittest.mock import patch
+
+        from quillsieve import __main__ as cli
+
+        with patch.object(sys, "argv", ["quillsieve", "--master", "local[2]", *map(str, args)]):
+            cli.main()
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    questions, out = tmp_path / "q.csv", tmp_path / "screened"
+    questions.write_text("id,question,answer\n" + "".join(f" q{k},what is {k},\"{k}\"\n".replace(" q", "q") for k in range(1, 9)))
+    for _ in range(2):
+        run("screen", "--input", questions, "--output", out, "--model", "m", "--base-url", f"http://127.0.0.1:{server.server_port}/v1", "--resume", "--save-responses")
+    server.shutdown()
+    rows = {r["id"]: r for r in spark.read.json(str(out)).collect()}
+    assert sorted(asked) == [1, 2, 3, 4, 5, 6, 7, 7, 8] and set(rows) == {f"q{k}" for k in range(1, 9)}
+    assert all((r["n_correct"], r["num_samples"], r["pass_rate"], r["truncated"], r["answer"]) == (int(i[1:]), 8, int(i[1:]) / 8, 1, i[1:]) for i, r in rows.items())
+    assert rows["q2"]["predictions"] == ["2", "2", *["-1"] * 6] and rows["q2"]["responses"][1] == "Final answer: 2"
+    (tmp_path / "t.jsonl").write_text('{"id": "q3"}\n')
+    run("pool", "--screen", out, "--pool-csv", questions, "--training", tmp_path / "t.jsonl", "--min-correct", 2, "--max-correct", 5, "--output", tmp_path / "pool")
+    chosen = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "pool")).collect()]
+    assert [(r["id"], r["answer"], r["screen_n_correct"]) for r in chosen] == [(f"q{k}", str(k), k) for k in (2, 4, 5)]
+    assert [m["role"] for m in chosen[0]["prompt"]] == ["system", "user"] and chosen[0]["prompt"][1]["content"] == "what is 2"
+    told = json.loads("".join(r["value"] for r in spark.read.text(str(tmp_path / "pool.manifest"), wholetext=True).collect()))
+    assert told["screened"] == 8 and told["samples"] == 3 and told["training_skipped"] == 1 and told["band_histogram"]["4"] == 1
+    corpus = [{"id": f"c{k}", "question": f"question number {k} about {'cats' if k % 2 else 'dogs'}", "solution": "x " * (70 if k != 4 else 3), "level": "hard" if k % 2 else "easy"} for k in range(20)]
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps(r) + "\n" for r in corpus))
+    (tmp_path / "o.csv").write_text("id,question\no,Question number 6 about DOGS!\n")
+    plan = {"sources": [{"name": "main", "path": str(tmp_path / "c.jsonl"), "quotas": {"hard": 3, "easy": 4}, "quota_key": "level", "reasons": [["odd", "id = 'c2'"]], "silent": "id = 'c1'"}]}
+    run("curate", "--plan", json.dumps(plan), "--official", tmp_path / "o.csv", "--output", tmp_path / "curated", "--seed", 5, "--min-tokens", 64)
+    kept = spark.read.json(str(tmp_path / "curated")).collect()
+    assert len([r for r in kept if r["stratum"] == "hard"]) == 3 and {r["id"] for r in kept if r["stratum"] == "easy"} <= {f"c{k}" for k in range(0, 20, 2)} - {"c2", "c4", "c6"}
+    told = json.loads("".join(r["value"] for r in spark.read.text(str(tmp_path / "curated.manifest"), wholetext=True).collect()))
+    assert told["rejections"]["main_odd"] == 1 and told["rejections"]["solution_too_short"] == 1 and told["rejections"]["official_exact"] == 1
