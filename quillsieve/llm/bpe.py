@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsieve.llm.common import shuffle_partitions, small_batches
+from quillsieve.llm.common import shuffle_partitions, small_batches, trim
 
 _AWKWARD = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -175,6 +175,8 @@ def _words_of(special: re.Pattern | None, chunk_chars: int, buckets: int):
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                 names=["chunk", "bucket", "places", "lengths", "words"],
             )
+        words = raw = out = mine = None
+        trim()
 
     return run
 
@@ -189,6 +191,8 @@ def _positions_of(special: re.Pattern | None, chunk_chars: int):
                     [pa.array([chunk] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(texts_as[k : k + 2000], pa.binary())],
                     names=["chunk", "key", "positions"],
                 )
+        keys = texts_as = words = part = None
+        trim()
 
     return run
 
@@ -214,6 +218,8 @@ def _encode_words(path: str):
                 sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
                 out.append((row["chunk"], row["places"], _pack(sizes), _pack(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "places", "counts", "ids"])
+        known = data = words = new = ids = None
+        trim()
 
     return run
 
@@ -280,6 +286,8 @@ def _decode(pieces: pa.Array):
                 offsets = pa.array(ids.offsets.to_numpy() - ids.offsets[0].as_py(), pa.int32())
                 joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(ids.flatten())), b"")
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, _texts(joined)], names=["key", "ids", "text"])
+            ids = joined = part = batch = None
+            trim()
 
     return run
 

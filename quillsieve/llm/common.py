@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager, suppress
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,10 +144,25 @@ class BitMap:
         return maybe(F.col(name))
 
 
-def small_batches(batches, rows: int = 500):
+@cache
+def _libc():
+    return ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
+
+def trim() -> None:
+    """Gives memory that is free but kept back to the system: workers stay between tasks, with all that their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _libc() and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def small_batches(batches, rows: int = 500, lean: bool = False):
     """Record batches of few rows, so that texts become Python objects a few at a time; unused Arrow memory
-    goes back in between, since idle workers keep their processes."""
+    goes back in between, since idle workers keep their processes. lean: all that is unused goes back, from before the first
+    batch on."""
+    if lean:
+        trim()
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-        pa.default_memory_pool().release_unused()
+        trim() if lean else pa.default_memory_pool().release_unused()

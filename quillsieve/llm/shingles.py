@@ -65,7 +65,7 @@ def may_be_similar(x: bytes, y: bytes, n: int) -> bool:
 def _once(batches, wanted: BitMap | None = None):
     """(node, text) of each text that the task hasn't had and that may be wanted."""
     seen = set()
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, lean=True):
         nodes, new = batch.column(0).to_numpy(), []
         some = range(len(nodes)) if wanted is None else np.flatnonzero(wanted(nodes)).tolist()
         for k in some:
@@ -117,13 +117,13 @@ def _sets(width: int, wanted: BitMap):
 
 
 def _verified(batches):
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, lean=True):
         found = [(a, b) for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))) if similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _possible(batches):
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, lean=True):
         found = [(a, b) for a, b, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(5))) if may_be_similar(x, y, n)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
