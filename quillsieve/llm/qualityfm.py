@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_feature
     order = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most max_train rows
     within = made.select("doc_id", F.sum(F.octet_length("at") / 4).over(order).alias("so_far")).filter(F.col("so_far") <= max_features)
     found = made.join(F.broadcast(within), "doc_id").collect()  # the bounded sample
-    found.sort(key=lambda r: (r["at"], r["value"]))
+    found.sort(key=lambda r: (r["at"], r["value"], r["label"]))  # so that no order of tasks matters
     data = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
     return Machine().fit(data, np.array([float(r["label"] > 0) for r in found], np.float32))
 
