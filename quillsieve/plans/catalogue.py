@@ -51,9 +51,14 @@ def tops_sql(source: str, name: str, amount: str = "count(*)") -> str:
   FROM (SELECT *, max(n) OVER (PARTITION BY id) AS m FROM {name}_h) GROUP BY id)"""
 
 
+def largest_flag():
+    """The largest of flags of one character, as a number under way: text in an aggregate would have it sort."""
+    return F.char(F.max(F.ascii("l_returnflag")))
+
+
 def votes_of(spark, sf_dir) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("idx"))
-    return lines.agg((F.max("l_quantity").cast("bigint") % 3).cast("string").alias("answer"), F.max("l_returnflag").alias("flag"))
+    return lines.agg((F.max("l_quantity").cast("bigint") % 3).cast("string").alias("answer"), largest_flag().alias("flag"))
 
 
 MAJORITY = f"""{VOTES}, {tops_sql('v', 't')}, fb AS (SELECT id, max(answer) FILTER (WHERE idx = 1) AS fallback FROM v GROUP BY id),
@@ -180,7 +185,7 @@ def wide_of(spark, sf_dir) -> DataFrame:
     band = F.element_at(F.create_map(*[F.lit(x) for x in ("N", "samples", "R", "low", "A", "middle")]), F.col("flag"))
     pools = [entry(band, F.col("p"), one), entry("mode", F.col("p"), one), entry("repeats", F.col("s"), one), entry("codes", F.col("s"), F.col("w"))]
     counts = lines.select("id", F.explode(F.array(*pools)).alias("e")).select("id", "e.*")
-    voters = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("idx")).agg((F.floor(F.max("l_quantity")) % 3).cast("string").alias("answer"), F.max("l_returnflag").alias("flag"), (F.max("l_partkey") % 3).cast("string").alias("pointer"))
+    voters = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("idx")).agg((F.floor(F.max("l_quantity")) % 3).cast("string").alias("answer"), largest_flag().alias("flag"), (F.max("l_partkey") % 3).cast("string").alias("pointer"))
     told = [
         F.struct(F.lit("voters").alias("pool"), F.col("answer"), one.alias("n")),
         F.when(F.col("idx") == 1, F.struct(F.lit("own").alias("pool"), F.col("answer"), one.alias("n"))),

@@ -325,15 +325,19 @@ def _curation(spark, sf_dir):
     ]
     excluded = docs.filter("source = 'src0'").select(T.normalized(F.col("question")).alias("norm"))
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    judged = curate.judge(sources, items, excluded, curate.Limits(32, 900), sequences=False)
+    none = F.array().cast("array<struct<user:string,assistant:string>>")
+    said = F.struct(F.lit("assistant").alias("role"), F.col("solution").alias("content"))
+    rendered = chat.render(F.array_append(chat.prompt_messages(F.lit(T.PROMPTS["default"]), none, F.col("question")), said))
+    judged = curate.judge(sources, items, excluded, curate.Limits(32, 900, 1500), sequence=udfs.count_words(rendered), sequences=False)
     return judged, curate.choose(judged, sources, 2026)
 
 
+SEQUENCE = f"'{chat.START}system\n{T.PROMPTS['default']}{chat.END}{chat.START}user\n' || text || '{chat.END}{chat.START}assistant\n' || text || '{chat.END}'"
 CURATED = f"""{PAIRS}, dd AS (SELECT doc_id, text, lang, source, array_to_string({_TOK}, ' ') AS norm, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE doc_id IS NOT NULL),
 oo AS (SELECT DISTINCT array_to_string({_TOK}, ' ') AS norm FROM benchmark), nn AS (SELECT DISTINCT doc_id FROM j WHERE jaccard >= 0.85 AND ratio >= 0.8),
 rr AS (SELECT 0 AS k, 'main' AS src, * FROM dd WHERE lang = 'en' UNION ALL SELECT 1, 'more', * FROM dd WHERE lang IN ('en', 'fr')),
 ff AS (SELECT *, CASE WHEN src = 'main' AND doc_id % 10 = 3 THEN 'main_odd' END AS early, CASE WHEN regexp_matches(text, '{T.VISUAL}') THEN 'visual_or_url' WHEN norm = '' THEN 'official_empty'
-  WHEN norm IN (SELECT norm FROM oo) THEN 'official_exact' WHEN doc_id IN (SELECT doc_id FROM nn) THEN 'official_near_token' WHEN n < 32 THEN 'solution_too_short' WHEN n > 900 THEN 'solution_too_long' END AS failed FROM rr),
+  WHEN norm IN (SELECT norm FROM oo) THEN 'official_exact' WHEN doc_id IN (SELECT doc_id FROM nn) THEN 'official_near_token' WHEN n < 32 THEN 'solution_too_short' WHEN n > 900 THEN 'solution_too_long' WHEN len(regexp_extract_all({SEQUENCE}, '\\S+')) > 1500 THEN 'sequence_too_long' END AS failed FROM rr),
 kk AS (SELECT norm FROM dd WHERE source = 'src0'),
 fa AS (SELECT norm, min(k * 1000000000000 + doc_id) AS begin_at FROM ff WHERE early IS NULL AND failed IS NULL AND norm NOT IN (SELECT norm FROM kk) GROUP BY norm),
 ju AS (SELECT src, doc_id, text, lang, CASE WHEN early IS NOT NULL THEN early WHEN norm IN (SELECT norm FROM kk) OR k * 1000000000000 + doc_id > begin_at THEN 'external_duplicate' ELSE failed END AS rejection FROM ff LEFT JOIN fa USING (norm)),

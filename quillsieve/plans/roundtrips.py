@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.operators import curation
 from quillsieve.plans import compose, rebuild
-from quillsieve.plans.catalogue import CHAIN, CONFIG, _pool_sql, query, read, tops_sql
+from quillsieve.plans.catalogue import CHAIN, CONFIG, _pool_sql, largest_flag, query, read, tops_sql
 from quillsieve.plans.scratch import scratch_folder, stored
 from quillsieve.sources import jsondoc, readers, sinks
 
@@ -200,7 +200,7 @@ def materials(spark, sf_dir) -> str:
     """Writes the materials of the gate queries as files; gives their folder."""
     folder, c = fresh(spark, "materials"), F.col
     lines = read(spark, sf_dir, "lineitem").withColumns({"id": c("l_orderkey").cast("string"), "p": (c("l_partkey") % 3).cast("string"), "s": (c("l_suppkey") % 3).cast("string")})
-    voters = lines.groupBy("id", "l_linenumber").agg((F.floor(F.max("l_quantity")) % 3).cast("string").alias("a"), F.max("l_returnflag").alias("flag"), (F.max("l_partkey") % 3).cast("string").alias("pointer"))
+    voters = lines.groupBy("id", "l_linenumber").agg((F.floor(F.max("l_quantity")) % 3).cast("string").alias("a"), largest_flag().alias("flag"), (F.max("l_partkey") % 3).cast("string").alias("pointer"))
     for k, name in enumerate(NAMES.voters, 1):
         mine = voters.filter(c("l_linenumber") == k)
         # odd voters give a prediction in some spelling, even ones a text
