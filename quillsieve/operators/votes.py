@@ -33,23 +33,34 @@ def tops(hist: DataFrame) -> DataFrame:
 
 def pooled_tops(counts: DataFrame, tops: tuple[str, ...], maps: tuple[str, ...] = ()) -> DataFrame:
     """One row an id of counts(id, pool, answer, n), all pools at once: for each pool of `tops` a struct(top, support,
-    ties, total) as in tops(), null without votes, and for each of `maps` its map answer -> n. The counts move once
-    for their sums and once for the ids, however many pools there are."""
-    sums = counts.filter("answer is not null").groupBy("id", "pool", "answer").agg(F.sum("n").alias("n"))
-    inside, parts = {name: F.col("pool") == name for name in (*tops, *maps)}, []
+    ties, total) as in tops(), null without votes, and for each of `maps` its map answer -> n. The counts become one row an
+    answer of an id, with a number for each pool; these rows move to their ids as they are, since the wide state of an id is
+    several times as large as they are."""
+    names = tuple(dict.fromkeys((*tops, *maps)))
+    n = {name: F.col(f"n{k}") for k, name in enumerate(names)}
+    sums = counts.filter("answer is not null").groupBy("id", "answer").agg(*[F.sum(F.when(F.col("pool") == name, F.col("n"))).alias(f"n{k}") for k, name in enumerate(names)])
+    parts = []
     for name in tops:
-        parts.append(F.max(F.when(inside[name], F.struct("n", "answer"))).alias(f"{name}_high"))
-        parts.append(F.min(F.when(inside[name], F.struct((-F.col("n")).alias("m"), F.col("answer")))).alias(f"{name}_low"))
-        parts.append(F.sum(F.when(inside[name], F.col("n"))).alias(f"{name}_total"))
-    # a row is as large as its id has answers
-    parts += [F.collect_list(F.when(inside[name], F.struct("answer", "n"))).alias(f"{name}_map") for name in maps]
-    per = sums.groupBy("id").agg(*parts)
+        there = n[name].isNotNull()
+        parts.append(F.max(F.when(there, F.struct(n[name].alias("n"), "answer"))).alias(f"{name}_high"))
+        parts.append(F.min(F.when(there, F.struct((-n[name]).alias("m"), "answer"))).alias(f"{name}_low"))
+        parts.append(F.sum(n[name]).alias(f"{name}_total"))
+    if maps:  # a row is as large as its id has answers
+        parts.append(F.collect_list(F.struct("answer", *[n[name].alias(name) for name in maps])).alias("entries"))
+    per = sums.repartition("id").groupBy("id").agg(*parts)
     out = [
         F.when(F.col(f"{name}_high").isNotNull(), F.struct(F.col(f"{name}_high.answer").alias("top"), F.col(f"{name}_high.n").alias("support"), (F.col(f"{name}_high.answer") != F.col(f"{name}_low.answer")).alias("ties"), F.col(f"{name}_total").alias("total"))).alias(name)
         for name in tops
     ]
-    named = [F.when(F.size(f"{name}_map") > 0, F.map_from_entries(f"{name}_map")).alias(name if name not in tops else f"{name}_map") for name in maps]
-    return per.select("id", *out, *named)
+    out += [_entry_map(name).alias(name if name not in tops else f"{name}_map") for name in maps]
+    return per.select("id", *out)
+
+
+def _entry_map(name: str) -> Column:
+    """answer -> n of one pool, from an id's entries; null without votes."""
+    mine = F.filter("entries", lambda e: e[name].isNotNull())
+    made = F.map_from_entries(F.transform(mine, lambda e: F.struct(e["answer"].alias("answer"), e[name].alias("n"))))
+    return F.when(F.exists("entries", lambda e: e[name].isNotNull()), made)
 
 
 def single_top(pool: Column, min_count: int = 1) -> Column:

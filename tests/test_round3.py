@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quillsieve.operators import votes as V
 from quillsieve.plans import catalogue
 
 
@@ -27,3 +28,18 @@ def test_lines_have_their_nulls_in_any_session(spark, small, plain_json):
     wanted = by_sql("file_trees", small, "orders").sort_values("k").reset_index(drop=True)
     got = catalogue.queries()["file_trees"](spark, small).toPandas().sort_values("k").reset_index(drop=True)
     assert got[list(wanted.columns)].values.tolist() == wanted.values.tolist()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_wide_state_of_an_id_does_not_move(spark):
+    rows = [(1, "a", "5", 2), (1, "a", "7", 2), (1, "b", "5", 1), (1, "b", "5", 4), (2, "b", "9", 1), (2, "a", None, 8), (2, "c", "9", 3)]
+    counts = spark.createDataFrame(rows, "id int, pool string, answer string, n long").repartition(3)
+    per = V.pooled_tops(counts, ("a", "b"), ("b",))
+    got = {r["id"]: r.asDict(True) for r in per.collect()}
+    assert got[1] == {"id": 1, "a": {"top": "7", "support": 2, "ties": True, "total": 4}, "b": {"top": "5", "support": 5, "ties": False, "total": 5}, "b_map": {"5": 5}}
+    assert got[2] == {"id": 2, "a": None, "b": {"top": "9", "support": 1, "ties": False, "total": 1}, "b_map": {"9": 1}}
+    moved = [line for line in plan_of(per).splitlines() if "Exchange hashpartitioning(id" in line]
+    assert len(moved) == 2 and sum("REPARTITION_BY_COL" in line for line in moved) == 1  # sums by answer, then the same rows to their ids
