@@ -17,7 +17,7 @@ from quillsieve.functions import text as T
 from quillsieve.operators import checks, gates, metrics
 from quillsieve.operators import votes as V
 from quillsieve.operators.rollouts import round_store
-from quillsieve.plans.scratch import scratch_folder
+from quillsieve.plans.scratch import scratch_folder, stored
 from quillsieve.sources import jsondoc, readers, sinks
 
 #: Maps of the bands file.
@@ -99,7 +99,7 @@ def read_bands(spark: SparkSession, path: str) -> DataFrame:
 
 def compose(spark: SparkSession, problems: DataFrame, folder: str, names: Materials = Materials(), rules: Rules = Rules()) -> DataFrame:
     """(ord, id, gold, base, c1 .. c4) of problems (ord, id, answer)."""
-    bands = read_bands(spark, f"{folder.rstrip('/')}/{names.bands}")
+    bands = stored(read_bands(spark, f"{folder.rstrip('/')}/{names.bands}"))
     ids = problems.select("ord", F.col("id").cast("string").alias("id"), T.canonical(F.col("answer")).alias("gold"))
     checks.require_empty(checks.unknown_ids(ids, bands.filter("support is not null and votes is not null and nrisky is not null")), "problems without bands")
     per, c = V.pooled_tops(counts(spark, folder, names), ("voters", "own", "samples", "low", "middle", "mode", "pointer"), ("guard", "pool", "repeats")), F.col

@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
+from quillsieve.operators import nearness
 from quillsieve.operators import votes as V
-from quillsieve.plans import catalogue
+from quillsieve.plans import catalogue, roundtrips
 
 
 @pytest.fixture
@@ -38,8 +39,35 @@ def test_the_wide_state_of_an_id_does_not_move(spark):
     rows = [(1, "a", "5", 2), (1, "a", "7", 2), (1, "b", "5", 1), (1, "b", "5", 4), (2, "b", "9", 1), (2, "a", None, 8), (2, "c", "9", 3)]
     counts = spark.createDataFrame(rows, "id int, pool string, answer string, n long").repartition(3)
     per = V.pooled_tops(counts, ("a", "b"), ("b",))
+    moved = [line for line in plan_of(per).splitlines() if "Exchange hashpartitioning(id" in line]
+    assert len(moved) == 2 and sum("REPARTITION_BY_COL" in line for line in moved) == 1  # sums by answer, then the same rows to their ids
     got = {r["id"]: r.asDict(True) for r in per.collect()}
     assert got[1] == {"id": 1, "a": {"top": "7", "support": 2, "ties": True, "total": 4}, "b": {"top": "5", "support": 5, "ties": False, "total": 5}, "b_map": {"5": 5}}
     assert got[2] == {"id": 2, "a": None, "b": {"top": "9", "support": 1, "ties": False, "total": 1}, "b_map": {"9": 1}}
-    moved = [line for line in plan_of(per).splitlines() if "Exchange hashpartitioning(id" in line]
-    assert len(moved) == 2 and sum("REPARTITION_BY_COL" in line for line in moved) == 1  # sums by answer, then the same rows to their ids
+
+
+@pytest.fixture
+def scans(monkeypatch):
+    """How often lineitem is written to a file or table from the driver's own table, by the plans of what is written."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen = []
+
+    def spied(kind):
+        kept = getattr(DataFrameWriter, kind)
+
+        def write(self, *args, **named):
+            seen.append(plan_of(self._df).count("lineitem.parquet"))
+            return kept(self, *args, **named)
+
+        monkeypatch.setattr(DataFrameWriter, kind, write)
+
+    for kind in ("json", "parquet", "text"):
+        spied(kind)
+    return seen
+
+
+@pytest.mark.parametrize("make", ["materials", "_raw"])
+def test_materials_read_the_lines_twice(spark, small, scans, make):
+    getattr(roundtrips, make)(spark, small)
+    assert sum(scans) == 2  # once for the voters, once for everything else
