@@ -71,3 +71,11 @@ def scans(monkeypatch):
 def test_materials_read_the_lines_twice(spark, small, scans, make):
     getattr(roundtrips, make)(spark, small)
     assert sum(scans) == 2  # once for the voters, once for everything else
+
+
+def test_exact_texts_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearness, "shingle_pairs", None)
+    rows = spark.createDataFrame([(1, "Some words here."), (2, "some WORDS here"), (3, " "), (4, None), (5, "some words there")], "id long, text string")
+    official = spark.createDataFrame([("some words, here",)], "text string")
+    got = nearness.contamination(rows, official, near=False).collect()
+    assert sorted(map(tuple, got)) == [(1, "exact"), (2, "exact"), (3, "empty"), (4, "empty")]
