@@ -21,9 +21,12 @@ def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def id_differences(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, side): ids of one input only."""
-    left, right = a.select(id_col).distinct(), b.select(id_col).distinct()
-    return left.join(right, id_col, "left_anti").withColumn("side", F.lit("missing")).unionByName(right.join(left, id_col, "left_anti").withColumn("side", F.lit("extra")))
+    """(id, side): ids of one input only, by one aggregate over both. A null id equals none, so it is missing and extra."""
+    sides = [df.select(id_col, F.lit(k == 0).alias("_a"), F.lit(k == 1).alias("_b")) for k, df in enumerate((a, b))]
+    seen = sides[0].unionByName(sides[1]).groupBy(id_col).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    unknown = F.col(id_col).isNull()
+    told = [F.when(F.col("_a") & (~F.col("_b") | unknown), F.lit("missing")), F.when(F.col("_b") & (~F.col("_a") | unknown), F.lit("extra"))]
+    return seen.select(id_col, F.explode(F.array_compact(F.array(*told))).alias("side"))
 
 
 def same_order(a: DataFrame, b: DataFrame, ord_col: str = "ord", id_col: str = "id") -> bool:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillsieve.operators import nearness
+from quillsieve.operators import checks, nearness
 from quillsieve.operators import votes as V
 from quillsieve.plans import catalogue, roundtrips
 
@@ -79,3 +79,10 @@ def test_exact_texts_need_no_pairs(spark, monkeypatch):
     official = spark.createDataFrame([("some words, here",)], "text string")
     got = nearness.contamination(rows, official, near=False).collect()
     assert sorted(map(tuple, got)) == [(1, "exact"), (2, "exact"), (3, "empty"), (4, "empty")]
+
+
+def test_id_differences_are_one_aggregate(spark):
+    a, b = (spark.createDataFrame([(i,) for i in ids], "id int") for ids in ([1, 1, 2, None], [2, 3, 3, None]))
+    found = checks.id_differences(a, b)
+    assert "Join" not in plan_of(found)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "missing"), (None, "missing"), (3, "extra"), (None, "extra")], key=repr)
