@@ -133,3 +133,28 @@ def test_near_documents_are_not_written_as_tokens(spark, small, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
     catalogue.queries()["near_dup_documents"](spark, small).count()
     assert written and not any("array<string>" in kinds for kinds in written)
+
+
+def test_texts_of_other_lengths_are_not_kept(spark):
+    item = "one two three four five six seven eight nine ten"
+    official = spark.createDataFrame([(1, item), (2, None), (3, "")], "id int, text string")
+    longer, shorter = item + " more and", " ".join(item.split()[:8])
+    rows = [(1, item), (2, longer), (3, shorter), (4, item + " so"), (5, " ".join([item] * 30)), (6, "one two"), (7, None), (8, item.upper())]
+    kept = []
+
+    def keep(df):
+        kept.append(df)
+        return df
+
+    got = nearness.contamination(spark.createDataFrame(rows, "id int, text string"), official, store=keep).collect()
+    assert sorted(map(tuple, got)) == [(1, "exact"), (4, "near_token"), (7, "empty"), (8, "exact")]
+    sizes = {len(r["tokens"]) for df in kept if "tokens" in df.columns for r in df.collect()}
+    assert sizes == {0, 8, 10, 11, 12}
+    nothing = nearness.contamination(spark.createDataFrame(rows, "id int, text string"), official.filter("id > 1")).collect()
+    assert [tuple(r) for r in nothing] == [(7, "empty")]
+
+
+def test_lengths_are_bounded_on_both_sides(spark):
+    rows = spark.createDataFrame([(n, ["w"] * n) for n in range(20)], "id int, tokens array<string>")
+    others = spark.createDataFrame([(1, ["v"] * 5), (2, ["v"] * 10), (3, []), (4, None)], "id int, tokens array<string>")
+    assert sorted(r["id"] for r in nearness.alike_in_length(rows, others).collect()) == list(range(4, 13))
