@@ -113,19 +113,21 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 FAN = 4096
 
 
-def tree_digests(lines: DataFrame, store, fan: int = FAN) -> DataFrame:
+def tree_digests(lines: DataFrame, store, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """(file, lines, bytes, digest) of numbered lines (file, line, value) of files of any size: the SHA-256 of each line, then
     of up to `fan` hashes in order, written one after the other, until one is left. No row holds more than `fan` hashes,
-    and the digest doesn't depend on how the file was split. Bytes are those of the lines with a line end each."""
+    and the digest doesn't depend on how the file was split. Bytes are those of the lines with a line end each.
+    levels: a tree of fixed height; after so many times the hashes that are left, one for fan ** levels lines, become one."""
     level = lines.select("file", (F.col("line") - 1).alias("k"), F.sha2("value", 256).alias("h"), F.lit(1).cast("long").alias("lines"), (F.octet_length("value") + 1).cast("long").alias("bytes"))
-    done = F.lit(False)
+    done, at = F.lit(False), 0
     while True:
-        group = F.floor(F.col("k") / fan)
+        group = F.lit(0).cast("long") if at == levels else F.floor(F.col("k") / fan)
         joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+        # a file that has its one hash waits for the others
         level = store(level.groupBy("file", group.alias("k")).agg(F.when(done, F.max("h")).otherwise(F.sha2(joined, 256)).alias("h"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes")))
         if level.filter("k > 0").isEmpty():
             return level.select("file", "lines", "bytes", F.col("h").alias("digest"))
-        done = (F.count(F.lit(1)) == 1) & (F.floor(F.min("k") / fan) == 0)  # a file that has its one hash waits for the others
+        done, at = (F.count(F.lit(1)) == 1) & (F.min("k") == 0), at + 1
 
 
 def write_manifest(df: DataFrame, path: str, written_to: str | None = None, **sections) -> None:
