@@ -182,7 +182,8 @@ def _met(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner"
     salt = free_name([*rows.columns, *table.columns], "salt")
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by, F.lit(7)), F.lit(SALTS)))
     each = table.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(each, [on, salt], how).drop(salt)
+    # Spark judges a table by the size of its files, which hold each key once and packed; it would broadcast what is too large
+    return dealt.join(each.hint("merge"), [on, salt], how).drop(salt)
 
 
 def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support: int, entity_bits: float, margin: float) -> DataFrame | None:
@@ -214,7 +215,7 @@ def disclosing(held: DataFrame, docs_text: DataFrame, generalise: float, support
 
     of_class = F.explode(F.array(*[F.struct(F.lit(k).alias("entity"), F.lit(totals[k]).cast("long").alias("fe"), F.col(k).alias("fte")) for k in classes]))
     by_class = within.select("term", F.col(PERSONAL).alias("fh"), of_class.alias("c")).select("c.entity", "c.fe", "term", "c.fte", "fh")
-    by_value = pairs.join(within.select("term", F.col(PERSONAL).alias("fh")), "term").select("entity", "fe", "term", "fte", "fh")
+    by_value = pairs.join(within.select("term", F.col(PERSONAL).alias("fh")).hint("merge"), "term").select("entity", "fe", "term", "fte", "fh")
     both = by_class.filter(F.col("fte") >= support).unionByName(by_value).filter(tells(F.col("fh")))
     both = written(both.withColumn("others", F.lit(0).cast("long")), "term-pairs")
     # documents are counted in four growing parts; after each, terms that are too common already are out

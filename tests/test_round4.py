@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillsieve.llm import pii
 from quillsieve.plans import catalogue
 from tests.test_round3 import by_sql
 
@@ -17,3 +18,28 @@ def test_trees_of_long_files_have_the_height_of_the_sql(spark, tmp_path, lines):
     wanted = by_sql("file_trees", tmp_path / "sql", "orders").sort_values("k").reset_index(drop=True)
     got = catalogue.queries()["file_trees"](spark, str(tmp_path)).toPandas().sort_values("k").reset_index(drop=True)
     assert got[list(wanted.columns)].values.tolist() == wanted.values.tolist()
+
+
+def test_tables_counted_as_too_large_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 2)
+    plans, kept = {}, pii.written
+
+    def written(df, name, *args):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name, *args)
+
+    monkeypatch.setattr(pii, "written", written)
+    texts = [f"{name} writes from a{k % 3}.{name}@{name}.org on day {'x' * k}" for k in range(12) for name in ("anne", "bert", "carl")]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + ["others say " + "y" * k for k in range(200)])], "doc_id long, text string")
+    docs = kept(docs, "docs")
+    few = {tuple(r) for r in pii.find(docs).select("doc_id", "spans").collect()}
+    assert plans["near-pairs"] and plans["term-pairs"]
+    assert not any("Broadcast" in p for p in plans["near-pairs"] + plans["term-pairs"])
+    terms = kept(spark.createDataFrame([(w,) for w in ("anne", "say", "day")], "term string"), "terms")
+    words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("term"))
+    met = pii._met(words, terms, "term", "doc_id", "left_semi")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 12 + 200 + 36
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 1000)
+    assert few == {tuple(r) for r in pii.find(docs).select("doc_id", "spans").collect()}
+    assert any("term" in spans for _, spans in few)
