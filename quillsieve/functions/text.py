@@ -28,6 +28,7 @@ STRICT_TAIL = (r"(?im)(?:final answer|정답)\s*(?:is|:|=)?\s*\$?\\?\(?\s*(-?\d[
 LOOSE_TAIL = (r"(?i)(?:final answer\s*(?:is|:|=)?\s*\$?\\?\(?\s*-?\d|\\boxed\s*\{\s*-?\d)",)
 VISUAL = r"(?i)https?://|www\.|\\includegraphics|\.(?:png|jpe?g|gif)\b|\b(?:diagram|figure)\s+(?:above|below)|\bshown\s+(?:above|below)\b"
 TOKENS = r"[a-z]+|\p{Nd}+"
+PLAIN = r"^(?:0|-?[1-9][0-9]*)\z"
 TRUE_WORDS = ("yes", "true", "valid", "1")
 MINUS_SIGNS, TEXT_MACRO = "−–", r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}"
 DEGREE_END, CURATED, ZERO_TAIL = r"(?:\^\s*\{?\\circ\}?|\\circ|°|\\%)$", r"^[+-]?\d+(?:\.0+)?$", r"\.0+$"
@@ -122,14 +123,21 @@ def _loose_integer(s: Column) -> Column:
     return F.when(whole, bare_integer(plain)).when(real, plain.try_cast("double").try_cast("bigint").cast("string"))
 
 
+def _unless_plain(s: Column, made: Column) -> Column:
+    """s itself where it is canonical already, which one look shows; most values are."""
+    return F.when(s.rlike(PLAIN), s).otherwise(made)
+
+
 def canonical(c: Column) -> Column:
     """Integer of a noisy value: blanks and commas go, reals are cut toward zero; else null. Reals beyond 64 bits are null."""
-    return _loose_integer(strip(F.replace(c.cast("string"), F.lit(","), F.lit(""))))
+    s = c.cast("string")
+    return _unless_plain(s, _loose_integer(strip(F.replace(s, F.lit(","), F.lit("")))))
 
 
 def canonical_output(c: Column) -> Column:
     """As canonical(), for program output: commas are not dropped, so grouped digits are null."""
-    return _loose_integer(strip(c.cast("string")))
+    s = c.cast("string")
+    return _unless_plain(s, _loose_integer(strip(s)))
 
 
 def strict_integer(c: Column) -> Column:

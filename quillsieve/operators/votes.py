@@ -38,7 +38,9 @@ def pooled_tops(counts: DataFrame, tops: tuple[str, ...], maps: tuple[str, ...]
     several times as large as they are."""
     names = tuple(dict.fromkeys((*tops, *maps)))
     n = {name: F.col(f"n{k}") for k, name in enumerate(names)}
-    sums = counts.filter("answer is not null").groupBy("id", "answer").agg(*[F.sum(F.when(F.col("pool") == name, F.col("n"))).alias(f"n{k}") for k, name in enumerate(names)])
+    # a filter of missing answers would go below the sums and make each answer a second time
+    there = F.count("answer").alias("there")
+    sums = counts.groupBy("id", "answer").agg(*[F.sum(F.when(F.col("pool") == name, F.col("n"))).alias(f"n{k}") for k, name in enumerate(names)], there).filter("there > 0").drop("there")
     parts = []
     for name in tops:
         there = n[name].isNotNull()

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}\[\]:]', re.S)
 _CLOSE = re.compile(r'(?:[^"\\]|\\.)*?"', re.S)
+_TURN = re.compile(r"[{}\[\]\\]")
 _SUM = "file string, start long, inside boolean, ends_inside boolean, closed int, opened array<string>, begun map<int,long>"
 _PART = "file string, start long, at long, element long, whole boolean, path array<string>, text string"
 
@@ -58,6 +60,13 @@ class _Walk:
     def steps(self, piece: str) -> Iterator[tuple[int, str]]:
         """(place behind it, bracket) of the brackets of a piece outside strings; `keys` and `closed` follow."""
         at, said = 0, None
+        quotes = piece.count('"')
+        if not quotes % 2 and not _TURN.search(piece):  # without brackets and escapes it ends as it began; its key ends with it
+            if self.inside and quotes:
+                self.string = [piece[piece.rfind('"') :]]
+            elif self.inside and self.string is not None:
+                self.string.append(piece)
+            return
         if self.inside:
             end = _CLOSE.match(piece)
             if self.string is not None:
@@ -125,15 +134,17 @@ def _beginnings(sums: list, depth: int) -> dict[tuple[str, int], tuple[bool, lis
     return out
 
 
+@lru_cache(1024)
 def _unquoted(key: str | None) -> str | None:
     if key == "":
         raise ValueError("a container's key holds a comma at the border of a range")
     return None if key is None else json.loads(key)
 
 
-def elements(spark: SparkSession, path: str, depth: int) -> DataFrame:
+def elements(spark: SparkSession, path: str, depth: int, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(element, path, text): elements of the containers at a depth (1: those of the document itself), numbered in their order
-    from 0, with the keys of the containers around them, null for arrays. An object's element is `"key": value`."""
+    from 0, with the keys of the containers around them, null for arrays. An object's element is `"key": value`.
+    store: writes the parts and reads them back; else the document is read once more for elements that lie in several."""
     pieces = _pieces(spark, path)
     begin = _beginnings(pieces.mapInArrow(_summed, _SUM).collect(), depth)  # two rows a range
 
@@ -146,7 +157,7 @@ def elements(spark: SparkSession, path: str, depth: int) -> DataFrame:
                 nonlocal at, text
                 body = "".join(text)
                 if body:
-                    rows.append({"file": file, "start": start, "at": at, "element": element - 1, "whole": whole and ends, "path": [_unquoted(k) for k in around], "text": body})
+                    rows.append((file, start, at, element - 1, whole and ends, [_unquoted(k) for k in around], body))
                     at += 1
                 text = []
 
@@ -176,23 +187,25 @@ def elements(spark: SparkSession, path: str, depth: int) -> DataFrame:
                 if len(walk.keys) >= depth:
                     text.append(piece[last:])
                 if len(rows) >= 10_000:
-                    yield pa.RecordBatch.from_pylist(rows, _schema())
+                    yield _batch(rows)
                     rows.clear()
             if len(walk.keys) >= depth:
                 around = walk.keys[1:depth]
                 # a comma between elements ends the last one; a file that the next one goes on from doesn't
                 put(comma and not walk.inside and len(walk.keys) == depth)
-            yield pa.RecordBatch.from_pylist(rows, _schema())
+            yield _batch(rows)
 
     parts = pieces.mapInArrow(read, _PART)
+    parts = store(parts) if store else parts
     ordered = F.sort_array(F.collect_list(F.struct("file", "start", "at", "text")))
     cut = parts.filter("not whole").groupBy("element").agg(F.first("path").alias("path"), F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
     every = parts.filter("whole").select("element", "path", "text").unionByName(cut)
     return every.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''")
 
 
-def _schema() -> pa.Schema:
-    return pa.schema([("file", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("element", pa.int64()), ("whole", pa.bool_()), ("path", pa.list_(pa.string())), ("text", pa.string())])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "start": pa.int64(), "at": pa.int64(), "element": pa.int64(), "whole": pa.bool_(), "path": pa.list_(pa.string()), "text": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds.values())], names=[*kinds])
 
 
 def write_array(df: DataFrame, path: str, ord_col: str = "ord", columns: list[str] | None = None) -> None:

@@ -89,10 +89,12 @@ def read_predictions(spark: SparkSession, path: str, schema: str | T.StructType,
     return rows
 
 
-def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    """(id, answer) with unique ids and integer answers."""
+def read_submission(spark: SparkSession, path: str, store: Store | None = None) -> DataFrame:
+    """(id, answer) with unique ids and integer answers. store: writes the rows and reads them back; else the files are read
+    for each check."""
     rows = read_csv(spark, path)
     require_columns(rows, "id", "answer")
+    rows = store(rows.select("id", "answer")) if store else rows
     require_empty(duplicate_ids(rows), "duplicate ids")
     require_empty(rows.filter(strict_integer(F.col("answer")).isNull()), "answers that aren't integers")
     return rows.select("id", strict_integer(F.col("answer")).alias("answer"))

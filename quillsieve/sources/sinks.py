@@ -86,9 +86,9 @@ def write_replaced(df: DataFrame, answers: DataFrame, path: str, ord_col: str =
     _in_order(rows.orderBy(ord_col), path, [c for c in df.columns if c != ord_col], one_file)
 
 
-def write_stages(rows: DataFrame, targets: dict[str, str], ord_col: str = "ord") -> dict[str, int]:
+def write_stages(rows: DataFrame, targets: dict[str, str], ord_col: str = "ord", one_file: bool = True) -> dict[str, int]:
     """Named chain stages, each to its own submission. rows: a written table, as each stage reads it."""
-    return {stage: write_submission(rows.select(ord_col, "id", F.col(stage).alias("answer")), path, ord_col) for stage, path in targets.items()}
+    return {stage: write_submission(rows.select(ord_col, "id", F.col(stage).alias("answer")), path, ord_col, one_file) for stage, path in targets.items()}
 
 
 def append_rows(df: DataFrame, path: str) -> None:
