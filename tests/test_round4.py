@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import text
 from quillsieve.llm import pii
-from quillsieve.operators import votes
+from quillsieve.operators import nearness, votes
 from quillsieve.plans import catalogue, compose
 from quillsieve.plans.scratch import stored
 from quillsieve.sources import jsondoc, sinks
@@ -95,3 +95,39 @@ def test_the_emitted_submission_is_written_by_many(spark, small, monkeypatch):
     got = catalogue.queries()["composed_submission"](spark, small).toPandas().sort_values("id").values.tolist()
     assert seen == [False]
     assert got == by_sql("composed_submission", small, "lineitem").sort_values("id").values.tolist()
+
+
+def test_near_texts_of_a_family_move_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(nearness, "BLOCK", 4)
+    base = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    family = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(30)]
+    rows = [(k, t) for k, t in enumerate(family)] + [(100 + k, t + " more") for k, t in enumerate(family[:3])] + [(3, family[3]), (3, "an own text of seven words here"), (200, "an own text of seven words here so")]
+    rows += [(300, "a b c d"), (301, "d c b a"), (302, "one two three four five six seven"), (303, "one two three four five six seven eight")]
+    kept = nearness._token_near
+
+    def spied(*options):
+        run = kept(*options)
+
+        def counted(batches):
+            def named():
+                for batch in batches:
+                    seen.add(sum(x is not None for x in batch.column("norm").to_pylist()))
+                    yield batch
+
+            return run(named())
+
+        return counted
+
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(nearness, "_token_near", spied)
+    got = {tuple(r)[:4] for r in nearness.near_copies(spark.createDataFrame(rows, "id int, text string"), store=stored).collect()}
+    want = set()
+    for a, x in rows:
+        for b, y in rows:
+            s, t = x.split(), y.split()
+            j, r = len({*s} & {*t}) / len({*s} | {*t}), min(len(s), len(t)) / max(len(s), len(t))
+            g, h = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (s, t))
+            if a < b and j >= 0.85 and r >= 0.8 and g & h:
+                want.add((a, b, j, r))
+    assert len(want) > 400 and got == want
+    assert 0 < seen.value < len(want)  # texts that moved
